@@ -1,24 +1,25 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-DataFrame functions only. Words are lower-cased runs of letters and digits; shingles are two words. A text's shingles are cut into
-steps of STEP starts; a window is two neighbouring steps, so a run of STEP + 1 shingles lies whole in some window. Each
-window has BANDS minima, of the shingle hashes xor-ed with one mask a band (one row a band). Templates are cut into pieces of at
-most STEP + 1 shingles, each with the same minima. A piece of k shingles that stands in a text shares a window's minimum in
-a band with probability about k / (2 * STEP + 1 - k + k) or more, so with k >= 4 and 16 bands it is retrieved with probability over 0.999. A retrieved
-template is verified around the window: the share of its distinct shingles found there must reach the threshold.
-
-Null and empty texts, and texts of one word, have no shingles and no matches. Repeated rows give repeated matches. Empty
-tables give empty results. Other columns of the input are not read.
+DataFrame functions only. Words are lower-cased runs of letters and digits; shingles are SHINGLE words. A text's shingles are cut
+into steps of STEP starts; a window is two neighbouring steps, so a run of STEP + 1 shingles lies whole in some window.
+Each window has BANDS minima, of its shingle hashes xor-ed with one mask a band (one row a band). Templates are cut into pieces
+of at most STEP + 1 shingles, each with minima of its own. A piece of k shingles inside a window of 2 * STEP shares the
+minimum of a band with probability k / (2 * STEP), so a piece of 3 or more is retrieved with probability over 0.9994.
+Retrieved templates are verified exactly: the share of a template's distinct shingles that the windows retrieved for it,
+from one on and no further than the template is long, contain must reach the threshold.
+
+Null and empty texts, and texts of less than SHINGLE words, have no shingles and no matches. Repeated rows are reported once.
+Empty tables give empty results. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text
 
-STEP, BANDS = 4, 16
+SHINGLE, STEP, BANDS = 3, 4, 16
 
 #: Short forms in which well-known licenses are named. (license, text)
 TEMPLATES = [
@@ -51,47 +52,48 @@ def words_of(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column) -> Column:
-    """Hashes of all pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of SHINGLE words."""
+    runs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def _minimum(hashes: Column, band: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_mask(band)))))
+def computed(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """keep and value, evaluated once a row: the optimizer doesn't copy it into the expressions (and lambdas) that use it."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+def band_minima(rows: DataFrame, hashes: str, length: int, *keep: str) -> DataFrame:
+    """keep, band and minimum: the least of at most length hashes under each band's mask; nulls don't count."""
+    wide = rows.select(*keep, *[F.get(F.col(hashes), F.lit(k)).alias(f"h{k}") for k in range(length)])
+    masked = wide.select("*", F.posexplode(F.array(*[F.lit(_mask(b)) for b in range(BANDS)])).alias("band", "mask"))
+    return masked.select(*keep, "band", F.least(*[F.col(f"h{k}").bitwiseXOR(F.col("mask")) for k in range(length)]).alias("minimum"))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """license, shingles (distinct), n_words of a short list of templates."""
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("text")) for a, b in templates])))
-    words = rows.select("license", words_of(F.col("text")).alias("words"))
+    words = computed(rows, "words", words_of(F.col("text")), "license")
     return words.select("license", F.size("words").alias("n_words"), F.array_distinct(shingle_hashes(F.col("words"))).alias("shingles"))
 
 
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, license, first_word (where its best window begins), containment of every license found in docs (doc_id, text)."""
-    spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
-    pieces = known.select("license", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("shingles"), F.lit(1)), F.lit(STEP + 1)), lambda i: F.slice("shingles", i, F.lit(STEP + 1)))).alias("piece")).where(F.size("piece") > 0)
-    keys = pieces.select("license", F.posexplode(F.array(*[_minimum(F.col("piece"), b) for b in range(BANDS)])).alias("band", "minimum")).distinct()
-    # the templates' minima by band: as few as the given templates have pieces
-    wanted = {int(r["band"]): r["m"] for r in keys.groupBy("band").agg(F.collect_set("minimum").alias("m")).collect()}
-
-    hashed = docs.select(F.col("doc_id"), shingle_hashes(words_of(whole_text())).alias("h"))
-    steps = F.sequence(F.lit(0), F.floor((F.greatest(F.size("h"), F.lit(1)) - 1) / STEP).cast("int"))
-    windows = F.transform(steps, lambda j: F.struct((j * STEP).alias("at"), F.slice("h", j * STEP + 1, F.lit(2 * STEP)).alias("h")))
-
-    def retrieved(w: Column) -> Column:
-        any_band = F.lit(False)
-        for b in range(BANDS):
-            any_band = any_band | F.array_contains(F.lit(wanted[b]), _minimum(w["h"], b)) if b in wanted else any_band
-        return any_band
-
-    hits = hashed.select("doc_id", "h", F.filter(windows, retrieved).alias("hits")).where(F.size("hits") > 0)
-    longest = max(len(t.split()) for _, t in templates or TEMPLATES) + 8
-    near = hits.select("doc_id", F.explode(F.transform("hits", lambda w: F.struct(w["at"].alias("at"), w["h"].alias("h"), F.slice("h", F.greatest(w["at"] - longest, F.lit(0)) + 1, F.lit(2 * longest + 2 * STEP)).alias("around")))).alias("w")).select("doc_id", "w.*")
-    minima = near.select("doc_id", "at", "around", F.posexplode(F.array(*[_minimum(F.col("h"), b) for b in range(BANDS)])).alias("band", "minimum"))
-    found = minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "at", "around", "license").join(F.broadcast(known), "license")  # as many rows as the given templates have
-    share = F.size(F.array_intersect("shingles", "around")) / F.size("shingles")
-    verified = found.withColumn("containment", share).where(F.col("containment") >= threshold)
+    """doc_id, license, first_word (where its first window begins), containment of every license found in docs (doc_id, text)."""
+    known = template_table(docs.sparkSession, templates or TEMPLATES)
+    size = F.size("shingles")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(STEP + 1)), lambda i: F.greatest(F.least(i, size - STEP), F.lit(1)))
+    pieces = known.select("license", F.explode(F.transform(starts, lambda i: F.slice("shingles", i, F.lit(STEP + 1)))).alias("piece")).where(F.size("piece") > 0)
+    keys = band_minima(pieces, "piece", STEP + 1, "license").distinct()
+
+    words = computed(docs, "w", words_of(whole_text()), "doc_id")
+    hashed = computed(words, "h", shingle_hashes(F.col("w")), "doc_id").where(F.size("h") > 0)
+    steps = F.sequence(F.lit(0), F.greatest(F.size("h") - STEP - 1, F.lit(0)), F.lit(STEP))
+    windows = hashed.select("doc_id", F.explode(F.transform(steps, lambda at: F.struct(at.alias("at"), F.slice("h", at + 1, F.lit(2 * STEP)).alias("h")))).alias("x")).select("doc_id", "x.at", "x.h")
+    minima = band_minima(windows, "h", 2 * STEP, "doc_id", "at", "h")
+    found = minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "license", "at", "h").distinct()  # keys: as few as the given templates have pieces
+    onward = found.join(F.broadcast(known), "license").withColumn("reach", F.col("n_words") + 2 * STEP)
+    longest = max(len(t.split()) for _, t in templates or TEMPLATES) * 2 + 2 * STEP
+    near = Window.partitionBy("doc_id", "license").orderBy("at").rangeBetween(0, longest)
+    around = F.flatten(F.transform(F.filter("near", lambda x: x["at"] <= F.col("at") + F.col("reach")), lambda x: x["h"]))
+    verified = onward.withColumn("near", F.collect_list(F.struct("at", "h")).over(near)).withColumn("containment", F.size(F.array_intersect("shingles", around)) / size).where(F.col("containment") >= threshold)
     best = F.max(F.struct("containment", (-F.col("at")).alias("minus_at")))
     return verified.groupBy("doc_id", "license").agg(best.alias("b")).select("doc_id", "license", (-F.col("b.minus_at")).cast("long").alias("first_word"), F.round("b.containment", 6).alias("containment"))
