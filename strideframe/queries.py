@@ -1,4 +1,431 @@
 """Every operator over the given tables, with SQL that computes the same from its definition."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import bins, channels, cycles, events, grid, kinematics, resample
+from .plans import oracle as Q
+from .sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K, O, R = ["recording_id"], "sample_idx", T.MOTION_RATE
+GRID = {"keys": K, "order": O}
+HALO = {"keys": [*K, "chunk"], "order": O}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    """df with these columns rounded, without negative zero."""
+    return df.withColumns({n: F.round(F.col(n), digits) + 0.0 for n in names})
+
+
+def chunked(df: DataFrame, halo: int) -> DataFrame:
+    return grid.with_halo(df, order=O, chunk=256, halo=halo)
+
+
+# ---- recordings and channels
+
+@query(f"WITH {Q.MOTION} SELECT recording_id, count(*) AS n_rows, min(sample_idx) AS first_idx, max(sample_idx) AS last_idx, count(*) = max(sample_idx) - min(sample_idx) + 1 AND count(*) = count(DISTINCT sample_idx) AS gapless FROM motion GROUP BY 1")
+def a1_load_recordings(spark, sf):
+    return grid.grid_gaps(T.motion_v(spark, sf), **GRID)
+
+
+@query(f"""WITH {Q.MOTION}, r AS (SELECT recording_id % 10 AS subject, recording_id AS run_id, count(*) AS n_times FROM motion GROUP BY 1, 2)
+SELECT a.subject, a.run_id, CAST(coalesce((SELECT sum(b.n_times) FROM r b WHERE b.subject = a.subject AND b.run_id < a.run_id), 0) AS BIGINT) AS offset_n,
+  (SELECT CASE WHEN count(*) = 1 THEN CAST(min(b.run_id) AS VARCHAR) ELSE min(b.run_id) || '-' || max(b.run_id) END FROM r b WHERE b.subject = a.subject) AS run_label FROM r a""")
+def a2_concatenate_runs(spark, sf):
+    r = T.motion_v(spark, sf).groupBy((F.col("recording_id") % 10).alias("subject"), F.col("recording_id").alias("run_id")).agg(F.count("*").alias("n_times"))
+    return channels.concatenate_runs(r.withColumn("run_pos", F.col("run_id")), keys=["subject"]).select("subject", "run_id", F.col("offset").alias("offset_n"), "run_label")
+
+
+def _long(spark, sf):
+    pairs = {"ZERO_THREE_LEFT": "x", "ONE_THREE_LEFT": "y", "ZERO_TWO_LEFT": "lx"}
+    stack = ", ".join(f"'{k}', {v}" for k, v in pairs.items())
+    return T.motion_v(spark, sf).selectExpr("recording_id", "sample_idx", f"stack(3, {stack}) AS (ch_name, value)")
+
+
+@query(f"WITH {Q.MOTION} SELECT recording_id, sample_idx, 'ONE_THREE_LEFT' AS ch_name, round(y, 4) AS value FROM motion UNION ALL SELECT recording_id, sample_idx, 'ZERO_ONE_LEFT', round(x - y, 4) + 0.0 FROM motion")
+def a3_pick_channels(spark, sf):
+    picked = channels.pick_channels(_long(spark, sf), ["ZERO_ONE_LEFT", "ONE_THREE_LEFT"], ["ZERO_THREE_LEFT", "ONE_THREE_LEFT", "ZERO_TWO_LEFT"], keys=[*K, O])
+    return rounded(picked, "value")
+
+
+@query(f"WITH {Q.MOTION} SELECT recording_id, sample_idx, ch_name, round(value, 4) + 0.0 AS value FROM (SELECT recording_id, sample_idx, unnest(['ZERO_ONE_LEFT', 'ONE_TWO_LEFT', 'TWO_THREE_LEFT']) AS ch_name, unnest([x - y, y - x + lx, x - lx]) AS value FROM motion)")
+def a4_rereference(spark, sf):
+    return rounded(channels.rereference(_long(spark, sf), ["ZERO_ONE_LEFT", "ONE_TWO_LEFT", "TWO_THREE_LEFT"], keys=[*K, O]), "value")
+
+
+@query(f"""WITH {Q.SESSION}, f AS (SELECT session_id, min(recording_id) AS recording_id FROM session GROUP BY 1), a AS (SELECT f.session_id, s.start, s.length FROM f JOIN session s USING (recording_id))
+SELECT s.session_id, s.recording_id, round(s.start - a.start, 4) + 0.0 AS start_diff, round(s.length - a.length, 4) + 0.0 AS length_diff FROM session s JOIN a USING (session_id) WHERE abs(s.start - a.start) > 30 OR abs(s.length - a.length) > 30""")
+def a5_sync_check(spark, sf):
+    far = channels.unsynced(T.session_v(spark, sf), session="session_id", pos="recording_id", tolerance=30.0)
+    return rounded(far, "start_diff", "length_diff").select("session_id", "recording_id", "start_diff", "length_diff")
+
+
+@query(f"WITH {Q.SESSION} SELECT session_id, round(max(start), 4) AS span_start, round(min(start + length), 4) AS span_end, max(start) <= min(start + length) AS overlap FROM session GROUP BY 1")
+def a6_overlap_check(spark, sf):
+    return rounded(channels.common_span(T.session_v(spark, sf), session="session_id"), "span_start", "span_end")
+
+
+# ---- grids and kinematics
+
+@query(f"WITH {Q.MOTION}, {Q.smooth('s', 'motion', {'sx': 'x', 'sy': 'y'}, 15)} SELECT recording_id, sample_idx, round(sx, 3) + 0.0 AS sx, round(sy, 3) + 0.0 AS sy FROM s")
+def b1_smooth_reflected(spark, sf):
+    s = grid.drop_halo(grid.smooth_reflected(chunked(T.motion_v(spark, sf), 16), **HALO, columns={"sx": "x", "sy": "y"}, w=15))
+    return rounded(s, "sx", "sy", digits=3).select(*K, O, "sx", "sy")
+
+
+@query(f"WITH {Q.MOTION}, {Q.zero('s', 'motion', 'x', 5)} SELECT recording_id, sample_idx, round(z, 4) AS sx FROM s")
+def b2_smooth_zero(spark, sf):
+    return rounded(T.motion_v(spark, sf).select(*K, O, grid.smooth_zero(F.col("x"), **GRID, w=5).alias("sx")), "sx")
+
+
+@query(f"WITH {Q.MOTION}, {Q.grad('g', 'motion', {'gx': 'x'}, 0.1)} SELECT recording_id, sample_idx, round(gx, 3) + 0.0 AS gx FROM g")
+def b3_gradient(spark, sf):
+    return rounded(T.motion_v(spark, sf).select(*K, O, grid.gradient(F.col("x"), **GRID, dt=0.1).alias("gx")), "gx", digits=3)
+
+
+_B4 = f"""WITH {Q.MOTION}, d AS (SELECT m.recording_id, m.sample_idx, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / 2 AS v FROM motion m
+  LEFT JOIN motion a ON a.recording_id = m.recording_id AND a.sample_idx = m.sample_idx - 1 LEFT JOIN motion b ON b.recording_id = m.recording_id AND b.sample_idx = m.sample_idx + 2)
+SELECT c.recording_id, c.sample_idx, CASE WHEN count(*) = count(d.v) THEN round(sum(d.v) / 5, 4) END AS speed FROM d c JOIN d ON d.recording_id = c.recording_id AND d.sample_idx BETWEEN c.sample_idx - 2 AND c.sample_idx + 2 GROUP BY 1, 2"""
+
+
+@query(_B4)
+def b4_lagged_speed(spark, sf):
+    return rounded(kinematics.lagged_speed(T.motion_v(spark, sf), **GRID, x="x", y="y", step=3, smoothing=5).select(*K, O, "speed"), "speed")
+
+
+@query(f"WITH {Q.MOTION}, m AS (SELECT recording_id, sample_idx, x / 1000 AS x_m, y / 1000 AS y_m FROM motion), {Q.grad('g', 'm', {'gx': 'x_m', 'gy': 'y_m'}, 0.1)}, v AS (SELECT *, sqrt(gx ** 2 + gy ** 2) AS v FROM g), {Q.zero('s', 'v', 'v', 2)} SELECT recording_id, sample_idx, round(x_m, 5) AS x_m, round(y_m, 5) AS y_m, round(z, 5) AS speed FROM s")
+def b5_walking_speed(spark, sf):
+    s = kinematics.walking_speed(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R)
+    return rounded(s, "x_m", "y_m", "speed", digits=5).select(*K, O, "x_m", "y_m", "speed")
+
+
+@query(f"""WITH {Q.MOTION} SELECT m.recording_id, m.sample_idx, round(t - 2 * pi() * floor(t / (2 * pi())), 5) AS direction FROM (SELECT m.recording_id, m.sample_idx, atan2(b.y - a.y, b.x - a.x) + 2 * pi() AS t FROM motion m
+  LEFT JOIN motion a ON a.recording_id = m.recording_id AND a.sample_idx = m.sample_idx - 5 LEFT JOIN motion b ON b.recording_id = m.recording_id AND b.sample_idx = m.sample_idx + 5) m""")
+def b6_path_direction(spark, sf):
+    return rounded(kinematics.path_direction(T.motion_v(spark, sf), **GRID, x="x", y="y").select(*K, O, "direction"), "direction", digits=5)
+
+
+@query(f"WITH {Q.MOTION}, {Q.HEADING} SELECT recording_id, sample_idx, round(heading, 5) AS heading FROM heading")
+def b7_heading(spark, sf):
+    h = kinematics.heading(chunked(T.motion_v(spark, sf), 20), **HALO, x="x", y="y", rate=R, smooth_w=15)
+    return rounded(grid.drop_halo(h).select(*K, O, "heading"), "heading", digits=5)
+
+
+@query(f"WITH {Q.MOTION}, {Q.LEAN} SELECT recording_id, sample_idx, round(lean, 5) AS lean FROM lean")
+def b8_lean_angle(spark, sf):
+    h = kinematics.lean_angle(chunked(T.motion_v(spark, sf), 20), **HALO, x="x", y="y", rate=R, lean_s=0.3)
+    return rounded(grid.drop_halo(h).select(*K, O, "lean"), "lean", digits=5)
+
+
+@query(f"WITH {Q.MOTION}, {Q.FORWARD} SELECT recording_id, sample_idx, round(fwd_left, 3) + 0.0 AS fwd_left, round(fwd_right, 3) + 0.0 AS fwd_right FROM fwd")
+def b9_forward_speed(spark, sf):
+    h = kinematics.forward_speed(chunked(T.motion_v(spark, sf), 20), **HALO, head=("x", "y"), feet={"fwd_left": ("lx", "ly"), "fwd_right": ("rx", "ry")}, rate=R, speed_s=0.2)
+    return rounded(grid.drop_halo(h).select(*K, O, "fwd_left", "fwd_right"), "fwd_left", "fwd_right", digits=3)
+
+
+@query(f"""WITH {Q.MOTION}, d AS (SELECT m.*, coalesce(m.x - p.x, 0) AS dx, coalesce(m.y - p.y, 0) AS dy FROM motion m LEFT JOIN motion p ON p.recording_id = m.recording_id AND p.sample_idx = m.sample_idx - 1),
+u AS (SELECT *, CASE WHEN abs(x) < 0.5 AND abs(y) < 0.5 THEN 1 WHEN dx = 0 AND dy = 0 THEN 0 ELSE dx / sqrt(dx * dx + dy * dy) END AS ux, CASE WHEN abs(x) < 0.5 AND abs(y) < 0.5 THEN 0 WHEN dx = 0 AND dy = 0 THEN 0 ELSE dy / sqrt(dx * dx + dy * dy) END AS uy FROM d),
+f AS (SELECT recording_id, sample_idx, (lx - x) * ux + (ly - y) * uy AS v FROM u), {Q.zero('s', 'f', 'v', 3)} SELECT recording_id, sample_idx, round(z, 3) + 0.0 AS step_left FROM s""")
+def b10_step_length(spark, sf):
+    s = kinematics.step_length(T.motion_v(spark, sf), **GRID, pelvis=("x", "y"), feet={"step_left": ("lx", "ly")}, smoothing=3)
+    return rounded(s.select(*K, O, "step_left"), "step_left", digits=3)
+
+
+@query(f"WITH {Q.MOTION} SELECT m.recording_id, sample_idx, round(x - a, 3) + 0.0 AS x0 FROM motion m JOIN (SELECT recording_id, avg(x) AS a FROM motion GROUP BY 1) USING (recording_id)")
+def b11_remove_mean(spark, sf):
+    return rounded(grid.remove_mean(T.motion_v(spark, sf), keys=K, column="x", name="x0").select(*K, O, "x0"), "x0", digits=3)
+
+
+# ---- events and cycles
+
+@query(f"WITH {Q.MOTION}, {Q.LEAN} SELECT recording_id, sample_idx, CASE WHEN lean > 0 THEN -1 WHEN lean < 0 THEN 1 ELSE 0 END AS state FROM lean")
+def c1_lean_state(spark, sf):
+    h = kinematics.lean_angle(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R, lean_s=0.3)
+    return h.select(*K, O, events.lean_state(F.col("lean")).alias("state"))
+
+
+@query(f"WITH {Q.MOTION}, {Q.FORWARD}, {Q.STATE} SELECT recording_id, sample_idx, state FROM st")
+def c2_step_state(spark, sf):
+    h = kinematics.forward_speed(T.motion_v(spark, sf), **GRID, head=("x", "y"), feet={"fwd_left": ("lx", "ly"), "fwd_right": ("rx", "ry")}, rate=R, speed_s=0.2)
+    return h.select(*K, O, events.step_state(F.col("fwd_left"), F.col("fwd_right"), 300.0).alias("state"))
+
+
+@query(f"WITH {Q.MOTION}, s AS (SELECT *, CASE WHEN y > 700 THEN 1 WHEN y < 300 THEN -1 ELSE 0 END AS state FROM motion), {Q.runs('r', 's')} SELECT recording_id, round(a / 10.0, 4) AS onset, round(n / 10.0, 4) AS duration, state FROM r WHERE n >= 2 AND a < last_idx")
+def c3_runs_to_events(spark, sf):
+    s = T.motion_v(spark, sf).withColumn("state", F.when(F.col("y") > 700, 1).when(F.col("y") < 300, -1).otherwise(0))
+    return rounded(events.runs_to_events(s, **GRID, state="state", rate=R, min_samples=2), "onset", "duration")
+
+
+_LEAN_EVENTS = f"{Q.LEAN}, ls AS (SELECT *, CASE WHEN lean > 0 THEN -1 WHEN lean < 0 THEN 1 ELSE 0 END AS state FROM lean), {Q.runs('lr', 'ls')}"
+
+
+@query(f"WITH {Q.MOTION}, {_LEAN_EVENTS} SELECT recording_id, round(a / 10.0, 4) AS onset, round(n / 10.0, 4) AS duration, CASE state WHEN -1 THEN 'gait_lean_left' WHEN 1 THEN 'gait_lean_right' ELSE 'gait_lean_reset' END AS description FROM lr WHERE n >= 2 AND a < last_idx")
+def c5_annotate_gait_lean(spark, sf):
+    return rounded(events.annotate_gait_lean(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R, lean_s=0.3, min_s=0.2), "onset", "duration")
+
+
+def _steps(spark, sf):
+    return events.annotate_steps(T.motion_v(spark, sf), **GRID, head=("x", "y"), left=("lx", "ly"), right=("rx", "ry"), rate=R, speed_s=0.2, min_s=0.1)
+
+
+@query(f"""WITH {Q.MOTION}, {Q.FORWARD}, {Q.STATE}, {Q.runs('r', 'st')} SELECT r.recording_id, round(a / 10.0, 4) AS onset, round(n / 10.0, 4) AS duration,
+  round(CASE state WHEN -1 THEN sqrt((q.lx - p.lx) ** 2 + (q.ly - p.ly) ** 2) / 1000 WHEN 1 THEN sqrt((q.rx - p.rx) ** 2 + (q.ry - p.ry) ** 2) / 1000 END, 4) AS steplen_m,
+  CASE state WHEN -1 THEN 'lr_step_left' WHEN 1 THEN 'lr_step_right' ELSE 'lr_step_reset' END AS description
+FROM r JOIN motion p ON p.recording_id = r.recording_id AND p.sample_idx = a JOIN motion q ON q.recording_id = r.recording_id AND q.sample_idx = a + n - 1 WHERE a < last_idx""")
+def c6_annotate_steps(spark, sf):
+    return rounded(_steps(spark, sf), "onset", "duration", "steplen_m")
+
+
+@query(f"""WITH {Q.CUE}, o AS (SELECT * FROM cue WHERE event_id % 2 = 0), n AS (SELECT * FROM cue WHERE event_id % 2 = 1 AND value > 50)
+SELECT recording_id, event_id, description FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.recording_id = o.recording_id AND n.description = o.description) UNION ALL SELECT recording_id, event_id, description FROM n""")
+def c7_replace_annotations(spark, sf):
+    e = T.cue_v(spark, sf)
+    return events.replace_by_description(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 AND value > 50"), keys=K).select(*K, "event_id", "description")
+
+
+@query(f"""WITH {Q.CUE}, o AS (SELECT * FROM cue WHERE event_id % 2 = 0), n AS (SELECT * FROM cue WHERE event_id % 2 = 1 AND description IN ('click', 'view'))
+SELECT recording_id, event_id, description FROM o WHERE description NOT IN ('click', 'view') UNION ALL SELECT recording_id, event_id, description FROM n""")
+def c7_replace_by_label(spark, sf):
+    e = T.cue_v(spark, sf)
+    new = e.where("event_id % 2 = 1 AND description IN ('click', 'view')")
+    return events.replace_by_label(e.where("event_id % 2 = 0"), new, ["click", "view"]).select(*K, "event_id", "description")
+
+
+@query("""SELECT event_id, event_type AS label, CAST(round(value, 1) AS DOUBLE) AS steplen_m FROM events""")
+def c8_label_parse(spark, sf):
+    e = T.cue_v(spark, sf).withColumn("d", F.concat("description", F.lit("/steplen"), F.round("value", 1).cast("string")))
+    return e.select("event_id", events.base_label(F.col("d")).alias("label"), events.step_length_tag(F.col("d")).alias("steplen_m"))
+
+
+@query(f"WITH {Q.SWING}, {Q.SESSION} SELECT event_id, round(onset + (start - (start - recording_id % 7)), 4) AS onset FROM swing JOIN session USING (recording_id)")
+def c9_time_shift(spark, sf):
+    starts = T.session_v(spark, sf).select(*K, F.col("start").alias("a"), (F.col("start") - F.col("recording_id") % 7).alias("b"))
+    return rounded(cycles.shift_to(T.swing_v(spark, sf), starts, key="recording_id", frm="a", to="b").select("event_id", "onset"), "onset")
+
+
+@query(f"WITH {Q.SWING}, {Q.PAIRS} SELECT recording_id, round(onset, 4) AS onset, round(duration, 4) AS duration, round(right_onset, 4) AS right_onset, round(left_steplen_m, 4) AS left_steplen_m, round(right_steplen_m, 4) AS right_steplen_m FROM pairs WHERE duration BETWEEN 60 AND 600")
+def c10_pair_cycles(spark, sf):
+    p = cycles.pair_cycles(T.swing_v(spark, sf), keys=K, tie="event_id", min_dur=60, max_dur=600, value="steplen_m")
+    return rounded(p, "onset", "duration", "right_onset", "left_steplen_m", "right_steplen_m")
+
+
+def _swing_epochs(spark, sf):
+    swing = T.swing_v(spark, sf)
+    rec = T.session_v(spark, sf).select(*K, F.col("start").alias("first_time"), (F.floor("length") + 1).alias("n_times"))
+    pairs = cycles.pair_cycles(swing, keys=K, tie="event_id", min_dur=60, max_dur=600)
+    return cycles.epoch_bounds(pairs, rec, key="recording_id", rate=1.0, pad_s=20.0)
+
+
+_C11 = f"""WITH {Q.SWING}, {Q.SESSION}, {Q.PAIRS}, b AS (SELECT recording_id, onset, duration, right_onset, onset - start - 20 AS t0, onset - start + duration + 20 AS t1, floor(length) AS last_t FROM pairs JOIN session USING (recording_id) WHERE duration BETWEEN 60 AND 600),
+e AS (SELECT *, CAST(round_even(t0, 0) AS BIGINT) AS s0, CAST(round_even(t1, 0) AS BIGINT) AS s1 FROM b WHERE t0 >= 0 AND t1 <= last_t)"""
+
+
+@query(f"{_C11} SELECT recording_id, s0, s1, s1 - s0 AS n_samples, CAST(20 AS BIGINT) AS cycle_start_idx, 20 + CAST(round_even(right_onset - onset, 0) AS BIGINT) AS cycle_mid_idx, s1 - s0 - 20 AS cycle_end_idx FROM e")
+def c11_epoch_bounds(spark, sf):
+    return _swing_epochs(spark, sf).select(*K, "s0", "s1", "n_samples", "cycle_start_idx", "cycle_mid_idx", "cycle_end_idx")
+
+
+_SPANS = "spans AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY sample_idx) AS window_id, sample_idx AS s0, sample_idx + 40 AS s1 FROM motion WHERE sample_idx % 30 = 7)"
+
+
+def _spans(m):
+    w = Window.partitionBy(*K).orderBy(O)
+    return m.where(F.col(O) % 30 == 7).select(*K, F.row_number().over(w).alias("window_id"), F.col(O).alias("s0"), (F.col(O) + 40).alias("s1"))
+
+
+@query(f"WITH {Q.MOTION}, {_SPANS} SELECT recording_id, window_id, count(*) AS n, round(avg(x), 3) AS x FROM motion JOIN spans USING (recording_id) WHERE sample_idx >= s0 AND sample_idx < s1 GROUP BY 1, 2")
+def c12_cut_by_interval(spark, sf):
+    m = T.motion_v(spark, sf)
+    cut = cycles.cut_by_interval(m, _spans(m), key="recording_id")
+    return rounded(cut.groupBy(*K, "window_id").agg(F.count("*").alias("n"), F.avg("x").alias("x")), "x", digits=3)
+
+
+_PERIODS = "periods AS (SELECT recording_id, event_id, onset AS t0, onset + value * 10 AS t1 FROM cue WHERE description = 'purchase')"
+
+
+def _periods(spark, sf):
+    e = T.cue_v(spark, sf).where("description = 'purchase'")
+    return e.select(*K, "event_id", F.col("onset").alias("t0"), (F.col("onset") + F.col("value") * 10).alias("t1"))
+
+
+@query(f"WITH {Q.CUE}, {_PERIODS} SELECT recording_id, event_id, cycle, round(t0 + cycle * 100, 3) AS onset, CAST(100 AS DOUBLE) AS duration FROM (SELECT *, unnest(range(CAST(floor((t1 - t0) / 100) AS BIGINT))) AS cycle FROM periods)")
+def c13_cue_cycles(spark, sf):
+    return rounded(cycles.cue_cycles(_periods(spark, sf), length_s=100.0), "onset", digits=3).select(*K, "event_id", "cycle", "onset", "duration")
+
+
+@query(f"{_C11} SELECT recording_id, round(onset, 4) AS onset_s, round(duration, 4) AS duration_s, round(onset + round_even(right_onset - onset, 0), 4) AS right_onset_s FROM e")
+def c14_cycle_table(spark, sf):
+    return rounded(cycles.cycle_table(_swing_epochs(spark, sf), keys=K, rate=1.0), "onset_s", "duration_s", "right_onset_s")
+
+
+@query(f"""WITH {Q.MOTION}, ev AS (SELECT recording_id, sample_idx AS s0, sample_idx + CAST(y AS BIGINT) % 23 AS s1, CASE WHEN y > 500 THEN 'left' ELSE 'right' END AS description FROM motion WHERE sample_idx % 20 = 3)
+SELECT m.recording_id, m.sample_idx, coalesce((SELECT arg_max(description, s0) FROM ev WHERE ev.recording_id = m.recording_id AND m.sample_idx >= s0 AND m.sample_idx < s1), 'reset') AS label FROM motion m""")
+def c15_paint(spark, sf):
+    m = T.motion_v(spark, sf)
+    ev = m.where(F.col(O) % 20 == 3).select(*K, (F.col(O) / R).alias("onset"), ((F.col("y").cast("long") % 23) / R).alias("duration"), F.when(F.col("y") > 500, "left").otherwise("right").alias("description"))
+    return cycles.paint(m, ev, key="recording_id", rate=R).select(*K, O, "label")
+
+
+@query("SELECT event_id, event_type AS description FROM events WHERE event_type = 'signup'")
+def c16_event_selection(spark, sf):
+    return events.with_tag(T.cue_v(spark, sf), "signup").select("event_id", "description")
+
+
+@query(f"WITH {Q.CUE} SELECT recording_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY event_id) AS n FROM cue) WHERE n <= 5")
+def c17_first_cycles(spark, sf):
+    return cycles.first_cycles(T.cue_v(spark, sf), keys=K, order="event_id").select(*K, "event_id")
+
+
+@query(f"""WITH {Q.MOTION}, {Q.FORWARD}, {Q.STATE}, {Q.runs('r', 'st')}, ev AS (SELECT recording_id, a / 10.0 AS onset, CASE state WHEN -1 THEN 'L' ELSE 'R' END AS kind, a AS event_id FROM r WHERE state <> 0 AND a < last_idx),
+lead1 AS (SELECT *, lead(kind) OVER w AS k2, lead(onset) OVER w AS right_onset FROM ev WINDOW w AS (PARTITION BY recording_id ORDER BY onset, event_id)),
+lefts AS (SELECT *, lead(onset) OVER (PARTITION BY recording_id ORDER BY onset, event_id) - onset AS duration FROM lead1 WHERE kind = 'L'),
+e AS (SELECT l.*, CAST(round_even((onset - 0.5) * 10, 0) AS BIGINT) AS s0, CAST(round_even((onset + duration + 0.5) * 10, 0) AS BIGINT) AS s1 FROM lefts l JOIN (SELECT recording_id, max(sample_idx) AS m FROM motion GROUP BY 1) USING (recording_id) WHERE k2 = 'R' AND duration BETWEEN 0.6 AND 1.8 AND onset - 0.5 >= 0 AND onset + duration + 0.5 <= m / 10.0)
+SELECT e.recording_id, round(onset, 4) AS onset, round(duration, 4) AS duration, count(*) AS n_samples, round(avg(x), 3) AS strength FROM e JOIN motion USING (recording_id) WHERE sample_idx >= s0 AND sample_idx < s1 GROUP BY 1, 2, 3""")
+def c18_annotate_gait_cycles(spark, sf):
+    m = T.motion_v(spark, sf)
+    steps = _steps(spark, sf).withColumn("kind", F.when(F.col("description").endswith("left"), "L").when(F.col("description").endswith("right"), "R").otherwise("reset"))
+    pairs = cycles.pair_cycles(steps, keys=K, tie="kind")
+    rec = m.groupBy(*K).agg(F.lit(0.0).alias("first_time"), F.count("*").alias("n_times"))
+    epochs = cycles.epoch_bounds(pairs, rec, key="recording_id", rate=R)
+    cut = cycles.cut_by_interval(m.select(*K, O, "x"), epochs.select(*K, "onset", "duration", "s0", "s1"), key="recording_id")
+    return rounded(cut.groupBy(*K, "onset", "duration").agg(F.count("*").alias("n_samples"), F.avg("x").alias("strength")), "onset", "duration").withColumn("strength", F.round("strength", 3))
+
+
+# ---- resampling and bins
+
+_ARRAYS = f"WITH {Q.MOTION}, {_SPANS}, a AS (SELECT recording_id, window_id, list(x ORDER BY sample_idx) AS v FROM motion JOIN spans USING (recording_id) WHERE sample_idx >= s0 AND sample_idx < s1 GROUP BY 1, 2)"
+_LERP = "round(v[CAST(floor(p) AS INT) + 1] + CASE WHEN p > floor(p) THEN (p - floor(p)) * (v[CAST(floor(p) AS INT) + 2] - v[CAST(floor(p) AS INT) + 1]) ELSE 0 END, 3)"
+
+
+def _arrays(spark, sf):
+    m = T.motion_v(spark, sf)
+    return cycles.cut_by_interval(m.select(*K, O, "x"), _spans(m), key="recording_id").groupBy(*K, "window_id").agg(cycles.array_of(F.col("x"), F.col(O)).alias("v"))
+
+
+@query(f"{_ARRAYS} SELECT recording_id, window_id, bin, {_LERP} AS value FROM (SELECT *, unnest(range(25)) AS bin, unnest(range(25)) * ((len(v) - 1) / 24.0) AS p FROM a)")
+def d1_linear_resample(spark, sf):
+    out = _arrays(spark, sf).select(*K, "window_id", F.posexplode(resample.linear(F.col("v"), 25)).alias("bin", "value"))
+    return rounded(out, "value", digits=3).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query(f"{_ARRAYS}, m AS (SELECT *, CAST(greatest(1, least(9, len(v) - 2)) AS DOUBLE) AS mid FROM a) SELECT recording_id, window_id, bin, {_LERP} AS value FROM (SELECT *, CASE WHEN bin < 10 THEN bin * mid / 10 ELSE mid + (bin - 10) * (len(v) - 1 - mid) / 9.0 END AS p FROM (SELECT *, unnest(range(20)) AS bin FROM m WHERE len(v) > 2))")
+def d2_piecewise_resample(spark, sf):
+    out = _arrays(spark, sf).where(F.size("v") > 2).select(*K, "window_id", F.posexplode(resample.piecewise(F.col("v"), 20, F.lit(9))).alias("bin", "value"))
+    return rounded(out, "value", digits=3).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query(f"WITH {Q.MOTION}, {_SPANS}, m AS (SELECT recording_id, sample_idx, x / 1000 AS x_m, y / 1000 AS y_m FROM motion), {Q.grad('g', 'm', {'gx': 'x_m', 'gy': 'y_m'}, 0.1)}, v0 AS (SELECT *, sqrt(gx ** 2 + gy ** 2) AS v FROM g), {Q.zero('s', 'v0', 'v', 2)}, a AS (SELECT recording_id, window_id, list(z ORDER BY sample_idx) AS v FROM s JOIN spans USING (recording_id) WHERE sample_idx >= s0 AND sample_idx < s1 GROUP BY 1, 2 HAVING count(*) = 40) SELECT recording_id, window_id, bin, {_LERP.replace(', 3)', ', 5)')} AS value FROM (SELECT *, unnest(range(25)) AS bin, unnest(range(25)) * ((len(v) - 1) / 24.0) AS p FROM a)")
+def d3_trial_speed_matrix(spark, sf):
+    m = T.motion_v(spark, sf)
+    speed = kinematics.walking_speed(m, **GRID, x="x", y="y", rate=R)
+    a = cycles.cut_by_interval(speed.select(*K, O, "speed"), _spans(m), key="recording_id").groupBy(*K, "window_id").agg(cycles.array_of(F.col("speed"), F.col(O)).alias("v")).where(F.size("v") == 40)
+    return rounded(a.select(*K, "window_id", F.posexplode(resample.linear(F.col("v"), 25)).alias("bin", "value")), "value", digits=5).withColumn("bin", F.col("bin").cast("long"))
+
+
+_D4W = "w AS (SELECT recording_id, event_id AS window_id, onset AS tmin, onset + 100000 AS tmax FROM cue WHERE description = 'error')"
+
+
+def _trial(spark, sf, agg):
+    e = T.cue_v(spark, sf)
+    w = e.where("description = 'error'").select(*K, F.col("event_id").alias("window_id"), F.col("onset").alias("tmin"), (F.col("onset") + 100000).alias("tmax"))
+    return rounded(resample.trial_bins(e, w, key="recording_id", n_bins=10, agg=agg), "value")
+
+
+def _d4(agg):
+    return f"""WITH {Q.CUE}, {_D4W}, j AS (SELECT w.recording_id, window_id, greatest(0, least(9, CAST(trunc((onset - tmin) / (tmax - tmin) * 10) AS INT))) AS bin, value FROM cue JOIN w USING (recording_id) WHERE onset >= tmin AND onset < tmax)
+SELECT g.recording_id, g.window_id, g.bin, round({agg}(j.value), 4) AS value FROM (SELECT recording_id, window_id, CAST(unnest(range(10)) AS INT) AS bin FROM w) g LEFT JOIN j ON j.recording_id = g.recording_id AND j.window_id = g.window_id AND j.bin = g.bin GROUP BY 1, 2, 3"""
+
+
+@query(_d4("avg"))
+def d4_trial_cycle_matrix(spark, sf):
+    return _trial(spark, sf, "mean")
+
+
+@query(_d4("median"))
+def d4_trial_cycle_median(spark, sf):
+    return _trial(spark, sf, "median")
+
+
+@query(f"WITH {Q.MOTION} SELECT recording_id, sample_idx // 10 AS bin, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM motion GROUP BY 1, 2 HAVING count(*) = 10")
+def d5_bin_means(spark, sf):
+    return rounded(bins.bin_means(T.motion_v(spark, sf), keys=K, w=10, columns=["x", "y"]), "x", "y")
+
+
+@query(f"""WITH {Q.MOTION}, m AS (SELECT recording_id, max(sample_idx) / 10.0 AS dur FROM motion GROUP BY 1), p AS (SELECT recording_id, sample_idx, x * y AS p FROM motion), b AS (SELECT recording_id, unnest(range(CAST(floor(dur / 0.5) AS BIGINT))) AS bin FROM m)
+SELECT b.recording_id, b.bin, round((SELECT avg(x) FROM motion q WHERE q.recording_id = b.recording_id AND q.sample_idx BETWEEN b.bin * 5 AND b.bin * 5 + 5), 3) AS x, round((SELECT avg(p) FROM p WHERE p.recording_id = b.recording_id AND p.sample_idx >= b.bin * 5 AND p.sample_idx < b.bin * 5 + 5), 3) AS p FROM b""")
+def d6_joint_bins(spark, sf):
+    m = T.motion_v(spark, sf)
+    return rounded(bins.joint_bins(m.select(*K, O, "x"), m.select(*K, O, (F.col("x") * F.col("y")).alias("p")), key="recording_id", bin_s=0.5, rate_a=R, rate_b=R, value_a="x", value_b="p"), "x", "p", digits=3)
+
+
+_BINS = f"WITH {Q.MOTION}, b AS (SELECT recording_id, sample_idx // 10 AS bin, avg(x) AS x, avg(y) AS y FROM motion GROUP BY 1, 2 HAVING count(*) = 10)"
+
+
+@query(f"{_BINS} SELECT a.recording_id, a.bin, round(a.x, 4) AS x0, round(a.y, 4) AS y0, round(c.x, 4) AS x1, round(c.y, 4) AS y1, round((a.x + c.x) / 2, 5) AS value, round(1 / (1 + exp(1 - abs((a.x + c.x) / 2))), 6) AS weight FROM b a JOIN b c ON c.recording_id = a.recording_id AND c.bin = a.bin + 1")
+def d7_path_segments(spark, sf):
+    b = bins.bin_means(T.motion_v(spark, sf), keys=K, w=10, columns=["x", "y"])
+    s = bins.segments(b, keys=K, x="x", y="y", value="x", weight=True)
+    return rounded(rounded(rounded(s, "x0", "y0", "x1", "y1"), "value", digits=5), "weight", digits=6)
+
+
+@query(f"WITH {Q.MOTION}, c AS (SELECT recording_id, sample_idx // 5 AS bin, CASE WHEN y > 700 THEN 'high' WHEN y < 300 THEN 'low' ELSE 'mid' END AS label, count(*) AS n FROM motion GROUP BY 1, 2, 3) SELECT recording_id, bin, arg_min(label, struct_pack(m := -n, l := label)) AS label FROM c GROUP BY 1, 2 HAVING sum(n) = 5")
+def d8_majority_label(spark, sf):
+    m = T.motion_v(spark, sf).withColumn("label", F.when(F.col("y") > 700, "high").when(F.col("y") < 300, "low").otherwise("mid"))
+    return bins.majority_label(m, keys=K, w=5)
+
+
+@query(f"WITH {Q.MOTION} SELECT recording_id, round(quantile_cont(x, 0.05), 4) AS low, round(quantile_cont(x, 0.95), 4) AS high FROM motion GROUP BY 1")
+def d9_robust_limits(spark, sf):
+    return rounded(bins.robust_limits(T.motion_v(spark, sf), keys=K, value="x"), "low", "high")
+
+
+_RHYTHM = f"""WITH {Q.MOTION}, n AS (SELECT recording_id, max(sample_idx) + 1 AS n FROM motion GROUP BY 1), b AS (SELECT recording_id, unnest(range(n // 2)) AS bin FROM n),
+w AS (SELECT b.recording_id, b.bin, m.sample_idx AS i, m.y FROM b JOIN motion m ON m.recording_id = b.recording_id AND m.sample_idx >= b.bin * 2 + 1 - 10 AND m.sample_idx < b.bin * 2 + 1 + 10),
+c AS (SELECT w.recording_id, w.bin, i, y - a AS v FROM w JOIN (SELECT recording_id, bin, avg(y) AS a FROM w GROUP BY 1, 2) USING (recording_id, bin)),
+ac AS (SELECT p.recording_id, p.bin, q.i - p.i AS lag, sum(p.v * q.v) AS s FROM c p JOIN c q ON q.recording_id = p.recording_id AND q.bin = p.bin AND (q.i = p.i OR q.i - p.i BETWEEN 3 AND 11) GROUP BY 1, 2, 3),
+z AS (SELECT recording_id, bin, count(*) AS n FROM c GROUP BY 1, 2)"""
+
+
+@query(f"{_RHYTHM} SELECT z.recording_id, z.bin, CASE WHEN z.n < 16 THEN NULL WHEN max(s) FILTER (lag = 0) <= 1e-12 THEN 0 ELSE round(max(s) FILTER (lag >= 3) / max(s) FILTER (lag = 0), 5) + 0.0 END AS rhythm FROM z JOIN ac USING (recording_id, bin) GROUP BY z.recording_id, z.bin, z.n")
+def d10_rhythmicity(spark, sf):
+    return rounded(bins.rhythmicity(T.motion_v(spark, sf), keys=K, value="y", rate=R, bin_s=0.2, win_s=2.0, lag_s=(0.3, 1.2)), "rhythm", digits=5)
+
+
+_EPOCH = "ep AS (SELECT vec_id AS cycle_id, label AS ch_name, CAST(unnest(range(64)) AS INT) AS bin, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+def _epoch_long(spark, sf):
+    return T.epoch_v(spark, sf).select("cycle_id", "ch_name", F.posexplode("signal").alias("bin", "v"))
+
+
+@query(f"WITH {_EPOCH} SELECT ch_name, bin, round(avg(v), 5) + 0.0 AS mean, round(stddev_pop(v) / sqrt(count(*)), 5) AS sem, count(*) AS n FROM ep GROUP BY 1, 2")
+def d11_mean_sem(spark, sf):
+    return rounded(bins.mean_sem(_epoch_long(spark, sf), keys=["ch_name", "bin"], value="v"), "mean", "sem", digits=5)
+
+
+@query(f"WITH {_EPOCH} SELECT cycle_id % 50 AS trial, bin, round(avg(v), 5) + 0.0 AS v FROM ep GROUP BY 1, 2")
+def d12_combine_channels(spark, sf):
+    e = _epoch_long(spark, sf).withColumn("trial", F.col("cycle_id") % 50)
+    return rounded(channels.combine_channels(e, keys=["trial", "bin"], value="v"), "v", digits=5)
+
+
+@query(f"WITH {_EPOCH} SELECT bin // 8 AS freq_idx, bin % 8 AS bin, round(avg(v), 5) + 0.0 AS v FROM ep GROUP BY 1, 2")
+def d13_mean_map(spark, sf):
+    e = _epoch_long(spark, sf).select(F.floor(F.col("bin") / 8).cast("int").alias("freq_idx"), (F.col("bin") % 8).alias("bin"), "v")
+    return rounded(channels.combine_channels(e, keys=["freq_idx", "bin"], value="v"), "v", digits=5)
