@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def at_position(v: Column, pos: Column) -> Column:
     """Linear interpolation of an array at a position counted from 0."""
     low = F.floor(pos).cast("int")
@@ -15,16 +20,21 @@ def at_position(v: Column, pos: Column) -> Column:
 
 def linear(v: Column, frames: int) -> Column:
     """frames equally spaced points from the first to the last sample."""
-    step = (F.size(v) - 1) / F.lit(float(max(1, frames - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: at_position(v, k * step))
+    points = F.sequence(F.lit(0), F.lit(frames - 1))
+    return bound(v, lambda u: F.transform(points, lambda k: at_position(u, k * ((F.size(u) - 1) / F.lit(float(max(1, frames - 1)))))))
 
 
 def piecewise(v: Column, frames: int, mid: Column) -> Column:
     """As linear, but mid (kept in [1, size - 2]) lands on point frames // 2."""
     half = frames // 2
-    m = F.greatest(F.lit(1), F.least(mid, F.size(v) - 2)).cast("double")
     rest = F.lit(float(max(1, frames - half - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: at_position(v, F.when(k < half, k * m / max(1, half)).otherwise(m + (k - half) * (F.size(v) - 1 - m) / rest)))
+    points = F.sequence(F.lit(0), F.lit(frames - 1))
+
+    def warped(u: Column) -> Column:
+        m = F.greatest(F.lit(1), F.least(mid, F.size(u) - 2)).cast("double")
+        return F.transform(points, lambda k: at_position(u, F.when(k < half, k * m / max(1, half)).otherwise(m + (k - half) * (F.size(u) - 1 - m) / rest)))
+
+    return bound(v, warped)
 
 
 def trial_bins(events: DataFrame, windows: DataFrame, *, key: str, n_bins: int, value: str = "value", agg: str = "mean", duration: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .cycles import array_of
-from .resample import linear, piecewise
+from .resample import bound, linear, piecewise
 
 
 def by_length(signals: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,13 +83,14 @@ def morlet_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[
 
 def baseline_correct(v: Column, start: Column, end: Column, rescale: str = "zscore") -> Column:
     """An array less the mean of its part [start, end), over that part's population deviation (zscore), or itself over it (sd) (E5)."""
-    part = F.slice(v, start + 1, end - start)
-    n = F.size(part).cast("double")
-    mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    sd = F.when(sd == 0, 1.0).otherwise(sd)
-    by = {"zscore": lambda x: (x - mean) / sd, "sd": lambda x: x / sd, "mean": lambda x: x - mean}
-    return F.transform(v, by[rescale]) if rescale in by else v
+    by = {"zscore": lambda x, m, sd: (x - m) / sd, "sd": lambda x, m, sd: x / sd, "mean": lambda x, m, sd: x - m}
+    if rescale not in by:
+        return v
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda u: total(F.slice(u, start + 1, end - start)) / (end - start)
+    spread = lambda u, m: F.sqrt(total(F.transform(F.slice(u, start + 1, end - start), lambda x: (x - m) * (x - m))) / (end - start))
+    scaled = lambda u, m: bound(spread(u, m), lambda sd: F.transform(u, lambda x: by[rescale](x, m, F.when(sd == 0, 1.0).otherwise(sd))))
+    return bound(v, lambda u: bound(mean(u), lambda m: scaled(u, m)))
 
 
 def _exploded_mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:

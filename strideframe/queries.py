@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import bins, channels, cycles, events, grid, kinematics, resample
+from .operators import artifact, bins, channels, cycles, events, grid, kinematics, resample, spectral, stats
 from .plans import oracle as Q
 from .sources import tables as T
 
@@ -429,3 +429,236 @@ def d12_combine_channels(spark, sf):
 def d13_mean_map(spark, sf):
     e = _epoch_long(spark, sf).select(F.floor(F.col("bin") / 8).cast("int").alias("freq_idx"), (F.col("bin") % 8).alias("bin"), "v")
     return rounded(channels.combine_channels(e, keys=["freq_idx", "bin"], value="v"), "v", digits=5)
+
+
+# ---- spectra
+
+E8 = [8.0, 16.0]
+_KERNEL = """f AS (SELECT unnest([8.0, 16.0])::DOUBLE AS freq), s AS (SELECT freq, greatest(2.0, freq / 2) / (2 * pi() * freq) AS sigma FROM f),
+k0 AS (SELECT freq, sigma, i, i / 64.0::DOUBLE AS t FROM (SELECT *, unnest(range(-40, 41)) AS i FROM s) WHERE abs(i) / 64.0 < 5 * sigma),
+k1 AS (SELECT freq, i, (cos(2 * pi() * freq * t) - exp(-2 * (pi() * freq * sigma) ** 2)) * exp(-t * t / (2 * sigma * sigma)) AS re, sin(2 * pi() * freq * t) * exp(-t * t / (2 * sigma * sigma)) AS im FROM k0),
+k AS (SELECT k1.freq, i, re * sqrt(2) / n AS re, im * sqrt(2) / n AS im FROM k1 JOIN (SELECT freq, sqrt(sum(re * re + im * im)) AS n FROM k1 GROUP BY 1) USING (freq))"""
+_CONV = f"WITH {_EPOCH}, {_KERNEL}, z AS (SELECT a.cycle_id, a.ch_name, k.freq, a.bin, sum(k.re * b.v) AS re, sum(k.im * b.v) AS im FROM ep a CROSS JOIN k JOIN ep b ON b.cycle_id = a.cycle_id AND b.bin = a.bin - k.i GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"{_CONV} SELECT cycle_id, freq, bin, round(re * re + im * im, 5) AS power FROM z")
+def e1_morlet_power(spark, sf):
+    m = spectral.morlet_maps(T.epoch_v(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, freqs=E8)
+    return rounded(m.select("cycle_id", "freq", F.posexplode("values").alias("bin", "power")), "power", digits=5)
+
+
+@query(f"{_CONV} SELECT cycle_id, freq, bin, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM z")
+def e1_morlet_complex(spark, sf):
+    m = spectral.morlet_maps(T.epoch_v(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, freqs=E8, output="complex")
+    out = m.select("cycle_id", "freq", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z")).select("cycle_id", "freq", "bin", "z.*")
+    return rounded(out, "re", "im", digits=5)
+
+
+_POWER = f"{_CONV.replace('[8.0, 16.0]', '[8.0]')}, bp AS (SELECT cycle_id, ch_name, bin, re * re + im * im AS v FROM z)"
+
+
+def _band(spark, sf):
+    return T.epoch_v(spark, sf).withColumn("p", spectral.band_power(F.col("signal"), rate=T.EPOCH_RATE, low=7.9, high=8.1))
+
+
+@query(f"{_POWER} SELECT cycle_id, bin, round(v, 5) AS power FROM bp")
+def e2_band_power(spark, sf):
+    return rounded(_band(spark, sf).select("cycle_id", F.posexplode("p").alias("bin", "power")), "power", digits=5)
+
+
+@query()
+def e3_band_power_filtered(spark, sf):
+    """Filtered power of whole motion recordings; checked against direct sums in the tests."""
+    a = T.motion_v(spark, sf).groupBy(*K).agg(cycles.array_of(F.col("x"), F.col(O)).alias("signal"))
+    p = a.select(*K, F.posexplode(spectral.band_power(F.col("signal"), rate=64.0, low=8.0, high=13.0, method="hilbert")).alias(O, "power"))
+    return rounded(p, "power", digits=3)
+
+
+@query(f"{_CONV.replace('[8.0, 16.0]', '[8.0]')} SELECT cycle_id, bin, round(atan2(im, re), 4) + 0.0 AS phase FROM z")
+def e4_band_phase(spark, sf):
+    p = T.epoch_v(spark, sf).select("cycle_id", F.posexplode(spectral.band_phase(F.col("signal"), rate=T.EPOCH_RATE, low=7.9, high=8.1)).alias("bin", "phase"))
+    return rounded(p, "phase")
+
+
+_ZSCORE = "(SELECT cycle_id, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM {src} WHERE bin >= {a} AND bin < {b} GROUP BY 1)"
+
+
+@query(f"WITH {_EPOCH} SELECT cycle_id, bin, round((v - m) / s, 5) + 0.0 AS v FROM ep JOIN {_ZSCORE.format(src='ep', a=4, b=20)} USING (cycle_id)")
+def e5_baseline_correct(spark, sf):
+    e = T.epoch_v(spark, sf).withColumn("z", spectral.baseline_correct(F.col("signal"), F.lit(4), F.lit(20)))
+    return rounded(e.select("cycle_id", F.posexplode("z").alias("bin", "v")), "v", digits=5)
+
+
+@query(f"{_POWER}, c AS (SELECT cycle_id, bin - 8 AS bin, v FROM bp WHERE bin >= 8 AND bin < 56) SELECT cycle_id, CAST(bin AS INT) AS bin, round(avg((v - m) / s), 4) + 0.0 AS value FROM c JOIN {_ZSCORE.format(src='c', a=0, b=16)} USING (cycle_id) GROUP BY 1, 2")
+def e6_event_band_power(spark, sf):
+    e = spectral.event_band_power(T.epoch_v(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, low=7.9, high=8.1, crop=(8, 56), buffer=8, baseline=(0, 16))
+    return rounded(e, "value")
+
+
+def _core(spark, sf):
+    return T.epoch_v(spark, sf).withColumns({"cycle_start_idx": F.lit(8), "cycle_mid_idx": F.lit(27), "cycle_end_idx": F.lit(56)})
+
+
+_WARP = "SELECT *, CASE WHEN o < 10 THEN o * 19 / 10.0 ELSE 19 + (o - 10) * 28 / 9.0 END AS p FROM (SELECT *, CAST(unnest(range(20)) AS INT) AS o FROM a)"
+_E7 = f"{_POWER}, n AS (SELECT cycle_id, bin - 8 AS bin, (v - m) / s AS v FROM bp JOIN {_ZSCORE.format(src='bp', a=0, b=64)} USING (cycle_id) WHERE bin >= 8 AND bin < 56), a AS (SELECT cycle_id, list(v ORDER BY bin) AS v FROM n GROUP BY 1)"
+
+
+@query(f"{_E7} SELECT cycle_id, o AS bin, {_LERP.replace(', 3)', ', 4)')} + 0.0 AS value FROM ({_WARP})")
+def e7_cycle_band_power(spark, sf):
+    return rounded(spectral.cycle_band_power(_core(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, low=7.9, high=8.1, n=20), "value")
+
+
+_E8 = f"{_CONV}, pw AS (SELECT *, re * re + im * im AS v FROM z), n AS (SELECT cycle_id, freq, bin - 8 AS bin, (v - m) / s AS v FROM pw JOIN (SELECT cycle_id, freq, avg(v) AS m, stddev_pop(v) AS s FROM pw GROUP BY 1, 2) USING (cycle_id, freq) WHERE bin >= 8 AND bin < 56), a AS (SELECT cycle_id, freq, list(v ORDER BY bin) AS v FROM n GROUP BY 1, 2)"
+
+
+@query(f"{_E8} SELECT cycle_id, freq, o AS bin, {_LERP.replace(', 3)', ', 4)')} + 0.0 AS value FROM ({_WARP})")
+def e8_cycle_maps(spark, sf):
+    return rounded(spectral.cycle_maps(_core(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, freqs=E8, n=20), "value")
+
+
+_PSD = f"""WITH {Q.MOTION}, seg AS (SELECT recording_id, sample_idx // 128 AS segment, sample_idx % 128 AS i, x FROM motion), whole AS (SELECT recording_id, segment FROM seg GROUP BY 1, 2 HAVING count(*) = 128),
+b AS (SELECT recording_id, segment, i // 64 AS blk, i % 64 AS i, x FROM seg JOIN whole USING (recording_id, segment)), d AS (SELECT b.*, (x - m) * (0.54 - 0.46 * cos(2 * pi() * i / 64)) AS v FROM b JOIN (SELECT recording_id, segment, blk, avg(x) AS m FROM b GROUP BY 1, 2, 3) USING (recording_id, segment, blk)),
+w AS (SELECT sum((0.54 - 0.46 * cos(2 * pi() * i / 64)) ** 2) AS s FROM (SELECT unnest(range(64)) AS i)), q AS (SELECT unnest(range(7, 20)) AS k),
+ft AS (SELECT recording_id, segment, blk, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, sum(v * sin(2 * pi() * k * i / 64)) AS im FROM d CROSS JOIN q GROUP BY 1, 2, 3, 4)
+SELECT recording_id, segment, k * 10 / 64.0 AS freq, round(10 * log10(avg(2 * (re * re + im * im) / (10 * w.s)) + 1e-12), 4) + 0.0 AS psd FROM ft CROSS JOIN w GROUP BY 1, 2, 3"""
+
+
+@query(_PSD)
+def e9_segment_psd(spark, sf):
+    p = spectral.segment_psd(T.motion_v(spark, sf).select(*K, O, "x"), keys=K, value="x", rate=R, segment_s=12.8, n_fft=64, low=1.0, high=3.0)
+    return rounded(p, "psd")
+
+
+@query(f"{_CONV}, first AS (SELECT cycle_id FROM (SELECT vec_id AS cycle_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 5) SELECT ch_name, cycle_id, freq, CAST(bin - 8 AS INT) AS bin, round(re * re + im * im, 5) AS value FROM z JOIN first USING (cycle_id) WHERE bin >= 8 AND bin < 56")
+def e10_single_cycle_maps(spark, sf):
+    first = cycles.first_cycles(_core(spark, sf), keys=["ch_name"], order="cycle_id", n=5)
+    m = spectral.morlet_maps(first, keys=["ch_name", "cycle_id"], rate=T.EPOCH_RATE, freqs=E8)
+    out = m.select("ch_name", "cycle_id", "freq", F.posexplode(F.slice("values", 9, 48)).alias("bin", "value"))
+    return rounded(out, "value", digits=5)
+
+
+@query(f"{_E8} SELECT freq, o AS bin, round(avg(v), 4) + 0.0 AS value FROM (SELECT freq, o, {_LERP[6:-4]} AS v FROM ({_WARP})) GROUP BY 1, 2")
+def e11_average_cycle_map(spark, sf):
+    m = spectral.cycle_maps(_core(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, freqs=E8, n=20)
+    return rounded(channels.combine_channels(m, keys=["freq", "bin"], value="value"), "value")
+
+
+@query()
+def f1_cluster_test(spark, sf):
+    """Which cells of the average map differ from 0; seeded permutations, so without SQL."""
+    e = _epoch_long(spark, sf).select(F.col("cycle_id").alias("obs"), F.floor(F.col("bin") / 8).cast("int").alias("freq_idx"), (F.col("bin") % 8).alias("bin"), F.col("v").alias("value"))
+    return rounded(stats.cluster_test(e, n_freqs=8, n_bins=8, permutations=256), "t", "p", digits=6)
+
+
+# ---- artifacts
+
+PRE, POST, ADV = 5, 15, 34
+W_ = PRE + POST
+_DISCOVER = f"""an AS (SELECT m.recording_id, m.sample_idx, m.x FROM motion m), sdn AS (SELECT recording_id, stddev_pop(x) AS sd, avg(x) AS mean, max(sample_idx) + 1 AS n FROM motion GROUP BY 1),
+cand AS (SELECT recording_id, sample_idx AS i FROM (SELECT recording_id, sample_idx, x - mean AS v, sd, n FROM an JOIN sdn USING (recording_id)) WHERE v < -1.5 * sd AND sample_idx >= {PRE} AND sample_idx < n - {POST}),
+hit AS (SELECT recording_id, unnest(list_reduce(list_prepend([-1000000]::BIGINT[], list([i] ORDER BY i)), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {ADV} THEN list_concat(a, x) ELSE a END)) AS place FROM cand GROUP BY 1),
+hits AS (SELECT recording_id, place FROM hit WHERE place >= 0)"""
+_TEMPLATE = f"tm AS (SELECT h.recording_id, m.sample_idx - (place - {PRE}) AS k, avg(m.x - s.mean) AS v FROM hits h JOIN sdn s USING (recording_id) JOIN motion m ON m.recording_id = h.recording_id AND m.sample_idx >= place - {PRE} AND m.sample_idx < place + {POST} GROUP BY 1, 2), tpl AS (SELECT recording_id, k, v - l AS t FROM tm JOIN (SELECT recording_id, avg(v) AS l FROM tm GROUP BY 1) USING (recording_id))"
+_XC = f"xc AS (SELECT m.recording_id, m.sample_idx, coalesce(sum((q.x - s.mean) * t.t), 0) AS xc FROM motion m JOIN sdn s USING (recording_id) JOIN tpl t ON t.recording_id = m.recording_id LEFT JOIN motion q ON q.recording_id = m.recording_id AND q.sample_idx = m.sample_idx - {W_ // 2} + t.k GROUP BY 1, 2)"
+_PEAKS = "pk AS (SELECT b.recording_id, b.sample_idx AS place FROM xc b JOIN xc a ON a.recording_id = b.recording_id AND a.sample_idx = b.sample_idx - 1 JOIN xc c ON c.recording_id = b.recording_id AND c.sample_idx = b.sample_idx + 1 JOIN (SELECT recording_id, 0.5 * sum(t * t) AS h FROM tpl GROUP BY 1) z ON z.recording_id = b.recording_id WHERE b.xc > a.xc AND b.xc > c.xc AND b.xc >= h)"
+_ARTIFACT = f"WITH {Q.MOTION}, {_DISCOVER}, {_TEMPLATE}, {_XC}, {_PEAKS}"
+
+
+def _centred(spark, sf):
+    return grid.remove_mean(T.motion_v(spark, sf), keys=K, column="x", name="v").select(*K, O, "x", "v")
+
+
+def _hits(spark, sf):
+    return artifact.discover(_centred(spark, sf), keys=K, value="v", pre=PRE, post=POST, advance=ADV, sd=1.5)
+
+
+def _template(spark, sf):
+    return artifact.template(_centred(spark, sf), _hits(spark, sf), key="recording_id", value="v", pre=PRE, post=POST)
+
+
+def _peaks(spark, sf):
+    t = _template(spark, sf)
+    xc = artifact.cross_correlation(_centred(spark, sf), t, key="recording_id", value="v", width=W_, chunk=256)
+    height = t.groupBy(*K).agg((0.5 * F.sum(F.col("t") * F.col("t"))).alias("height"))
+    return artifact.peaks(xc.join(height, K), key="recording_id", height=F.col("height"))
+
+
+@query(f"WITH {Q.MOTION}, {_DISCOVER} SELECT recording_id, place FROM hits")
+def g1_discover_artifacts(spark, sf):
+    return _hits(spark, sf).withColumnRenamed("at", "place")
+
+
+@query(f"WITH {Q.MOTION}, {_DISCOVER}, {_TEMPLATE} SELECT recording_id, k, round(t, 4) + 0.0 AS t FROM tpl")
+def g2_template(spark, sf):
+    return rounded(_template(spark, sf), "t")
+
+
+@query(f"WITH {Q.MOTION}, {_DISCOVER}, {_TEMPLATE}, {_XC} SELECT recording_id, sample_idx, round(xc, 2) + 0.0 AS xc FROM xc")
+def g3_cross_correlation(spark, sf):
+    xc = artifact.cross_correlation(_centred(spark, sf), _template(spark, sf), key="recording_id", value="v", width=W_, chunk=256)
+    return rounded(xc, "xc", digits=2)
+
+
+@query(f"{_ARTIFACT} SELECT recording_id, place FROM pk")
+def g4_peaks(spark, sf):
+    return _peaks(spark, sf).withColumnRenamed("at", "place")
+
+
+@query(f"{_ARTIFACT} SELECT recording_id, unnest(list_reduce(list([place] ORDER BY place), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 8 THEN list_concat(a, x) ELSE a END)) AS place FROM pk GROUP BY 1")
+def g5_spacing(spark, sf):
+    p = _peaks(spark, sf).groupBy(*K).agg(artifact.spaced(F.sort_array(F.collect_list("at")), 8).alias("a"))
+    return p.select(*K, F.explode("a").alias("place"))
+
+
+@query(f"""WITH {Q.MOTION}, {_DISCOVER}, {_TEMPLATE}, fit AS (SELECT h.recording_id, h.place, sum(t.t * m.x) / sum(t.t * t.t) AS a FROM hits h JOIN tpl t USING (recording_id) JOIN motion m ON m.recording_id = h.recording_id AND m.sample_idx = h.place - {W_ // 2} + t.k JOIN sdn ON sdn.recording_id = h.recording_id WHERE h.place >= {W_ // 2} AND h.place + {W_ // 2} <= sdn.n GROUP BY 1, 2)
+SELECT m.recording_id, m.sample_idx, round(m.x - coalesce(c.v, 0), 3) + 0.0 AS clean FROM motion m LEFT JOIN (SELECT f.recording_id, f.place - {W_ // 2} + t.k AS i, f.a * t.t AS v FROM fit f JOIN tpl t USING (recording_id)) c ON c.recording_id = m.recording_id AND c.i = m.sample_idx""")
+def g6_fit_subtract(spark, sf):
+    c = artifact.subtract(_centred(spark, sf), _hits(spark, sf), _template(spark, sf), key="recording_id", value="x", width=W_)
+    return rounded(c.select(*K, O, "clean"), "clean", digits=3)
+
+
+@query(f"WITH {Q.MOTION}, {_DISCOVER} SELECT h.recording_id, m.sample_idx - (place - {PRE}) AS k, round(avg(m.x), 3) AS mean, round(stddev_samp(m.x) / sqrt(count(*)), 4) AS sem, count(*) AS n FROM hits h JOIN motion m ON m.recording_id = h.recording_id AND m.sample_idx >= place - {PRE} AND m.sample_idx < place + {POST} GROUP BY 1, 2")
+def g7_artifact_quality(spark, sf):
+    q = artifact.quality(T.motion_v(spark, sf), _hits(spark, sf), key="recording_id", value="x", pre=PRE, post=POST)
+    return q.withColumns({"mean": F.round("mean", 3), "sem": F.round("sem", 4)})
+
+
+# ---- path overlays
+
+@query()
+def p1_path_band_power(spark, sf):
+    """Path segments with the z-scored power of a second channel of the run; the parts are checked one by one above."""
+    m = T.motion_v(spark, sf)
+    a = m.groupBy(*K).agg(cycles.array_of(F.col("y"), F.col(O)).alias("signal"))
+    p = spectral.baseline_correct(spectral.band_power(F.col("signal"), rate=64.0, low=13.0, high=30.0), F.lit(0), F.size("signal"))
+    power = a.select(*K, F.posexplode(p).alias(O, "power"))
+    joint = bins.joint_bins(m.select(*K, O, "x"), power, key="recording_id", bin_s=1.0, rate_a=R, rate_b=R, value_a="x", value_b="power")
+    other = bins.joint_bins(m.select(*K, O, "y"), power, key="recording_id", bin_s=1.0, rate_a=R, rate_b=R, value_a="y", value_b="power").drop("power")
+    s = bins.segments(joint.join(other, [*K, "bin"]), keys=K, x="x", y="y", value="power", weight=True)
+    return rounded(s, "x0", "y0", "x1", "y1", "value", "weight")
+
+
+@query(f"WITH {Q.MOTION}, m AS (SELECT recording_id, sample_idx, x / 1000 AS x_m, y / 1000 AS y_m FROM motion), {Q.grad('g', 'm', {'gx': 'x_m', 'gy': 'y_m'}, 0.1)}, v AS (SELECT *, sqrt(gx ** 2 + gy ** 2) AS v FROM g), {Q.zero('s', 'v', 'v', 2)}, b AS (SELECT recording_id, sample_idx // 10 AS bin, avg(x_m) AS x, avg(y_m) AS y, avg(z) AS s FROM s GROUP BY 1, 2 HAVING count(*) = 10) SELECT a.recording_id, a.bin, round(a.x, 6) AS x0, round(c.x, 6) AS x1, round((a.s + c.s) / 2, 6) AS value FROM b a JOIN b c ON c.recording_id = a.recording_id AND c.bin = a.bin + 1")
+def p2_path_speed(spark, sf):
+    s = kinematics.walking_speed(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R)
+    b = bins.bin_means(s, keys=K, w=10, columns=["x_m", "y_m", "speed"])
+    return rounded(bins.segments(b, keys=K, x="x_m", y="y_m", value="speed").select(*K, "bin", "x0", "x1", "value"), "x0", "x1", "value", digits=6)
+
+
+@query(f"{_RHYTHM}, r AS (SELECT z.recording_id, z.bin, CASE WHEN z.n < 16 THEN NULL WHEN max(s) FILTER (lag = 0) <= 1e-12 THEN 0 ELSE max(s) FILTER (lag >= 3) / max(s) FILTER (lag = 0) END AS v FROM z JOIN ac USING (recording_id, bin) GROUP BY z.recording_id, z.bin, z.n) SELECT recording_id, round(quantile_cont(v, 0.05), 4) + 0.0 AS low, round(quantile_cont(v, 0.95), 4) + 0.0 AS high FROM (SELECT a.recording_id, (a.v + c.v) / 2 AS v FROM r a JOIN r c ON c.recording_id = a.recording_id AND c.bin = a.bin + 1) GROUP BY 1")
+def p3_path_rhythmicity(spark, sf):
+    m = T.motion_v(spark, sf)
+    r = bins.rhythmicity(m, keys=K, value="y", rate=R, bin_s=0.2, win_s=2.0, lag_s=(0.3, 1.2))
+    b = bins.bin_means(m, keys=K, w=2, columns=["x", "y"]).join(r, [*K, "bin"])
+    return rounded(bins.robust_limits(bins.segments(b, keys=K, x="x", y="y", value="rhythm"), keys=K, value="value"), "low", "high")
+
+
+@query(f"""WITH {Q.MOTION}, {_LEAN_EVENTS}, ev AS (SELECT * FROM lr WHERE n >= 2 AND a < last_idx), pt AS (SELECT m.recording_id, m.sample_idx // 5 AS bin, coalesce(CASE e.state WHEN -1 THEN 'gait_lean_left' WHEN 1 THEN 'gait_lean_right' ELSE CASE WHEN e.state = 0 THEN 'gait_lean_reset' END END, 'reset') AS label, x FROM motion m LEFT JOIN ev e ON e.recording_id = m.recording_id AND m.sample_idx >= e.a AND m.sample_idx < e.a + e.n),
+c AS (SELECT recording_id, bin, label, count(*) AS n FROM pt GROUP BY 1, 2, 3), w AS (SELECT recording_id, bin, arg_min(label, struct_pack(m := -n, l := label)) AS label FROM c GROUP BY 1, 2 HAVING sum(n) = 5), b AS (SELECT recording_id, bin, avg(x) AS x FROM pt GROUP BY 1, 2 HAVING count(*) = 5)
+SELECT a.recording_id, a.bin, round(a.x, 4) AS x0, round(c.x, 4) AS x1, w.label FROM b a JOIN b c ON c.recording_id = a.recording_id AND c.bin = a.bin + 1 JOIN w ON w.recording_id = a.recording_id AND w.bin = a.bin""")
+def p4_path_gait_phase(spark, sf):
+    m = T.motion_v(spark, sf)
+    ev = events.annotate_gait_lean(m, **GRID, x="x", y="y", rate=R, lean_s=0.3, min_s=0.2)
+    painted = cycles.paint(m.select(*K, O), ev, key="recording_id", rate=R)
+    b = bins.bin_means(m, keys=K, w=5, columns=["x", "y"]).join(bins.majority_label(painted, keys=K, w=5), [*K, "bin"])
+    return rounded(bins.segments(b, keys=K, x="x", y="y").select(*K, "bin", "x0", "x1", "label"), "x0", "x1")
