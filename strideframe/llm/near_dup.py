@@ -9,9 +9,9 @@
 4. Every member of a bucket is compared with the bucket's most central member (the one whose buckets are largest), so a
    bucket of n members gives n - 1 pairs. Verification is the exact Jaccard similarity of the shingle sets, at least 0.8.
 5. Components of the links by alternating large-star and small-star steps.
-6. Members of one bucket that are not yet in one component are compared with each other if their signatures agree
-   in most registers, and the components are computed again: no link between different components is left out, and
-   no pair inside one component is ever made.
+6. Members of one bucket that are not yet in one component are compared by signature, in blocks of a bounded size; those
+   that agree in as many registers as similar texts do (three deviations below the mean) are verified there too, the
+   likeliest first and as far as they still join components, which are then computed again. No pair inside one component is ever made.
 
 Null texts are empty. Texts without words are alike only as exact copies. Null ids: the rows count as copies of others with
 the same text but can't name a class; a class without an id is null. Repeated rows are copies. Empty tables give empty
@@ -34,6 +34,8 @@ from .shingles import mix, windows, word_hashes
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 LINK_ROWS_PER_SALT = 500
+#: Rows of a bucket that are compared with each other in one task.
+BLOCK = 1000
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
@@ -113,6 +115,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInPandas(similar, "a long, b long")
 
 
+def _agreeing(band: int, ids: np.ndarray, parts: np.ndarray, registers: np.ndarray, block: np.ndarray, p: int, q: int, least: int) -> np.ndarray:
+    """Row numbers (i, j) and common registers of pairs of blocks p and q in different components that agree in enough registers and have this as their first common band."""
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    out = [np.empty((0, 3), np.int64)]
+    for lo in range(0, len(left), 64):
+        i = left[lo : lo + 64]
+        same = registers[i][:, None] == registers[right][None]
+        common = same.sum(2)
+        wanted = (common >= least) & (parts[i][:, None] != parts[right][None])
+        if p == q:
+            wanted &= ids[i][:, None] > ids[right][None]
+        x, y = np.nonzero(wanted)
+        first = same[x, y].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        x, y = x[first], y[first]
+        out.append(np.column_stack([i[x], right[y], common[x, y]]))
+    return np.concatenate(out)
+
+
+def _joining(pairs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Similar pairs that join components, likeliest first; a pair of what is already one is not looked at."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")]:
+        u, v = find(int(parts[i])), find(int(parts[j]))
+        if u != v and jaccard(sets[i], sets[j]) >= threshold:
+            root[u] = v
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+GROUP = ["band", "key", "p", "q"]
+
+
+def _crossed(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components, found among rows (band, key, n, doc_id, component, registers) of one bucket.
+
+    Large buckets are dealt in pairs of blocks. A first pass keeps the rows that agree with one of another component; only
+    these get their shingle sets, and a second pass verifies them.
+    """
+    least = int(REGISTERS * threshold - 3 * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "component", "registers")
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Rows of a group and its candidate pairs, for groups of several components."""
+        held = None
+        for pdf in _with_end(batches):
+            part = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if part is None or not len(part):
+                continue
+            keys = part[GROUP].to_numpy()
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            ends = np.r_[begin[1:], len(part)]
+            if pdf is not None:  # the last group may go on in the next batch
+                held = part.iloc[begin[-1] :]
+                begin, ends = begin[:-1], ends[:-1]
+            registers = np.frombuffer(b"".join(part["registers"]), np.uint8).reshape(-1, REGISTERS)
+            ids, parts, block = (part[c].to_numpy() for c in ("doc_id", "component", "block"))
+            for s, e in zip(begin, ends, strict=True):
+                if (parts[s:e] != parts[s]).any():
+                    pairs = _agreeing(int(keys[s, 0]), ids[s:e], parts[s:e], registers[s:e], block[s:e], keys[s, 2], keys[s, 3], least)
+                    if len(pairs):
+                        yield part.iloc[s:e], pairs
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, pairs in groups(batches):
+            yield rows.iloc[np.unique(pairs[:, :2])]
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, pairs in groups(batches):
+            yield pd.DataFrame(_joining(pairs, rows["doc_id"].to_numpy(), rows["component"].to_numpy(), rows["shingles"].tolist(), threshold), columns=["a", "b"], dtype=np.int64)
+
+    together = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    kinds = "band int, key long, p int, q int, block int, doc_id long, component long, registers binary"
+    near = together(dealt).mapInPandas(candidates, kinds)
+    return together(near.join(sets.select("doc_id", "shingles"), "doc_id")).mapInPandas(links, "a long, b long").distinct()
+
+
+def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) of all nodes of links (a, b), by large-star and small-star steps until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -149,15 +242,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     links = cut(_verified(cut(pairs), sets, threshold))
     part = components(links)
 
-    # what the central members did not join: pairs of one bucket in different components whose registers mostly agree
-    labelled = members.join(part, members.doc_id == part.node, "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # what the central members did not join: members of one bucket in different components whose registers mostly agree
+    labelled = members.join(part, members.doc_id == part.node, "left").select("band", "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_buckets = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
     rest = labelled.join(open_buckets, ["band", "key"]).join(sets.select("doc_id", "registers"), "doc_id")
-    x, y = (rest.select("band", "key", F.col("doc_id").alias(i), F.col("component").alias(f"component_{i}"), F.col("registers").alias(f"registers_{i}")) for i in "ab")
-    least = int(REGISTERS * threshold * 0.75)
-    same = F.expr("aggregate(sequence(1, %d, 2), 0, (s, i) -> s + int(substring(hex_a, i, 2) = substring(hex_b, i, 2)))" % (2 * REGISTERS))
-    crossed = x.withColumn("hex_a", F.hex("registers_a")).join(y.withColumn("hex_b", F.hex("registers_b")), ["band", "key"]).where((F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & (same >= least))
-    late = _verified(cut(crossed.select("a", "b").distinct()), sets, threshold)
+    late = _crossed(rest, sets, threshold)
     final = components(links.unionByName(late))
 
     texts = reps.join(final, reps.copy_of == final.node, "left").select("text_key", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
