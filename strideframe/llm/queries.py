@@ -80,7 +80,7 @@ WITH d AS (
 ), starts AS (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5
 ), keyed AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i:i + 4]) AS n FROM starts
 ), covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM keyed, range(5) r(k) WHERE n >= 2 GROUP BY rid
-), lines AS (SELECT rid, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), m AS (
   SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
