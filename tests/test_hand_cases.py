@@ -185,3 +185,13 @@ def test_cluster_test_finds_a_planted_effect(spark):
     got = stats.cluster_test(spark.createDataFrame(rows, "obs long, freq_idx int, bin int, value double"), n_freqs=4, n_bins=6, permutations=128)
     found = {(r.freq_idx, r.bin) for r in got.collect() if r.significant}
     assert {(1, 2), (1, 3), (2, 2), (2, 3)} <= found and len(found) < 12
+
+
+def test_samples_are_written_and_loaded(spark, tmp_path):
+    from strideframe.sources import tables
+
+    df = samples(spark, v=SQUARES).withColumnsRenamed({"r": "recording_id", "i": "sample_idx"})
+    tables.write_samples(df, str(tmp_path / "a"))
+    tables.write_samples(df.withColumn("recording_id", F.lit(2)), str(tmp_path / "b"))
+    both = tables.load_recordings(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted((x.run_pos, x.recording_id, x.sample_idx, x.v) for x in both.collect()) == [(p, p + 1, i, float(v)) for p in (0, 1) for i, v in enumerate(SQUARES)]
