@@ -77,8 +77,9 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
   FROM documents
-), starts AS (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5
-), keyed AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i:i + 4]) AS n FROM starts
+), starts AS (
+  SELECT rid, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS w FROM d WHERE len(ws) >= 5
+), keyed AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM starts
 ), covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM keyed, range(5) r(k) WHERE n >= 2 GROUP BY rid
 ), lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), m AS (
