@@ -192,6 +192,15 @@ def c6_annotate_steps(spark, sf):
     return rounded(_steps(spark, sf), "onset", "duration", "steplen_m")
 
 
+@query(f"""WITH {Q.MOTION}, s AS (SELECT *, CASE WHEN y > 700 THEN 1 WHEN y < 300 THEN -1 ELSE 0 END AS state FROM motion), {Q.runs('r', 's')}
+SELECT r.recording_id, a AS first_idx, round(CASE state WHEN -1 THEN sqrt((q.lx - p.lx) ** 2 + (q.ly - p.ly) ** 2) / 1000 WHEN 1 THEN sqrt((q.rx - p.rx) ** 2 + (q.ry - p.ry) ** 2) / 1000 END, 4) AS steplen_m
+FROM r JOIN motion p ON p.recording_id = r.recording_id AND p.sample_idx = a JOIN motion q ON q.recording_id = r.recording_id AND q.sample_idx = a + n - 1 WHERE a < last_idx AND n >= 2""")
+def c4_run_step_length(spark, sf):
+    s = T.motion_v(spark, sf).withColumn("state", F.when(F.col("y") > 700, 1).when(F.col("y") < 300, -1).otherwise(0))
+    r = events.runs_to_events(s, **GRID, state="state", rate=R, min_samples=2, feet={"left": ("lx", "ly"), "right": ("rx", "ry")})
+    return rounded(r.select(*K, F.rint(F.col("onset") * R).cast("long").alias("first_idx"), "steplen_m"), "steplen_m")
+
+
 @query(f"""WITH {Q.CUE}, o AS (SELECT * FROM cue WHERE event_id % 2 = 0), n AS (SELECT * FROM cue WHERE event_id % 2 = 1 AND value > 50)
 SELECT recording_id, event_id, description FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.recording_id = o.recording_id AND n.description = o.description) UNION ALL SELECT recording_id, event_id, description FROM n""")
 def c7_replace_annotations(spark, sf):
