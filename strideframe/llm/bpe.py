@@ -50,7 +50,7 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode()) % buckets
 
 
-def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 24 << 20, buckets_per_chunk: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 << 20, buckets_per_chunk: int = 2) -> DataFrame:
     """doc_id, text, ids (little-endian unsigned 32-bit) and decoded text of all documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -58,14 +58,18 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 24 <
     buckets = min(4096, chunks * buckets_per_chunk)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
-    def distinct_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    def by_bucket(texts: pd.Series) -> dict[int, list[str]]:
+        """The distinct words of a chunk in order, by bucket."""
         encoder, seen = word_encoder(tokenizer), set()
-        for t in pdf["text"]:
+        for t in texts:
             seen.update(encoder.words(t))
         parts: dict[int, list[str]] = {}
         for w in sorted(seen):
             parts.setdefault(_bucket(w, buckets), []).append(w)
-        return pd.DataFrame([(pdf["chunk"].iloc[0], b, len(p), _pack_words(p)) for b, p in parts.items()], columns=["chunk", "bucket", "n_words", "words"])
+        return parts
+
+    def distinct_words(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["chunk"].iloc[0], b, len(p), _pack_words(p)) for b, p in by_bucket(pdf["text"]).items()], columns=["chunk", "bucket", "n_words", "words"])
 
     def encode_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         encoder = word_encoder(tokenizer)
@@ -76,24 +80,26 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 24 <
             words = _unpack_words(n, packed)
             for w in words:
                 if w not in table:
-                    table[w] = encoder.__missing__(w)
-            out.append((chunk, pdf["bucket"].iloc[0], n, packed, _pack_ids([table[w] for w in words])))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "words", "ids"])
+                    table[w] = encoder.encoded(w)
+            out.append((chunk, pdf["bucket"].iloc[0], n, _pack_ids([table[w] for w in words])))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids"])
 
     def by_position(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         encoder, table = word_encoder(tokenizer), {}
         buffer, starts, lengths = encoder.piece_table()
-        for n, words, ids in zip(right["n_words"], right["words"], right["ids"], strict=True):
-            table.update(zip(_unpack_words(n, words), _unpack_ids(n, ids), strict=True))
-        ids = [b"".join(map(table.__getitem__, encoder.words(t))) for t in left["text"]]
-        decoded = []
-        for x in ids:
+        parts = by_bucket(left["text"])
+        for b, n, ids in zip(right["bucket"], right["n_words"], right["ids"], strict=True):
+            table.update(zip(parts.pop(b), _unpack_ids(n, ids), strict=True))
+        out, decoded = [], []
+        for t in left["text"]:
+            x = b"".join(map(table.__getitem__, encoder.words(t)))
             at = np.frombuffer(x, "<u4").astype(np.int64)
+            out.append(x)
             decoded.append(buffer[ranges(starts[at], lengths[at])].tobytes().decode("utf-8", "replace"))
-        return pd.DataFrame({"doc_id": left["doc_id"], "ids": ids, "decoded": decoded})
+        return pd.DataFrame({"doc_id": left["doc_id"], "ids": out, "decoded": decoded})
 
     words = dealt.groupBy("chunk").applyInPandas(distinct_words, "chunk int, bucket int, n_words int, words binary")
-    encoded = words.groupBy("bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, words binary, ids binary")
+    encoded = words.groupBy("bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
     return dealt.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(by_position, "doc_id long, ids binary, decoded string")
 
 

@@ -47,16 +47,20 @@ class WordEncoder(dict):
         ranks = {p: i for i, p in self.pieces.items() if i not in self.special.values()}
         self._rank = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}) if joined == sorted(joined) else None
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
+    def encoded(self, word: str) -> bytes:
+        """The ids of one word, not kept."""
         if word in self.special:
             ids = [self.special[word]]
         elif self._rank is not None and len(word) < 1000:
             ids = self._rank._encode_single_piece(word)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = array("I", ids).tobytes()
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_CACHED_WORDS:
+            self.clear()
+        self[word] = out = self.encoded(word)
         return out
 
     def words(self, text: str) -> list[str]:
