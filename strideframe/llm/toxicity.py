@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,10 @@ from .shingles import mix
 
 #: SHARED_WEIGHT: how many observations of a context the shared backoff counts for, beside the discounted ones.
 CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
-CLASS_BITS, SHARED_BITS = 20, 19
+GRAM_BITS, CONTEXT_BITS, SHARED_BITS = 20, 19, 18
+
+#: Characters of text that one worker takes apart at a time.
+BLOCK_CHARS = 3 << 20
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -87,7 +92,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy(bool)
-        for a, b in text_blocks(texts, 8 << 20):
+        for a, b in text_blocks(texts, BLOCK_CHARS):
             words, codes, counts = words_of(texts[a:b])
             if not len(words):
                 continue
@@ -101,7 +106,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].tolist()
-        for a, b in text_blocks(texts, 8 << 20):
+        for a, b in text_blocks(texts, BLOCK_CHARS):
             words, codes, _ = words_of(texts[a:b])
             if not len(words):
                 continue
@@ -125,10 +130,10 @@ def _table(df: DataFrame, key: str, bits: int, columns: list[str]) -> dict[str,
 
 
 class Model:
-    """The tables of both classes and the shared ones, and the curve; small enough for every worker."""
+    """The tables of both classes and the shared ones; small enough for every worker."""
 
-    def __init__(self, grams: dict, contexts: dict, shared: dict, weights: tuple[float, float, float] = (0.0, 0.0, 0.0)):
-        self.grams, self.contexts, self.shared, self.weights = grams, contexts, shared, weights
+    def __init__(self, grams: dict, contexts: dict, shared: dict):
+        self.grams, self.contexts, self.shared = grams, contexts, shared
 
     def word_evidence(self, words: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
@@ -150,7 +155,7 @@ class Model:
             at, ctx = low(g[name], SHARED_BITS), low(g[f"{name}_context"], SHARED_BITS)
             s = self.shared[kind]
             p = level(s["count"][at], s["total"][ctx], s["kinds"][ctx], p)
-        at, ctx = low(g["long"], CLASS_BITS), low(g["long_context"], CLASS_BITS)
+        at, ctx = low(g["long"], GRAM_BITS), low(g["long_context"], CONTEXT_BITS)
         t, o = self.grams["toxic"][at], self.grams["ordinary"][at]
         c = self.contexts
         pooled = level(t + o, c["toxic"][ctx] + c["ordinary"][ctx], c["pooled_kinds"][ctx], p)
@@ -165,7 +170,7 @@ class Model:
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Of each text: the mean over its words, and the mean of what goes beyond STRONG."""
         out = np.zeros((len(texts), 2))
-        for a, b in text_blocks(texts, 8 << 20):
+        for a, b in text_blocks(texts, BLOCK_CHARS):
             words, codes, counts = words_of(texts[a:b])
             by_word = self.word_evidence(words)
             doc, n = np.repeat(np.arange(b - a), counts), np.maximum(counts, 1)
@@ -175,9 +180,9 @@ class Model:
                 out[a:b, 1] = np.bincount(doc, weights=np.maximum(each - STRONG, 0), minlength=b - a) / n
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], weights: tuple[float, float, float]) -> np.ndarray:
         e = self.evidence(texts)
-        z = self.weights[0] + self.weights[1] * e[:, 0] + self.weights[2] * np.sqrt(e[:, 1])
+        z = weights[0] + weights[1] * e[:, 0] + weights[2] * np.sqrt(e[:, 1])
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -198,16 +203,23 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3, roun
     return float(w[0] - slope @ center), float(slope[0]), float(slope[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) -> Model | None:
+class Trained(NamedTuple):
+    """A model, sent to the workers once, and the weights of its curve."""
+
+    sent: Broadcast
+    weights: tuple[float, float, float]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) -> Trained | None:
     """Model of docs (doc_id, text) and labels (doc_id, toxic); None without labels of both classes in both folds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold() != 1).distinct()
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
     labelled = docs.join(F.broadcast(sample), "doc_id")  # at most max_labelled rows of two numbers
     counted = labelled.where(fold() == 0).select("text", "toxic").mapInPandas(_class_counts, "gram long, context long, toxic long, ordinary long").groupBy("gram", "context").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = _table(counted, "gram", CLASS_BITS, ["toxic", "ordinary"])
+    grams = _table(counted, "gram", GRAM_BITS, ["toxic", "ordinary"])
     kinds = counted.select("context", "toxic", "ordinary", (F.col("toxic") > 0).cast("long").alias("toxic_kinds"), (F.col("ordinary") > 0).cast("long").alias("ordinary_kinds"), F.lit(1).alias("pooled_kinds"))
-    contexts = _table(kinds, "context", CLASS_BITS, ["toxic", "ordinary", "toxic_kinds", "ordinary_kinds", "pooled_kinds"])
+    contexts = _table(kinds, "context", CONTEXT_BITS, ["toxic", "ordinary", "toxic_kinds", "ordinary_kinds", "pooled_kinds"])
     if not grams["toxic"].any() or not grams["ordinary"].any():
         return None
 
@@ -223,8 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) ->
         shared[kind]["count"][g["at"]] = g["count"]
         shared[kind]["total"][c["at"]], shared[kind]["kinds"][c["at"]] = c["count"], c["kinds"]
 
-    model = Model(grams, contexts, shared)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(grams, contexts, shared))
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -234,19 +245,18 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) ->
     curve = labelled.where(fold() == 2).select("text", "toxic").mapInPandas(evidence, "toxic int, mean double, strong double").orderBy("toxic", "mean", "strong").toArrow().to_pandas()
     if curve["toxic"].nunique() < 2:
         return None
-    model.weights = fit_curve(curve[["mean", "strong"]].to_numpy(), curve["toxic"].to_numpy(float))
-    return model
+    return Trained(sent, fit_curve(curve[["mean", "strong"]].to_numpy(), curve["toxic"].to_numpy(float)))
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, *, name: str = "__sf_score") -> DataFrame:
+def score_toxicity(docs: DataFrame, trained: Trained | None, *, name: str = "__sf_score") -> DataFrame:
     """docs with a score between 0 and 1."""
-    if model is None:
+    if trained is None:
         return docs.withColumn(name, F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, weights = trained
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(sent.value.score(texts.tolist()))
+            yield pd.Series(sent.value.score(texts.tolist(), weights))
 
     return docs.withColumn(name, score(whole_text()))
