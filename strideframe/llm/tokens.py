@@ -17,7 +17,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-ɏ‘’“”–—…€]*")
 
 #: Words kept in one worker's table before it starts anew.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -36,7 +36,7 @@ CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
 GRAM_BITS, CONTEXT_BITS, SHARED_BITS = 20, 19, 18
 
 #: Characters of text that one worker takes apart at a time.
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 1 << 20
 
 _WORDS = re.compile(r"[^\W_]+")
 
