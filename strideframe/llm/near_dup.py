@@ -1,9 +1,10 @@
-"""Near duplicates by ProbMinHash over weighted word shingles.
+"""Near duplicates by ProbMinHash over word shingles.
 
-1. Signatures: the shingles (five words; a shorter text has one of all its words) of a text, weighted by their counts, arrive
-   as Poisson processes with rates equal to the weights; each arrival falls in one of 125 registers, which keeps the first.
-   Drawing stops once no later arrival can be first. Two signatures agree in a register with the texts' probability Jaccard
-   similarity.
+1. Signatures: the distinct shingles (five words; a shorter text has one of all its words) of a text arrive as Poisson
+   processes with rates equal to their weights; each arrival falls in one of 125 registers, which keeps the first. Drawing
+   stops once no later arrival can be first. Two signatures agree in a register with the texts' probability Jaccard
+   similarity. Every shingle weighs 1, however often its text repeats it, so this is the Jaccard similarity of the shingle
+   sets, which verification asks for.
 2. Exact copies (same text) are joined before anything else; one representative of each goes on.
 3. Banding: 25 bands of 5 registers; at a similarity of 0.8 a pair meets in a band with probability 0.99995.
 4. Every member of a bucket is compared with the bucket's most central member (the one whose buckets are largest), so a
@@ -70,8 +71,7 @@ def _signatures(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list
         new = np.ones(len(z), bool)
         new[1:] = (z[1:] != z[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
-        weights = np.diff(np.append(at, len(z))).astype(np.float64)
-        owner = prob_minhash(z[at], weights, doc[at], b - a)
+        owner = prob_minhash(z[at], np.ones(len(at)), doc[at], b - a)
         key = np.zeros((b - a, BANDS), np.uint64)
         with np.errstate(over="ignore"):
             for r in range(ROWS):

@@ -94,6 +94,19 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == brute_classes(texts)
 
 
+def test_near_copies_with_a_repeated_line_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = {}
+    for i in range(20):  # a line of 20 words stands once in one text and 20 times in the other
+        base = [f"t{i}w{k}" for k in range(200)]
+        at = rng.randrange(160)
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(base[:at] + base[at : at + 20] * 20 + base[at + 20 :])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert all(want[i] == i // 2 * 2 for i in texts)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 60).astype(np.uint64)
