@@ -107,6 +107,28 @@ def test_near_copies_with_a_repeated_line_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
 
 
+def test_pairs_in_one_open_bucket_are_linked_if_similar(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(2000):  # 200 words, some exchanged: similarities just above the threshold
+        base = [f"p{i}w{k}" for k in range(200)]
+        texts.append(" ".join(base))
+        for k in range(4):
+            base[20 + 45 * k + rng.randrange(10)] = f"p{i}x{k}"
+        texts.append(" ".join(base))
+    keys, registers, sets = (list(itertools.chain.from_iterable(x)) for x in zip(*near_dup._signatures(texts)))
+    rows, want = [], set()
+    for a in range(0, len(texts), 2):
+        common = np.flatnonzero(keys[a] == keys[a + 1]).tolist()
+        rows += [(b, int(keys[a][b]), 2, d, d, bytearray(registers[d].tobytes())) for b in common for d in (a, a + 1)]
+        if common and near_dup.jaccard(sets[a], sets[a + 1]) >= 0.8:
+            want.add((a, a + 1))
+    rest = spark.createDataFrame(rows, "band int, key long, n long, doc_id long, component long, registers binary")
+    held = spark.createDataFrame([(d, bytearray(s)) for d, s in enumerate(sets)], "doc_id long, shingles binary")
+    got = {tuple(sorted((r.a, r.b))) for r in near_dup._crossed(rest, held, 0.8).collect()}
+    assert len(want) > 1900 and got == want
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 60).astype(np.uint64)
