@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block of the page; blocks of parts tha
 footers, sidebars, notices, adverts, forms, comments) leave an empty line, and leaving such a part leaves WINDOW of them. The text
 lengths of each window of WINDOW lines are summed. A run surges where the sums leave zero and dives where they return to
 it; runs whose largest sum is below SHARE of the page's largest are stray lines, all others are kept whole. If the page
-marks an article or main part, lines outside it are empty as well.
+marks an article or main part, lines outside it are empty as well, and every run inside is kept. A skipped article ends where
+it is closed and takes the articles inside with it; one that is never closed ends at the next article.
 
 Null html is empty and gives an empty text. Cut-off and unclosed markup is read as far as it goes. Repeated rows give equal
 results; empty tables give empty results; other columns of the input are not read.
@@ -41,6 +42,9 @@ def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
     part: list[str] = []
     skip: list[str] = []  # open elements of a skipped part, innermost last; only those of the outermost's name
     articles = at = 0
+    tokens = list(_TOKEN.finditer(page))
+    closed: set[int] | None = None  # where articles and main parts begin that are closed
+    skip_closed = False
 
     def end_block(gap: int = 0) -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(part))).strip()
@@ -51,7 +55,7 @@ def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
             lines.append("")
             outside.append(articles == 0)
 
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         if not skip:
             part.append(page[at : m.start()])
         at = m.end()
@@ -62,7 +66,8 @@ def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
         if not name:
             continue
         name, closing = name[1].lower(), tag[1] == "/"
-        if name in ("article", "main") and not (not closing and _is_marked(tag)):
+        in_skipped = skip and name == skip[0] and (closing or skip_closed)
+        if name in ("article", "main") and not in_skipped and not (not closing and _is_marked(tag)):
             end_block()
             if not closing:
                 skip.clear()  # an article inside a part that was never closed
@@ -78,6 +83,9 @@ def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
         if not closing and name not in VOID and not tag.endswith("/>") and name not in ("html", "body") and (name in SKIPPED or _is_marked(tag)):
             end_block()
             skip.append(name)
+            if name in ("article", "main"):
+                closed = _closed_articles(tokens) if closed is None else closed
+                skip_closed = m.start() in closed
         elif name in BLOCKS:
             end_block()
         elif name == "br":
@@ -88,6 +96,21 @@ def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
     return lines, outside, has_article
 
 
+def _closed_articles(tokens: list[re.Match]) -> set[int]:
+    """Where the articles and main parts begin that have an end of their own."""
+    begun: dict[str, list[int]] = {"article": [], "main": []}
+    out = set()
+    for m in tokens:
+        name = None if m[1] else _NAME.match(m[0])
+        if name and (opened := begun.get(name[1].lower())) is not None:
+            if m[0][1] != "/":
+                if not m[0].endswith("/>"):
+                    opened.append(m.start())
+            elif opened:
+                out.add(opened.pop())
+    return out
+
+
 def _is_marked(tag: str) -> bool:
     return any(w in MARKS for m in _MARKED.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
 
@@ -105,7 +128,7 @@ def main_text(page: str) -> str:
         surge = i
         while i < n and sums[i]:
             i += 1
-        if max(sums[surge:i]) >= SHARE * most:  # the dive is at i; windows that still reach text end with it
+        if has_article or max(sums[surge:i]) >= SHARE * most:  # the dive is at i; windows that still reach text end with it
             kept += [lines[k] for k in range(surge, i) if lengths[k]]
     return "\n".join(kept)
 

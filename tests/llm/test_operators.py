@@ -273,6 +273,19 @@ def test_main_text():
     assert html_main.main_text("<div id=main><p>Body of the page, long enough.</p></div><div class='cookie-notice'>We use cookies") == "Body of the page, long enough."
 
 
+def test_main_text_keeps_the_whole_article():
+    long = "word " * 300 + "end."
+    short = "A short closing paragraph that is still part of the article."
+    for between in ("<aside>Buy now</aside>", "</div></div></div><div><div>", "<div class='notice'>Cookies</div>"):
+        assert html_main.main_text(f"<body><p>Menu</p><article><h1>T</h1><div><div><div><p>{long}</p>{between}<p>{short}</p></article><p>Foot</p>") == f"T\n{long}\n{short}"
+    comment = "<article class='comment'><p>I hate it</p>{}</article>"
+    for inner in ("", "<article>A reply</article><p>More of it</p>", "<article class='reply'>A reply</article>"):
+        assert html_main.main_text(f"<main><article><p>{long}</p>{comment.format(inner)}<p>{short}</p></article></main><p>Foot</p>") == f"{long}\n{short}"
+    assert html_main.main_text(f"<p>{long}</p>{comment.format('')}<p>{long}</p>") == f"{long}\n{long}"
+    assert html_main.main_text(f"<article class='promo'>never closed<article><p>{long}</p></article>") == long
+    assert html_main.main_text(f"<p>{long}</p><nav>Menu</nav><p>stray</p>") == long  # no article: stray lines are dropped
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
