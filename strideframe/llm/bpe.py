@@ -37,13 +37,13 @@ def _unpack_words(n: int, packed: bytes) -> list[str]:
 
 
 def _pack_ids(ids: list[bytes]) -> bytes:
-    return zlib.compress(np.array([len(x) // 4 for x in ids], "<u2").tobytes() + b"".join(ids), 1)
+    return zlib.compress(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids), 1)
 
 
 def _unpack_ids(n: int, packed: bytes) -> list[bytes]:
     raw = zlib.decompress(packed)
-    ends = np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int64) * 4 + 2 * n
-    return [raw[a:b] for a, b in zip([2 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) * 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _bucket(word: str, buckets: int) -> int:

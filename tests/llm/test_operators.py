@@ -54,6 +54,18 @@ def test_bpe_equals_the_library(spark, docs, odd):
                 assert r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_words_with_many_ids(spark):
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    texts = {1: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), 2: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60_000)), 3: "a short one"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode_documents(df, tokenizer=PATH).collect()}
+    for i, text in texts.items():
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and got[i].decoded == text
+    assert len(got[1].ids) > 4 * 65_535 and len(got[2].ids) > 4 * 65_535
+
+
 def test_decode_join(spark):
     t = Tokenizer.from_file(PATH)
     texts = {1: "Größe — it's 日本", 2: "", 3: "<|endoftext|>end"}
