@@ -2,11 +2,12 @@
 
 DataFrame functions only. Words are lower-cased runs of letters and digits; shingles are SHINGLE words. A text's shingles are cut
 into steps of STEP starts; a window is two neighbouring steps, so a run of STEP + 1 shingles lies whole in some window.
-Each window has BANDS minima, of its shingle hashes xor-ed with one mask a band (one row a band). Templates are cut into pieces
+Each window has BANDS minima, of its shingle hashes hashed again with the band's number (one row a band). Templates are cut into pieces
 of at most STEP + 1 shingles, each with minima of its own. A piece of k shingles inside a window of 2 * STEP shares the
 minimum of a band with probability k / (2 * STEP), so a piece of 3 or more is retrieved with probability over 0.9994.
-Retrieved templates are verified exactly: the share of a template's distinct shingles that the windows retrieved for it,
-from one on and no further than the template is long, contain must reach the threshold.
+Retrieved templates are verified exactly: the share of a template's distinct shingles that the windows around a retrieved one
+(whether retrieved or not), from one with such a shingle on and no further than the template is long, contain must reach the
+threshold. The windows around are computed again from the texts with retrieved windows.
 
 Null and empty texts, and texts of less than SHINGLE words, have no shingles and no matches. Repeated rows are reported once.
 Empty tables give empty results. Other columns of the input are not read.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, whole_text
 
 SHINGLE, STEP, BANDS = 3, 4, 16
 
@@ -38,14 +39,6 @@ TEMPLATES = [
 ]
 
 
-def _mask(band: int) -> int:
-    """A fixed 64-bit mask of each band, as a signed integer."""
-    x = (0x9E3779B97F4A7C15 * (band + 1)) % 2**64
-    x ^= x >> 29
-    x = x * 0xBF58476D1CE4E5B9 % 2**64
-    return x - 2**64 if x >= 2**63 else x
-
-
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits; blanks at the ends give no words."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -63,10 +56,19 @@ def computed(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
 
 
 def band_minima(rows: DataFrame, hashes: str, length: int, *keep: str) -> DataFrame:
-    """keep, band and minimum: the least of at most length hashes under each band's mask; nulls don't count."""
+    """keep, band and minimum: the least of at most length hashes, hashed again for each band; nulls don't count."""
     wide = rows.select(*keep, *[F.get(F.col(hashes), F.lit(k)).alias(f"h{k}") for k in range(length)])
-    masked = wide.select("*", F.posexplode(F.array(*[F.lit(_mask(b)) for b in range(BANDS)])).alias("band", "mask"))
-    return masked.select(*keep, "band", F.least(*[F.col(f"h{k}").bitwiseXOR(F.col("mask")) for k in range(length)]).alias("minimum"))
+    banded = wide.select("*", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])).alias("band"))
+    again = lambda h: F.when(h.isNotNull(), F.xxhash64(h, "band"))
+    return banded.select(*keep, "band", F.least(*[again(F.col(f"h{k}")) for k in range(length)]).alias("minimum"))
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """doc_id, at (first shingle) and h (shingle hashes) of every window of docs (doc_id, text)."""
+    words = computed(docs, "w", words_of(whole_text()), "doc_id")
+    hashed = computed(words, "h", shingle_hashes(F.col("w")), "doc_id").where(F.size("h") > 0)
+    steps = F.sequence(F.lit(0), F.greatest(F.size("h") - STEP - 1, F.lit(0)), F.lit(STEP))
+    return hashed.select("doc_id", F.explode(F.transform(steps, lambda at: F.struct(at.alias("at"), F.slice("h", at + 1, F.lit(2 * STEP)).alias("h")))).alias("x")).select("doc_id", "x.at", "x.h")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -84,14 +86,14 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None =
     pieces = known.select("license", F.explode(F.transform(starts, lambda i: F.slice("shingles", i, F.lit(STEP + 1)))).alias("piece")).where(F.size("piece") > 0)
     keys = band_minima(pieces, "piece", STEP + 1, "license").distinct()
 
-    words = computed(docs, "w", words_of(whole_text()), "doc_id")
-    hashed = computed(words, "h", shingle_hashes(F.col("w")), "doc_id").where(F.size("h") > 0)
-    steps = F.sequence(F.lit(0), F.greatest(F.size("h") - STEP - 1, F.lit(0)), F.lit(STEP))
-    windows = hashed.select("doc_id", F.explode(F.transform(steps, lambda at: F.struct(at.alias("at"), F.slice("h", at + 1, F.lit(2 * STEP)).alias("h")))).alias("x")).select("doc_id", "x.at", "x.h")
-    minima = band_minima(windows, "h", 2 * STEP, "doc_id", "at", "h")
-    found = minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "license", "at", "h").distinct()  # keys: as few as the given templates have pieces
-    onward = found.join(F.broadcast(known), "license").withColumn("reach", F.col("n_words") + 2 * STEP)
     longest = max(len(t.split()) for _, t in templates or TEMPLATES) * 2 + 2 * STEP
+    minima = band_minima(_windows(docs), "h", 2 * STEP, "doc_id", "at")
+    found = cut(minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "license", "at").distinct())  # keys: as few as the given templates have pieces
+    block = F.floor(F.col("at") / longest)
+    blocks = found.select(F.col("doc_id").alias("hit"), "license", F.explode(F.array(block - 1, block, block + 1)).alias("block")).distinct()
+    again = _windows(docs.join(found.select(F.col("doc_id").alias("hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi"))
+    around_hits = again.withColumn("own", block).join(blocks, F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("own") == F.col("block"))).join(F.broadcast(known), "license")
+    onward = around_hits.where(F.arrays_overlap("h", "shingles")).select("doc_id", "license", "at", "h", "shingles", "n_words").distinct().withColumn("reach", F.col("n_words") + 2 * STEP)
     near = Window.partitionBy("doc_id", "license").orderBy("at").rangeBetween(0, longest)
     around = F.flatten(F.transform(F.filter("near", lambda x: x["at"] <= F.col("at") + F.col("reach")), lambda x: x["h"]))
     verified = onward.withColumn("near", F.collect_list(F.struct("at", "h")).over(near)).withColumn("containment", F.size(F.array_intersect("shingles", around)) / size).where(F.col("containment") >= threshold)

@@ -265,6 +265,23 @@ def test_licenses_equal_brute_force(spark, docs):
     assert got == want and want
 
 
+def test_licenses_are_found_among_random_neighbours(spark):
+    rng = random.Random(7)
+    whole = dict(license_scan.TEMPLATES)
+    rows = []
+    for i in range(6000):
+        before, after = ([f"n{rng.randrange(10**6)}" for _ in range(n)] for n in (rng.randrange(20, 40), 30))
+        line = whole["MIT"].split()
+        if i >= 4000:  # one word exchanged: 15 of 18 or more shingles are left
+            line = whole["MIT-text"].split()
+            line[rng.randrange(len(line))] = "edited"
+        rows.append((i, " ".join(before + line + after)))
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [sum((i, "MIT") not in got for i in range(4000)), sum((i, "MIT-text") not in got for i in range(4000, 6000))]
+    short = sum(got.get((i, "MIT-text"), 1) < 0.83 for i in range(4000, 6000))
+    assert lost[0] <= 8 and lost[1] == 0 and short == 0, (lost, short)
+
+
 def test_url_rules_and_model(spark):
     urls = ["https://www.Example.ORG/es/1", "http://a.example.org/en/17?x", "http://example.org/en/2", "http://x.com/fr/1", "https://y.com/de/", "no scheme", None, "http://b.net/en/1#top", "http://org/x", "http://notorg/x"]
     model = url_filter.train_url_model(url_filter.labelled_urls(spark))
