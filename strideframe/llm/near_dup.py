@@ -3,21 +3,25 @@
 1. Signatures: the distinct shingles (five words; a shorter text has one of all its words) of a text arrive as Poisson
    processes with rates equal to their weights; each arrival falls in one of 125 registers, which keeps the first. Drawing
    stops once no later arrival can be first. Two signatures agree in a register with the texts' probability Jaccard
-   similarity. Every shingle weighs 1, however often its text repeats it, so this is the Jaccard similarity of the shingle
-   sets, which verification asks for.
-2. Exact copies (same text) are joined before anything else; one representative of each goes on.
+   similarity. weighting="count" weighs a shingle by how often the text has it; "set" (the default) weighs every shingle 1, for which the
+   probability Jaccard similarity is the Jaccard similarity of the shingle sets. What is signed is also what is verified.
+2. A node is a distinct text, so exact copies are joined before anything else, whatever their ids.
 3. Banding: 25 bands of 5 registers; at a similarity of 0.8 a pair meets in a band with probability 0.99995.
 4. Every member of a bucket is compared with the bucket's most central member (the one whose buckets are largest), so a
-   bucket of n members gives n - 1 pairs. Verification is the exact Jaccard similarity of the shingle sets, at least 0.8.
-5. Components of the links by alternating large-star and small-star steps.
-6. Members of one bucket that are not yet in one component are compared by signature, in blocks of a bounded size; those
+   bucket of n members gives n - 1 pairs. Verification is the exact similarity of the shingles' weights, at least threshold.
+   A central member's pairs are dealt to tasks by a salt, whose number follows from the sizes of its buckets.
+5. Members of a bucket that the central members haven't joined are compared by signature, in blocks of a bounded size; those
    that agree in as many registers as similar texts do (all but a tenth of what banding misses: 79 at 0.8, below which
-   0.000004 of the pairs fall) are verified there too, the likeliest first and as far as they still join components, which
-   are then computed again. No pair inside one component is ever made.
+   0.000004 of the pairs fall) are verified there too, the likeliest first and as far as they still join components.
+6. Components of all links by alternating large-star and small-star steps. No pair inside one component is ever made.
+
+Only the texts that share a bucket with another have their shingles kept: these are computed in a second pass over the texts,
+which costs less disk than keeping all.
 
 Null texts are empty. Texts without words are alike only as exact copies. Null ids: the rows count as copies of others with
-the same text but can't name a class; a class without an id is null. Repeated rows are copies. Empty tables give empty
-results. Other columns of the input are not read.
+the same text but can't name a class; a class without an id is null. Rows of one id and different texts are different documents.
+Repeated rows are copies. Empty tables give empty results. Other columns of the input are not read by near_duplicates() and pass
+through one_of_each(), where names that begin with __sf_ are taken.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_blocks, whole_text
+from .common import cut, free_shuffles, release, text_blocks, whole_text
 from .shingles import mix, windows, word_hashes
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 LINK_ROWS_PER_SALT = 500
 #: Rows of a bucket that are compared with each other in one task.
-BLOCK = 1000
+BLOCK = 2000
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
@@ -63,58 +67,89 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_d
     return owner.reshape(n_docs, m)
 
 
-def _signatures(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """For runs of texts: band keys, one byte of each register, and sorted 32-bit shingle sets."""
+def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text in order, whose they are, and how often the text has them."""
+    z, doc, _ = windows(*word_hashes(texts))
+    order = np.lexsort((z, doc))
+    z, doc = z[order], doc[order]
+    at = np.flatnonzero(np.r_[True, (z[1:] != z[:-1]) | (doc[1:] != doc[:-1])][: len(z)])
+    return z[at], doc[at], np.diff(np.r_[at, len(z)])
+
+
+def node_of(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "replace")).digest()
+
+
+def signatures(texts: list[str], weighted: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
+    """Band keys (64 bits; none of a text without words) and one byte of each register of every text."""
+    keys: list[np.ndarray] = []
+    registers: list[bytes] = []
     for a, b in text_blocks(texts):
-        h, counts = word_hashes(texts[a:b])
-        z, doc, _ = windows(h, counts)
-        order = np.lexsort((z, doc))
-        z, doc = z[order], doc[order]
-        new = np.ones(len(z), bool)
-        new[1:] = (z[1:] != z[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        owner = prob_minhash(z[at], np.ones(len(at)), doc[at], b - a)
-        key = np.zeros((b - a, BANDS), np.uint64)
+        z, doc, n = _elements(texts[a:b])
+        owner = prob_minhash(z, n.astype(float) if weighted else np.ones(len(z)), doc, b - a)
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
         with np.errstate(over="ignore"):
             for r in range(ROWS):
                 key = mix(key + owner.reshape(-1, BANDS, ROWS)[:, :, r] + np.uint64(r + 1))
-        sizes = np.bincount(doc[at], minlength=b - a)
-        short = (z[at] >> np.uint64(32)).astype("<u4")
-        ends = np.cumsum(sizes)
-        yield key.view(np.int64), owner.astype(np.uint8), [np.unique(short[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
+        full = np.bincount(doc, minlength=b - a) > 0
+        keys += [k if f else k[:0] for k, f in zip(key.view(np.int64), full, strict=True)]
+        registers += [r.tobytes() for r in owner.astype(np.uint8)]
+    return keys, registers
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        at = 0
-        for keys, registers, sets in _signatures(texts):
-            part = pdf.iloc[at : at + len(sets)]
-            at += len(sets)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": [hashlib.md5(t.encode("utf-8", "replace")).digest() for t in part["text"]], "bands": [k if s else np.empty(0, np.int64) for k, s in zip(keys, sets, strict=True)], "registers": [r.tobytes() for r in registers], "shingles": sets})
+def shingle_sets(texts: list[str], weighted: bool = False) -> list[bytes]:
+    """Of every text the sorted 32-bit hashes of its distinct shingles, and after them (weighted) their counts."""
+    out = []
+    for a, b in text_blocks(texts):
+        z, doc, n = _elements(texts[a:b])
+        short = (z >> np.uint64(32)).astype("<u4")
+        ends = np.cumsum(np.bincount(doc, minlength=b - a))
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            if weighted:
+                hashes, inverse = np.unique(short[lo:hi], return_inverse=True)
+                counts = np.bincount(inverse, weights=n[lo:hi]).astype("<u4")
+                out.append(hashes.tobytes() + counts.tobytes())
+            else:
+                out.append(np.unique(short[lo:hi]).tobytes())
+    return out
 
 
 def jaccard(a: bytes, b: bytes) -> float:
     """Of two sorted sets of 32-bit integers."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.concatenate([x, y])
+    both = np.concatenate([np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
     return common / (len(both) - common) if len(both) else 0.0
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar; b may be in many pairs, so its set is dealt to several tasks."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LINK_ROWS_PER_SALT).cast("int").alias("n"))
-    left = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("salt")).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    right = sets.join(salts, sets.doc_id == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("shingles").alias("set_b"))
+def probability_jaccard(a: bytes, b: bytes) -> float:
+    """The sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i), x and y being the weights in a and b."""
+    (p, x), (q, y) = (np.split(np.frombuffer(s, "<u4"), 2) for s in (a, b))
+    keys, at = np.unique(np.r_[p, q], return_inverse=True)
+    wx, wy = np.zeros(len(keys)), np.zeros(len(keys))
+    wx[at[: len(p)]], wy[at[len(p) :]] = x, y
+    both = (wx > 0) & (wy > 0)
+    if not both.any():
+        return 0.0
+    ratio = np.where(wx > 0, wy / np.where(wx > 0, wx, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    r, sx, sy = ratio[order], np.r_[0, np.cumsum(wx[order])], np.r_[0, np.cumsum(wy[order])]
+    upto = np.searchsorted(r, ratio[both], side="right")
+    return float((wx[both] / (sx[upto] + (sy[-1] - sy[upto]) / ratio[both])).sum())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, similarity) -> DataFrame:
+    """The similar ones of pairs (a, b, salts): b may be in many pairs, which are dealt to that many salts."""
+    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    wide = pairs.select("b", "salts").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    right = wide.select("b", "set_b", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [jaccard(x, y) >= threshold for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True)]
+            keep = [similarity(x, y) >= threshold for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
-    return left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInPandas(similar, "a long, b long")
+    return left.join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInPandas(similar, "a binary, b binary")
 
 
 def _least_registers(threshold: float) -> int:
@@ -125,26 +160,23 @@ def _least_registers(threshold: float) -> int:
     return k
 
 
-def _agreeing(band: int, ids: np.ndarray, parts: np.ndarray, registers: np.ndarray, own: np.ndarray, block: np.ndarray, p: int, q: int, least: int) -> np.ndarray:
-    """Row numbers (i, j) and common registers of pairs of blocks p and q in different components that agree in enough registers and have this as their first common band."""
+def _agreeing(parts: np.ndarray, registers: np.ndarray, block: np.ndarray, p: int, q: int, least: int) -> np.ndarray:
+    """Row numbers (i, j) and common registers of pairs of blocks p and q in different components that agree in enough registers."""
     left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
     out = [np.empty((0, 3), np.int64)]
     for lo in range(0, len(left), 64):
         i = left[lo : lo + 64]
-        same = registers[i][:, None] == registers[right][None]
-        common = same.sum(2)
+        common = (registers[i][:, None] == registers[right][None]).sum(2)
         wanted = (common >= least) & (parts[i][:, None] != parts[right][None])
         if p == q:
-            wanted &= ids[i][:, None] > ids[right][None]
+            wanted &= i[:, None] > right[None]
         x, y = np.nonzero(wanted)
-        first = (own[i[x]] == own[right[y]]).argmax(1) == band
-        x, y = x[first], y[first]
         out.append(np.column_stack([i[x], right[y], common[x, y]]))
     return np.concatenate(out)
 
 
-def _joining(pairs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
-    """Similar pairs that join components, likeliest first; a pair of what is already one is not looked at."""
+def _joining(pairs: np.ndarray, parts: np.ndarray, sets: list[bytes], threshold: float, similarity) -> list[tuple[int, int]]:
+    """Row numbers of similar pairs that join components, likeliest first; a pair of what is already one is not looked at."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -156,30 +188,28 @@ def _joining(pairs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sets: list[b
     out = []
     for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")]:
         u, v = find(int(parts[i])), find(int(parts[j]))
-        if u != v and jaccard(sets[i], sets[j]) >= threshold:
+        if u != v and similarity(sets[i], sets[j]) >= threshold:
             root[u] = v
-            out.append((int(ids[i]), int(ids[j])))
+            out.append((i, j))
     return out
 
 
-GROUP = ["band", "key", "p", "q"]
+GROUP = ["key", "p", "q"]
 
 
-def _crossed(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components, found among rows (band, key, n, doc_id, component, registers) of one bucket.
+def _crossed(rest: DataFrame, sets: DataFrame, threshold: float, similarity=jaccard) -> DataFrame:
+    """Links (a, b) between parts, found among rows (key, n, node, part, registers) of one bucket.
 
-    Large buckets are dealt in pairs of blocks. A pair is looked at in the first bucket it shares: rows carry their keys of all
-    bands (own), and their id in bands that have no row here, which equals no other's. A first pass keeps the rows that agree with one of another component; only
-    these get their shingle sets, and a second pass verifies them.
+    Large buckets are dealt in pairs of blocks. A first pass keeps the rows that agree with one of another part; only
+    these get their shingles, and a second pass verifies them.
     """
     least = _least_registers(threshold)
-    own = rest.groupBy("doc_id").agg(F.array(*[F.coalesce(F.max(F.when(F.col("band") == b, F.col("key"))), F.col("doc_id")) for b in range(BANDS)]).alias("own"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.join(own, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "component", "registers", "own")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "part", "registers")
 
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-        """Rows of a group and its candidate pairs, for groups of several components."""
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        """Rows of a group, their parts as numbers and its candidate pairs, for groups of several parts."""
         held = None
         for pdf in _with_end(batches):
             part = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -192,26 +222,26 @@ def _crossed(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 held = part.iloc[begin[-1] :]
                 begin, ends = begin[:-1], ends[:-1]
             registers = np.frombuffer(b"".join(part["registers"]), np.uint8).reshape(-1, REGISTERS)
-            own = np.stack(part["own"].tolist())
-            ids, parts, block = (part[c].to_numpy() for c in ("doc_id", "component", "block"))
+            parts, block = pd.factorize(part["part"])[0], part["block"].to_numpy()
             for s, e in zip(begin, ends, strict=True):
                 if (parts[s:e] != parts[s]).any():
-                    pairs = _agreeing(int(keys[s, 0]), ids[s:e], parts[s:e], registers[s:e], own[s:e], block[s:e], keys[s, 2], keys[s, 3], least)
+                    pairs = _agreeing(parts[s:e], registers[s:e], block[s:e], keys[s, 1], keys[s, 2], least)
                     if len(pairs):
-                        yield part.iloc[s:e], pairs
+                        yield part.iloc[s:e], parts[s:e], pairs
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, pairs in groups(batches):
+        for rows, _, pairs in groups(batches):
             yield rows.iloc[np.unique(pairs[:, :2])]
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, pairs in groups(batches):
-            yield pd.DataFrame(_joining(pairs, rows["doc_id"].to_numpy(), rows["component"].to_numpy(), rows["shingles"].tolist(), threshold), columns=["a", "b"], dtype=np.int64)
+        for rows, parts, pairs in groups(batches):
+            nodes = rows["node"].tolist()
+            found = _joining(pairs, parts, rows["shingles"].tolist(), threshold, similarity)
+            yield pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"], dtype=object)
 
     together = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    kinds = "band int, key long, p int, q int, block int, doc_id long, component long, registers binary, own array<long>"
-    near = together(dealt).mapInPandas(candidates, kinds)
-    return together(near.join(sets.select("doc_id", "shingles"), "doc_id")).mapInPandas(links, "a long, b long").distinct()
+    near = together(dealt).mapInPandas(candidates, "key long, p int, q int, block int, node binary, part binary, registers binary")
+    return together(near.join(sets.select("node", "shingles"), "node")).mapInPandas(links, "a binary, b binary")
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -224,52 +254,79 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v")
+        before, edges = edges, cut(small.distinct())
+        release(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
-    member = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return cut(member.select(F.col("u").alias("node"), "component").unionByName(member.select(F.col("component").alias("node"), "component").distinct()))
-
-
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_key (md5 of the text), copy_of (least id with this text) and class_id (least id of its near-duplicate class) of every row of docs (doc_id, text)."""
-    signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(_sign, "doc_id long, text_key binary, bands array<long>, registers binary, shingles binary"))
-    reps = signed.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"))
-    # one row of each text: the least id, and of its repeats any (they have one text)
-    heads = signed.select("doc_id", "text_key", "bands").join(reps.select("text_key", F.col("copy_of").alias("doc_id")), ["text_key", "doc_id"], "left_semi")
-    banded = heads.select("doc_id", F.posexplode("bands").alias("band", "key")).distinct()
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(sizes, ["band", "key"]))
-    rank = members.groupBy("doc_id").agg(F.sum("n").alias("rank"))
-    centers = members.join(rank, "doc_id").groupBy("band", "key").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("minus_id"))).alias("top")).select("band", "key", (-F.col("top.minus_id")).alias("b"))
-    pairs = members.join(centers, ["band", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    wanted = rank.select("doc_id")
-    sets = cut(signed.select("doc_id", "text_key", "registers", "shingles").join(wanted, "doc_id", "left_semi").join(reps.select("text_key", F.col("copy_of").alias("doc_id")), ["text_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    links = cut(_verified(cut(pairs), sets, threshold))
-    part = components(links)
-
-    # what the central members did not join: members of one bucket in different components whose registers mostly agree
-    labelled = members.join(part, members.doc_id == part.node, "left").select("band", "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_buckets = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    rest = cut(labelled.join(open_buckets, ["band", "key"])).join(sets.select("doc_id", "registers"), "doc_id")
-    late = _crossed(rest, sets, threshold)
-    final = components(links.unionByName(late))
-
-    texts = reps.join(final, reps.copy_of == final.node, "left").select("text_key", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
-    return signed.select("doc_id", "text_key").join(texts, "text_key").select("doc_id", "text_key", "copy_of", "class_id")
+    member = cut(edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))).distinct())
+    release(edges)
+    return member
+
+
+def _classes(heads: DataFrame, all_sets: DataFrame, threshold: float, similarity) -> DataFrame:
+    """node and component of all texts that are similar to another: of heads (node, bands, registers), with their shingles from all_sets (node, shingles)."""
+    banded = heads.select("node", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(banded.join(sizes, "key"))
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    central = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"))
+    pairs = cut(members.join(central, "key").where("node <> top.node").select(F.col("node").alias("a"), F.col("top.node").alias("b"), F.ceil(F.col("top.rank") / LINK_ROWS_PER_SALT).alias("salts")).distinct())
+    sets = cut(all_sets.join(rank.select("node"), "node", "left_semi"))
+    links = cut(_verified(pairs, sets, threshold, similarity))
+
+    # what the central members did not join; a part is known to be linked: a member's central one, or that one's
+    hop = cut(links.groupBy("a").agg(F.min("b").alias("b")))
+    hops = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part"))
+    parted = members.join(hops, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_keys = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    rest = cut(parted.join(open_keys, "key").join(heads.select("node", "registers"), "node"))
+    final = components(links.unionByName(_crossed(rest, sets, threshold, similarity)))
+    release(members, pairs, sets, links, hop, rest)
+    return final
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, weighting: str = "set") -> DataFrame:
+    """doc_id, node (md5 of the text), copy_of (least id with this text), class_id (least id of its near-duplicate class) and first (whether this row stands for its class) of every row of docs (doc_id, text)."""
+    weighted = {"set": False, "count": True}[weighting]
+    similarity = probability_jaccard if weighted else jaccard
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes = [node_of(t) for t in pdf["text"]]
+            new = ~pd.Series(nodes, index=pdf.index).duplicated()
+            keys, registers = signatures(pdf.loc[new, "text"].tolist(), weighted)
+            known = dict(zip(pd.Series(nodes, index=pdf.index)[new], zip(keys, registers, strict=True), strict=True))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "bands": [known[n][0] for n in nodes], "registers": [known[n][1] for n in nodes]})
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].drop_duplicates().tolist()
+            yield pd.DataFrame({"node": [node_of(t) for t in texts], "shingles": shingle_sets(texts, weighted)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    signed = cut(rows.mapInPandas(sign, "doc_id long, node binary, bands array<long>, registers binary"))
+    # equal texts have equal bands and registers: any row's will do
+    heads = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
+    sets = rows.select("text").mapInPandas(sets_of, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    final = _classes(heads, sets, threshold, similarity)
+    free_shuffles(docs.sparkSession)
+
+    texts = heads.select("node", "copy_of").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = texts.groupBy("component").agg(F.min(F.struct(F.col("copy_of").isNull().alias("unnamed"), "copy_of", "node")).alias("top"))
+    texts = texts.join(named, "component").select("node", "copy_of", F.col("top.copy_of").alias("class_id"), (F.col("node") == F.col("top.node")).alias("stands"))
+    return signed.select("doc_id", "node").join(texts, "node").select("doc_id", "node", "copy_of", "class_id", (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("copy_of"))).alias("first"))
 
 
 def one_of_each(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that name their class (least id), each once, with docs' columns."""
-    classes = near_duplicates(docs, threshold=threshold)
-    kept = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("__sf_id"), F.lower(F.hex("text_key")).alias("__sf_key")).distinct()
-    keyed = docs.withColumn("__sf_key2", F.md5(F.encode(whole_text(), "UTF-8")))
-    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["__sf_id"]) & (keyed["__sf_key2"] == kept["__sf_key"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sf_key2"]).drop("__sf_key2")
+    """The row of docs (doc_id, text, ...) that stands for its class (that of the least id), of every class, with docs' columns; repeated rows once."""
+    key = lambda text_md5: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), text_md5)
+    kept = near_duplicates(docs, threshold=threshold).where("first").select(key(F.lower(F.hex("node"))).alias("__sf_key"))
+    keyed = docs.withColumn("__sf_key", key(F.md5(F.encode(whole_text(), "UTF-8"))))
+    return keyed.join(kept, "__sf_key", "left_semi").dropDuplicates(["__sf_key"]).drop("__sf_key")

@@ -109,16 +109,50 @@ def test_near_duplicates_equal_brute_force(spark, docs):
 def test_near_copies_with_a_repeated_line_equal_brute_force(spark):
     rng = random.Random(4)
     texts = {}
-    for i in range(20):  # a line of 20 words stands once in one text and 20 times in the other
-        base = [f"t{i}w{k}" for k in range(200)]
+    for i in range(60):  # a line of 20 words stands once in one text and 20 times in the other; or one word is said 200 times more
+        base = [f"t{i}w{k}" for k in range(200 if i < 20 else 100)]
         at = rng.randrange(160)
-        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(base[:at] + base[at : at + 20] * 20 + base[at + 20 :])
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(base[:at] + base[at : at + 20] * 20 + base[at + 20 :] if i < 20 else base + ["end"] * 200)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_classes(texts)
     assert all(want[i] == i // 2 * 2 for i in texts)
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
 
 
+def exact_probability_jaccard(a: collections.Counter, b: collections.Counter) -> float:
+    return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
+
+
+def test_shingles_weighed_by_their_counts_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(80):  # a line is repeated in both texts, a little more often in one
+        base = [f"c{i}w{k}" for k in range(60)]
+        texts[2 * i] = " ".join(base + base[10:30] * 3)
+        texts[2 * i + 1] = " ".join(base[: 60 - rng.randrange(12)] + base[10:30] * (3 + rng.randrange(4)))
+    count = lambda t: collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4))
+    want, near = set(), 0
+    for i in range(80):
+        a, b = texts[2 * i], texts[2 * i + 1]
+        exact = exact_probability_jaccard(count(a), count(b))
+        assert abs(near_dup.probability_jaccard(*near_dup.shingle_sets([a, b], weighted=True)) - exact) < 1e-9
+        near += exact >= 0.8
+        want |= {2 * i} if exact >= 0.8 else set()
+    got = {r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), weighting="count").where("class_id <> doc_id").collect()}
+    assert got == want and 10 < near < 75
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    near, other = " ".join(words), " ".join([*words[:99], "x"])
+    rows = [(3, near), (3, "another text of the same id"), (3, near), (5, other), (None, near), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("z")).withColumn("first", F.lit(1))
+    got = sorted((str(r.doc_id), str(r.class_id), r.first) for r in near_dup.near_duplicates(df).collect())
+    assert got == [("3", "3", True), ("3", "3", True), ("3", "3", True), ("5", "3", False), ("None", "3", False), ("None", "None", True), ("None", "None", True)]
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r.text, r.node) for r in kept.collect()) == [("3", "another text of the same id", "z"), ("3", near, "z"), ("None", "no id", "z")]
+
+
 def test_pairs_in_one_open_bucket_are_linked_if_similar(spark):
     rng = random.Random(6)
     texts = []
@@ -128,16 +162,18 @@ def test_pairs_in_one_open_bucket_are_linked_if_similar(spark):
         for k in range(4):
             base[20 + 45 * k + rng.randrange(10)] = f"p{i}x{k}"
         texts.append(" ".join(base))
-    keys, registers, sets = (list(itertools.chain.from_iterable(x)) for x in zip(*near_dup._signatures(texts)))
+    keys, registers = near_dup.signatures(texts)
+    sets = near_dup.shingle_sets(texts)
+    node = lambda d: bytearray(d.to_bytes(16, "big"))
     rows, want = [], set()
     for a in range(0, len(texts), 2):
-        common = np.flatnonzero(keys[a] == keys[a + 1]).tolist()
-        rows += [(b, int(keys[a][b]), 2, d, d, bytearray(registers[d].tobytes())) for b in common for d in (a, a + 1)]
+        common = sorted({*keys[a].tolist()} & {*keys[a + 1].tolist()})
+        rows += [(k, 2, node(d), node(d), bytearray(registers[d])) for k in common for d in (a, a + 1)]
         if common and near_dup.jaccard(sets[a], sets[a + 1]) >= 0.8:
             want.add((a, a + 1))
-    rest = spark.createDataFrame(rows, "band int, key long, n long, doc_id long, component long, registers binary")
-    held = spark.createDataFrame([(d, bytearray(s)) for d, s in enumerate(sets)], "doc_id long, shingles binary")
-    got = {tuple(sorted((r.a, r.b))) for r in near_dup._crossed(rest, held, 0.8).collect()}
+    rest = spark.createDataFrame(rows, "key long, n long, node binary, part binary, registers binary")
+    held = spark.createDataFrame([(node(d), bytearray(s)) for d, s in enumerate(sets)], "node binary, shingles binary")
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in (r.a, r.b))) for r in near_dup._crossed(rest, held, 0.8).collect()}
     assert len(want) > 1900 and got == want
 
 
