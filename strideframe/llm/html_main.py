@@ -1,14 +1,19 @@
 """Main text of pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page; blocks of parts that are never main text (menus, page headers and
-footers, sidebars, notices, adverts, forms, comments) leave an empty line, and leaving such a part leaves WINDOW of them. The text
-lengths of each window of WINDOW lines are summed. A run surges where the sums leave zero and dives where they return to
-it; runs whose largest sum is below SHARE of the page's largest are stray lines, all others are kept whole. If the page
-marks an article or main part, lines outside it are empty as well, and every run inside is kept. A skipped article ends where
-it is closed and takes the articles inside with it; one that is never closed ends at the next article.
-
-Null html is empty and gives an empty text. Cut-off and unclosed markup is read as far as it goes. Repeated rows give equal
-results; empty tables give empty results; other columns of the input are not read.
+Markup is stripped to lines, one for each block of the page. A line's signal is the length of its text outside links, times the
+weights of the parts it stands in: a part that is marked as something else than main text (menus, page headers and footers,
+sidebars, notices, adverts, forms; by its element, class, id or role) weighs MARKED, and so once more in another; reader
+comments weigh nothing, and text outside every article and main part OUTSIDE where the page has such parts. Signals are summed
+over sliding windows of WINDOW lines, which end at borders of parts. Text surges where the sums leave zero and dives where they
+return to it; the peak of what lies between is its largest sum. What peaks at SHARE of the page's highest peak, or above, is kept, from its first to its last
+line with a signal; an article or main part is kept with all its lines if any of its peaks is that high. Marked parts inside
+what is kept are peaks of their own and go; what follows one in the same element goes on with what stood before it.
+
+So marks only weigh: a page whose main text stands in an element with an unlucky class is judged by its lengths all the same.
+
+Null html is empty and gives an empty text. Cut-off markup is read as far as it goes; elements that are not closed end where HTML
+implies it (a paragraph at the next block, a list item at the next) or with what holds them. Repeated rows give equal results;
+empty tables give empty results; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -16,19 +21,25 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHARE = 3, 0.1
+WINDOW, SHARE, MARKED, OUTSIDE = 3, 0.1, 0.001, 0.35
 
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("head nav header footer aside form menu dialog button select textarea noscript iframe object svg template audio video canvas".split())
-RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg")
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+OTHER_PARTS = frozenset("head nav header footer aside form menu dialog button select object audio video canvas".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark parts other than the main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs header footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager copyright disclaimer contentinfo complementary".split())
+#: Elements that one of the same group ends, inside the named ones.
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Ends of other elements don't reach beyond these.
+BORDERS = frozenset("article main td th table".split())
+#: Words of class, id and role that mark reader comments, and other parts than the main text.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager copyright disclaimer contentinfo complementary".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
@@ -36,91 +47,123 @@ _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _SPACE = re.compile(r"\s+")
 
 
-def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """Text of each block, whether it is outside every article, and whether there is an article."""
-    lines, outside, has_article = [], [], False
-    part: list[str] = []
-    skip: list[str] = []  # open elements of a skipped part, innermost last; only those of the outermost's name
-    articles = at = 0
-    tokens = list(_TOKEN.finditer(page))
-    closed: set[int] | None = None  # where articles and main parts begin that are closed
-    skip_closed = False
-
-    def end_block(gap: int = 0) -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(part))).strip()
-        part.clear()
-        lines.append(text)
-        outside.append(articles == 0)
-        for _ in range(gap):
-            lines.append("")
-            outside.append(articles == 0)
-
-    for m in tokens:
-        if not skip:
-            part.append(page[at : m.start()])
+class Line(NamedTuple):
+    text: str
+    signal: float
+    article: int  # number of the article or main part, 0 outside
+    part: int  # number of the marked or unmarked part that the line belongs to
+    holder: int  # number of the element that holds the line's block, 0 for the body
+
+
+class _Open(NamedTuple):
+    name: str
+    weight: float
+    article: int
+    part: int
+    number: int
+
+
+def _weight(name: str, tag: str) -> float:
+    """What the element multiplies the signal of its text by."""
+    if name in HEADINGS or name in ("html", "body"):
+        return 1.0
+    tokens = [t for m in _MARKED.finditer(tag) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+    words = {w for t in tokens if not t.startswith(("with-", "has-", "no-")) for w in re.split(r"[^a-z0-9]+", t)}
+    return 0.0 if words & COMMENTS else MARKED if name in OTHER_PARTS or words & MARKS else 1.0
+
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page, those without text left out."""
+    lines: list[Line] = []
+    stack = [_Open("body", 1.0, 0, 0, 0)]
+    text: list[str] = []
+    linked = number = at = 0
+    links = 0
+
+    def end_block() -> None:
+        nonlocal linked
+        if text:
+            line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            if line:
+                top = stack[-1]
+                holder = next((e.number for e in reversed(stack) if e.name in BLOCKS and e.name != "p" and e.name not in HEADINGS), 0)
+                lines.append(Line(line, max(0, len(line) - linked) * top.weight, top.article, top.part, holder))
+            text.clear()
+        linked = 0
+
+    def pop_to(k: int) -> None:
+        """Ends the open elements from number k of the stack on."""
+        nonlocal links
+        if any(e.name in BLOCKS or e.part != stack[k - 1].part for e in stack[k:]):
+            end_block()
+        links -= sum(e.name == "a" for e in stack[k:])
+        del stack[k:]
+
+    def find(names: set[str], borders: frozenset[str] | set[str]) -> int:
+        """The innermost open element of these names that no border hides, or 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                return k
+            if stack[k].name in borders:
+                return 0
+        return 0
+
+    def add(piece: str) -> None:
+        nonlocal linked
+        if piece:
+            text.append(piece)
+            if links:
+                linked += len(_SPACE.sub(" ", entities.unescape(piece)).strip())
+
+    for m in _TOKEN.finditer(page):
+        add(page[at : m.start()])
         at = m.end()
         tag = m[0]
-        if tag.startswith("<!") or tag.startswith("<?") or m[1]:
-            continue
-        name = _NAME.match(tag)
+        name = None if m[1] or tag[1] in "!?" else _NAME.match(tag)
         if not name:
             continue
-        name, closing = name[1].lower(), tag[1] == "/"
-        in_skipped = skip and name == skip[0] and (closing or skip_closed)
-        if name in ("article", "main") and not in_skipped and not (not closing and _is_marked(tag)):
-            end_block()
-            if not closing:
-                skip.clear()  # an article inside a part that was never closed
-                has_article = True
-            articles = max(0, articles + (-1 if closing else 1))
-            continue
-        if skip:
-            if name == skip[0] and not tag.endswith("/>"):
-                skip.pop() if closing else skip.append(name)
-                if not skip:
-                    end_block(WINDOW)
-            continue
-        if not closing and name not in VOID and not tag.endswith("/>") and name not in ("html", "body") and (name in SKIPPED or _is_marked(tag)):
-            end_block()
-            skip.append(name)
-            if name in ("article", "main"):
-                closed = _closed_articles(tokens) if closed is None else closed
-                skip_closed = m.start() in closed
-        elif name in BLOCKS:
-            end_block()
+        name = name[1].lower()
+        if tag[1] == "/":
+            if k := find({name}, BORDERS if name in BLOCKS else BLOCKS):
+                pop_to(k)
+            elif name in BLOCKS:
+                end_block()
         elif name == "br":
-            part.append(" ")
-    if not skip:
-        part.append(page[at:])
+            text.append(" ")
+        elif name in VOID:
+            if name == "hr":
+                end_block()
+        else:
+            if name in BLOCKS:
+                if k := find({"p"}, BLOCKS - {"p"}):
+                    pop_to(k)
+                if name in IMPLIED and (k := find(*IMPLIED[name])):
+                    pop_to(k)
+            top, number = stack[-1], number + 1
+            weight = _weight(name, tag)
+            marked = weight < 1
+            if name in BLOCKS or marked:
+                end_block()
+            article, part = top.article, top.part
+            if marked:
+                article, part = 0, number
+            elif name in ("article", "main") and not article:
+                article = part = number
+            if name == "a":
+                links += 1
+            if not tag.endswith("/>"):
+                stack.append(_Open(name, top.weight * weight, article, part, number))
+            elif name == "a":
+                links -= 1
+    add(page[at:])
     end_block()
-    return lines, outside, has_article
-
-
-def _closed_articles(tokens: list[re.Match]) -> set[int]:
-    """Where the articles and main parts begin that have an end of their own."""
-    begun: dict[str, list[int]] = {"article": [], "main": []}
-    out = set()
-    for m in tokens:
-        name = None if m[1] else _NAME.match(m[0])
-        if name and (opened := begun.get(name[1].lower())) is not None:
-            if m[0][1] != "/":
-                if not m[0].endswith("/>"):
-                    opened.append(m.start())
-            elif opened:
-                out.add(opened.pop())
-    return out
+    return lines
 
 
-def _is_marked(tag: str) -> bool:
-    return any(w in MARKS for m in _MARKED.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-
-
-def main_text(page: str) -> str:
-    lines, outside, has_article = page_lines(page)
-    lengths = [0 if has_article and o else len(x) for x, o in zip(lines, outside, strict=True)]
-    n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    most, kept, i = max(sums, default=0), [], 0
+def peaks(signals: list[float]) -> list[tuple[int, int, float]]:
+    """Surge, dive (excluded) and largest window sum of each stretch of lines whose window sums aren't zero, from its first to its last signal."""
+    n, out, i = len(signals), [], 0
+    sums = [sum(signals[k : k + WINDOW]) for k in range(n)]
     while i < n:
         if not sums[i]:
             i += 1
@@ -128,9 +171,39 @@ def main_text(page: str) -> str:
         surge = i
         while i < n and sums[i]:
             i += 1
-        if has_article or max(sums[surge:i]) >= SHARE * most:  # the dive is at i; windows that still reach text end with it
-            kept += [lines[k] for k in range(surge, i) if lengths[k]]
-    return "\n".join(kept)
+        inside = [k for k in range(surge, i) if signals[k]]
+        out.append((inside[0], inside[-1] + 1, max(sums[surge:i])))
+    return out
+
+
+def main_text(page: str) -> str:
+    lines = page_lines(page)
+    has_article = any(x.article for x in lines)
+    signals = [x.signal * (OUTSIDE if has_article and not x.article else 1.0) for x in lines]
+    # stretches of lines of one article, or of one part and (where another came between) one element
+    stretches: list[list[int]] = []
+    at: dict[tuple[int, int], list[int]] = {}
+    last: list[int] | None = None
+    for k, x in enumerate(lines):
+        key = (x.part, 0 if x.article else x.holder)
+        if k and lines[k - 1].part == x.part:
+            stretch = last
+        else:
+            stretch = at.get(key) if x.article or x.holder else None
+        if stretch is None:
+            stretches.append(stretch := [])
+        stretch.append(k)
+        at[key] = last = stretch
+    found = [(s, peaks([signals[k] for k in s])) for s in stretches]
+    most = max((p[2] for _, ps in found for p in ps), default=0)
+    kept: list[int] = []
+    for s, ps in found:
+        high = [p for p in ps if p[2] >= SHARE * most]
+        if high and lines[s[0]].article:
+            kept += s
+        else:
+            kept += [k for a, b, _ in high for k in s[a:b]]
+    return "\n".join(lines[k].text for k in sorted(kept))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

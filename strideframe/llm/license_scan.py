@@ -7,10 +7,12 @@ of at most STEP + 1 shingles, each with minima of its own. A piece of k shingles
 minimum of a band with probability k / (2 * STEP), so a piece of 3 or more is retrieved with probability over 0.9994.
 Retrieved templates are verified exactly: the share of a template's distinct shingles that the windows around a retrieved one
 (whether retrieved or not), from one with such a shingle on and no further than the template is long, contain must reach the
-threshold. The windows around are computed again from the texts with retrieved windows.
+threshold. The windows around are computed again from the texts with retrieved windows. Templates are whole license texts and the
+short notices that name them.
 
-Null and empty texts, and texts of less than SHINGLE words, have no shingles and no matches. Repeated rows are reported once.
-Empty tables give empty results. Other columns of the input are not read.
+Windows are keyed by id and text: rows of one id (or of no id) with different texts are scanned, and reported, apart; repeated rows
+are reported once. Null and empty texts, and texts of less than SHINGLE words, have no shingles and no matches. Empty tables give
+empty results. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,24 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, whole_text
+from .license_texts import LICENSE_TEXTS, NOTICES
 
 SHINGLE, STEP, BANDS = 3, 4, 16
 
-#: Short forms in which well-known licenses are named. (license, text)
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
+TEMPLATES = [*LICENSE_TEXTS, *NOTICES]
 
 
 def words_of(text: Column) -> Column:
@@ -50,7 +39,7 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def computed(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+def computed(df: DataFrame, name: str, value: Column, *keep: str | Column) -> DataFrame:
     """keep and value, evaluated once a row: the optimizer doesn't copy it into the expressions (and lambdas) that use it."""
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
@@ -64,11 +53,11 @@ def band_minima(rows: DataFrame, hashes: str, length: int, *keep: str) -> DataFr
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """doc_id, at (first shingle) and h (shingle hashes) of every window of docs (doc_id, text)."""
-    words = computed(docs, "w", words_of(whole_text()), "doc_id")
-    hashed = computed(words, "h", shingle_hashes(F.col("w")), "doc_id").where(F.size("h") > 0)
+    """doc_id, text_key, at (first shingle) and h (shingle hashes) of every window of docs (doc_id, text)."""
+    words = computed(docs.select("doc_id", whole_text().alias("text")), "w", words_of(F.col("text")), "doc_id", F.xxhash64("text").alias("text_key"))
+    hashed = computed(words, "h", shingle_hashes(F.col("w")), "doc_id", "text_key").where(F.size("h") > 0)
     steps = F.sequence(F.lit(0), F.greatest(F.size("h") - STEP - 1, F.lit(0)), F.lit(STEP))
-    return hashed.select("doc_id", F.explode(F.transform(steps, lambda at: F.struct(at.alias("at"), F.slice("h", at + 1, F.lit(2 * STEP)).alias("h")))).alias("x")).select("doc_id", "x.at", "x.h")
+    return hashed.select("doc_id", "text_key", F.explode(F.transform(steps, lambda at: F.struct(at.alias("at"), F.slice("h", at + 1, F.lit(2 * STEP)).alias("h")))).alias("x")).select("doc_id", "text_key", "x.at", "x.h")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -78,7 +67,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return words.select("license", F.size("words").alias("n_words"), F.array_distinct(shingle_hashes(F.col("words"))).alias("shingles"))
 
 
-def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, max_broadcast_hits: int = 500_000) -> DataFrame:
     """doc_id, license, first_word (where its first window begins), containment of every license found in docs (doc_id, text)."""
     known = template_table(docs.sparkSession, templates or TEMPLATES)
     size = F.size("shingles")
@@ -87,15 +76,18 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None =
     keys = band_minima(pieces, "piece", STEP + 1, "license").distinct()
 
     longest = max(len(t.split()) for _, t in templates or TEMPLATES) * 2 + 2 * STEP
-    minima = band_minima(_windows(docs), "h", 2 * STEP, "doc_id", "at")
-    found = cut(minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "license", "at").distinct())  # keys: as few as the given templates have pieces
+    minima = band_minima(_windows(docs), "h", 2 * STEP, "doc_id", "text_key", "at")
+    found = cut(minima.join(F.broadcast(keys), ["band", "minimum"]).select("doc_id", "text_key", "license", "at").distinct())  # keys: as few as the given templates have pieces
     block = F.floor(F.col("at") / longest)
-    blocks = found.select(F.col("doc_id").alias("hit"), "license", F.explode(F.array(block - 1, block, block + 1)).alias("block")).distinct()
-    again = _windows(docs.join(found.select(F.col("doc_id").alias("hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi"))
-    around_hits = again.withColumn("own", block).join(blocks, F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("own") == F.col("block"))).join(F.broadcast(known), "license")
-    onward = around_hits.where(F.arrays_overlap("h", "shingles")).select("doc_id", "license", "at", "h", "shingles", "n_words").distinct().withColumn("reach", F.col("n_words") + 2 * STEP)
-    near = Window.partitionBy("doc_id", "license").orderBy("at").rangeBetween(0, longest)
+    hit = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
+    hits = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "license", F.explode(F.array(block - 1, block, block + 1)).alias("block")).distinct()
+    wanted = cut(hits.select("hit_id", "hit_key").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= max_broadcast_hits else wanted  # two numbers a text with a hit
+    texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64(whole_text())).join(wanted, hit, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    around_hits = _windows(texts).withColumn("own", block).join(hits, hit & (F.col("own") == F.col("block"))).join(F.broadcast(known), "license")
+    onward = around_hits.where(F.arrays_overlap("h", "shingles")).select("doc_id", "text_key", "license", "at", "h", "shingles", "n_words").withColumn("reach", F.col("n_words") + 2 * STEP)
+    near = Window.partitionBy("doc_id", "text_key", "license").orderBy("at").rangeBetween(0, longest)
     around = F.flatten(F.transform(F.filter("near", lambda x: x["at"] <= F.col("at") + F.col("reach")), lambda x: x["h"]))
     verified = onward.withColumn("near", F.collect_list(F.struct("at", "h")).over(near)).withColumn("containment", F.size(F.array_intersect("shingles", around)) / size).where(F.col("containment") >= threshold)
     best = F.max(F.struct("containment", (-F.col("at")).alias("minus_at")))
-    return verified.groupBy("doc_id", "license").agg(best.alias("b")).select("doc_id", "license", (-F.col("b.minus_at")).cast("long").alias("first_word"), F.round("b.containment", 6).alias("containment"))
+    return verified.groupBy("doc_id", "text_key", "license").agg(best.alias("b")).select("doc_id", "license", (-F.col("b.minus_at")).cast("long").alias("first_word"), F.round("b.containment", 6).alias("containment"))

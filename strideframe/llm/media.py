@@ -5,17 +5,18 @@ each: a byte b is the coefficient of size class 8 whose extra bits are b. With o
 each block, a block is 72 bytes and the JPEG is a valid baseline file; a 0xFF inside is followed by a stuffed 0 as usual. Frames
 are GRID x GRID blocks; the last one is filled with zero blocks, and an INFO comment holds the payload's length.
 
-read_avi: walks the RIFF chunks, finds frames by the index, decodes each intra frame to coefficients (the payload) and to
-8-bit samples, and compares histograms of neighbouring frames. A cut is where the difference exceeds the mean of the
+read_avi: walks the RIFF chunks of any motion-JPEG AVI, finds frames by the index (or, without one, in their order), decodes each
+intra frame (baseline JPEG with the tables of the file, see jpeg.py) to coefficients and to 8-bit samples of its first component, and compares histograms of
+neighbouring frames. The coefficients of files with a length are the payload. A cut is where the difference exceeds the mean of the
 differences just before it by DEVIATIONS standard deviations and is at least LEAST. The runs between cuts are timed clips.
 
 Null texts are empty (one zero block); equal payloads give equal files and clips; empty tables give empty results; other
-columns of the input are not read. A file that isn't such an AVI raises ValueError.
+columns of the input are not read. Null files, and files that are broken or of another kind, give a row with the reason in
+error, and no payload and clips; files without a payload's length have clips and no payload. A frame of no bytes repeats the one before.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -24,16 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import whole_text
 
 GRID, RATE, BINS = 4, 25, 16
 BLOCKS = GRID * GRID
 DEVIATIONS, LEAST, BEFORE = 3.0, 0.2, 8
 
-#: The zigzag order of JPEG coefficients.
-ZIGZAG = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
-
-
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -48,19 +46,6 @@ _HEADER = (
     + _segment(0xDD, struct.pack(">H", 1))
     + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
 )
-_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
-
-
-def _basis() -> np.ndarray:
-    """64 x 64: from coefficients in zigzag order to samples."""
-    k = np.arange(8)
-    c = np.sqrt(np.where(k == 0, 1 / 8, 2 / 8))[:, None] * np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16)
-    return np.einsum("ux,vy->uvxy", c, c).reshape(64, 64)[ZIGZAG].astype(np.float32)
-
-
-_BASIS = _basis()
-
-
 def jpeg_scans(blocks: np.ndarray) -> np.ndarray:
     """Entropy-coded bytes (72 a block, before stuffing) of rows of 64 byte values."""
     bits = np.zeros((len(blocks), 64, 9), np.uint8)
@@ -74,18 +59,12 @@ def jpeg_frame(scan: np.ndarray) -> bytes:
     return _HEADER + body + b"\xff\xd9"
 
 
-def jpeg_scan_of(frame: bytes) -> bytes:
-    """The entropy-coded blocks of one frame, 72 bytes each."""
-    if frame[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG frame")
-    at = 2
-    while frame[at + 1] != 0xDA:
-        at += 2 + struct.unpack(">H", frame[at + 2 : at + 4])[0]
-    at += 2 + struct.unpack(">H", frame[at + 2 : at + 4])[0]
-    parts = [p.replace(b"\xff\x00", b"\xff") for p in _RESTART.split(frame[at : frame.rindex(b"\xff\xd9")])]
-    if any(len(p) != 72 for p in parts):
-        raise ValueError("a block of another size")
-    return b"".join(parts)
+def _own_scan(frame: bytes) -> bytes | None:
+    """The entropy-coded blocks of a frame with this module's header, 72 bytes each; None of other frames."""
+    if not frame.startswith(_HEADER):
+        return None
+    parts = jpeg.scan_parts(frame, len(_HEADER))
+    return b"".join(parts) if all(len(p) == 72 for p in parts) and len(parts) == BLOCKS else None
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -121,45 +100,58 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
-def avi_frames(data: bytes) -> tuple[list[bytes], int, float]:
-    """Frames by the index, the payload's length, and seconds a frame."""
+def avi_frames(data: bytes) -> tuple[list[bytes], int | None, float]:
+    """Frames of the first video stream, the payload's length if the file has one, and seconds a frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    movi, frames, length, step = 0, [], None, 0.0
+    movi, found, length, step = 0, [], None, 0.0
+    in_order: list[tuple[int, int]] = []
     for name, a, b in _chunks(data, 12, len(data)):
         kind = data[a : a + 4]
         if name == b"LIST" and kind == b"hdrl":
-            step = next(struct.unpack_from("<I", data, x)[0] / 1e6 for n, x, _ in _chunks(data, a + 4, b) if n == b"avih")
+            step = next((struct.unpack_from("<I", data, x)[0] / 1e6 for n, x, _ in _chunks(data, a + 4, b) if n == b"avih"), 0.0)
         elif name == b"LIST" and kind == b"INFO":
-            length = next(int(data[x:y]) for n, x, y in _chunks(data, a + 4, b) if n == b"ICMT")
+            length = next((int(data[x:y].rstrip(b"\0")) for n, x, y in _chunks(data, a + 4, b) if n == b"ICMT" and data[x:y].rstrip(b"\0").isdigit()), None)
         elif name == b"LIST" and kind == b"movi":
             movi = a
+            in_order = [(x, y - x) for n, x, y in _chunks(data, a + 4, min(b, len(data))) if n[2:] in (b"dc", b"db")]
         elif name == b"idx1":
-            for at in range(a, b, 16):
-                _, _, offset, size = struct.unpack_from("<4sIII", data, at)
-                frames.append(data[movi + offset + 8 : movi + offset + 8 + size])
-    if length is None or not frames:
-        raise ValueError("no index or length")
+            for at in range(a, min(b, len(data)) - 15, 16):
+                stream, _, offset, size = struct.unpack_from("<4sIII", data, at)
+                if stream[2:] in (b"dc", b"db"):
+                    # offsets count from the list's name, or from the start of the file
+                    found.append(((movi if data[movi + offset : movi + offset + 4] == stream else 0) + offset + 8, size))
+    frames = [data[x : x + size] for x, size in found or in_order]
+    frames = [f for i, f in enumerate(frames) if f or i]
+    for i, f in enumerate(frames):
+        frames[i] = f or frames[i - 1]
+    if not frames:
+        raise ValueError("no video frames")
     return frames, length, step
 
 
-def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Stored bytes (frames x BLOCKS x 64) and 8-bit samples of intra frames."""
-    raw = np.frombuffer(b"".join(map(jpeg_scan_of, frames)), np.uint8).reshape(-1, 72)
-    stored = np.packbits(np.unpackbits(raw, axis=1).reshape(len(raw), 64, 9)[:, :, 1:], axis=2).reshape(len(raw), 64)
-    values = stored.astype(np.float32)
-    values = np.where(stored >= 128, values, values - 255)  # size class 8: extra bits to coefficient
-    samples = np.empty((len(raw), 64), np.uint8)
-    for i in range(0, len(raw), BLOCKS):  # one shape each time: equal frames give equal samples
-        samples[i : i + BLOCKS] = np.clip(np.rint(values[i : i + BLOCKS] @ _BASIS) + 128, 0, 255)
-    return stored.reshape(len(frames), -1, 64), samples.reshape(len(frames), -1)
-
-
-def shot_starts(samples: np.ndarray) -> list[int]:
+def decode_frames(frames: list[bytes]) -> tuple[bytes, list[np.ndarray]]:
+    """Bytes stored in the coefficients of intra frames, and the 8-bit samples of each."""
+    scans = [_own_scan(f) for f in frames]
+    stored, images = [], []
+    for frame, scan in zip(frames, scans, strict=True):
+        if scan is None:
+            blocks, image = jpeg.decode(frame)
+            stored.append(np.where(blocks < 0, blocks + 255, blocks).clip(0, 255).astype(np.uint8).tobytes())
+            images.append(image)
+            continue
+        raw = np.frombuffer(scan, np.uint8).reshape(BLOCKS, 72)
+        own = np.packbits(np.unpackbits(raw, axis=1).reshape(BLOCKS, 64, 9)[:, :, 1:], axis=2).reshape(BLOCKS, 64)
+        values = own.astype(np.float32)
+        values = np.where(own >= 128, values, values - 255)  # size class 8: extra bits to coefficient
+        stored.append(own.tobytes())
+        images.append(np.clip(np.rint(values @ jpeg.BASIS) + 128, 0, 255).astype(np.uint8))
+    return b"".join(stored), images
+
+
+def shot_starts(images: list[np.ndarray]) -> list[int]:
     """Numbers of the frames that begin a shot."""
-    n = len(samples)
-    bins = samples.astype(np.int64) * BINS // 256 + np.arange(n)[:, None] * BINS
-    hist = np.bincount(bins.ravel(), minlength=n * BINS).reshape(n, BINS) / samples.shape[1]
+    hist = np.stack([np.bincount(x.ravel() >> 4, minlength=BINS) / x.size for x in images])
     diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     starts = [0]
     for i, d in enumerate(diff):
@@ -182,23 +174,36 @@ def write_avi(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
+CLIPS = "array<struct<start_frame: int, end_frame: int, start_s: double, end_s: double>>"
+
+
+def read_file(data: bytes | None) -> tuple[bytes | None, list[dict] | None, str | None]:
+    """Payload, clips and error of one file."""
+    try:
+        if data is None:
+            raise ValueError("no file")
+        frames, length, step = avi_frames(data)
+        stored, images = decode_frames(frames)
+        if length is not None and length > len(stored):
+            raise ValueError("less data than the payload's length")
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        return None, None, f"{type(e).__name__}: {e}"
+    starts = shot_starts(images)
+    clips = [{"start_frame": a, "end_frame": b, "start_s": a * step, "end_s": b * step} for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)]
+    return None if length is None else stored[:length], clips, None
+
+
 def read_avi(media: DataFrame) -> DataFrame:
-    """The input's doc_id, n_bytes, media with payload (binary) and clips (an array of start_frame, end_frame, start_s, end_s; ends excluded)."""
+    """The input's doc_id, n_bytes, media with payload (binary), clips (an array of start_frame, end_frame, start_s, end_s; ends excluded) and error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 500):
-                part, payloads, clips = pdf.iloc[i : i + 500].copy(), [], []
-                for data in part["media"]:
-                    frames, length, step = avi_frames(data)
-                    stored, samples = decode_frames(frames)
-                    payloads.append(stored.tobytes()[:length])
-                    starts = shot_starts(samples)
-                    clips.append([{"start_frame": a, "end_frame": b, "start_s": a * step, "end_s": b * step} for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)])
-                yield part.assign(payload=payloads, clips=clips)
-
-    kind = "array<struct<start_frame: int, end_frame: int, start_s: double, end_s: double>>"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, f"doc_id long, n_bytes long, media binary, payload binary, clips {kind}")
+                part = pdf.iloc[i : i + 500]
+                payloads, clips, errors = (list(x) for x in zip(*map(read_file, part["media"]), strict=True))
+                yield part.assign(payload=payloads, clips=clips, error=errors)
+
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, f"doc_id long, n_bytes long, media binary, payload binary, clips {CLIPS}, error string")
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:

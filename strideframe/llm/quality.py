@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, whole_text
+from .common import cut, text_blocks, whole_text
 from .shingles import windows, word_hashes
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"
 SALTS = 16
+#: Hosts (a name and a rate each) that may go to every task.
+MAX_BROADCAST_HOSTS = 200_000
 
 
 def repeat_words(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +81,32 @@ def host_rates(base: DataFrame, *, host: str, failed: str, prior_weight: float =
     return hosts.select("__sf_host", "n_docs", "n_failed", ((F.col("n_failed") + prior["alpha"]) / (F.col("n_docs") + prior["alpha"] + prior["beta"])).alias("host_rate"))
 
 
-def quality_rules(docs: DataFrame, *, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_host_rate: float = 0.5, prior_weight: float = 10.0) -> DataFrame:
-    """docs with a struct __sf_quality: the metrics, base_failed, host_rate and kept."""
-    measured = docs.withColumn("__sf_m", text_metrics(whole_text()))
+def measured(docs: DataFrame, *, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """docs with the struct __sf_m of metrics and whether the base rules fail (__sf_failed)."""
+    out = docs.withColumn("__sf_m", text_metrics(whole_text()))
+    m = F.col("__sf_m")
+    return out.withColumn("__sf_failed", (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"]))
+
+
+def judged(measures: DataFrame, *, host: str = "source", max_host_rate: float = 0.5, prior_weight: float = 10.0, max_broadcast_hosts: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+    """Rows of measured() (with doc_id and host, whatever other columns are left) with a struct __sf_quality: the metrics, base_failed, host_rate and kept.
+
+    Hosts are few: they are counted, and go to every task if they are at most max_broadcast_hosts; more of them are joined by host and salt.
+    """
+    columns = [c for c in measures.columns if c not in ("__sf_m", "__sf_failed")]
     m = F.col("__sf_m")
-    measured = measured.withColumn("__sf_failed", (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"]))
-    hosts = host_rates(measured.select("doc_id", F.col(host).alias("__sf_source"), "__sf_failed"), host="__sf_source", failed="__sf_failed", prior_weight=prior_weight)
-    salts = hosts.select("__sf_host", "host_rate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__sf_salt"))
-    salted = measured.withColumn("__sf_row_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    joined = salted.join(salts, F.col(host).eqNullSafe(F.col("__sf_host")) & (F.col("__sf_row_salt") == F.col("__sf_salt")), "left")
-    verdict = F.struct(*[m[x.split()[0]].alias(x.split()[0]) for x in METRICS.split(", ")], F.col("__sf_failed").alias("base_failed"), F.col("host_rate"), (~F.col("__sf_failed") & (F.col("host_rate") < max_host_rate)).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("__sf_quality"))
+    hosts = cut(host_rates(measures.select("doc_id", F.col(host).alias("__sf_source"), "__sf_failed"), host="__sf_source", failed="__sf_failed", prior_weight=prior_weight).select("__sf_host", "host_rate"))
+    same = F.col(host).eqNullSafe(F.col("__sf_host"))
+    if hosts.count() <= max_broadcast_hosts:
+        joined = measures.join(F.broadcast(hosts), same, "left")
+    else:
+        salts = hosts.withColumn("__sf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measures.withColumn("__sf_row_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salts, same & (F.col("__sf_row_salt") == F.col("__sf_salt")), "left")
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    verdict = F.struct(*[m[n].alias(n) for n in names], F.col("__sf_failed").alias("base_failed"), F.col("host_rate"), (~F.col("__sf_failed") & (F.col("host_rate") < max_host_rate)).alias("kept"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], verdict.alias("__sf_quality"))
+
+
+def quality_rules(docs: DataFrame, *, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_host_rate: float = 0.5, prior_weight: float = 10.0) -> DataFrame:
+    """docs with a struct __sf_quality. Texts are measured once for the hosts and again for the rows; callers that don't need the texts can cut() measured() without them."""
+    return judged(measured(docs, min_words=min_words, max_repeat_percent=max_repeat_percent), host=host, max_host_rate=max_host_rate, prior_weight=prior_weight)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_main, license_scan, media, near_dup, packing, quality, token_matrix, toxicity, url_filter
+from .common import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -36,7 +37,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality.quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    measures = cut(quality.measured(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    rated = quality.judged(measures)
     return rated.select("doc_id", *[f"__sf_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
@@ -55,8 +57,8 @@ def op7_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_avi(media.write_avi(_read(spark, sf_dir, "documents")))
     size = F.octet_length("payload")
-    clips = F.concat_ws(",", F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"], c["end_frame"])))
-    return read.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat(F.lit("clips:"), clips).alias("feature"))
+    clips = F.concat_ws(",", F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"])))
+    return read.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat(F.lit("shots in seconds: "), clips).alias("feature"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

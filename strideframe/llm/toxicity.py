@@ -2,18 +2,21 @@
 
 Two models, toxic and ordinary, give each word the probability of its characters, each after up to CONTEXT characters of
 the word (its start included). Counts are discounted; what that frees goes to shared backoff counts: first to both classes
-pooled, then to character counts of all documents (four characters), then to Kneser-Ney continuation counts (in how many
-ways a character is preceded). Expressions too rare to tell the classes apart thus score alike under both. A text's evidence is
-the difference of its two log-likelihoods by word, averaged over its words (whole, and of words that are at least e^STRONG
-times likelier when toxic); a logistic curve turns it into a score.
+pooled, then to counts of a character after three others in all documents, then to Kneser-Ney continuation counts (how many
+different characters stand before a run of three in all documents). Expressions too rare to tell the classes apart thus score
+alike under both. A text's evidence is the difference of its two log-likelihoods by word, averaged over its words (whole, and of
+words that are at least e^STRONG times likelier when toxic); a logistic curve, fitted to labelled rows, turns it into a score.
 
-Counts are learned from labelled rows whose crc32(doc_id) is 0 mod 3, the curve from those with 2; rows with 1 are never
-used. max_labelled bounds the labelled rows (those with the least hash of doc_id), which bounds the class tables and what
-reaches the driver; the shared counts cover all documents.
+All counts are exact sums over whole 64-bit keys. Class counts come from labelled rows whose crc32(doc_id) is 0 mod 3, the curve
+from those with 2; rows with 1 are never used. max_labelled bounds the labelled rows (those with the least hash of doc_id), and
+so the class counts. Shared counts are gathered from all documents; a score needs only those after contexts that labelled rows
+have (after others both classes give a character the same probability), and only these reach the driver and the tasks: at most the
+labelled rows' contexts times the characters that follow them.
 
 Null and empty texts have no evidence and get the curve's value at 0. Null labels, and labels of unknown documents, are
-ignored; a document with several labels counts once for each. Without labels of both classes every score is 0. Null ids are
-scored and not held out. Repeated rows get equal scores. Columns of the input pass through; names that begin with __sf_ are taken.
+ignored; a document with several labels counts once for each, and of several texts of one labelled id the least counts. Without
+labels of both classes every score is 0. Null ids are scored and not held out. Repeated rows get equal scores. Columns of the
+input pass through; names that begin with __sf_ are taken.
 """
 
 from __future__ import annotations
@@ -28,15 +31,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, whole_text
+from .common import cut, release, text_blocks, whole_text
 from .shingles import mix
 
 #: SHARED_WEIGHT: how many observations of a context the shared backoff counts for, beside the discounted ones.
 CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
-GRAM_BITS, CONTEXT_BITS, SHARED_BITS = 20, 19, 18
 
-#: Characters of text that one worker takes apart at a time.
-BLOCK_CHARS = 1 << 20
+#: Characters of text that one worker takes apart at a time, and words of which it keeps counts or evidence.
+BLOCK_CHARS, KEPT_WORDS = 1 << 20, 200_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -77,18 +79,11 @@ def char_grams(words: np.ndarray) -> dict[str, np.ndarray]:
             gram, before = by_order[order], by_order[order - 1]
             context = np.zeros_like(gram)
             context[1:] = before[:-1]
-            out[name], out[f"{name}_context"] = gram, context
-        left = np.zeros_like(c)
-        left[SHORT:] = c[: len(c) - SHORT]
-        out["left"] = np.where(depth >= SHORT, mix(left) % np.uint64(63), np.uint64(63))
+            out[name], out[f"{name}_context"] = gram.view(np.int64), context.view(np.int64)
     real = depth > 0
     return {k: v[real] for k, v in out.items()} | {"word": word[real]}
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy(bool)
@@ -100,82 +95,111 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes, is_toxic = once % len(words), toxic[a:b][once // len(words)]
             g = char_grams(words)
             n = [np.bincount(codes[x], minlength=len(words))[g["word"]] for x in (is_toxic, ~is_toxic)]
-            yield pd.DataFrame({"gram": _signed(g["long"]), "context": _signed(g["long_context"]), "toxic": n[0], "ordinary": n[1]}).groupby(["gram", "context"], as_index=False).sum()
+            keys = ["long", "long_context", "four_context", "three_context"]
+            yield pd.DataFrame({k: g[k] for k in keys} | {"toxic": n[0], "ordinary": n[1]}).groupby(keys, as_index=False).sum()
 
 
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a task's runs of four characters; its words are taken apart once for KEPT_WORDS distinct ones."""
+    counted: dict[str, int] = {}
+
+    def grams() -> pd.DataFrame:
+        g = char_grams(np.array(list(counted), object))
+        n = np.fromiter(counted.values(), np.int64, len(counted))[g["word"]]
+        keys = ["four", "four_context", "three", "three_context"]
+        counted.clear()
+        return pd.DataFrame({k: g[k] for k in keys} | {"n": n}).groupby(keys, as_index=False, sort=False).sum()
+
     for pdf in batches:
         texts = pdf["text"].tolist()
         for a, b in text_blocks(texts, BLOCK_CHARS):
             words, codes, _ = words_of(texts[a:b])
-            if not len(words):
-                continue
-            g = char_grams(words)
-            n = np.bincount(codes, minlength=len(words))[g["word"]]
-            four = pd.DataFrame({"gram": _signed(g["four"]), "context": _signed(g["four_context"]), "n": n}).groupby(["gram", "context"], as_index=False, sort=False).sum()
-            three = pd.DataFrame({"gram": _signed(g["three"]), "context": _signed(g["three_context"]), "left": g["left"].astype(np.int64)}).drop_duplicates()
-            three["lefts"] = np.left_shift(np.int64(1), three["left"].to_numpy())
-            three = three.groupby(["gram", "context"], as_index=False, sort=False)["lefts"].sum()
-            yield pd.concat([four.assign(kind=4, lefts=np.int64(0)), three.assign(kind=3, n=np.int64(0))])[["kind", "gram", "context", "n", "lefts"]]
+            for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                counted[w] = counted.get(w, 0) + n
+            if len(counted) >= KEPT_WORDS:
+                yield grams()
+    if counted:
+        yield grams()
 
 
-def _table(df: DataFrame, key: str, bits: int, columns: list[str]) -> dict[str, np.ndarray]:
-    """Sums of columns by the low bits of key, as arrays of 2**bits: the bound on what the driver receives."""
-    rows = df.groupBy(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("at")).agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow().to_pandas()
-    out = {}
-    for c in columns:
-        out[c] = np.zeros(1 << bits, np.float32)
-        out[c][rows["at"]] = rows[c]
-    return out
+class Table:
+    """Numbers by 64-bit key; keys that it doesn't have give 0."""
+
+    def __init__(self, rows: pd.DataFrame, key: str, columns: list[str]):
+        rows = rows.sort_values(key)
+        self.keys = rows[key].to_numpy(np.int64)
+        self.columns = {c: rows[c].to_numpy(np.float64) for c in columns}
+
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(self.keys):
+            return {c: np.zeros(len(keys)) for c in self.columns}
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        return {c: np.where(there, v[at], 0) for c, v in self.columns.items()}
+
+
+def _fetched(df: DataFrame) -> pd.DataFrame:
+    return df.toArrow().to_pandas()
 
 
 class Model:
-    """The tables of both classes and the shared ones; small enough for every worker."""
+    """The counts of both classes and the shared ones; small enough for every worker."""
 
-    def __init__(self, grams: dict, contexts: dict, shared: dict):
+    def __init__(self, grams: Table, contexts: Table, shared: dict[str, tuple[Table, Table]]):
         self.grams, self.contexts, self.shared = grams, contexts, shared
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def word_evidence(self, words: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
         if not len(words):
             return np.zeros(0)
         g = char_grams(words)
-        low = lambda x, bits: (x & np.uint64((1 << bits) - 1)).astype(np.int64)
-        p = np.full(len(g["word"]), 1 / 256)
+        context = self.contexts.find(g["long_context"])
+        # after a context that no labelled row has, both classes have the shared probability: no difference
+        use = np.flatnonzero(context["toxic"] + context["ordinary"] > 0)
+        t_all, o_all, t_kinds, o_kinds, kinds = (context[c][use] for c in ("toxic", "ordinary", "toxic_kinds", "ordinary_kinds", "pooled_kinds"))
+        gram = self.grams.find(g["long"][use])
+        t, o = gram["toxic"], gram["ordinary"]
 
         def level(count, total, kinds, p):
             total = np.maximum(total, 1e-9)
-            # where hashes of contexts collide, a count can exceed its total
-            seen = np.minimum(np.maximum(count - DISCOUNT, 0) / total, 1.0)
-            freed = np.minimum(DISCOUNT * kinds / total, 1.0)
-            return np.where(total > 0.5, seen + freed * p, p)
-
-        for kind in (3, 4):
-            name = {3: "three", 4: "four"}[kind]
-            at, ctx = low(g[name], SHARED_BITS), low(g[f"{name}_context"], SHARED_BITS)
-            s = self.shared[kind]
-            p = level(s["count"][at], s["total"][ctx], s["kinds"][ctx], p)
-        at, ctx = low(g["long"], GRAM_BITS), low(g["long_context"], CONTEXT_BITS)
-        t, o = self.grams["toxic"][at], self.grams["ordinary"][at]
-        c = self.contexts
-        pooled = level(t + o, c["toxic"][ctx] + c["ordinary"][ctx], c["pooled_kinds"][ctx], p)
+            return np.where(total > 0.5, np.maximum(count - DISCOUNT, 0) / total + np.minimum(DISCOUNT * kinds / total, 1.0) * p, p)
+
+        p = np.full(len(use), 1 / 256)
+        for name in ("three", "four"):
+            counts, totals = self.shared[name]
+            total = totals.find(g[f"{name}_context"][use])
+            p = level(counts.find(g[name][use])["n"], total["n"], total["kinds"], p)
+        pooled = level(t + o, t_all + o_all, kinds, p)
 
         def class_level(count, total, kinds):
             freed = np.minimum(DISCOUNT * kinds, total) + SHARED_WEIGHT
             return (np.maximum(count - DISCOUNT, 0) + freed * pooled) / (total + SHARED_WEIGHT)
 
-        each = np.log(class_level(t, c["toxic"][ctx], c["toxic_kinds"][ctx]) + 1e-12) - np.log(class_level(o, c["ordinary"][ctx], c["ordinary_kinds"][ctx]) + 1e-12)
-        return np.bincount(g["word"], weights=each, minlength=len(words))
+        each = np.log(class_level(t, t_all, t_kinds) + 1e-12) - np.log(class_level(o, o_all, o_kinds) + 1e-12)
+        return np.bincount(g["word"][use], weights=each, minlength=len(words))
+
+    def _by_word(self, words: np.ndarray) -> np.ndarray:
+        """word_evidence, computed once for a word while a worker keeps it."""
+        new = [w for w in words if w not in self.known]
+        if new:
+            if len(self.known) + len(new) > KEPT_WORDS:
+                self.known.clear()
+                new = list(words)
+            self.known.update(zip(new, self.word_evidence(np.array(new, object)).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Of each text: the mean over its words, and the mean of what goes beyond STRONG."""
         out = np.zeros((len(texts), 2))
         for a, b in text_blocks(texts, BLOCK_CHARS):
             words, codes, counts = words_of(texts[a:b])
-            by_word = self.word_evidence(words)
-            doc, n = np.repeat(np.arange(b - a), counts), np.maximum(counts, 1)
             if len(codes):
-                each = by_word[codes]
+                each = self._by_word(words)[codes]
+                doc, n = np.repeat(np.arange(b - a), counts), np.maximum(counts, 1)
                 out[a:b, 0] = np.bincount(doc, weights=each, minlength=b - a) / n
                 out[a:b, 1] = np.bincount(doc, weights=np.maximum(each - STRONG, 0), minlength=b - a) / n
         return out
@@ -210,39 +234,49 @@ class Trained(NamedTuple):
     weights: tuple[float, float, float]
 
 
+def _shared_tables(docs: DataFrame, class_grams: DataFrame) -> dict[str, tuple[Table, Table]]:
+    """Counts and totals after contexts of class_grams: of fours how often all documents have them, of threes how many characters stand before them."""
+    kind = "four long, four_context long, three long, three_context long"
+    fours = cut(docs.select("text").mapInPandas(_shared_counts, f"{kind}, n long").groupBy("four", "four_context", "three", "three_context").agg(F.sum("n").alias("n")))
+    after = lambda rows, context: rows.join(class_grams.select(context).distinct(), context, "left_semi")
+    preceded = fours.groupBy("three", "three_context").agg(F.count_distinct("four").alias("n"))
+    out = {}
+    for name, rows in (("three", preceded), ("four", fours)):
+        context = f"{name}_context"
+        needed = cut(after(rows, context).groupBy(name, context).agg(F.sum("n").alias("n")))
+        totals = needed.groupBy(context).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        out[name] = Table(_fetched(needed.groupBy(name).agg(F.sum("n").alias("n"))), name, ["n"]), Table(_fetched(totals), context, ["n", "kinds"])
+        release(needed)
+    release(fours)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) -> Trained | None:
     """Model of docs (doc_id, text) and labels (doc_id, toxic); None without labels of both classes in both folds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold() != 1).distinct()
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
-    labelled = docs.join(F.broadcast(sample), "doc_id")  # at most max_labelled rows of two numbers
-    counted = labelled.where(fold() == 0).select("text", "toxic").mapInPandas(_class_counts, "gram long, context long, toxic long, ordinary long").groupBy("gram", "context").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = _table(counted, "gram", GRAM_BITS, ["toxic", "ordinary"])
-    kinds = counted.select("context", "toxic", "ordinary", (F.col("toxic") > 0).cast("long").alias("toxic_kinds"), (F.col("ordinary") > 0).cast("long").alias("ordinary_kinds"), F.lit(1).alias("pooled_kinds"))
-    contexts = _table(kinds, "context", CONTEXT_BITS, ["toxic", "ordinary", "toxic_kinds", "ordinary_kinds", "pooled_kinds"])
-    if not grams["toxic"].any() or not grams["ordinary"].any():
+    # at most max_labelled rows of two numbers; and one text for each
+    labelled = cut(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    keys = ["long", "long_context", "four_context", "three_context"]
+    class_grams = cut(labelled.where(fold() == 0).select("text", "toxic").mapInPandas(_class_counts, ", ".join(f"{k} long" for k in keys) + ", toxic long, ordinary long").groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    rows = _fetched(class_grams.select("long", "long_context", "toxic", "ordinary"))
+    if not (rows["toxic"] > 0).any() or not (rows["ordinary"] > 0).any():
+        release(labelled, class_grams)
         return None
-
-    corpus = docs.select("text").mapInPandas(_shared_counts, "kind int, gram long, context long, n long, lefts long").groupBy("kind", "gram", "context").agg(F.sum("n").alias("n"), F.expr("bit_or(lefts)").alias("lefts"))
-    corpus = corpus.select("kind", "gram", "context", F.when(F.col("kind") == 4, F.col("n")).otherwise(F.bit_count("lefts").cast("long")).alias("count"), F.lit(1).alias("kinds"))
-    mask = F.lit((1 << SHARED_BITS) - 1)
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("gram").alias("h")), F.struct(F.lit(1).alias("side"), F.col("context").alias("h")))
-    rows = corpus.select("kind", "count", "kinds", F.explode(sides).alias("s")).groupBy("kind", "s.side", F.col("s.h").bitwiseAND(mask).cast("int").alias("at")).agg(F.sum("count").cast("float").alias("count"), F.sum("kinds").cast("float").alias("kinds")).toArrow().to_pandas()
-    shared = {}
-    for kind in (3, 4):
-        shared[kind] = {n: np.zeros(1 << SHARED_BITS, np.float32) for n in ("count", "total", "kinds")}
-        g, c = (rows[(rows["kind"] == kind) & (rows["side"] == side)] for side in (0, 1))
-        shared[kind]["count"][g["at"]] = g["count"]
-        shared[kind]["total"][c["at"]], shared[kind]["kinds"][c["at"]] = c["count"], c["kinds"]
-
-    sent = docs.sparkSession.sparkContext.broadcast(Model(grams, contexts, shared))
+    rows = rows.assign(toxic_kinds=rows["toxic"] > 0, ordinary_kinds=rows["ordinary"] > 0, pooled_kinds=1)
+    by_context = rows.groupby("long_context", as_index=False)[["toxic", "ordinary", "toxic_kinds", "ordinary_kinds", "pooled_kinds"]].sum()
+    by_gram = rows.groupby("long", as_index=False)[["toxic", "ordinary"]].sum()
+    model = Model(Table(by_gram, "long", ["toxic", "ordinary"]), Table(by_context, "long_context", [c for c in by_context if c != "long_context"]), _shared_tables(docs, class_grams))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             e = sent.value.evidence(pdf["text"].tolist())
             yield pd.DataFrame({"toxic": pdf["toxic"], "mean": e[:, 0], "strong": e[:, 1]})
 
-    curve = labelled.where(fold() == 2).select("text", "toxic").mapInPandas(evidence, "toxic int, mean double, strong double").orderBy("toxic", "mean", "strong").toArrow().to_pandas()
+    curve = _fetched(labelled.where(fold() == 2).select("text", "toxic").mapInPandas(evidence, "toxic int, mean double, strong double")).sort_values(["toxic", "mean", "strong"])
+    release(labelled, class_grams)
     if curve["toxic"].nunique() < 2:
         return None
     return Trained(sent, fit_curve(curve[["mean", "strong"]].to_numpy(), curve["toxic"].to_numpy(float)))
