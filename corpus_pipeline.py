@@ -1,4 +1,9 @@
-"""Documents through quality rules, toxicity, near-duplicate removal and packing, each stage over all that the one before kept."""
+"""Documents through quality rules, toxicity, near-duplicate removal and packing, each stage over all that the one before kept.
+
+Null texts count as empty and so fail the quality rules; null sources are a host of their own; repeated rows are copies, of which one
+stays; null ids are scored, compared and packed like others. Empty tables give empty results. Columns that documents doesn't
+have are not read and not returned.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm import near_dup, packing, quality, toxicity
-from strideframe.llm.common import shared_dir
+from strideframe.llm.common import delete, free_shuffles, shared_dir
 from strideframe.llm.queries import TOKENIZER, _digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' last result; each earlier one is written to the shared folder and read again."""
+    """The stages' last result; each earlier one is written to the shared folder, read by the next, and then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{os.urandom(8).hex()}"
     for i, (_, stage) in enumerate(STAGES):
@@ -49,4 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{i}")
             docs = spark.read.parquet(f"{base}/{i}")
+            if i:
+                delete(spark, f"{base}/{i - 1}")
+            free_shuffles(spark)
     return docs
