@@ -37,8 +37,8 @@ from .shingles import mix
 #: SHARED_WEIGHT: how many observations of a context the shared backoff counts for, beside the discounted ones.
 CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
 
-#: Characters of text that one worker takes apart at a time, and words of which it keeps counts or evidence.
-BLOCK_CHARS, KEPT_WORDS = 1 << 20, 200_000
+#: Characters of text that one worker takes apart at a time, words of which it keeps counts or evidence, and words whose grams it makes at once.
+BLOCK_CHARS, KEPT_WORDS, SLICE_WORDS = 1 << 19, 100_000, 16_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -103,12 +103,13 @@ def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of a task's runs of four characters; its words are taken apart once for KEPT_WORDS distinct ones."""
     counted: dict[str, int] = {}
 
-    def grams() -> pd.DataFrame:
-        g = char_grams(np.array(list(counted), object))
-        n = np.fromiter(counted.values(), np.int64, len(counted))[g["word"]]
-        keys = ["four", "four_context", "three", "three_context"]
+    def grams() -> Iterator[pd.DataFrame]:
+        words, n = np.array(list(counted), object), np.fromiter(counted.values(), np.int64, len(counted))
         counted.clear()
-        return pd.DataFrame({k: g[k] for k in keys} | {"n": n}).groupby(keys, as_index=False, sort=False).sum()
+        keys = ["four", "four_context", "three", "three_context"]
+        for lo in range(0, len(words), SLICE_WORDS):
+            g = char_grams(words[lo : lo + SLICE_WORDS])
+            yield pd.DataFrame({k: g[k] for k in keys} | {"n": n[lo : lo + SLICE_WORDS][g["word"]]}).groupby(keys, as_index=False, sort=False).sum()
 
     for pdf in batches:
         texts = pdf["text"].tolist()
@@ -117,9 +118,9 @@ def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
                 counted[w] = counted.get(w, 0) + n
             if len(counted) >= KEPT_WORDS:
-                yield grams()
+                yield from grams()
     if counted:
-        yield grams()
+        yield from grams()
 
 
 class Table:
@@ -128,7 +129,7 @@ class Table:
     def __init__(self, rows: pd.DataFrame, key: str, columns: list[str]):
         rows = rows.sort_values(key)
         self.keys = rows[key].to_numpy(np.int64)
-        self.columns = {c: rows[c].to_numpy(np.float64) for c in columns}
+        self.columns = {c: rows[c].to_numpy(np.float32) for c in columns}
 
     def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         if not len(self.keys):
@@ -189,7 +190,9 @@ class Model:
             if len(self.known) + len(new) > KEPT_WORDS:
                 self.known.clear()
                 new = list(words)
-            self.known.update(zip(new, self.word_evidence(np.array(new, object)).tolist(), strict=True))
+            for lo in range(0, len(new), SLICE_WORDS):
+                part = new[lo : lo + SLICE_WORDS]
+                self.known.update(zip(part, self.word_evidence(np.array(part, object)).tolist(), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
 
     def evidence(self, texts: list[str]) -> np.ndarray:
