@@ -1,9 +1,11 @@
 """Byte-level BPE over a distinct-word table.
 
-Documents are dealt to chunks of about chunk_bytes. Every chunk gives its distinct words, packed by word hash; for each hash
-bucket the words of all chunks are united, each distinct word is encoded once, and the ids go back to the chunks that asked
-for them. There the ids are joined to the words by position. Decoding joins ids to pieces: inside a task with the id-to-piece
-table as an array (its size is the vocabulary's), or for any table of ids with decode_ids().
+Documents are dealt to chunks of about chunk_bytes, and split into words by a Spark expression. Every chunk gives its distinct
+words, packed by word hash; for each hash bucket the words of all chunks are united, each distinct word is encoded once, and the ids
+go back to the chunks that asked for them. There the ids are joined to the words by position. Chunks are taken in regions of
+REGION (40 GB of text), and a word is encoded once in each: so a bucket's and a chunk's share doesn't grow with the corpus.
+Decoding joins ids to pieces: inside a task with the id-to-piece table as an array (its size is the vocabulary's), or for any table
+of ids with decode_ids().
 
 Null texts are empty and give no ids. Repeated rows give equal results. Empty tables give empty results. Other columns
 of the input are not read.
@@ -13,16 +15,38 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import byte_alphabet, ranges, word_encoder
+from .tokens import byte_alphabet, ranges, special_tokens, word_encoder
+
+#: Chunks that share their distinct words.
+REGION = 2048
+
+#: The tokenizer's word pattern, its classes as the JVM names them.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+
+
+def split_words(text: Column, special: list[str]) -> Column:
+    """The words of a text in order, special tokens whole; joined they are the text."""
+    found = lambda part: F.regexp_extract_all(part, F.lit(_WORD), F.lit(0))
+    if not special:
+        return found(text)
+    any_special = "|".join(f"\\Q{s}\\E" for s in special)
+    parts = F.split(text, f"(?<={any_special})|(?={any_special})")
+    cut_out = F.flatten(F.transform(parts, lambda p: F.when(p.isin(special), F.array(p)).otherwise(found(p))))
+    return F.when(text.rlike(any_special), cut_out).otherwise(found(text))
+
+
+def known_characters(text: Column) -> Column:
+    """Whether the JVM knows the class of all characters; what came later to Unicode is left to the tokenizers library."""
+    return ~text.rlike(r"\p{Cn}")
 
 
 def _pack_words(words: list[str]) -> bytes:
@@ -40,67 +64,87 @@ def _pack_ids(ids: list[bytes]) -> bytes:
     return zlib.compress(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids), 1)
 
 
-def _unpack_ids(n: int, packed: bytes) -> list[bytes]:
-    raw = zlib.decompress(packed)
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) * 4 + 4 * n
-    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+def _unpack_ids(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of ids of each word, and all ids."""
+    raw = np.frombuffer(zlib.decompress(packed), "<u4")
+    return raw[:n].astype(np.int64), raw[n:]
+
+
+def _chunk_words(table: pa.Table, tokenizer: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of a chunk, the number of each word in the sequence of all, and words by document."""
+    words = table["words"].combine_chunks()
+    known = table["known"].to_numpy()
+    if not known.all():
+        encoder, lists = word_encoder(tokenizer), words.to_pylist()
+        for i in np.flatnonzero(~known):
+            lists[i] = encoder.words("".join(lists[i]))
+        words = pa.array(lists, pa.list_(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.value_lengths().to_numpy()
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode()) % buckets
+def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words by (bucket, word), and how many each bucket has."""
+    bucket = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
+    order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
+    return order, np.bincount(bucket, minlength=buckets)
 
 
-def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 << 20, buckets_per_chunk: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 << 20, buckets_per_chunk: int = 2, region: int = REGION) -> DataFrame:
     """doc_id, text, ids (little-endian unsigned 32-bit) and decoded text of all documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = max(1, ceil(size / chunk_bytes))
-    buckets = min(4096, chunks * buckets_per_chunk)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-
-    def by_bucket(texts: pd.Series) -> dict[int, list[str]]:
-        """The distinct words of a chunk in order, by bucket."""
-        encoder, seen = word_encoder(tokenizer), set()
-        for t in texts:
-            seen.update(encoder.words(t))
-        parts: dict[int, list[str]] = {}
-        for w in sorted(seen):
-            parts.setdefault(_bucket(w, buckets), []).append(w)
-        return parts
-
-    def distinct_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["chunk"].iloc[0], b, len(p), _pack_words(p)) for b, p in by_bucket(pdf["text"]).items()], columns=["chunk", "bucket", "n_words", "words"])
+    buckets = min(chunks, region) * buckets_per_chunk
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
+    split = dealt.select("chunk", "doc_id", split_words(F.col("text"), special_tokens(tokenizer)).alias("words"), known_characters(F.col("text")).alias("known"))
+
+    def distinct_words(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        words, _, _ = _chunk_words(table, tokenizer)
+        order, counts = _by_bucket(words, buckets)
+        rows, at = [], 0
+        for b in np.flatnonzero(counts):
+            rows.append((chunk, chunk // region, int(b), int(counts[b]), _pack_words([words[i] for i in order[at : at + counts[b]]])))
+            at += counts[b]
+        kinds = [("chunk", pa.int32()), ("region", pa.int32()), ("bucket", pa.int32()), ("n_words", pa.int32()), ("words", pa.binary())]
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
 
     def encode_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         encoder = word_encoder(tokenizer)
         encoder.clear()
-        table: dict[str, bytes] = {}
+        known: dict[str, bytes] = {}
         out = []
-        for chunk, n, packed in zip(pdf["chunk"], pdf["n_words"], pdf["words"], strict=True):
+        for chunk, bucket, n, packed in zip(pdf["chunk"], pdf["bucket"], pdf["n_words"], pdf["words"], strict=True):
             words = _unpack_words(n, packed)
             for w in words:
-                if w not in table:
-                    table[w] = encoder.encoded(w)
-            out.append((chunk, pdf["bucket"].iloc[0], n, _pack_ids([table[w] for w in words])))
+                if w not in known:
+                    known[w] = encoder.encoded(w)
+            out.append((chunk, bucket, n, _pack_ids([known[w] for w in words])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids"])
 
-    def by_position(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        encoder, table = word_encoder(tokenizer), {}
-        buffer, starts, lengths = encoder.piece_table()
-        parts = by_bucket(left["text"])
-        for b, n, ids in zip(right["bucket"], right["n_words"], right["ids"], strict=True):
-            table.update(zip(parts.pop(b), _unpack_ids(n, ids), strict=True))
-        out, decoded = [], []
-        for t in left["text"]:
-            x = b"".join(map(table.__getitem__, encoder.words(t)))
-            at = np.frombuffer(x, "<u4").astype(np.int64)
-            out.append(x)
-            decoded.append(buffer[ranges(starts[at], lengths[at])].tobytes().decode("utf-8", "replace"))
-        return pd.DataFrame({"doc_id": left["doc_id"], "ids": out, "decoded": decoded})
-
-    words = dealt.groupBy("chunk").applyInPandas(distinct_words, "chunk int, bucket int, n_words int, words binary")
-    encoded = words.groupBy("bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
-    return dealt.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(by_position, "doc_id long, ids binary, decoded string")
+    def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
+        buffer, starts, lengths = word_encoder(tokenizer).piece_table()
+        words, codes, counts = _chunk_words(left, tokenizer)
+        order, _ = _by_bucket(words, buckets)
+        parts = [_unpack_ids(n, p) for _, n, p in sorted(zip(right["bucket"].to_pylist(), right["n_words"].to_pylist(), right["ids"].to_pylist(), strict=True))]
+        n_ids, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        table = np.concatenate([np.zeros(0, "<u4"), *[p[1] for p in parts]])
+        if parts:
+            n_ids[order] = np.concatenate([p[0] for p in parts])
+            at[order] = np.cumsum(n_ids[order]) - n_ids[order]
+        ids, decoded, first = [], [], 0
+        for n in counts:
+            own = codes[first : first + n]
+            first += n
+            x = table[ranges(at[own], n_ids[own])]
+            ids.append(x.tobytes())
+            decoded.append(buffer[ranges(starts[x], lengths[x])].tobytes().decode("utf-8", "replace"))
+        return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+
+    words = split.groupBy("chunk").applyInArrow(distinct_words, "chunk int, region int, bucket int, n_words int, words binary")
+    encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
+    return split.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(by_position, "doc_id long, ids binary, decoded string")
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:

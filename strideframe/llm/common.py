@@ -6,6 +6,9 @@ import gc
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,13 @@ def text_blocks(texts: list[str], limit: int = 2 << 20) -> Iterator[tuple[int, i
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_runs(column: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
+    """The texts of an Arrow column in runs of about limit bytes: only these are Python objects at one time."""
+    lengths = np.r_[0, pc.binary_length(column).to_numpy(zero_copy_only=False)].cumsum()
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(lengths, lengths[start] + limit)))
+        yield column.slice(start, min(end, len(column)) - start).to_pylist()
+        start = end

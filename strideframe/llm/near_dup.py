@@ -160,37 +160,34 @@ def _least_registers(threshold: float) -> int:
     return k
 
 
-def _agreeing(parts: np.ndarray, registers: np.ndarray, block: np.ndarray, p: int, q: int, least: int) -> np.ndarray:
-    """Row numbers (i, j) and common registers of pairs of blocks p and q in different components that agree in enough registers."""
+def _tiles(registers: np.ndarray, block: np.ndarray, p: int, q: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tiles of blocks p and q: row numbers i and j, and how many registers each i has in common with each j; 0 where a pair isn't asked for or has less than least."""
     left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-    out = [np.empty((0, 3), np.int64)]
-    for lo in range(0, len(left), 64):
-        i = left[lo : lo + 64]
-        common = (registers[i][:, None] == registers[right][None]).sum(2)
-        wanted = (common >= least) & (parts[i][:, None] != parts[right][None])
+    for lo in range(0, len(left), 32):
+        i = left[lo : lo + 32]
+        common = np.stack([(registers[k] == registers[right]).sum(1, dtype=np.uint8) for k in i])
+        common[common < least] = 0
         if p == q:
-            wanted &= i[:, None] > right[None]
-        x, y = np.nonzero(wanted)
-        out.append(np.column_stack([i[x], right[y], common[x, y]]))
-    return np.concatenate(out)
-
-
-def _joining(pairs: np.ndarray, parts: np.ndarray, sets: list[bytes], threshold: float, similarity) -> list[tuple[int, int]]:
-    """Row numbers of similar pairs that join components, likeliest first; a pair of what is already one is not looked at."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")]:
-        u, v = find(int(parts[i])), find(int(parts[j]))
-        if u != v and similarity(sets[i], sets[j]) >= threshold:
-            root[u] = v
-            out.append((i, j))
+            common[i[:, None] <= right[None]] = 0
+        yield i, right, common
+
+
+def _between(parts: np.ndarray, i: np.ndarray, j: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a tile of pairs of different parts, likeliest first."""
+    x, y = np.nonzero((common > 0) & (parts[i][:, None] != parts[j][None]))
+    order = np.argsort(-common[x, y].astype(np.int16), kind="stable")
+    return x[order], y[order]
+
+
+def _joining(parts: np.ndarray, tiles: Iterator[tuple], sets: list[bytes], threshold: float, similarity) -> list[tuple[int, int]]:
+    """Row numbers of similar pairs that join parts, the likeliest of a tile first; a pair of what is already one is not looked at."""
+    parts, out = parts.copy(), []
+    for i, j, common in tiles:
+        for a, b in zip(*_between(parts, i, j, common), strict=True):
+            u, v = parts[i[a]], parts[j[b]]
+            if u != v and similarity(sets[i[a]], sets[j[b]]) >= threshold:
+                parts[parts == u] = v
+                out.append((int(i[a]), int(j[b])))
     return out
 
 
@@ -208,8 +205,8 @@ def _crossed(rest: DataFrame, sets: DataFrame, threshold: float, similarity=jacc
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "part", "registers")
 
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-        """Rows of a group, their parts as numbers and its candidate pairs, for groups of several parts."""
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Iterator[tuple]]]:
+        """Rows of a group, their parts as numbers and its tiles, for groups of several parts."""
         held = None
         for pdf in _with_end(batches):
             part = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -225,19 +222,23 @@ def _crossed(rest: DataFrame, sets: DataFrame, threshold: float, similarity=jacc
             parts, block = pd.factorize(part["part"])[0], part["block"].to_numpy()
             for s, e in zip(begin, ends, strict=True):
                 if (parts[s:e] != parts[s]).any():
-                    pairs = _agreeing(parts[s:e], registers[s:e], block[s:e], keys[s, 1], keys[s, 2], least)
-                    if len(pairs):
-                        yield part.iloc[s:e], parts[s:e], pairs
+                    yield part.iloc[s:e], parts[s:e], _tiles(registers[s:e], block[s:e], keys[s, 1], keys[s, 2], least)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, _, pairs in groups(batches):
-            yield rows.iloc[np.unique(pairs[:, :2])]
+        for rows, parts, tiles in groups(batches):
+            near = np.zeros(len(rows), bool)
+            for i, j, common in tiles:
+                x, y = _between(parts, i, j, common)
+                near[i[x]] = near[j[y]] = True
+            if near.any():
+                yield rows[near]
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, parts, pairs in groups(batches):
+        for rows, parts, tiles in groups(batches):
             nodes = rows["node"].tolist()
-            found = _joining(pairs, parts, rows["shingles"].tolist(), threshold, similarity)
-            yield pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"], dtype=object)
+            found = _joining(parts, tiles, rows["shingles"].tolist(), threshold, similarity)
+            if found:
+                yield pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"], dtype=object)
 
     together = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
     near = together(dealt).mapInPandas(candidates, "key long, p int, q int, block int, node binary, part binary, registers binary")

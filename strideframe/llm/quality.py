@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_blocks, whole_text
+from .common import cut, text_blocks, text_runs, whole_text
 from .shingles import windows, word_hashes
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -60,10 +61,12 @@ def metrics(texts: list[str]) -> pd.DataFrame:
 def text_metrics(text: Column) -> Column:
     """The struct of METRICS of each text."""
 
-    @F.pandas_udf(METRICS)
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(METRICS)
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield metrics(texts.tolist())
+            parts = [metrics(run) for run in text_runs(texts, 1 << 20)]
+            table = pd.concat(parts) if parts else metrics([])
+            yield pa.StructArray.from_arrays([pa.array(table[c], pa.int64()) for c in table], list(table))
 
     return measured(text)
 

@@ -115,6 +115,11 @@ def token_matrix(docs: DataFrame, *, tokenizer: str, capacity: int = 1024, end_i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(run, SCHEMA)
 
 
+def fill(matrix: DataFrame, *, capacity: int = 1024) -> DataFrame:
+    """One row: n_rows, n_tokens and the share of the matrix that isn't padding (null without rows)."""
+    return matrix.agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_tokens") / (F.count("*") * capacity)).alias("fill"))
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
-    """Writes the rows as Parquet, ids and positions as fixed-length binary."""
+    """Writes the rows as Parquet; ids and position_ids of every row are 4 * capacity bytes. An existing path is an error."""
     matrix.write.mode("errorifexists").parquet(path)

@@ -27,6 +27,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def special_tokens(path: str) -> list[str]:
+    """The special tokens of a tokenizer file, which are words whatever stands beside them."""
+    return [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+
+
 class WordEncoder(dict):
     """word -> its ids as little-endian unsigned 32-bit integers; a word is encoded when first met."""
 

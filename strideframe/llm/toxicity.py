@@ -27,18 +27,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, text_blocks, whole_text
+from .common import cut, release, text_blocks, text_runs, whole_text
 from .shingles import mix
 
 #: SHARED_WEIGHT: how many observations of a context the shared backoff counts for, beside the discounted ones.
 CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
 
 #: Characters of text that one worker takes apart at a time, words of which it keeps counts or evidence, and words whose grams it makes at once.
-BLOCK_CHARS, KEPT_WORDS, SLICE_WORDS = 1 << 19, 100_000, 16_000
+BLOCK_CHARS, KEPT_WORDS, SLICE_WORDS = 1 << 18, 50_000, 4_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -99,22 +100,22 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({k: g[k] for k in keys} | {"toxic": n[0], "ordinary": n[1]}).groupby(keys, as_index=False).sum()
 
 
-def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's runs of four characters; its words are taken apart once for KEPT_WORDS distinct ones."""
     counted: dict[str, int] = {}
 
-    def grams() -> Iterator[pd.DataFrame]:
+    def grams() -> Iterator[pa.RecordBatch]:
         words, n = np.array(list(counted), object), np.fromiter(counted.values(), np.int64, len(counted))
         counted.clear()
         keys = ["four", "four_context", "three", "three_context"]
         for lo in range(0, len(words), SLICE_WORDS):
             g = char_grams(words[lo : lo + SLICE_WORDS])
-            yield pd.DataFrame({k: g[k] for k in keys} | {"n": n[lo : lo + SLICE_WORDS][g["word"]]}).groupby(keys, as_index=False, sort=False).sum()
+            rows = pd.DataFrame({k: g[k] for k in keys} | {"n": n[lo : lo + SLICE_WORDS][g["word"]]}).groupby(keys, as_index=False, sort=False).sum()
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        for a, b in text_blocks(texts, BLOCK_CHARS):
-            words, codes, _ = words_of(texts[a:b])
+    for batch in batches:
+        for texts in text_runs(batch.column("text"), BLOCK_CHARS):
+            words, codes, _ = words_of(texts)
             for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
                 counted[w] = counted.get(w, 0) + n
             if len(counted) >= KEPT_WORDS:
@@ -240,7 +241,7 @@ class Trained(NamedTuple):
 def _shared_tables(docs: DataFrame, class_grams: DataFrame) -> dict[str, tuple[Table, Table]]:
     """Counts and totals after contexts of class_grams: of fours how often all documents have them, of threes how many characters stand before them."""
     kind = "four long, four_context long, three long, three_context long"
-    fours = cut(docs.select("text").mapInPandas(_shared_counts, f"{kind}, n long").groupBy("four", "four_context", "three", "three_context").agg(F.sum("n").alias("n")))
+    fours = cut(docs.select("text").mapInArrow(_shared_counts, f"{kind}, n long").groupBy("four", "four_context", "three", "three_context").agg(F.sum("n").alias("n")))
     after = lambda rows, context: rows.join(class_grams.select(context).distinct(), context, "left_semi")
     preceded = fours.groupBy("three", "three_context").agg(F.count_distinct("four").alias("n"))
     out = {}
@@ -291,9 +292,9 @@ def score_toxicity(docs: DataFrame, trained: Trained | None, *, name: str = "__s
         return docs.withColumn(name, F.lit(0.0))
     sent, weights = trained
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(sent.value.score(texts.tolist(), weights))
+            yield pa.array(np.concatenate([np.zeros(0), *[sent.value.score(run, weights) for run in text_runs(texts, BLOCK_CHARS)]]))
 
     return docs.withColumn(name, score(whole_text()))

@@ -47,14 +47,30 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
 
 def test_bpe_equals_the_library(spark, docs, odd):
     t = Tokenizer.from_file(PATH)
-    for df in (docs, odd):
-        for r in bpe.encode_documents(df.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]), tokenizer=PATH, chunk_bytes=100_000).join(df.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
-            ids = t.encode(r.text or "", add_special_tokens=False).ids
-            if r.doc_id != 5:
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        df = df.distinct()
+        numbered = {k: r.text or "" for k, r in enumerate(df.collect())}
+        again = spark.createDataFrame(list(numbered.items()), "doc_id long, text string")
+        for got in (bpe.encode_documents(again, tokenizer=PATH, chunk_bytes=100_000), bpe.encode_documents(again, tokenizer=PATH, chunk_bytes=50_000, region=3)):
+            rows = got.collect()
+            assert len(rows) == len(numbered)
+            for r in rows:
+                ids = t.encode(numbered[r.doc_id], add_special_tokens=False).ids
                 assert np.frombuffer(r.ids, "<u4").tolist() == ids
                 assert r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_words_of_all_characters_equal_the_library(spark):
+    encoder = tokens.word_encoder(PATH)
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)}  {chr(c)}'s<|endoftext|>{chr(c)}!" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts += ["<|endoftext|><|endoftext|> x", " <|endoftext|", "<|endoftext|>", "  \n\n  a", "it's we'll 'S'd", "a\u0301b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    rows = df.select("i", bpe.split_words(F.col("text"), tokens.special_tokens(PATH)).alias("w"), bpe.known_characters(F.col("text")).alias("known")).collect()
+    assert all("".join(r.w) == texts[r.i] for r in rows)
+    differ = [texts[r.i] for r in rows if r.known and r.w != encoder.words(texts[r.i])]
+    assert not differ and sum(r.known for r in rows) > 30_000, (len(differ), [hex(ord(t[1])) for t in differ[:20]])
+
+
 def test_bpe_of_words_with_many_ids(spark):
     t = Tokenizer.from_file(PATH)
     rng = random.Random(5)
@@ -249,6 +265,21 @@ def test_token_matrix_is_lossless(spark, docs):
         assert [x for s in sorted(parts[r.doc_id]) for x in parts[r.doc_id][s]] == [*t.encode(r.text, add_special_tokens=False).ids, 0]
 
 
+def test_token_matrix_is_written_and_full(spark, docs, tmp_path):
+    matrix = token_matrix.token_matrix(docs, tokenizer=PATH)
+    token_matrix.write_matrix(matrix, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert sorted(bytes(r.ids) for r in back.collect()) == sorted(bytes(r.ids) for r in matrix.collect())
+    assert {len(r.position_ids) for r in back.collect()} == {4096}
+    full = token_matrix.fill(back).first()
+    assert full.n_tokens == packing.pack_documents(docs, tokenizer=PATH).agg(F.sum("length")).first()[0] and full.fill > 0.97
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        token_matrix.write_matrix(back, str(tmp_path / "m"))
+    padded = token_matrix.token_matrix(docs.limit(3), tokenizer=PATH, capacity=2048, pad_id=9)
+    assert all(set(np.frombuffer(r.ids, "<u4")[r.n_tokens :]) <= {9} for r in padded.collect())
+    assert token_matrix.fill(matrix.limit(0)).first().fill is None
+
+
 def test_best_fit_decreasing_equals_brute_force():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 101) for _ in range(300)]
@@ -509,6 +540,60 @@ def test_main_text_of_the_pages_table(spark):
     assert html_main.extract_main_text(odd.limit(0)).count() == 0
 
 
+def test_hosts_joined_by_salt_equal_broadcast_ones(spark):
+    rows = [(i, [None, "a", "b", "c"][i % 4], "x x" if i % 4 == 2 else " ".join(f"w{k}" for k in range(20))) for i in range(120)]
+    m = quality.measured(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    got = [sorted((r.doc_id, r["__sf_quality"].kept, round(r["__sf_quality"].host_rate, 9)) for r in quality.judged(m, max_broadcast_hosts=n).collect()) for n in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) == 120 and sum(r[1] for r in got[0]) == 90
+
+
+def test_toxicity_of_odd_labels(spark):
+    good, bad = "the quiet river runs by", "awful nasty hateful vile"
+    rows = [(i, (bad if i % 2 else good) + f" number{i}") for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (1, "another text of id one"), (None, bad), (100, None), (101, "")], "doc_id long, text string").withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, i % 2) for i in range(10)] + [(3, 0), (7, None), (None, 1), (999, 1), (5, 7)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == docs.count() and got[0].toxic == "x"
+    by_text = {r.text: r["__sf_score"] for r in got}
+    assert by_text[bad] > 0.7 > by_text[good + " number0"] and by_text[None] == by_text[""]
+    scores = lambda m: sorted((str(r.doc_id), str(r.text), round(r["__sf_score"], 9)) for r in toxicity.score_toxicity(docs, m).collect())
+    assert scores(model) == scores(toxicity.train(docs.repartition(7), labels.repartition(3)))
+    fold_1 = labels.where(toxicity.fold() == 1)
+    for none in (labels.limit(0), fold_1, labels.where("toxic = 1")):
+        assert toxicity.train(docs, none) is None
+        assert {r["__sf_score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
+    flipped = labels.withColumn("toxic", F.when(toxicity.fold() == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert scores(model) == scores(toxicity.train(docs, flipped))  # labels of held-out rows are never used
+    assert toxicity.train(docs, labels, max_labelled=0) is None
+
+
+def test_shared_counts_equal_brute_force(spark):
+    texts = ["banana bandana", "ban an", "banana"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    rows = [(i, texts[i % 3]) for i in range(12)]
+    class_grams = spark.createDataFrame([r for t in texts for r in _contexts(t)], "four_context long, three_context long")
+    tables = toxicity._shared_tables(spark.createDataFrame(rows, "doc_id long, text string"), class_grams)
+    words = collections.Counter(w for _, t in rows for w in t.split())
+    fours, before = collections.Counter(), collections.defaultdict(set)
+    for w, n in words.items():
+        c = f"\x02{w}\x03"
+        for k in range(1, len(c)):
+            fours[c[max(0, k - 3) : k + 1]] += n
+            before[c[max(0, k - 2) : k + 1]].add(c[max(0, k - 3) : k + 1])
+    assert sorted(tables["four"][0].columns["n"].tolist()) == sorted(fours.values())
+    assert sorted(tables["three"][0].columns["n"].tolist()) == sorted(len(v) for v in before.values())
+    totals = collections.Counter()
+    for g, n in fours.items():
+        totals[g[:-1]] += n
+    assert sorted(tables["four"][1].columns["n"].tolist()) == sorted(totals.values()) and labels.count() == 12
+
+
+def _contexts(text: str):
+    g = toxicity.char_grams(np.array(text.split(), object))
+    return [(int(a), int(b)) for a, b in zip(g["four_context"], g["three_context"])]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -519,6 +604,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (2, long + " more", "en", None, 5), (None, long + " and no id at all here", None, "a", None), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, " ".join(f"other{i}" for i in range(30_000)), "en", "b", 5)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, part in (("odd", rows), ("empty", [])):
+        docs = spark.createDataFrame(part, kind).withColumn("node", F.lit("x")).withColumn("__sf", F.lit(1))
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = P.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in got} == ({1, 5} if part else set())
+        assert sum(r.length for r in got if r.start == 0) > 0 or not part
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as P
 
