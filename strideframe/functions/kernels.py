@@ -21,12 +21,14 @@ def morlet(freq: float, rate: float, n_cycles: float) -> np.ndarray:
     return w * np.sqrt(2) / np.linalg.norm(w)
 
 
+def wavelet_bank(freqs: np.ndarray, rate: float) -> list[np.ndarray]:
+    """The wavelets of max(2, f / 2) cycles of all frequencies."""
+    return [morlet(f, rate, max(2.0, f / 2)) for f in freqs]
+
+
 def morlet_transform(signals: np.ndarray, freqs: np.ndarray, rate: float) -> np.ndarray:
-    """Complex (signals, freqs, samples) convolutions, as long as the signal; a wavelet longer than the signal is an error."""
-    n = signals.shape[1]
-    bank = [morlet(f, rate, max(2.0, f / 2)) for f in freqs]
-    if max(map(len, bank)) > n:
-        raise ValueError("a wavelet is longer than the signal")
+    """Complex (signals, freqs, samples) convolutions, as long as the signal, which is 0 beyond its ends."""
+    n, bank = signals.shape[1], wavelet_bank(freqs, rate)
     size = 1 << int(np.ceil(np.log2(n + max(map(len, bank)) - 1)))
     spectrum = np.fft.fft(signals, size)
     out = np.empty((len(signals), len(bank), n), complex)
@@ -36,17 +38,6 @@ def morlet_transform(signals: np.ndarray, freqs: np.ndarray, rate: float) -> np.
     return out
 
 
-def analytic(signals: np.ndarray) -> np.ndarray:
-    """Signal plus i times its Hilbert transform, along the last axis."""
-    n = signals.shape[-1]
-    gain = np.zeros(n)
-    gain[0] = 1
-    gain[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        gain[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(signals) * gain)
-
-
 def band_taps(n: int, low: float, high: float, rate: float) -> np.ndarray:
     """Hamming-windowed sinc band-pass of n (made odd) taps, with gain 1 at the band's centre."""
     n += 1 - n % 2
@@ -55,15 +46,25 @@ def band_taps(n: int, low: float, high: float, rate: float) -> np.ndarray:
     return taps / np.abs(np.sum(taps * np.exp(-2j * np.pi * (low + high) / 2 / rate * t)))
 
 
-def zero_phase(signal: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Filtered forward and backward, after continuing the ends by odd reflection over three filter lengths."""
-    pad = 3 * len(taps)
-    if len(signal) <= pad:
-        raise ValueError("the signal is too short for this filter")
-    x = np.r_[2 * signal[0] - signal[pad:0:-1], signal, 2 * signal[-1] - signal[-2 : -pad - 2 : -1]]
-    once = np.convolve(x, taps)[: len(x)]
-    twice = np.convolve(once[::-1], taps)[: len(x)][::-1]
-    return twice[pad : pad + len(signal)]
+def analytic_kernel(taps: np.ndarray) -> np.ndarray:
+    """The filter's forward and backward pass with only its positive frequencies (doubled), as one complex kernel of 4 * len(taps) + 1 values.
+
+    A band-pass has next to no gain at 0, so this kernel has faded out by then, and the analytic signal follows from
+    samples nearby instead of from the whole recording.
+    """
+    reach = 2 * len(taps)
+    both = np.convolve(taps, taps[::-1])
+    n = 1 << int(np.ceil(np.log2(8 * reach)))
+    x = np.zeros(n)
+    x[np.arange(len(both)) - len(taps) + 1] = both
+    gain = np.zeros(n)
+    gain[1 : n // 2] = 2
+    return np.fft.ifft(np.fft.fft(x) * gain)[np.arange(-reach, reach + 1)]
+
+
+def odd_ends(signal: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The signal, continued by odd reflection over so many samples at its ends."""
+    return np.r_[2 * signal[0] - signal[left:0:-1], signal, 2 * signal[-1] - signal[-2 : -right - 2 : -1]]
 
 
 def welch(segments: np.ndarray, rate: float, n_fft: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,9 @@ def _clusters(mask: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def t_map(x: np.ndarray) -> np.ndarray:
-    """One-sample t values over the first axis; 0 where there is no spread."""
-    sd = x.std(0, ddof=1)
-    return np.where(sd > 0, x.mean(0) / np.where(sd > 0, sd, 1) * np.sqrt(len(x)), 0.0)
+def t_values(sums: np.ndarray, squares: np.ndarray, n: int) -> np.ndarray:
+    """One-sample t values from sums and sums of squares of n observations; 0 where there is no spread."""
+    mean = sums / n
+    var = (squares - n * mean**2) / (n - 1)
+    spread = var > 1e-12 * np.maximum(squares / n, 1e-300)
+    return np.where(spread, mean / np.sqrt(np.where(spread, var, 1) / n), 0.0)

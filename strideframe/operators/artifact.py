@@ -1,4 +1,8 @@
-"""Repeating artifacts: find them, average them to a template, match it along the signal, and take it out."""
+"""Repeating artifacts: find them, average them to a template, match it along the signal, and take it out.
+
+A channel of a recording is one grid (keys). Samples are worked on in chunks; only places (runs of samples below a threshold,
+peaks, windows that overlap) are put in order by channel.
+"""
 
 from __future__ import annotations
 
@@ -9,92 +13,180 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cycles import cut_by_interval
+from .cycles import array_of, cut_by_interval
+from .grid import chunk_arrays, from_arrays, in_chunks
 
+CHUNK = 8192
 
-def spaced(indices: Column, advance: int) -> Column:
-    """Of a sorted array of indices: the first, and then each that is at least advance (>= 1) after the last taken."""
-    step = lambda acc, i: F.when(F.size(acc) == 0, F.array(i)).when(i - F.element_at(acc, -1) >= max(1, advance), F.concat(acc, F.array(i))).otherwise(acc)
-    return F.aggregate(indices, F.array().cast("array<bigint>"), step)
 
+def spaced(places: DataFrame, *, keys: list[str], advance: int, start: str = "at", end: str | None = None) -> DataFrame:
+    """keys, at: of places (runs start to end, or single ones) the first, and then each that is at least advance (>= 1) after the last taken.
 
-def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post: int, advance: int, sd: float = 5.0, order: str = "sample_idx") -> DataFrame:
-    """keys, at: samples below -sd deviations, away from the ends, spaced by advance (G1)."""
+    Runs are disjoint. A run takes its first place that is far enough, and every advance-th from there. Channels are dealt to
+    tasks; within one, runs are read in order and only the last place taken is kept.
+    """
+    step = max(1, advance)
+    kinds = dict(places.dtypes)
+    rows = places.select(*keys, F.col(start).cast("long").alias("_a"), F.col(end or start).cast("long").alias("_b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for pdf in batches:
+            picked, at = [], []
+            for i, (key, a, b) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True)):
+                if key != now:
+                    now, last = key, a - step
+                a = max(a, last + step)
+                if a <= b:
+                    taken = range(a, b + 1, step)
+                    picked += [i] * len(taken)
+                    at += taken
+                    last = taken[-1]
+            yield pdf.iloc[picked][keys].assign(at=np.array(at, np.int64))
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_a")
+    return ordered.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", at long")
+
+
+def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post: int, advance: int, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """keys, at: samples below -sd deviations, away from the ends, spaced by advance (G1). Neighbouring ones are one run until they are spaced."""
     s = samples.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"), (F.max(order) + 1).alias("_n"))
-    hits = samples.join(s, keys).where((F.col(value) < -sd * F.col("_sd")) & (F.col(order) >= pre) & (F.col(order) < F.col("_n") - post))
-    return hits.groupBy(*keys).agg(spaced(F.sort_array(F.collect_list(F.col(order).cast("long"))), advance).alias("_at")).select(*keys, F.explode("_at").alias("at"))
-
-
-def template(samples: DataFrame, hits: DataFrame, *, key: str, value: str, pre: int, post: int, order: str = "sample_idx") -> DataFrame:
-    """key, k, t: the mean of [at - pre, at + post) of all hits by offset k (from 0), less its own mean."""
-    spans = hits.select(key, (F.col("at") - pre).alias("s0"), (F.col("at") + post).alias("s1"))
-    mean = cut_by_interval(samples.select(key, order, value), spans, key=key, order=order).groupBy(key, (F.col(order) - F.col("s0")).alias("k")).agg(F.avg(value).alias("_m"))
-    level = mean.groupBy(key).agg(F.avg("_m").alias("_l"))
-    return mean.join(level, key).select(key, "k", (F.col("_m") - F.col("_l")).alias("t"))
-
-
-def cross_correlation(samples: DataFrame, templates: DataFrame, *, key: str, value: str, width: int, chunk: int = 65536, order: str = "sample_idx") -> DataFrame:
-    """key, order, xc: sum over k of (x[p - width // 2 + k] - mean) * t[k], samples outside the grid as 0 (G3); on chunks with a halo."""
-    mean = samples.groupBy(key).agg(F.avg(value).alias("_mean"))
-    t = templates.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("_t"))
-    own = F.floor(F.col(order) / chunk)
-    at = F.pmod(F.col(order), F.lit(chunk))
-    to = F.array_compact(F.array(own, F.when((at < width) & (own > 0), own - 1), F.when(at >= chunk - width, own + 1)))
-    rows = samples.join(mean, key).select(key, F.col(order).cast("long").alias("i"), (F.col(value) - F.col("_mean")).alias("v"), F.explode(to).alias("chunk")).join(t, key)
-    kind = dict(samples.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        tt, c = np.asarray(pdf["_t"].iloc[0]), int(pdf["chunk"].iloc[0])
-        i, v = pdf["i"].to_numpy(), pdf["v"].to_numpy()
-        padded = np.concatenate([np.zeros(width), v, np.zeros(width)])
-        xc = np.correlate(padded, tt, "valid")[width - width // 2 :][: len(v)]
-        keep = i // chunk == c
-        return pd.DataFrame({key: pdf[key].iloc[0], order: i[keep], "xc": xc[keep]})
-
-    return rows.groupBy(key, "chunk").applyInPandas(run, f"{key} {kind}, {order} long, xc double")
-
-
-def peaks(xc: DataFrame, *, key: str, height: Column, order: str = "sample_idx") -> DataFrame:
-    """key, at: local maxima of at least height; the middle of flat tops; ends are no peaks."""
-    base = Window.partitionBy(key).orderBy(order)
-    last = F.max(order).over(Window.partitionBy(key))
-    change = xc.withColumn("_end", last).withColumn("_prev", F.lag("xc").over(base)).where("_prev IS NULL OR _prev <> xc")
-    runs = change.withColumn("_stop", F.coalesce(F.lead(order).over(base) - 1, F.col("_end"))).withColumn("_next", F.lead("xc").over(base))
-    top = runs.where((F.col("_prev") < F.col("xc")) & (F.col("_next") < F.col("xc")) & (F.col("xc") >= height))
-    return top.select(key, F.floor((F.col(order) + F.col("_stop")) / 2).cast("long").alias("at"))
-
-
-def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, key: str, value: str, width: int, order: str = "sample_idx") -> DataFrame:
+    low = (F.col(value) < -sd * F.col("_sd")) & (F.col(order) >= pre) & (F.col(order) < F.col("_n") - post)
+    rows = samples.select(*keys, order, value).join(s, keys).where(low).select(*keys, order)
+    base = Window.partitionBy(*keys, F.floor(F.col(order) / chunk)).orderBy(order)
+    begun = F.when(F.col(order) - F.lag(order).over(base) == 1, 0).otherwise(1)
+    runs = rows.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_new", begun).withColumn("_run", F.sum("_new").over(base))
+    runs = runs.groupBy(*keys, "_chunk", "_run").agg(F.min(order).alias("_from"), F.max(order).alias("_to"))
+    return spaced(runs, keys=keys, advance=advance, start="_from", end="_to")
+
+
+def template(samples: DataFrame, hits: DataFrame, *, keys: list[str], value: str, pre: int, post: int, order: str = "sample_idx") -> DataFrame:
+    """keys, k, t: the mean of [at - pre, at + post) of all hits by offset k (from 0), less its own mean."""
+    spans = hits.select(*keys, (F.col("at") - pre).alias("s0"), (F.col("at") + post).alias("s1"))
+    mean = cut_by_interval(samples.select(*keys, order, value), spans, keys=keys, order=order).groupBy(*keys, (F.col(order) - F.col("s0")).alias("k")).agg(F.avg(value).alias("_m"))
+    level = mean.groupBy(*keys).agg(F.avg("_m").alias("_l"))
+    return mean.join(level, keys).select(*keys, "k", (F.col("_m") - F.col("_l")).alias("t"))
+
+
+def _template_arrays(templates: DataFrame, keys: list[str]) -> DataFrame:
+    return templates.groupBy(*keys).agg(array_of(F.col("t"), F.col("k")).alias("_t"))
+
+
+def cross_correlation(samples: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """keys, order, xc: sum over k of (x[p - width // 2 + k] - mean) * t[k], samples outside the grid as 0 (G3). A template is sent to each chunk of its channel."""
+    mean = samples.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    chunk = max(chunk, width)
+    arrays = chunk_arrays(samples, keys=keys, order=order, columns=[value], chunk=chunk, halo=width).join(mean, keys).join(_template_arrays(templates, keys), keys)
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for values, means, patterns, skips, owns in batches:
+            out = []
+            for v, m, t, skip, own in zip(values, means, patterns, skips, owns, strict=True):
+                padded = np.concatenate([np.zeros(width), np.asarray(v, float) - m, np.zeros(width)])
+                xc = np.correlate(padded, np.asarray(t, float), "valid")[width - width // 2 :]
+                out.append(xc[skip : skip + own])
+            yield pd.Series(out)
+
+    done = arrays.select(*keys, "chunk", run(value, "_mean", "_t", "skip", "own").alias("xc"))
+    return from_arrays(done, keys=keys, order=order, column="xc", chunk=chunk)
+
+
+def peaks(xc: DataFrame, heights: DataFrame, *, keys: list[str], order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """keys, at: local maxima of at least the height of their channel (heights: keys, height); the middle of flat tops; ends are no peaks.
+
+    Neighbours are compared on chunks. A top of one sample is settled there; of longer ones the two edges are matched by channel.
+    """
+
+    def edges(d: DataFrame, k: list[str]) -> DataFrame:
+        base = Window.partitionBy(*k).orderBy(order)
+        return d.withColumns({"_up": F.lag("xc").over(base) < F.col("xc"), "_same": F.lag("xc").over(base) == F.col("xc"), "_down": F.lead("xc").over(base) < F.col("xc"), "_on": F.lead("xc").over(base) == F.col("xc")})
+
+    marked = in_chunks(xc.select(*keys, order, "xc"), edges, keys=keys, order=order, chunk=chunk, halo=1)
+    ends = marked.where((F.col("_up") & (F.col("_down") | F.col("_on"))) | (F.col("_same") & F.col("_down"))).join(heights, keys).where(F.col("xc") >= F.col("height"))
+    base = Window.partitionBy(*keys).orderBy(order)
+    # of a flat top only its first and last sample are left here: the last one closes the first, if that comes right before it
+    closed = ends.withColumns({"_close": F.lead("_same").over(base) & (F.lead("xc").over(base) == F.col("xc")), "_last": F.lead(order).over(base)})
+    top = F.when(F.col("_up") & F.col("_down"), F.col(order)).when(F.col("_up") & F.col("_on") & F.col("_close"), F.floor((F.col(order) + F.col("_last")) / 2))
+    return closed.select(*keys, top.cast("long").alias("at")).where("at IS NOT NULL")
+
+
+def _windows(at: DataFrame, samples: DataFrame, keys: list[str], width: int, order: str) -> DataFrame:
+    """keys, s0, s1 of the windows around places that lie inside the grid."""
+    n = samples.groupBy(*keys).agg((F.max(order) + 1).alias("_n"))
+    s0 = F.col("at") - width // 2
+    return at.join(n, keys).select(*keys, s0.alias("s0"), (s0 + width).alias("s1"), "_n").where("s0 >= 0 AND s1 <= _n").drop("_n")
+
+
+def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx") -> DataFrame:
     """samples with clean: at each place (from at - width // 2, inside the grid) the template is fitted with an offset by least squares, and taken out.
 
-    Places whose windows overlap are handled in order, each on what the one before left; islands of them go to one task.
+    A template has no mean, so the scale of a window that overlaps no other is sum(t x) / sum(t t): a join and a sum. Windows that
+    overlap are handled in order, each on what the one before left: they are dealt to tasks by island.
     """
-    n = samples.groupBy(key).agg((F.max(order) + 1).alias("_n"))
-    spans = at.join(n, key).select(key, (F.col("at") - width // 2).alias("s0"), (F.col("at") - width // 2 + width).alias("s1"), "_n").where("s0 >= 0 AND s1 <= _n").drop("_n")
-    base = Window.partitionBy(key).orderBy("s0")
+    base = Window.partitionBy(*keys).orderBy("s0")
+    spans = _windows(at, samples, keys, width, order)
     fresh = F.when(F.col("s0") < F.lag("s1").over(base), 0).otherwise(1)
-    islands = spans.withColumn("_f", fresh).withColumn("island", F.sum("_f").over(base)).drop("_f")
-    islands = islands.groupBy(key, "island").agg(F.sort_array(F.collect_list("s0")).alias("_starts"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-    t = templates.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("_t"))
-    held = cut_by_interval(samples.select(key, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("_v")), islands, key=key, order=order).join(t, key)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        v, tt, i0 = pdf["_v"].to_numpy().copy(), np.asarray(pdf["_t"].iloc[0]), int(pdf[order].iloc[0])
-        norm = float(tt @ tt)
-        for s in pdf["_starts"].iloc[0]:
-            a = int(s) - i0
-            if norm > 0:
-                v[a : a + width] -= (tt @ v[a : a + width]) / norm * tt  # the template has no mean: offset and scale part
-        return pd.DataFrame({key: pdf[key].iloc[0], order: pdf[order], "clean": v})
-
-    done = held.groupBy(key, "island").applyInPandas(run, f"{key} {dict(samples.dtypes)[key]}, {order} long, clean double")
-    return samples.join(done, [key, order], "left").withColumn("clean", F.coalesce("clean", F.col(value).cast("double")))
-
-
-def quality(samples: DataFrame, at: DataFrame, *, key: str, value: str, pre: int, post: int, order: str = "sample_idx") -> DataFrame:
-    """key, k, mean, sem (n - 1), n of the windows around places, by offset."""
-    spans = at.select(key, (F.col("at") - pre).alias("s0"), (F.col("at") + post).alias("s1"))
-    cut = cut_by_interval(samples.select(key, order, value), spans, key=key, order=order)
-    return cut.groupBy(key, (F.col(order) - F.col("s0")).alias("k")).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
+    lone = (F.col("_fresh") == 1) & (F.coalesce(F.lead("s0").over(base), F.col("s1")) >= F.col("s1"))
+    spans = spans.withColumn("_fresh", fresh).withColumns({"_lone": lone, "island": F.sum("_fresh").over(base)})
+    x = samples.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("_v"))
+    norm = templates.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("_norm"))
+    t = templates.select(*keys, F.col("k").cast("long").alias("k"), "t")
+
+    held = cut_by_interval(x, spans.where("_lone").select(*keys, "s0", "s1"), keys=keys, order=order).withColumn("k", F.col(order) - F.col("s0")).join(t, [*keys, "k"])
+    scale = held.groupBy(*keys, "s0").agg(F.sum(F.col("t") * F.col("_v")).alias("_dot")).join(norm, keys).select(*keys, "s0", F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(0.0).alias("_scale"))
+    away = scale.join(t, keys).select(*keys, (F.col("s0") + F.col("k")).alias(order), (F.col("_scale") * F.col("t")).alias("_away"))
+
+    islands = spans.where("NOT _lone").groupBy(*keys, "island").agg(F.sort_array(F.collect_list("s0")).alias("_starts"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
+    crowded = cut_by_interval(x, islands.select(*keys, "island", "s0", "s1"), keys=keys, order=order).groupBy(*keys, "island").agg(array_of(F.col("_v"), F.col(order)).alias("_x"))
+    crowded = crowded.join(islands, [*keys, "island"]).join(_template_arrays(templates, keys), keys)
+
+    @F.pandas_udf("array<double>")
+    def in_order(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for values, starts, firsts, patterns in batches:
+            out = []
+            for v, own, first, pattern in zip(values, starts, firsts, patterns, strict=True):
+                left, tt = np.array(v, float), np.asarray(pattern, float)
+                square = float(tt @ tt)
+                for s in own:
+                    a = int(s) - int(first)
+                    if square > 0:
+                        left[a : a + width] -= (tt @ left[a : a + width]) / square * tt
+                out.append(np.asarray(v, float) - left)
+            yield pd.Series(out)
+
+    more = crowded.select(*keys, "s0", F.posexplode(in_order("_x", "_starts", "s0", "_t")).alias("_at", "_away")).select(*keys, (F.col("s0") + F.col("_at")).alias(order), "_away")
+    return samples.join(away.unionByName(more), [*keys, order], "left").withColumn("clean", F.col(value).cast("double") - F.coalesce("_away", F.lit(0.0))).drop("_away")
+
+
+def quality(samples: DataFrame, at: DataFrame, *, keys: list[str], values: list[str], width: int, order: str = "sample_idx") -> DataFrame:
+    """keys, k, n and of each value (before and after) mean and sem (n - 1) of the windows around places, by offset."""
+    spans = _windows(at, samples, keys, width, order)
+    cut = cut_by_interval(samples.select(*keys, order, *values), spans, keys=keys, order=order)
+    stats = [f for v in values for f in (F.avg(v).alias(f"{v}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{v}_sem"))]
+    return cut.groupBy(*keys, (F.col(order) - F.col("s0")).alias("k")).agg(F.count("*").alias("n"), *stats)
+
+
+def matched(samples: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, advance: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """keys, at: peaks of the cross-correlation above half the template's energy, advance apart (G3, G4, G5); 0 keeps all."""
+    xc = cross_correlation(samples, templates, keys=keys, value=value, width=width, order=order, chunk=chunk)
+    heights = templates.groupBy(*keys).agg((0.5 * F.sum(F.col("t") * F.col("t"))).alias("height"))
+    found = peaks(xc, heights, keys=keys, order=order, chunk=chunk)
+    return spaced(found, keys=keys, advance=advance) if advance > 1 else found
+
+
+def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float] = (-0.5, 1.5), discover_advance_s: float = 34.0, filter_advance_s: float = 0.0, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole job on the given channels: samples with clean; keys, k and before/after mean and sem; keys, n_discovered, n_subtracted.
+
+    Channels without a discovered artifact come back as they are.
+    """
+    pre, post = int(-window[0] * rate), int(window[1] * rate)
+    width, names = pre + post, {"keys": keys, "order": order}
+    hits = discover(samples, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, chunk=chunk, **names)
+    t = template(samples, hits, value=value, pre=pre, post=post, **names)
+    at = matched(samples, t, value=value, width=width, advance=int(filter_advance_s * rate), chunk=chunk, **names)
+    clean = subtract(samples, at, t, value=value, width=width, **names)
+    checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), at, values=["before", "after"], width=width, **names)
+    used = _windows(at, samples, keys, width, order).groupBy(*keys).agg(F.count("*").alias("n_subtracted"))
+    counts = samples.select(*keys).distinct().join(hits.groupBy(*keys).agg(F.count("*").alias("n_discovered")), keys, "left").join(used, keys, "left").fillna(0, ["n_discovered", "n_subtracted"])
+    return clean, checked, counts

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import chunk_arrays
+
 
 def bin_means(samples: DataFrame, *, keys: list[str], w: int, columns: list[str], order: str = "sample_idx") -> DataFrame:
     """Means of whole blocks of w samples; a last, shorter block is dropped."""
@@ -12,17 +18,17 @@ def bin_means(samples: DataFrame, *, keys: list[str], w: int, columns: list[str]
     return g.where(F.col("_n") == w).drop("_n")
 
 
-def joint_bins(a: DataFrame, b: DataFrame, *, key: str, bin_s: float, rate_a: float, rate_b: float, value_a: str, value_b: str) -> DataFrame:
+def joint_bins(a: DataFrame, b: DataFrame, *, key: str, bin_s: float, rate_a: float, rate_b: float, values_a: list[str], values_b: list[str], order: str = "sample_idx") -> DataFrame:
     """Means of two recordings by bins of their common span: of a with its end sample, of b half-open."""
-    span = a.groupBy(key).agg(F.max("sample_idx").alias("_a")).join(b.groupBy(key).agg(F.max("sample_idx").alias("_b")), key)
+    span = a.groupBy(key).agg(F.max(order).alias("_a")).join(b.groupBy(key).agg(F.max(order).alias("_b")), key)
     span = span.select(key, F.floor(F.least(F.col("_a") / rate_a, F.col("_b") / rate_b) / bin_s).alias("_bins"))
     wa, wb = bin_s * rate_a, bin_s * rate_b
-    pos = F.col("sample_idx") / wa
+    pos = F.col(order) / wa
     at = F.floor(pos)
     both = F.array_compact(F.array(at, F.when((pos == at) & (at > 0), at - 1)))
-    left = a.join(span, key).withColumn("bin", F.explode(both)).where("bin < _bins").groupBy(key, "bin").agg(F.avg(value_a).alias(value_a))
-    right = b.join(span, key).withColumn("bin", F.floor(F.col("sample_idx") / wb)).where("bin < _bins").groupBy(key, "bin").agg(F.avg(value_b).alias(value_b))
-    return left.join(right, [key, "bin"])
+    left = a.withColumn("bin", F.explode(both)).groupBy(key, "bin").agg(*[F.avg(v).alias(v) for v in values_a])
+    right = b.withColumn("bin", F.floor(F.col(order) / wb)).groupBy(key, "bin").agg(*[F.avg(v).alias(v) for v in values_b])
+    return left.join(right, [key, "bin"]).join(span, key).where("bin < _bins").drop("_bins")
 
 
 def segments(bins: DataFrame, *, keys: list[str], x: str, y: str, value: str | None = None, weight: bool = False) -> DataFrame:
@@ -59,27 +65,50 @@ def mean_sem(df: DataFrame, *, keys: list[str], value: str, sample: bool = False
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), (sd / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
 
-def rhythmicity(samples: DataFrame, *, keys: list[str], value: str, rate: float, bin_s: float = 0.1, win_s: float = 2.0, lag_s: tuple[float, float] = (0.3, 2.0), order: str = "sample_idx") -> DataFrame:
+def rhythmicity(samples: DataFrame, *, keys: list[str], value: str, rate: float, bin_s: float = 0.1, win_s: float = 2.0, lag_s: tuple[float, float] = (0.3, 2.0), order: str = "sample_idx", chunk: int = 8192) -> DataFrame:
     """Of each bin: the largest autocorrelation (relative to lag 0, mean removed) over the lags of a window around it.
 
-    Windows of less than 16 samples give null, constant ones 0. Samples are dealt to the windows that hold them; sums over
-    lags run on the window's array.
+    Windows of less than 16 samples give null, constant ones 0, and those too short for any lag none. All windows of a chunk are
+    worked on at once, on an array that holds half a window more at both ends.
     """
     w, half = max(1, round(bin_s * rate)), round(win_s * rate) // 2
-    lo, hi = round(lag_s[0] * rate), round(lag_s[1] * rate)
-    size = samples.groupBy(*keys).agg((F.max(order) + 1).alias("_n")).withColumn("_bins", F.floor(F.col("_n") / w))
-    s = samples.join(size, keys)
-    first = F.greatest(F.floor((F.col(order) - half - w // 2) / w) + 1, F.lit(0))  # bins whose window [center - half, center + half) holds the sample
-    last = F.least(F.floor((F.col(order) + half - w // 2) / w), F.col("_bins") - 1)
-    dealt = s.where(first <= last).withColumn("bin", F.explode(F.sequence(first, last)))
-    arrays = dealt.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_s"), F.avg(value).alias("_m"))
-    arrays = arrays.withColumn("_c", F.transform("_s", lambda x: x["v"] - F.col("_m"))).drop("_s")
-    def dot(lag: Column) -> Column:
-        n = F.size("_c") - lag
-        return F.aggregate(F.zip_with(F.slice("_c", 1, n), F.slice("_c", lag + 1, n), lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
-
-    zero = dot(F.lit(0))
-    lags = F.sequence(F.lit(lo), F.least(F.lit(hi), F.size("_c")) - 1)
-    top = F.array_max(F.transform(lags, dot))
-    out = F.when(F.size("_c") < 16, F.lit(None).cast("double")).when(zero <= 1e-12, 0.0).otherwise(top / zero)
-    return arrays.where(F.size("_c") > lo).withColumn("rhythm", out).select(*keys, "bin", "rhythm")
+    lo = max(1, round(lag_s[0] * rate))
+    hi = max(lo + 1, round(lag_s[1] * rate))
+    chunk = max(chunk // w * w, -(-(half + w) // w) * w)
+    arrays = chunk_arrays(samples, keys=keys, order=order, columns=[value], chunk=chunk, halo=min(chunk, half + w))
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for values, numbers, skips, owns, sizes in batches:
+            out = []
+            for v, c, skip, own, n in zip(values, numbers, skips, owns, sizes, strict=True):
+                first = int(c) * chunk - int(skip)
+                bins = np.arange(c * chunk // w, min(c * chunk + own, n // w * w) // w)
+                out.append(_rhythms(np.asarray(v, float), bins * w + w // 2 - first, half, lo, hi))
+            yield pd.Series(out)
+
+    done = arrays.where(F.floor(F.col("n") / w) * w > F.col("chunk") * chunk).select(*keys, "chunk", run(value, "chunk", "skip", "own", "n").alias("_r"))
+    rows = done.select(*keys, (F.col("chunk") * (chunk // w)).alias("_first"), F.posexplode("_r").alias("_at", "_v"))
+    # -2 says that no lag fits (a ratio is at least -1)
+    return rows.where("_v IS NULL OR isnan(_v) OR _v >= -1.5").select(*keys, (F.col("_first") + F.col("_at")).alias("bin"), F.nanvl("_v", F.lit(None).cast("double")).alias("rhythm"))
+
+
+def _rhythms(v: np.ndarray, centers: np.ndarray, half: int, lo: int, hi: int) -> np.ndarray:
+    """Of the windows [center - half, center + half) of v, as far as they lie in it: NaN if shorter than 16, 0 if constant, -2 if no lag fits."""
+    if not len(centers):
+        return np.zeros(0)
+    padded = np.r_[np.zeros(half), v, np.zeros(half)]
+    there = np.r_[np.zeros(half), np.ones(len(v)), np.zeros(half)]
+    at = centers[:, None] + np.arange(2 * half)
+    x, m = padded[at], there[at]
+    n = m.sum(1)
+    x = (x - (x.sum(1) / np.maximum(n, 1))[:, None]) * m
+    zero = (x * x).sum(1)
+    best = np.full(len(centers), -np.inf)
+    for lag in range(lo, min(hi, 2 * half)):
+        s = (x[:, : 2 * half - lag] * x[:, lag:]).sum(1)
+        best = np.where(lag < n, np.maximum(best, s), best)
+    out = np.where(zero > 1e-12, best / np.where(zero > 1e-12, zero, 1), 0.0)
+    out[n < 16] = np.nan
+    out[n <= lo] = -2.0
+    return out

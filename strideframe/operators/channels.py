@@ -35,6 +35,30 @@ def rereference(samples: DataFrame, targets: list[str], *, keys: list[str]) -> D
     return out.where("_n = n_terms").select(*keys, F.col("target").alias("ch_name"), "value")
 
 
+def rereference_wide(samples: DataFrame, targets: list[str], *, keys: list[str]) -> DataFrame:
+    """keys and the derived channels of samples with a column for each channel (A4): arithmetic on every row. A missing source is an error."""
+    made = {t.upper(): terms for t in targets if (terms := bipolar_terms(t))}
+    missing = {c for terms in made.values() for c in terms} - set(samples.columns)
+    if missing:
+        raise ValueError(f"missing channels {sorted(missing)}")
+    total = lambda terms: sum((c * F.col(s) for s, c in terms.items()), F.lit(0.0))
+    return samples.select(*keys, *[total(terms).alias(t) for t, terms in made.items()])
+
+
+def pick_wide(samples: DataFrame, picks: list[str], *, keys: list[str]) -> DataFrame:
+    """keys, the picked channels that are columns, and then the others derived (A3)."""
+    there, derived = [p for p in picks if p in samples.columns], [p for p in picks if p not in samples.columns]
+    out = rereference_wide(samples, derived, keys=[*keys, *there]) if derived else samples.select(*keys, *there)
+    if len(out.columns) == len(keys):
+        raise ValueError("no channel is left")
+    return out
+
+
+def to_long(samples: DataFrame, *, keys: list[str]) -> DataFrame:
+    """keys, ch_name and value of samples with a column for each channel."""
+    return samples.unpivot(keys, [c for c in samples.columns if c not in keys], "ch_name", "value")
+
+
 def pick_channels(samples: DataFrame, picks: list[str], available: list[str], *, keys: list[str]) -> DataFrame:
     """Requested channels that exist, and the others derived (A3)."""
     there, derived = [p for p in picks if p in available], [p for p in picks if p not in available]

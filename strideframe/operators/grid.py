@@ -7,6 +7,8 @@ one shuffle, and drop_halo() keeps each chunk's own rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,28 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where("chunk = own_chunk").drop("chunk", "own_chunk")
 
 
+def in_chunks(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], *, keys: list[str], order: str, chunk: int, halo: int) -> DataFrame:
+    """fn(rows, keys) run on chunks of each grid instead of on whole grids; what it gives for a row must follow from rows within halo of it."""
+    return drop_halo(fn(with_halo(df, order=order, chunk=chunk, halo=halo), [*keys, "chunk"]))
+
+
+def chunk_arrays(df: DataFrame, *, keys: list[str], order: str, columns: list[str], chunk: int, halo: int) -> DataFrame:
+    """A row for each chunk of a grid that starts at 0: keys, chunk, skip (samples of the halo before its own), own (its own samples), n (the grid's samples) and an array of each column.
+
+    Helpers then work on batches of such rows, whose size chunk + 2 * halo bounds, whatever the length of a recording.
+    """
+    size = df.groupBy(*keys).agg((F.max(order) + 1).alias("n"))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(c).cast("double").alias(c) for c in columns])))
+    arrays = with_halo(df.select(*keys, order, *columns), order=order, chunk=chunk, halo=halo).groupBy(*keys, "chunk").agg(packed.alias("_p"), F.count_if(F.col("own_chunk") < F.col("chunk")).cast("int").alias("skip"), F.count_if(F.col("own_chunk") == F.col("chunk")).cast("int").alias("own"))
+    parts = [F.col("_p")[c].alias(c) for c in columns]
+    return arrays.where("own > 0").join(size, keys).select(*keys, "chunk", "skip", "own", "n", *parts)
+
+
+def from_arrays(df: DataFrame, *, keys: list[str], order: str, column: str, chunk: int) -> DataFrame:
+    """keys, order and column of rows (keys, chunk, column: an array of the chunk's own samples)."""
+    return df.select(*keys, "chunk", F.posexplode(column).alias("_at", column)).select(*keys, (F.col("chunk") * chunk + F.col("_at")).alias(order), column)
+
+
 def grid_gaps(df: DataFrame, *, keys: list[str], order: str) -> DataFrame:
     """Rows, first and last index of each grid, and whether none is missing or twice."""
     g = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(order).alias("first_idx"), F.max(order).alias("last_idx"), F.count_distinct(order).alias("n_distinct"))
@@ -53,16 +77,16 @@ def smooth_reflected(df: DataFrame, *, keys: list[str], order: str, columns: dic
     half = w // 2
     base = Window.partitionBy(*keys).orderBy(order)
     whole = base.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = df.withColumn("_first", F.min(order).over(Window.partitionBy(*keys))).withColumn("_last", F.max(order).over(Window.partitionBy(*keys)))
+    edges = {"_first": F.first(order).over(whole), "_last": F.last(order).over(whole)}
     for i, c in enumerate(columns.values()):
-        ends = ends.withColumn(f"_a{i}", F.first(c).over(whole)).withColumn(f"_b{i}", F.last(c).over(whole))
+        edges |= {f"_a{i}": F.first(c).over(whole), f"_b{i}": F.last(c).over(whole)}
+    ends = df.withColumns(edges)  # one window for all
     o = F.col(order)
     put = lambda at, side: F.struct(at.cast("long").alias("at"), *[(F.col(c).cast("double") if side is None else 2 * F.col(f"_{side}{i}") - F.col(c)).alias(f"v{i}") for i, c in enumerate(columns.values())])
     left = F.when((o > F.col("_first")) & (o <= F.col("_first") + half), put(2 * F.col("_first") - o, "a"))
     right = F.when((o < F.col("_last")) & (o >= F.col("_last") - half), put(2 * F.col("_last") - o, "b"))
     rows = ends.withColumn("_p", F.explode(F.array_compact(F.array(put(o, None), left, right)))).withColumn("_at", F.col("_p.at"))
-    for i, name in enumerate(columns):
-        rows = rows.withColumn(f"_s{i}", _frame_sum(F.col(f"_p.v{i}"), keys, "_at", w) / w)
+    rows = rows.withColumns({f"_s{i}": _frame_sum(F.col(f"_p.v{i}"), keys, "_at", w) / w for i in range(len(columns))})
     rows = rows.where(F.col("_at") == o)
     return rows.select(*[c for c in df.columns if c not in columns], *[F.col(f"_s{i}").alias(n) for i, n in enumerate(columns)])
 

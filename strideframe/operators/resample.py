@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cycles import array_of, cut_by_interval
+from .grid import in_chunks
+from .kinematics import walking_speed
+
 
 def bound(value: Column, use) -> Column:
     """use(value) with value evaluated once, also where it is used inside a lambda."""
@@ -37,17 +41,37 @@ def piecewise(v: Column, frames: int, mid: Column) -> Column:
     return bound(v, warped)
 
 
-def trial_bins(events: DataFrame, windows: DataFrame, *, key: str, n_bins: int, value: str = "value", agg: str = "mean", duration: str | None = None) -> DataFrame:
+def trial_bins(events: DataFrame, windows: DataFrame, *, key: str, n_bins: int, value: str = "value", agg: str = "mean", duration: str | None = None, bucket_s: float | None = None) -> DataFrame:
     """window_id, bin and value of every bin of windows (key, window_id, tmin, tmax): mean or median of the events in it, or null.
 
-    An event counts in the bin of its onset, with duration in all bins from its start to its end.
+    An event counts in the bin of its onset, with duration in all bins from its start to its end. Windows are dealt to time buckets
+    (as long as the mean window, unless bucket_s is given), so events meet only the windows around them.
     """
-    e = events.withColumn("_v", F.nanvl(F.col(value), F.lit(None).cast("double")))
-    j = e.join(windows, key).where((F.col("onset") >= F.col("tmin")) & (F.col("onset") < F.col("tmax")))
+    if bucket_s is None:
+        bucket_s = windows.agg(F.avg(F.col("tmax") - F.col("tmin"))).first()[0] or 1.0
+    at = lambda t: F.floor(t / bucket_s)
+    e = events.select(key, "onset", *([duration] if duration else []), F.nanvl(F.col(value), F.lit(None).cast("double")).alias("_v"), at(F.col("onset")).alias("_bucket"))
+    dealt = windows.where("tmax > tmin").withColumn("_bucket", F.explode(F.sequence(at(F.col("tmin")), at(F.col("tmax")))))
+    j = e.join(dealt, [key, "_bucket"]).where((F.col("onset") >= F.col("tmin")) & (F.col("onset") < F.col("tmax")))
     bin_of = lambda t: F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), ((t - F.col("tmin")) / (F.col("tmax") - F.col("tmin")) * n_bins).cast("int")))
     first = bin_of(F.col("onset"))
-    last = F.greatest(first, bin_of(F.col("onset") + F.col(duration))) if duration else first
-    filled = j.select(key, "window_id", F.explode(F.sequence(first, last)).alias("bin"), "_v")
+    last = bin_of(F.col("onset") + F.col(duration)) if duration else first
+    # an event of negative length counts in no bin
+    filled = j.where(last >= first).select(key, "window_id", F.explode(F.sequence(first, last)).alias("bin"), "_v")
     combined = filled.groupBy(key, "window_id", "bin").agg((F.avg("_v") if agg == "mean" else F.median("_v")).alias("value"))
     grid = windows.select(key, "window_id", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     return grid.join(combined, [key, "window_id", "bin"], "left")
+
+
+def trial_speed_matrix(motion: DataFrame, windows: DataFrame, *, key: str, x: str, y: str, rate: float, duration_s: float, smooth_s: float | None = 0.2, bin_s: float = 0.1, order: str = "sample_idx", chunk: int = 65536) -> DataFrame:
+    """window_id, bin and value: walking speed in each window (key, window_id, tmin, tmax in seconds from the first sample), stretched to round(duration_s / bin_s) bins (D3).
+
+    Windows that don't lie inside their recording have no rows.
+    """
+    half = max(1, round((smooth_s or 0) * rate)) // 2
+    speed = in_chunks(motion.select(key, order, x, y), lambda d, k: walking_speed(d, keys=k, order=order, x=x, y=y, rate=rate, smooth_s=smooth_s), keys=[key], order=order, chunk=chunk, halo=half + 2)
+    at = lambda t: F.rint(F.col(t) * rate).cast("long")
+    spans = windows.select(key, "window_id", at("tmin").alias("s0"), at("tmax").alias("s1")).where("s0 >= 0 AND s1 > s0")
+    whole = cut_by_interval(speed.select(key, order, "speed"), spans, keys=[key], order=order).groupBy(key, "window_id", "s0", "s1").agg(array_of(F.col("speed"), F.col(order)).alias("_v"))
+    inside = whole.where(F.size("_v") == F.col("s1") - F.col("s0"))
+    return inside.select(key, "window_id", F.posexplode(linear(F.col("_v"), max(1, round(duration_s / bin_s)))).alias("bin", "value"))

@@ -13,54 +13,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .cycles import array_of
+from .channels import combine_channels, pick_channels
+from .cycles import array_of, first_cycles
+from .events import with_tag
+from .grid import chunk_arrays, from_arrays
 from .resample import bound, linear, piecewise
+from .stats import cluster_test
 
 
 def by_length(signals: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and stacked signals of each length."""
-    sizes = signals.map(len).to_numpy()
-    for n in np.unique(sizes):
+    """Row numbers and stacked signals of each length; null and empty ones are left out."""
+    sizes = signals.map(lambda x: 0 if x is None else len(x)).to_numpy(int)
+    for n in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == n)
         yield at, np.stack([np.asarray(signals.iloc[i], float) for i in at])
 
 
-def _per_signal(fn, kind: str):
+def _per_signal(fn, kind: str, least: int = 1):
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             out: list = [None] * len(s)
             for at, x in by_length(s):
-                for i, y in zip(at, fn(x), strict=True):
-                    out[i] = y.tolist()
+                if x.shape[1] >= least:
+                    for i, y in zip(at, fn(x), strict=True):
+                        out[i] = y.tolist()
             yield pd.Series(out)
 
     return run
 
 
-def band_power(signal: Column, *, rate: float, low: float, high: float, method: str = "morlet") -> Column:
-    """Power in a band along the signal: the mean over the grid's frequencies in it (E2), or filtered and squared."""
-    return _per_signal(lambda x: _band(x, rate, low, high, method, np.abs, True), "array<double>")(signal)
+def _freqs(rate: float, low: float, high: float) -> np.ndarray:
+    """The octave grid's frequencies in a band, up to half the rate."""
+    grid = K.octave_grid(0, min(90.0, rate / 2))
+    inside = grid[(grid >= low) & (grid <= high)]
+    if not len(inside):
+        raise ValueError("no frequency of the grid lies in the band")
+    return inside
 
 
-def band_phase(signal: Column, *, rate: float, low: float, high: float, method: str = "morlet") -> Column:
-    """Phase in a band along the signal; of wavelets the plain mean of the angles."""
-    return _per_signal(lambda x: _band(x, rate, low, high, method, np.angle, False), "array<double>")(signal)
+def band_reach(*, rate: float, low: float, high: float, method: str = "morlet") -> int:
+    """How many samples to each side a sample's band power or phase follows from; shorter signals (no longer than twice this) have none."""
+    if method == "morlet":
+        return max(len(w) for w in K.wavelet_bank(_freqs(rate, low, high), rate)) // 2
+    return 2 * len(K.band_taps(int(rate), low, high, rate))
 
 
-def _band(x, rate, low, high, method, part, squared):
+def _band(x: np.ndarray, rate: float, low: float, high: float, method: str, part, left: bool = True, right: bool = True) -> np.ndarray:
+    """part of the transform of rows of signals that begin (left) and end (right) with their recording, else inside it."""
     if method == "morlet":
-        grid = K.octave_grid(0, 90)
-        z = part(K.morlet_transform(x, grid[(grid >= low) & (grid <= high)], rate))
-        return (z**2 if squared else z).mean(1)
+        return part(K.morlet_transform(x, _freqs(rate, low, high), rate)).mean(1)
     taps = K.band_taps(int(rate), low, high, rate)
-    z = part(K.analytic(np.stack([K.zero_phase(s, taps) for s in x])))
-    return z**2 if squared else z
+    kernel, reach = K.analytic_kernel(taps), 2 * len(taps)
+    out = np.zeros(x.shape, complex)
+    for i, signal in enumerate(x):
+        a, b = reach * left, reach * right
+        whole = np.convolve(K.odd_ends(signal, a, b) if len(signal) > reach else signal, kernel)
+        out[i] = whole[reach + a : reach + a + len(signal)]
+    return part(out)
+
+
+def _power(z: np.ndarray) -> np.ndarray:
+    return np.abs(z) ** 2
+
+
+def band_power(signal: Column, *, rate: float, low: float, high: float, method: str = "morlet") -> Column:
+    """Power in a band along the signal: the mean over the grid's frequencies in it (E2), or filtered and squared (E3); null for signals that are too short."""
+    return _per_signal(lambda x: _band(x, rate, low, high, method, _power), "array<double>", 2 * band_reach(rate=rate, low=low, high=high, method=method) + 1)(signal)
+
+
+def band_phase(signal: Column, *, rate: float, low: float, high: float, method: str = "morlet") -> Column:
+    """Phase in a band along the signal; of wavelets the plain mean of the angles (E4); null for signals that are too short."""
+    return _per_signal(lambda x: _band(x, rate, low, high, method, np.angle), "array<double>", 2 * band_reach(rate=rate, low=low, high=high, method=method) + 1)(signal)
+
+
+def recording_band(samples: DataFrame, *, keys: list[str], value: str, rate: float, low: float, high: float, method: str = "morlet", output: str = "power", order: str = "sample_idx", chunk: int = 8192) -> DataFrame:
+    """keys, order and power (or phase) of a band along whole recordings (E2, E3, E4), on chunks with as many samples beside them as a value follows from.
+
+    Recordings that are no longer than that have no rows.
+    """
+    reach = band_reach(rate=rate, low=low, high=high, method=method)
+    chunk = max(chunk, reach)
+    part = _power if output == "power" else np.angle
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for values, numbers, skips, owns, sizes in batches:
+            out = []
+            for v, c, skip, own, n in zip(values, numbers, skips, owns, sizes, strict=True):
+                x = np.asarray(v, float)
+                first = c * chunk - skip
+                z = _band(x[None], rate, low, high, method, part, left=first == 0, right=first + len(x) == n)[0]
+                out.append(z[skip : skip + own])
+            yield pd.Series(out)
+
+    arrays = chunk_arrays(samples, keys=keys, order=order, columns=[value], chunk=chunk, halo=reach).where(F.col("n") > 2 * reach)
+    done = arrays.select(*keys, "chunk", run(value, "chunk", "skip", "own", "n").alias(output))
+    return from_arrays(done, keys=keys, order=order, column=output, chunk=chunk)
 
 
 def morlet_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], output: str = "power") -> DataFrame:
-    """keys, freq and values (power, phase; or re and im) of each epoch."""
+    """keys, freq and values (power, phase; or re and im) of each epoch (E1); epochs shorter than the longest wavelet have no rows."""
     f = np.array(freqs)
+    least = max(map(len, K.wavelet_bank(f, rate)))
     cols = ["re", "im"] if output == "complex" else ["values"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,6 +123,8 @@ def morlet_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 for at, x in by_length(part["signal"]):
+                    if x.shape[1] < least:
+                        continue
                     z = K.morlet_transform(x, f, rate)
                     parts = {"power": [np.abs(z) ** 2], "phase": [np.angle(z)], "complex": [z.real, z.imag]}[output]
                     rows = part.iloc[np.repeat(at, len(f))][keys].reset_index(drop=True)
@@ -106,6 +163,48 @@ def event_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: fl
     return _exploded_mean(done, keys, "_q")
 
 
+def epoch_arrays(samples: DataFrame, *, keys: list[str], picks: list[str] | None = None, available: list[str] | None = None, value: str = "value", order: str = "epoch_idx") -> DataFrame:
+    """keys, ch_name and signal of epochs in long rows (keys, ch_name, order, value), of the picked or derived channels (A3)."""
+    rows = samples if picks is None else pick_channels(samples.withColumnRenamed(value, "value"), picks, available or [], keys=[*keys, order]).withColumnRenamed("value", value)
+    return rows.groupBy(*keys, "ch_name").agg(array_of(F.col(value).cast("double"), F.col(order)).alias("signal"))
+
+
+def event_traces(epochs: DataFrame, *, keys: list[str], event_key: str, picks: list[str], rate: float, start_s: float, low: float = 4.0, high: float = 8.0, t_range: tuple[float, float] = (-1.0, 2.0), baseline: tuple[float, float] = (-1.0, 0.0), buffer_s: float = 0.5, method: str = "morlet", rescale: str = "zscore", combine: str = "mean") -> DataFrame:
+    """keys (with ch_name if combine is "separate"), t and value: band power traces of the epochs (keys, ch_name, description, signal, beginning at start_s) of one event.
+
+    Epochs whose description has the tag event_key, and the picked channels, are cut to t_range with a buffer at both ends, which the
+    power goes without; it is then baseline corrected.
+    """
+    if combine not in ("mean", "separate"):
+        raise ValueError("combine must be mean or separate")
+    chosen = with_tag(epochs.where(F.col("ch_name").isin(picks)), event_key)
+    at = lambda t: round((t - start_s) * rate)
+    base = tuple(round((b - t_range[0]) * rate) for b in baseline)
+    ids = [*keys, "ch_name"] if combine == "separate" else keys
+    traces = event_band_power(chosen, keys=ids, rate=rate, low=low, high=high, crop=(at(t_range[0]), at(t_range[1])), baseline=base, buffer=round(buffer_s * rate), method=method, rescale=rescale)
+    return traces.select(*ids, (t_range[0] + F.col("bin") / rate).alias("t"), "value")
+
+
+def single_cycle_maps(epochs: DataFrame, *, keys: list[str], recording: str, cycle: str, rate: float, freqs: list[float], n_show: int = 5, crop_pad: bool = True) -> DataFrame:
+    """recording, cycle, freq, bin, value: wavelet power of each recording's first n_show cycles, mean over channels, without the pads, not warped."""
+    ids = list(dict.fromkeys([recording, cycle, *keys]))
+    shown = first_cycles(epochs.select(recording, cycle).distinct(), keys=[recording], order=cycle, n=n_show)
+    marks = ["cycle_start_idx", "cycle_end_idx"] if crop_pad else []
+    maps = morlet_maps(epochs.join(shown, [recording, cycle]), keys=[*ids, *marks], rate=rate, freqs=freqs)
+    core = F.slice("values", F.col("cycle_start_idx").cast("int") + 1, (F.col("cycle_end_idx") - F.col("cycle_start_idx")).cast("int")) if crop_pad else F.col("values")
+    return _exploded_mean(maps.withColumn("_c", core), [recording, cycle, "freq"], "_c")
+
+
+def average_cycle_map(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore", permutations: int = 1024, seed: int = 7) -> DataFrame:
+    """freq, bin, phase (0 to 1), value (mean over cycles), t, p and significant of the warped maps of all cycles (E11: E8, D13 and F1); keys name a cycle."""
+    maps = cycle_maps(epochs, keys=keys, rate=rate, freqs=freqs, n=n, rescale=rescale)
+    number = F.array_position(F.array(*[F.lit(float(f)) for f in freqs]), F.col("freq")).cast("int") - 1
+    long = maps.select(F.struct(*keys).alias("obs"), number.alias("freq_idx"), "bin", "value")
+    mean = combine_channels(maps, keys=["freq", "bin"], value="value").withColumn("freq_idx", number)
+    test = cluster_test(long, n_freqs=len(freqs), n_bins=n, permutations=permutations, seed=seed)
+    return mean.join(test, ["freq_idx", "bin"], "left").select("freq", "bin", (F.col("bin") / max(1, n - 1)).alias("phase"), "value", "t", "p", "significant")
+
+
 def cycle_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: float, high: float, n: int = 100, method: str = "morlet", rescale: str = "zscore") -> DataFrame:
     """keys, bin, value: band power of padded epochs, normalized over the whole epoch, cut to [cycle_start_idx, cycle_end_idx) and warped to n bins."""
     p = epochs.withColumn("_p", band_power(F.col("signal"), rate=rate, low=low, high=high, method=method))

@@ -6,49 +6,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import t_map, tfce
+from ..functions.kernels import t_values, tfce
 
-#: Values of a test's observations (observations x cells), which go to every task.
-MAX_VALUES = 16_000_000
+_MULTIPLIERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+#: Sums of a block of permutations are added in this many parts first, then those.
+FAN_IN = 64
+
+
+def flips(obs: np.ndarray, permutations: np.ndarray, seed: int) -> np.ndarray:
+    """Signs (permutations x observations) of 64-bit keys of observations: the same wherever an observation is."""
+    with np.errstate(over="ignore"):
+        x = obs.view(np.uint64)[None] + (permutations.astype(np.uint64)[:, None] + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in zip((30, 27), _MULTIPLIERS, strict=True):
+            x = (x ^ (x >> np.uint64(shift))) * by
+    return np.where(x >> np.uint64(63), 1.0, -1.0)
+
+
+def t_map(maps: DataFrame) -> DataFrame:
+    """freq_idx, bin and t (0 without spread) of maps (obs, freq_idx, bin, value) against 0."""
+    g = maps.groupBy("freq_idx", "bin").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count("value").alias("_n"))
+    return g.select("freq_idx", "bin", F.when(F.col("_s") > 0, F.col("_m") / (F.col("_s") / F.sqrt("_n"))).otherwise(0.0).alias("t"))
 
 
 def cluster_test(maps: DataFrame, *, n_freqs: int, n_bins: int, permutations: int = 1024, seed: int = 7, block: int = 32) -> DataFrame:
     """freq_idx, bin, t, p and significant (p < 0.05) of maps (obs, freq_idx, bin, value) against 0, by sign flips and TFCE (F1).
 
-    The observations of one test are sent to all tasks (at most MAX_VALUES values, else ValueError); permutations are
-    dealt to tasks in blocks, each with its own seed. Less than two observations give an empty result.
+    Every task sums the flipped values of its own rows for all permutations (an observation's signs follow from its key); these
+    sums are added by blocks of permutations, each of which is one task's t maps. So observations never come together: only
+    maps of n_freqs x n_bins cells do, of which the observed one and the counts are all that goes through the driver. A cell that an
+    observation doesn't have is 0. Less than two observations give an empty result.
     """
-    spark = maps.sparkSession
-    n_obs = maps.select("obs").distinct().count()
-    if n_obs * n_freqs * n_bins > MAX_VALUES:
-        raise ValueError("too many observations for one test")
+    spark, cells = maps.sparkSession, n_freqs * n_bins
+    blocks = -(-permutations // block)
     schema = "freq_idx int, bin int, t double, p double, significant boolean"
+    rows = maps.select(F.xxhash64("obs").alias("obs"), (F.col("freq_idx") * n_bins + F.col("bin")).cast("int").alias("cell"), F.col("value").cast("double").alias("value"))
+    n_obs = rows.agg(F.count_distinct("obs")).first()[0]
     if n_obs < 2:
         return spark.createDataFrame([], schema)
-    rows = maps.select("obs", "freq_idx", "bin", "value").toArrow().to_pandas()
-    obs = pd.factorize(rows["obs"], sort=True)[0]
-    x = np.zeros((n_obs, n_freqs, n_bins))
-    x[obs, rows["freq_idx"], rows["bin"]] = rows["value"]
-    t = t_map(x)
-    seen = np.abs(tfce(t))
-    sent = spark.sparkContext.broadcast((x, seen))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, goal = sent.value
+    totals = rows.groupBy("cell").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).toArrow().to_pandas()  # one row a cell
+    sums, squares = np.zeros(cells), np.zeros(cells)
+    sums[totals["cell"]], squares[totals["cell"]] = totals["s"], totals["q"]
+    t = t_values(sums, squares, n_obs)
+    seen = np.abs(tfce(t.reshape(n_freqs, n_bins))).ravel()
+
+    def flipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((permutations, cells))
         for pdf in batches:
-            for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                beaten = np.zeros(goal.shape, np.int64)
-                for _ in range(min(block, permutations - int(b) * block)):
-                    flips = rng.choice([-1.0, 1.0], len(data))[:, None, None]
-                    beaten += np.abs(tfce(t_map(data * flips))).max() >= goal
-                f, k = np.indices(goal.shape)
-                yield pd.DataFrame({"freq_idx": f.ravel(), "bin": k.ravel(), "n": beaten.ravel()})
+            at, obs = pd.factorize(pdf["obs"])
+            dense = np.zeros((len(obs), cells))
+            np.add.at(dense, (at, pdf["cell"].to_numpy()), pdf["value"].fillna(0).to_numpy())
+            for lo in range(0, permutations, block):
+                own = np.arange(lo, min(lo + block, permutations))
+                total[own] += flips(np.asarray(obs, np.int64), own, seed) @ dense
+        part = TaskContext.get().partitionId() % FAN_IN
+        for b in range(blocks):
+            yield pd.DataFrame({"block": [b], "part": [part], "sums": [total[b * block : (b + 1) * block].tobytes()]})
 
-    blocks = -(-permutations // block)
-    hits = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, "freq_idx int, bin int, n long").groupBy("freq_idx", "bin").agg(((F.sum("n") + 1) / (permutations + 1)).alias("p"))
-    own = spark.createDataFrame(pd.DataFrame([(int(i), int(j), float(t[i, j])) for i in range(n_freqs) for j in range(n_bins)], columns=["freq_idx", "bin", "t"]), "freq_idx int, bin int, t double")
-    return own.join(hits, ["freq_idx", "bin"]).select("freq_idx", "bin", "t", "p", (F.col("p") < 0.05).alias("significant"))
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.head(1).assign(sums=[sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()])
+
+    def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["sums"]).reshape(-1, cells)
+        most = [np.abs(tfce(t_values(x, squares, n_obs).reshape(n_freqs, n_bins))).max() for x in total]
+        return pd.DataFrame({"cell": np.arange(cells), "n": (np.array(most)[:, None] >= seen[None]).sum(0)})
+
+    kinds = "block int, part int, sums binary"
+    parts = rows.mapInPandas(flipped, kinds).groupBy("block", "part").applyInPandas(added, kinds).groupBy("block").applyInPandas(beaten, "cell int, n long")
+    p = parts.groupBy("cell").agg(((F.sum("n") + 1) / (permutations + 1)).alias("p"))
+    own = spark.createDataFrame(pd.DataFrame({"cell": np.arange(cells), "t": t}), "cell int, t double")
+    return own.join(p, "cell").select(F.floor(F.col("cell") / n_bins).cast("int").alias("freq_idx"), (F.col("cell") % n_bins).cast("int").alias("bin"), "t", "p", (F.col("p") < 0.05).alias("significant"))

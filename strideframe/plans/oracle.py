@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-MOTION = """motion AS (SELECT l_suppkey AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS sample_idx,
-  l_extendedprice / 97 AS x, l_quantity * 20 AS y, l_discount * 10000 AS lx, l_tax * 10000 AS ly, l_quantity * l_tax * 100 AS rx, l_extendedprice * l_discount / 10 AS ry FROM lineitem)"""
+MOTION = """motion AS MATERIALIZED (SELECT l_suppkey AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS sample_idx,
+  l_extendedprice / 97.13579::DOUBLE AS x, l_quantity * 20 AS y, l_discount * 10000 AS lx, l_tax * 10000 AS ly, l_quantity * l_tax * 100 AS rx, l_extendedprice * l_discount / 10 AS ry FROM lineitem)"""
 SWING = "swing AS (SELECT o_custkey AS recording_id, o_orderkey AS event_id, CAST(epoch(o_orderdate) AS BIGINT) / 86400.0 AS onset, CASE o_orderstatus WHEN 'O' THEN 'L' WHEN 'F' THEN 'R' ELSE 'reset' END AS kind, o_totalprice / 997 AS steplen_m FROM orders)"
 SESSION = "session AS (SELECT c_nationkey AS session_id, o_custkey AS recording_id, CAST(epoch(min(o_orderdate)) AS BIGINT) / 86400.0 AS start, CAST(epoch(max(o_orderdate)) AS BIGINT) / 86400.0 - CAST(epoch(min(o_orderdate)) AS BIGINT) / 86400.0 AS length FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"
 CUE = "cue AS (SELECT user_id AS recording_id, event_id, epoch_us(ts) / 1000000.0 - 1704067200 AS onset, event_type AS description, value FROM events)"
-PAIRS = """step1 AS (SELECT *, lead(kind) OVER w AS k2, lead(onset) OVER w AS right_onset, lead(steplen_m) OVER w AS right_steplen_m FROM swing WHERE kind <> 'reset' WINDOW w AS (PARTITION BY recording_id ORDER BY onset, event_id)),
+PAIRS = """step1 AS (SELECT *, lead(kind) OVER w AS k2, lead(onset) OVER w AS right_onset, lead(steplen_m) OVER w AS right_steplen_m, lead(event_id) OVER w AS right_event_id FROM swing WHERE kind <> 'reset' WINDOW w AS (PARTITION BY recording_id ORDER BY onset, event_id)),
 pairs AS (SELECT * FROM (SELECT *, steplen_m AS left_steplen_m, lead(onset) OVER (PARTITION BY recording_id ORDER BY onset, event_id) - onset AS duration FROM step1 WHERE kind = 'L') WHERE k2 = 'R')"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 MOTION_RATE, EPOCH_RATE = 10.0, 64.0
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one where that is unset and all runs in one local JVM, else ValueError."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-strideframe-")
+
+
 def load_recordings(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Sample tables of several runs as one (A1); run_pos is the place of a row's path in the list."""
     parts = [spark.read.parquet(p).withColumn("run_pos", F.lit(i)) for i, p in enumerate(paths)]
@@ -24,11 +36,11 @@ def write_samples(samples: DataFrame, path: str, *, by: str = "recording_id", bu
 
 
 def motion_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recording of each supplier: its line items in time order are the samples."""
+    """A recording of each supplier: its line items in time order are the samples. The divisor of x keeps means off the edges of rounding."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     idx = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1
-    cols = {"x": F.col("l_extendedprice") / 97, "y": F.col("l_quantity") * 20, "lx": F.col("l_discount") * 10000, "ly": F.col("l_tax") * 10000, "rx": F.col("l_quantity") * F.col("l_tax") * 100, "ry": F.col("l_extendedprice") * F.col("l_discount") / 10}
+    cols = {"x": F.col("l_extendedprice") / 97.13579, "y": F.col("l_quantity") * 20, "lx": F.col("l_discount") * 10000, "ly": F.col("l_tax") * 10000, "rx": F.col("l_quantity") * F.col("l_tax") * 100, "ry": F.col("l_extendedprice") * F.col("l_discount") / 10}
     return t.select(F.col("l_suppkey").alias("recording_id"), idx.cast("long").alias("sample_idx"), *[v.alias(k) for k, v in cols.items()])
 
 

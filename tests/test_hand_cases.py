@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.functions import kernels as K
-from strideframe.operators import artifact, bins, channels, cycles, events, grid, kinematics, resample, spectral
+from strideframe.operators import artifact, bins, channels, cycles, events, grid, kinematics, overlays, resample, spectral, stats
 
 KEYS = {"keys": ["r"], "order": "i"}
 
@@ -143,13 +143,85 @@ def test_overlap(spark):
     assert span((0.0, 10.0), (10.0, 20.0)) and not span((0.0, 10.0), (10.5, 20.0))
 
 
-def test_spacing_and_fit(spark):
-    df = spark.createDataFrame([([1, 3, 20, 22, 60],)], "a array<bigint>")
-    assert df.select(artifact.spaced(F.col("a"), 10)).first()[0] == [1, 20, 60]
+def test_spacing(spark):
+    runs = spark.createDataFrame([("a", 1, 1), ("a", 3, 3), ("a", 20, 22), ("a", 60, 60), ("b", 5, 31), ("b", 33, 36), ("b", 47, 47)], "r string, s long, e long")
+    got = artifact.spaced(runs, keys=["r"], advance=10, start="s", end="e").orderBy("r", "at").collect()
+    assert [(x.r, x.at) for x in got] == [("a", 1), ("a", 20), ("a", 60), ("b", 5), ("b", 15), ("b", 25), ("b", 35), ("b", 47)]
+    assert artifact.spaced(runs.limit(0), keys=["r"], advance=10, start="s", end="e").count() == 0
+
+
+def greedy(x, threshold, pre, post, advance):
+    hits, i = [], pre
+    while i < len(x) - post:
+        if x[i] < threshold:
+            hits.append(i)
+            i += advance
+        else:
+            i += 1
+    return hits
+
+
+def noisy(seed, n=900):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=n)
+    shape = np.r_[-6.0, -9.0, -9.0, 3.0, 2.0]
+    for at in rng.integers(10, n - 10, 25):
+        x[at - 1 : at + 4] += shape
+    return np.round(x, 6)
+
+
+def brute_filter(x, pre, post, disc, filt, sd):
+    """The whole artifact job on one channel, sample by sample."""
+    width = pre + post
+    hits = greedy(x, -sd * x.std(), pre, post, disc)
+    t = np.mean([x[i - pre : i + post] for i in hits], axis=0)
+    t = t - t.mean()
+    padded = np.r_[np.zeros(width), x - x.mean(), np.zeros(width)]
+    xc = np.array([padded[width + p - width // 2 : width + p - width // 2 + width] @ t for p in range(len(x))])
+    tops = [p for p in range(1, len(x) - 1) if xc[p] > xc[p - 1] and xc[p] > xc[p + 1] and xc[p] >= 0.5 * (t @ t)]
+    kept = []
+    for p in tops:
+        if not kept or p - kept[-1] >= filt:
+            kept.append(p)
+    clean, used = x.copy(), 0
+    for p in kept:
+        s = p - width // 2
+        if s >= 0 and s + width <= len(x):
+            a, _ = np.linalg.lstsq(np.c_[t, np.ones(width)], clean[s : s + width], rcond=None)[0]
+            clean[s : s + width] -= a * t
+            used += 1
+    return hits, kept, used, clean
+
+
+def test_artifact_filter_equals_brute_force(spark):
+    signals = {"a": noisy(1), "b": noisy(2), "flat": np.zeros(200)}
+    rows = [(1, c, i, float(v)) for c, x in signals.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "r long, ch string, sample_idx long, v double")
+    for filt in (0, 9):  # windows of 9 samples overlap in the first case
+        clean, quality, counts = artifact.filter_artifact(df, keys=["r", "ch"], value="v", rate=1.0, window=(-3, 6), discover_advance_s=20, filter_advance_s=filt, sd=3.0, chunk=64)
+        got = {(x.ch, x.sample_idx): x.clean for x in clean.collect()}
+        n = {x.ch: (x.n_discovered, x.n_subtracted) for x in counts.collect()}
+        assert len(got) == len(rows) and n["flat"] == (0, 0) and all(got["flat", i] == 0 for i in range(200))
+        for c in ("a", "b"):
+            hits, _, used, want = brute_filter(signals[c], 3, 6, 20, filt, 3.0)
+            assert n[c] == (len(hits), used) and used > 5
+            assert np.allclose([got[c, i] for i in range(900)], want, atol=1e-9)
+        assert quality.where("k = 0").count() == 2 and quality.columns == ["r", "ch", "k", "n", "before_mean", "before_sem", "after_mean", "after_sem"]
+
+
+def test_peaks_and_flat_tops(spark):
+    x = [0, 2, 1, 3, 3, 3, 1, 1, 4, 4, 5, 5, 2, 6, 6]
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "r long, sample_idx long, xc double")
+    at = lambda h, chunk: sorted(r.at for r in artifact.peaks(df, spark.createDataFrame([(1, h)], "r long, height double"), keys=["r"], chunk=chunk).collect())
+    for chunk in (3, 4, 100):
+        assert at(1.5, chunk) == [1, 4, 10] and at(2.5, chunk) == [4, 10] and at(9.0, chunk) == []
+
+
+def test_one_window_is_fitted(spark):
     x = samples(spark, v=[9, 15, 9]).withColumnRenamed("i", "sample_idx")
     t = spark.createDataFrame([(1, k, v) for k, v in enumerate([-1.0, 2.0, -1.0])], "r long, k long, t double")
     at = spark.createDataFrame([(1, 1)], "r long, at long")
-    assert [r.clean for r in artifact.subtract(x, at, t, key="r", value="v", width=3).orderBy("sample_idx").collect()] == [11, 11, 11]
+    assert [r.clean for r in artifact.subtract(x, at, t, keys=["r"], value="v", width=3).orderBy("sample_idx").collect()] == [11, 11, 11]
 
 
 def test_wavelets_find_a_sinusoid():
@@ -167,13 +239,35 @@ def test_wavelet_convolution_is_the_direct_sum():
     assert np.allclose(K.morlet_transform(x, np.array([8.0]), 64.0)[0, 0], want)
 
 
+def test_bands_of_chunks_equal_whole_recordings(spark):
+    x = np.random.default_rng(5).normal(size=(2, 700))
+    rows = [(r, i, float(v)) for r in range(2) for i, v in enumerate(x[r])] + [(9, i, 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "r long, sample_idx long, v double")
+    whole = df.groupBy("r").agg(cycles.array_of(F.col("v"), F.col("sample_idx")).alias("signal"))
+    for method, low, high in (("morlet", 4, 8), ("hilbert", 8, 13)):
+        for output, column in (("power", spectral.band_power), ("phase", spectral.band_phase)):
+            want = {r.r: r.p for r in whole.select("r", column(F.col("signal"), rate=64.0, low=low, high=high, method=method).alias("p")).collect()}
+            got = spectral.recording_band(df, keys=["r"], value="v", rate=64.0, low=low, high=high, method=method, output=output, chunk=150).orderBy("r", "sample_idx").collect()
+            assert len(got) == (1400 if method == "hilbert" else 1500)  # too short for the filter: no rows
+            for r in (0, 1):
+                assert np.allclose([g[output] for g in got if g.r == r], want[r], atol=1e-9)
+        assert (want[9] is None) == (method == "hilbert")
+
+
 def test_filter_keeps_its_band():
-    t = np.arange(2000) / 250
+    t = np.arange(3000) / 250
     taps = K.band_taps(250, 8, 13, 250)
-    inside, outside = (K.zero_phase(np.sin(2 * np.pi * f * t), taps)[500:1500] for f in (10.5, 40))
-    assert 0.9 < np.abs(inside).max() < 1.1 and np.abs(outside).max() < 0.02
-    direct = np.convolve(np.convolve(np.sin(2 * np.pi * 10.5 * t), taps, "same")[::-1], taps, "same")[::-1]
-    assert np.allclose(inside, direct[500:1500], atol=1e-9)
+    rng = np.random.default_rng(2)
+    x = np.sin(2 * np.pi * 10.5 * t) + np.sin(2 * np.pi * 40 * t) + 0.2 * rng.normal(size=3000)
+    z = spectral._band(x[None], 250.0, 8, 13, "hilbert", lambda v: v)[0]
+    # forward and backward, then the Hilbert transform of the whole, away from the ends
+    once = np.convolve(np.convolve(x, taps, "same")[::-1], taps, "same")[::-1]
+    gain = np.zeros(3000)
+    gain[0], gain[1:1500], gain[1500] = 1, 2, 1
+    want = np.fft.ifft(np.fft.fft(once) * gain)
+    assert np.abs(z - want)[900:2100].max() < 2e-3
+    assert 0.9 < np.abs(z[900:2100]).min() and np.abs(z[900:2100]).max() < 1.15
+    assert np.allclose(K.odd_ends(np.array([1.0, 2.0, 4.0]), 2, 1), [-2, 0, 1, 2, 4, 6])
 
 
 def test_cluster_test_finds_a_planted_effect(spark):
@@ -187,6 +281,97 @@ def test_cluster_test_finds_a_planted_effect(spark):
     assert {(1, 2), (1, 3), (2, 2), (2, 3)} <= found and len(found) < 12
 
 
+def test_cluster_test_equals_brute_force(spark):
+    x = np.random.default_rng(4).normal(size=(9, 3, 4)) + 0.6
+    rows = [(i, f, k, float(x[i, f, k])) for i in range(9) for f in range(3) for k in range(4)]
+    df = spark.createDataFrame(rows, "obs long, freq_idx int, bin int, value double").repartition(5)
+    keys = {r.obs: r.h for r in df.select("obs", F.xxhash64("obs").alias("h")).distinct().collect()}
+    signs = stats.flips(np.array([keys[i] for i in range(9)], np.int64), np.arange(200), 7)
+    t = lambda y: y.mean(0) / y.std(0, ddof=1) * 3
+    seen = np.abs(K.tfce(t(x)))
+    beaten = sum(np.abs(K.tfce(t(x * s[:, None, None]))).max() >= seen for s in signs)
+    got = {(r.freq_idx, r.bin): r for r in stats.cluster_test(df, n_freqs=3, n_bins=4, permutations=200, block=16).collect()}
+    assert len(got) == 12 and abs(signs.mean()) < 0.1
+    for f in range(3):
+        for k in range(4):
+            assert abs(got[f, k].t - t(x)[f, k]) < 1e-9 and abs(got[f, k].p - (beaten[f, k] + 1) / 201) < 1e-12
+    assert stats.cluster_test(df.where("obs = 1"), n_freqs=3, n_bins=4).count() == 0
+    assert {(r.freq_idx, r.bin): round(r.t, 9) for r in stats.t_map(df).collect()} == {(f, k): round(t(x)[f, k], 9) for f in range(3) for k in range(4)}
+
+
+def test_runs_go_across_chunks(spark):
+    s = np.repeat(np.random.default_rng(6).integers(-1, 2, 40), np.random.default_rng(7).integers(1, 30, 40))
+    df = samples(spark, s=s, x=np.arange(len(s)) ** 1.5, y=np.zeros(len(s)))
+    feet = {"left": ("x", "y"), "right": ("x", "y")}
+    runs = lambda chunk: sorted(map(tuple, events.runs_to_events(df, **KEYS, state="s", rate=10.0, feet=feet, chunk=chunk).collect()))
+    assert runs(7) == runs(64) == runs(10_000) and len(runs(7)) > 20
+
+
+def brute_rhythm(x, w, half, lo, hi):
+    out = []
+    for b in range(len(x) // w):
+        c = b * w + w // 2
+        v = x[max(0, c - half) : c + half]
+        v = v - v.mean()
+        ac = [v[: len(v) - k] @ v[k:] for k in range(len(v))]
+        out.append(None if len(v) < 16 else 0.0 if ac[0] <= 1e-12 else max(ac[lo : min(hi, len(v))]) / ac[0])
+    return out
+
+
+def test_rhythmicity_equals_brute_force(spark):
+    x = np.round(np.sin(np.arange(157) / 2) + np.random.default_rng(8).normal(size=157) / 3, 6)
+    df = samples(spark, v=x).withColumnRenamed("i", "sample_idx")
+    for chunk in (30, 8192):
+        got = bins.rhythmicity(df, keys=["r"], value="v", rate=10.0, bin_s=0.3, win_s=2.4, lag_s=(0.3, 1.2), chunk=chunk).orderBy("bin").collect()
+        assert [r.bin for r in got] == list(range(52))
+        close([r.rhythm for r in got], brute_rhythm(x, 3, 12, 3, 12))
+    flat = samples(spark, v=[3.0] * 60).withColumnRenamed("i", "sample_idx")
+    assert {r.rhythm for r in bins.rhythmicity(flat, keys=["r"], value="v", rate=10.0).collect()} == {0.0, None} or {r.rhythm for r in bins.rhythmicity(flat, keys=["r"], value="v", rate=10.0).collect()} == {0.0}
+
+
+def test_gait_cycles_of_sessions(spark):
+    label = lambda k: f"lr_step_{k}"
+    rows = [(1, 10.0, 0.3, label("left") + "/steplen0.500"), (1, 10.4, 0.2, label("right") + "/steplen0.600"), (1, 10.7, 0.1, label("reset")), (1, 11.0, 0.3, label("left")), (1, 11.5, 0.3, "other"), (2, 10.0, 0.3, label("left")), (2, 10.5, 0.3, label("right")), (2, 11.0, 0.3, label("left"))]
+    ann = spark.createDataFrame(rows, "s long, onset double, duration double, description string")
+    rec = spark.createDataFrame([(1, "motion", 100.0, 0.0, 300, 10.0), (1, "neural", 98.0, 0.0, 3000, 100.0), (2, "motion", 100.0, 0.0, 300, 10.0), (2, "neural", 200.0, 0.0, 3000, 100.0)], "s long, role string, meas_date double, first_time double, n_times long, rate double")
+    x = spark.range(3000).select(F.lit(1).cast("long").alias("s"), F.col("id").alias("sample_idx"), F.col("id").cast("double").alias("v"))
+    epochs, kept, counts = cycles.annotate_gait_cycles(ann, rec, x, session="s", rate=100.0)
+    got = kept.collect()
+    assert [(r.s, r.cycle_id, r.onset, r.duration, round(r.right_onset, 9), r.left_step_length_m, r.right_step_length_m, r.left_step_dur_s, r.cycle_start_idx, r.cycle_mid_idx, r.cycle_end_idx) for r in got] == [(1, 0, 12.0, 1.0, 12.4, 0.5, 0.6, 0.3, 50, 90, 150)]
+    assert {r.s: (r.overlap, r.n_candidates, r.n_kept) for r in counts.collect()} == {1: (True, 1, 1), 2: (False, 0, 0)}
+    v = [r.v for r in epochs.orderBy("epoch_idx").collect()]
+    assert v == [float(k) for k in range(1150, 1350)]
+    assert cycles.cycle_table(kept, keys=["s"], rate=100.0).columns == ["s", "cycle_onset_s", "cycle_dur_s", "right_onset_s", "left_step_dur_s", "right_step_dur_s", "left_step_length_m", "right_step_length_m"]
+
+
+def test_event_traces_and_channels(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, ch, "a/beep" if c % 2 else "a/tone", rng.normal(size=400).tolist()) for c in range(4) for ch in ("p", "q", "z")]
+    df = spark.createDataFrame(rows, "c long, ch_name string, description string, signal array<double>")
+    mean = spectral.event_traces(df, keys=["c"], event_key="beep", picks=["p", "q"], rate=100.0, start_s=-1.5).orderBy("c", "t").collect()
+    apart = spectral.event_traces(df, keys=["c"], event_key="beep", picks=["p", "q"], rate=100.0, start_s=-1.5, combine="separate")
+    assert {r.c for r in mean} == {1, 3} and len(mean) == 600 and mean[0].t == -1.0
+    again = {(r.c, round(r.t, 6)): r.value for r in apart.groupBy("c", "t").agg(F.avg("value").alias("value")).collect()}
+    assert apart.count() == 1200 and all(abs(again[r.c, round(r.t, 6)] - r.value) < 1e-9 for r in mean)
+    with pytest.raises(ValueError):
+        spectral.event_traces(df, keys=["c"], event_key="beep", picks=["p"], rate=100.0, start_s=-1.5, combine="other")
+
+
+def test_path_speed_of_single_samples(spark):
+    m = samples(spark, x=[0, 1000, 2000, 4000], y=[0, 0, 0, 0]).withColumnRenamed("i", "sample_idx")
+    got = overlays.path_speed(m, key="r", x="x", y="y", rate=1.0, bin_s=None, smooth_s=None).orderBy("bin").collect()
+    close([r.value for r in got], [1.0, 1.25, 1.75])
+    assert [(r.x0, r.x1) for r in got] == [(0, 1), (1, 2), (2, 4)]
+
+
+def test_wide_channels(spark):
+    df = spark.createDataFrame([(1, 5.0, 3.0, 4.0)], "i long, ZERO_THREE_LEFT double, ONE_THREE_LEFT double, ZERO_TWO_LEFT double")
+    got = channels.to_long(channels.pick_wide(df, ["ZERO_TWO_LEFT", "zero_one_left", "ONE_TWO_LEFT"], keys=["i"]), keys=["i"]).collect()
+    assert [(r.ch_name, r.value) for r in got] == [("ZERO_TWO_LEFT", 4.0), ("ZERO_ONE_LEFT", 2.0), ("ONE_TWO_LEFT", 2.0)]
+    with pytest.raises(ValueError):
+        channels.rereference_wide(df.drop("ZERO_TWO_LEFT"), ["TWO_THREE_LEFT"], keys=["i"])
+
+
 def test_samples_are_written_and_loaded(spark, tmp_path):
     from strideframe.sources import tables
 
