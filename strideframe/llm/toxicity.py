@@ -39,7 +39,7 @@ from .shingles import mix
 CONTEXT, SHORT, DISCOUNT, SHARED_WEIGHT, STRONG = 6, 3, 0.75, 80.0, 1.2
 
 #: Characters of text that one worker takes apart at a time, words of which it keeps counts or evidence, and words whose grams it makes at once.
-BLOCK_CHARS, KEPT_WORDS, SLICE_WORDS = 1 << 18, 50_000, 4_000
+BLOCK_CHARS, KEPT_WORDS, SLICE_WORDS = 1 << 18, 150_000, 4_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -125,19 +125,33 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Table:
-    """Numbers by 64-bit key; keys that it doesn't have give 0."""
+    """Numbers by 64-bit key; keys that it doesn't have give 0. Keys are hashes, so the first bits say nearly where one lies."""
 
     def __init__(self, rows: pd.DataFrame, key: str, columns: list[str]):
-        rows = rows.sort_values(key)
-        self.keys = rows[key].to_numpy(np.int64)
-        self.columns = {c: rows[c].to_numpy(np.float32) for c in columns}
+        keys = rows[key].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.names, self.values = columns, rows[columns].to_numpy(np.float32)[order]
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        firsts = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.starts = np.r_[0, firsts.cumsum()].astype(np.int32)
 
     def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        if not len(self.keys):
-            return {c: np.zeros(len(keys)) for c in self.columns}
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
-        return {c: np.where(there, v[at], 0) for c, v in self.columns.items()}
+        k = keys.view(np.uint64)
+        first = (k >> self.shift).astype(np.int64)
+        at, end = self.starts[first], self.starts[first + 1]
+        where = np.full(len(k), -1, np.int32)
+        open_rows = np.flatnonzero(at < end)
+        while len(open_rows):  # the keys of one beginning are few
+            hit = self.keys[at[open_rows]] == k[open_rows]
+            where[open_rows[hit]] = at[open_rows[hit]]
+            open_rows = open_rows[~hit]
+            at[open_rows] += 1
+            open_rows = open_rows[at[open_rows] < end[open_rows]]
+        there = np.flatnonzero(where >= 0)
+        out = np.zeros((len(k), len(self.names)))
+        out[there] = self.values[where[there]]
+        return dict(zip(self.names, out.T, strict=True))
 
 
 def _fetched(df: DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -581,12 +582,22 @@ def test_shared_counts_equal_brute_force(spark):
         for k in range(1, len(c)):
             fours[c[max(0, k - 3) : k + 1]] += n
             before[c[max(0, k - 2) : k + 1]].add(c[max(0, k - 3) : k + 1])
-    assert sorted(tables["four"][0].columns["n"].tolist()) == sorted(fours.values())
-    assert sorted(tables["three"][0].columns["n"].tolist()) == sorted(len(v) for v in before.values())
+    assert sorted(tables["four"][0].values[:, 0].tolist()) == sorted(fours.values())
+    assert sorted(tables["three"][0].values[:, 0].tolist()) == sorted(len(v) for v in before.values())
     totals = collections.Counter()
     for g, n in fours.items():
         totals[g[:-1]] += n
-    assert sorted(tables["four"][1].columns["n"].tolist()) == sorted(totals.values()) and labels.count() == 12
+    assert sorted(tables["four"][1].values[:, 0].tolist()) == sorted(totals.values()) and labels.count() == 12
+
+
+def test_tables_find_their_keys():
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(-(2**63), 2**63 - 1, n)) if n else np.zeros(0, np.int64)
+        rows = pd.DataFrame({"k": keys, "a": np.arange(len(keys)) + 1.0, "b": 2.0})
+        asked = np.r_[keys, rng.integers(-(2**63), 2**63 - 1, 50)]
+        got = toxicity.Table(rows, "k", ["a", "b"]).find(asked)
+        assert got["a"][: len(keys)].tolist() == rows["a"].tolist() and not got["a"][len(keys) :].any() and got["b"].sum() == 2 * len(keys)
 
 
 def _contexts(text: str):
