@@ -35,8 +35,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that one of the same group ends, inside the named ones.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Ends of other elements don't reach beyond these.
-BORDERS = frozenset("article main td th table".split())
+#: Ends of elements don't reach beyond these: of inline elements, of article-like ones, of parts of tables, and of others.
+INLINE_BORDERS, TABLE_BORDERS, BORDERS = BLOCKS, frozenset("article main table".split()), frozenset("article main td th table".split())
+WHOLE, TABLE_PARTS = frozenset("article main section body html".split()), frozenset("table thead tbody tfoot tr".split())
+NOT_P, NONE = BLOCKS - {"p"}, frozenset()
+#: Elements that may be open at once; deeper ones are read as if they weren't there.
+DEPTH = 1000
 #: Words of class, id and role that mark reader comments, and other parts than the main text.
 COMMENTS = frozenset("comment comments disqus reply replies".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager copyright disclaimer contentinfo complementary".split())
@@ -124,7 +128,8 @@ def page_lines(page: str) -> list[Line]:
             continue
         name = name[1].lower()
         if tag[1] == "/":
-            if k := find({name}, BORDERS if name in BLOCKS else BLOCKS):
+            borders = NONE if name in WHOLE else TABLE_BORDERS if name in TABLE_PARTS else BORDERS if name in BLOCKS else INLINE_BORDERS
+            if k := find({name}, borders):
                 pop_to(k)
             elif name in BLOCKS:
                 end_block()
@@ -135,7 +140,7 @@ def page_lines(page: str) -> list[Line]:
                 end_block()
         else:
             if name in BLOCKS:
-                if k := find({"p"}, BLOCKS - {"p"}):
+                if k := find({"p"}, NOT_P):
                     pop_to(k)
                 if name in IMPLIED and (k := find(*IMPLIED[name])):
                     pop_to(k)
@@ -149,12 +154,9 @@ def page_lines(page: str) -> list[Line]:
                 article, part = 0, number
             elif name in ("article", "main") and not article:
                 article = part = number
-            if name == "a":
-                links += 1
-            if not tag.endswith("/>"):
+            if not tag.endswith("/>") and len(stack) < DEPTH:
                 stack.append(_Open(name, top.weight * weight, article, part, number))
-            elif name == "a":
-                links -= 1
+                links += name == "a"
     add(page[at:])
     end_block()
     return lines

@@ -510,6 +510,9 @@ def test_main_text_of_unlucky_markup():
         '<div class="content with-sidebar"><p>Text of the page</p></div>': "Text of the page",
         '<article><h1 class="entry-header">Title</h1><p>Body</p></article>': "Title\nBody",
         "<ul><li>a<li class=promo>b<li>c</ul>": "a\nc",
+        "<table class=sidebar><tr><td>menu<td>more</table><p>Main text of the page": "Main text of the page",
+        "<article><table><tr><td>cell</article><p>x": "cell",
+        "<b>" * 30_000 + "<div>" * 30_000 + "deep" + "</div>" * 30_000 + "<p>end": "deep\nend",
         "<article><p>a <a href=x>b</a> c<p><a href=y>only a link</a></article>": "a b c\nonly a link",
     }
     for page, want in cases.items():
