@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .cycles import array_of, cut_by_interval
 from .grid import chunk_arrays, from_arrays, in_chunks
 
@@ -178,13 +179,13 @@ def matched(samples: DataFrame, templates: DataFrame, *, keys: list[str], value:
 def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float] = (-0.5, 1.5), discover_advance_s: float = 34.0, filter_advance_s: float = 0.0, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole job on the given channels: samples with clean; keys, k and before/after mean and sem; keys, n_discovered, n_subtracted.
 
-    Channels without a discovered artifact come back as they are.
+    Channels without a discovered artifact come back as they are. Places and templates, small beside the samples, are stored.
     """
     pre, post = int(-window[0] * rate), int(window[1] * rate)
     width, names = pre + post, {"keys": keys, "order": order}
-    hits = discover(samples, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, chunk=chunk, **names)
-    t = template(samples, hits, value=value, pre=pre, post=post, **names)
-    at = matched(samples, t, value=value, width=width, advance=int(filter_advance_s * rate), chunk=chunk, **names)
+    hits = stored(discover(samples, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, chunk=chunk, **names))
+    t = stored(template(samples, hits, value=value, pre=pre, post=post, **names))
+    at = stored(matched(samples, t, value=value, width=width, advance=int(filter_advance_s * rate), chunk=chunk, **names))
     clean = subtract(samples, at, t, value=value, width=width, **names)
     checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), at, values=["before", "after"], width=width, **names)
     used = _windows(at, samples, keys, width, order).groupBy(*keys).agg(F.count("*").alias("n_subtracted"))

@@ -747,11 +747,11 @@ def _hits(spark, sf):
 
 
 def _template(spark, sf):
-    return artifact.template(_centred(spark, sf), _hits(spark, sf), **ART, pre=PRE, post=POST)
+    return T.stored(artifact.template(_centred(spark, sf), _hits(spark, sf), **ART, pre=PRE, post=POST))
 
 
-def _peaks(spark, sf, advance=0):
-    return artifact.matched(_centred(spark, sf), _template(spark, sf), **ART, width=W_, advance=advance, chunk=CHUNK)
+def _peaks(spark, sf, advance=0, template=None):
+    return artifact.matched(_centred(spark, sf), template or _template(spark, sf), **ART, width=W_, advance=advance, chunk=CHUNK)
 
 
 def _filtered(spark, sf):
@@ -787,7 +787,8 @@ def g5_spacing(spark, sf):
 @query(f"{_CLEAN} SELECT recording_id, sample_idx, round(after, 3) + 0.0 AS clean FROM cl")
 def g6_fit_subtract(spark, sf):
     """At the spaced peaks; windows that overlap are checked in the tests."""
-    c = artifact.subtract(_centred(spark, sf), _peaks(spark, sf, W_), _template(spark, sf), **ART, width=W_)
+    t = _template(spark, sf)
+    c = artifact.subtract(_centred(spark, sf), T.stored(_peaks(spark, sf, W_, t)), t, **ART, width=W_)
     return rounded(c.select(*K, O, "clean"), "clean", digits=3)
 
 

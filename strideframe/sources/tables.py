@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-strideframe-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder: for small tables from which several others follow."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def load_recordings(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Sample tables of several runs as one (A1); run_pos is the place of a row's path in the list."""
     parts = [spark.read.parquet(p).withColumn("run_pos", F.lit(i)) for i, p in enumerate(paths)]
