@@ -45,6 +45,17 @@ def release(*tables: DataFrame) -> None:
             delete(df.sparkSession, file.get())
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of table, which has one row for each key and how many rows have it (n); both made by cut().
+
+    Keys of more than a share-th of all rows are fewer than share: these go to all tasks, so that no task of the shuffle gets one.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") * share > total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the plans that made them: asks for that, after long chains of cut() tables."""
     gc.collect()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, license_scan, media, near_dup, packing, quality, token_matrix, toxicity, url_filter
+from . import bpe, filter_audit, html_main, license_scan, media, near_dup, packing, quality, simhash_dup, token_matrix, toxicity, url_filter, whitening
 from .common import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,7 +72,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, name="score").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_main_text, op3_bpe, op4_near_duplicates, op5_quality_rules, op6_packing, op7_token_matrix, op8_media, op9_license_scan, op10_toxicity)}
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dup.simhash_components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_main_text, op3_bpe, op4_near_duplicates, op5_quality_rules, op6_packing, op7_token_matrix, op8_media, op9_license_scan, op10_toxicity, op11_simhash_components, op12_embedding_whitening, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op5_quality_rules": r"""
@@ -96,5 +109,30 @@ WITH d AS (
 ), rates AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept
 FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+""",
+    "op13_filter_audit": r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), least AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t
+), m AS MATERIALIZED (
+  SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM w JOIN least USING (t)
+), marks AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id
+), counts AS MATERIALIZED (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(range(1, 6)) AS i
+), orders AS MATERIALIZED (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda x: chr((64 + x)::INT)), '') AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT part, filter_order, i::INT AS step, o[i] AS f, n, good, toxic, fails[o[i]] AS own, len(list_filter(o[1:i - 1], lambda x: fails[x])) > 0 AS earlier, len(list_filter(fails, lambda x: x)) AS failed
+  FROM counts, orders, letters
+), sums AS (
+  SELECT part, filter_order, step, f, sum(n * (NOT own AND NOT earlier)::INT)::BIGINT AS kept, sum(n * (own AND NOT earlier)::INT)::BIGINT AS removed, sum(n * (own AND earlier)::INT)::BIGINT AS redundant,
+    sum(n * (own AND failed = 1)::INT)::BIGINT AS unique_fails, sum(good * (own AND NOT earlier)::INT)::BIGINT AS good_lost, sum(toxic * (own AND NOT earlier)::INT)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM sums
 """,
 }
