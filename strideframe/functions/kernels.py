@@ -46,6 +46,38 @@ def band_taps(n: int, low: float, high: float, rate: float) -> np.ndarray:
     return taps / np.abs(np.sum(taps * np.exp(-2j * np.pi * (low + high) / 2 / rate * t)))
 
 
+#: Kernels of at most so many values are summed directly.
+DIRECT = 64
+
+
+def block_convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """np.convolve(x, kernel) of a signal and a kernel, long kernels by transforms of blocks whose tails are added to the next ones."""
+    m, n = len(kernel), len(x)
+    if m <= DIRECT or n <= DIRECT:
+        return np.convolve(x, kernel)
+    size = 1 << int(np.ceil(np.log2(min(4 * m, n + m - 1))))
+    own = size - m + 1
+    blocks = np.zeros((-(-n // own), own), x.dtype)
+    blocks.ravel()[:n] = x
+    if np.iscomplexobj(x) or np.iscomplexobj(kernel):
+        done = np.fft.ifft(np.fft.fft(blocks, size) * np.fft.fft(kernel, size))
+    else:
+        done = np.fft.irfft(np.fft.rfft(blocks, size) * np.fft.rfft(kernel, size), size)
+    out = np.zeros(len(blocks) * own + m - 1, done.dtype)
+    out[: len(blocks) * own] = done[:, :own].ravel()
+    for i, tail in enumerate(done[:, own:], 1):
+        out[i * own : i * own + m - 1] += tail
+    return out[: n + m - 1]
+
+
+def snapped(values: np.ndarray, scale: float) -> np.ndarray:
+    """Values on a grid of 2^-40 of the power of two at scale, so that what is equal stays so whatever was rounded on the way."""
+    if not scale or not np.isfinite(scale):
+        return values
+    grid = 2.0 ** (np.ceil(np.log2(scale)) - 40)
+    return np.round(values / grid) * grid
+
+
 def analytic_kernel(taps: np.ndarray) -> np.ndarray:
     """The filter's forward and backward pass with only its positive frequencies (doubled), as one complex kernel of 4 * len(taps) + 1 values.
 

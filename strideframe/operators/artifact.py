@@ -1,7 +1,7 @@
 """Repeating artifacts: find them, average them to a template, match it along the signal, and take it out.
 
-A channel of a recording is one grid (keys). Samples are worked on in chunks; only places (runs of samples below a threshold,
-peaks, windows that overlap) are put in order by channel.
+A channel of a recording is one grid (keys). Samples are worked on in chunks, and so are places (runs of samples below a threshold,
+peaks, windows that overlap); what a piece of a channel hands on to the next is a small table, and only these are put in order by channel.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import DIRECT, block_convolve, snapped
 from ..sources.tables import stored
 from .cycles import array_of, cut_by_interval
 from .grid import chunk_arrays, from_arrays, in_chunks
@@ -20,33 +21,82 @@ from .grid import chunk_arrays, from_arrays, in_chunks
 CHUNK = 8192
 
 
-def spaced(places: DataFrame, *, keys: list[str], advance: int, start: str = "at", end: str | None = None) -> DataFrame:
-    """keys, at: of places (runs start to end, or single ones) the first, and then each that is at least advance (>= 1) after the last taken.
+def _piece_rows(rows: DataFrame, keys: list[str], by: list[str], run, columns: str) -> DataFrame:
+    """run over batches of rows in order of keys, _chunk and by; pieces (keys, _chunk) are dealt to tasks."""
+    kinds = dict(rows.dtypes)
+    ordered = rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", *by)
+    return ordered.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {columns}")
+
+
+def _folded(tables: DataFrame, keys: list[str], start, step) -> DataFrame:
+    """keys, _chunk and _state (bytes) before each piece of tables (keys, _chunk, _table): start before the first and after a gap, else step(state, table) of the one before.
 
-    Runs are disjoint. A run takes its first place that is far enough, and every advance-th from there. Channels are dealt to
-    tasks; within one, runs are read in order and only the last place taken is kept.
+    This reads one table a piece in the order of a channel, and holds one state.
     """
-    step = max(1, advance)
-    kinds = dict(places.dtypes)
-    rows = places.select(*keys, F.col(start).cast("long").alias("_a"), F.col(end or start).cast("long").alias("_b"))
+    kinds = dict(tables.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, 0
+        at, after = None, start
+        for pdf in batches:
+            states = []
+            for key, chunk, table in zip(pdf[keys].itertuples(index=False, name=None), pdf["_chunk"].tolist(), pdf["_table"], strict=True):
+                state = after if at == (key, chunk - 1) else start
+                states.append(state)
+                at, after = (key, chunk), step(state, table)
+            yield pdf[[*keys, "_chunk"]].assign(_state=states)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _chunk long, _state binary"
+    return tables.repartition(*keys).sortWithinPartitions(*keys, "_chunk").mapInPandas(run, schema)
+
+
+def spaced(places: DataFrame, *, keys: list[str], advance: int, start: str = "at", end: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """keys, at: of places (runs start to end, or single ones) the first, and then each that is at least advance (>= 1) after the last taken.
+
+    Runs are disjoint. A run takes its first place that is far enough, and every advance-th from there. Channels are cut into
+    pieces of at least 16 times advance: each piece gives a table from the first index that is open to it to the first one that is open to the
+    next piece; only these tables are followed in a channel's order, and then each piece takes its places.
+    """
+    step = max(1, advance)
+    size = max(chunk, 16 * step)
+    whole = places.select(*keys, F.col(start).cast("long").alias("_from"), F.col(end or start).cast("long").alias("_to"))
+    cut = whole.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))))
+    first = F.col("_chunk") * size
+    rows = stored(cut.select(*keys, "_chunk", (F.greatest("_from", first) - first).alias("_a"), (F.least("_to", first + size - 1) - first).alias("_b")))
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free = None, None
+        for pdf in [*batches, None]:
+            done = []
+            for key, a, b in zip(pdf[[*keys, "_chunk"]].itertuples(index=False, name=None), pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True) if pdf is not None else [(None, 0, 0)]:
+                if key != now:
+                    if now is not None:
+                        done.append((*now, np.maximum(free - size, 0).astype("<i4").tobytes()))
+                    now, free = key, np.arange(step)
+                at = np.maximum(free, a)
+                free = np.where(at <= b, at + (b - at) // step * step + step, free)
+            yield pd.DataFrame(done, columns=[*keys, "_chunk", "_table"])
+
+    def follow(state: bytes, table: bytes) -> bytes:
+        at = int(np.frombuffer(state, "<i4")[0])
+        return table[4 * at : 4 * at + 4]
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free = None, 0
         for pdf in batches:
             picked, at = [], []
-            for i, (key, a, b) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True)):
+            for i, (key, a, b, state) in enumerate(zip(pdf[[*keys, "_chunk"]].itertuples(index=False, name=None), pdf["_a"].tolist(), pdf["_b"].tolist(), pdf["_state"], strict=True)):
                 if key != now:
-                    now, last = key, a - step
-                a = max(a, last + step)
+                    now, free = key, int(np.frombuffer(state, "<i4")[0])
+                a = max(a, free)
                 if a <= b:
                     taken = range(a, b + 1, step)
                     picked += [i] * len(taken)
-                    at += taken
-                    last = taken[-1]
+                    at += [key[-1] * size + x for x in taken]
+                    free = taken[-1] + step
             yield pdf.iloc[picked][keys].assign(at=np.array(at, np.int64))
 
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_a")
-    return ordered.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", at long")
+    states = _folded(_piece_rows(rows, keys, ["_a"], tables, "_chunk long, _table binary"), keys, np.zeros(1, "<i4").tobytes(), follow)
+    return _piece_rows(rows.join(states, [*keys, "_chunk"]), keys, ["_a"], take, "at long")
 
 
 def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post: int, advance: int, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
@@ -58,7 +108,7 @@ def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post:
     begun = F.when(F.col(order) - F.lag(order).over(base) == 1, 0).otherwise(1)
     runs = rows.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_new", begun).withColumn("_run", F.sum("_new").over(base))
     runs = runs.groupBy(*keys, "_chunk", "_run").agg(F.min(order).alias("_from"), F.max(order).alias("_to"))
-    return spaced(runs, keys=keys, advance=advance, start="_from", end="_to")
+    return spaced(runs, keys=keys, advance=advance, start="_from", end="_to", chunk=chunk)
 
 
 def template(samples: DataFrame, hits: DataFrame, *, keys: list[str], value: str, pre: int, post: int, order: str = "sample_idx") -> DataFrame:
@@ -84,9 +134,9 @@ def cross_correlation(samples: DataFrame, templates: DataFrame, *, keys: list[st
         for values, means, patterns, skips, owns in batches:
             out = []
             for v, m, t, skip, own in zip(values, means, patterns, skips, owns, strict=True):
-                padded = np.concatenate([np.zeros(width), np.asarray(v, float) - m, np.zeros(width)])
-                xc = np.correlate(padded, np.asarray(t, float), "valid")[width - width // 2 :]
-                out.append(xc[skip : skip + own])
+                x, t = np.asarray(v, float) - m, np.asarray(t, float)
+                xc = block_convolve(np.concatenate([np.zeros(width), x, np.zeros(width)]), t[::-1])[2 * width - width // 2 - 1 :][skip : skip + own]
+                out.append(xc if width <= DIRECT else snapped(xc, float(np.abs(t).sum() * np.abs(x).max(initial=0))))
             yield pd.Series(out)
 
     done = arrays.select(*keys, "chunk", run(value, "_mean", "_t", "skip", "own").alias("xc"))
@@ -119,45 +169,120 @@ def _windows(at: DataFrame, samples: DataFrame, keys: list[str], width: int, ord
     return at.join(n, keys).select(*keys, s0.alias("s0"), (s0 + width).alias("s1"), "_n").where("s0 >= 0 AND s1 <= _n").drop("_n")
 
 
-def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx") -> DataFrame:
-    """samples with clean: at each place (from at - width // 2, inside the grid) the template is fitted with an offset by least squares, and taken out.
+def coefficients(windows: DataFrame, templates: DataFrame, *, keys: list[str], width: int, chunk: int = CHUNK) -> DataFrame:
+    """keys, s0 and _scale of windows (keys, s0, _r), which are handled in order: _r is a window's fit to the signal as it was, _scale its fit to what earlier windows left.
 
-    A template has no mean, so the scale of a window that overlaps no other is sum(t x) / sum(t t): a join and a sum. Windows that
-    overlap are handled in order, each on what the one before left: they are dealt to tasks by island.
+    Windows are width long and the template is taken out scale times, so a window s after another one changes its fit by g(s) times that
+    one's scale, g being the template's autocorrelation over its energy: scale = r - sum of g(s) * scale over the windows that reach into this one.
+    Channels are cut into pieces of windows. Each piece gives its last windows' scales as a linear function of those of the piece before that
+    reach into it; these functions are followed in a channel's order; then each piece knows what comes in, and gives its scales.
     """
-    base = Window.partitionBy(*keys).orderBy("s0")
-    spans = _windows(at, samples, keys, width, order)
-    fresh = F.when(F.col("s0") < F.lag("s1").over(base), 0).otherwise(1)
-    lone = (F.col("_fresh") == 1) & (F.coalesce(F.lead("s0").over(base), F.col("s1")) >= F.col("s1"))
-    spans = spans.withColumn("_fresh", fresh).withColumns({"_lone": lone, "island": F.sum("_fresh").over(base)})
-    x = samples.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("_v"))
-    norm = templates.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("_norm"))
-    t = templates.select(*keys, F.col("k").cast("long").alias("k"), "t")
+    size = max(chunk, 2 * width)
+    own = F.floor(F.col("s0") / size)
+    reaches = F.col("s0") > (own + 1) * size - width
+    rows = windows.select(*keys, "s0", "_r").withColumn("_chunk", F.explode(F.array_compact(F.array(own, F.when(reaches, own + 1)))))
+    rows = stored(rows)
+    norm = lambda t: float(t @ t)
+
+    @F.pandas_udf("binary")
+    def autocorrelation(patterns: pd.Series) -> pd.Series:
+        arrays = [np.asarray(t, float) for t in patterns]
+        return pd.Series([(np.array([t[: len(t) - s] @ t[s:] for s in range(len(t))]) / (norm(t) or 1.0)).tobytes() for t in arrays])
+
+    # one row before a piece's windows holds g; pieces without windows of their own are left out
+    pieces = rows.where(F.floor(F.col("s0") / size) == F.col("_chunk")).select(*keys, "_chunk").distinct()
+    heads = pieces.join(_template_arrays(templates, keys).select(*keys, autocorrelation("_t").alias("_g")), keys)
+
+    def solved(batches: Iterator[pd.DataFrame], known: bool) -> Iterator[tuple]:
+        """For each piece: its key, starts and (windows x 1 + those that reach into it) scales; known: the last ones are given by the head's state."""
+        now: tuple | None = None
+        g = state = np.zeros(0)
+        starts: list[int] = []
+        rs: list[float] = []
+
+        def piece() -> tuple:
+            first = now[-1] * size
+            s = np.array(starts, np.int64)
+            before = int((s < first).sum())
+            out = np.zeros((len(s), 1 if known else 1 + before))
+            if known:
+                out[:before, 0] = state
+            else:
+                out[np.arange(before), 1 + np.arange(before)] = 1
+            low = np.searchsorted(s, s - width, side="right")
+            for i in range(before, len(s)):
+                a = low[i]
+                out[i] = -(g[s[i] - s[a:i]] @ out[a:i])
+                out[i, 0] += rs[i]
+            return now, s[before:], out[before:]
 
-    held = cut_by_interval(x, spans.where("_lone").select(*keys, "s0", "s1"), keys=keys, order=order).withColumn("k", F.col(order) - F.col("s0")).join(t, [*keys, "k"])
-    scale = held.groupBy(*keys, "s0").agg(F.sum(F.col("t") * F.col("_v")).alias("_dot")).join(norm, keys).select(*keys, "s0", F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(0.0).alias("_scale"))
-    away = scale.join(t, keys).select(*keys, (F.col("s0") + F.col("k")).alias(order), (F.col("_scale") * F.col("t")).alias("_away"))
+        for pdf in batches:
+            for key, kind, s0, r, head, given in zip(pdf[[*keys, "_chunk"]].itertuples(index=False, name=None), pdf["_kind"].tolist(), pdf["s0"].tolist(), pdf["_r"].tolist(), pdf["_g"], pdf["_state"], strict=True):
+                if kind == 0:
+                    if now is not None:
+                        yield piece()
+                    now, g, starts, rs = key, np.frombuffer(head), [], []
+                    state = np.frombuffer(given) if given is not None else np.zeros(0)
+                elif key == now:
+                    starts.append(int(s0))
+                    rs.append(r)
+        if now is not None:
+            yield piece()
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, s, out in solved(batches, known=False):
+            last = out[s > (key[-1] + 1) * size - width]
+            yield pd.DataFrame([(*key, np.r_[last.shape[1], last.ravel()].tobytes())], columns=[*keys, "_chunk", "_table"])
+
+    def follow(state: bytes, table: bytes) -> bytes:
+        flat = np.frombuffer(table)
+        m = flat[1:].reshape(-1, int(flat[0]))
+        return (m @ np.r_[1.0, np.frombuffer(state)]).tobytes()
+
+    def scales(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, s, out in solved(batches, known=True):
+            part = pd.DataFrame([key[:-1]] * len(s), columns=keys)
+            yield part.assign(s0=s, _scale=out[:, 0])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    own_rows = rows.select(*keys, "_chunk", F.lit(1).alias("_kind"), "s0", "_r", none("binary").alias("_g"), none("binary").alias("_state"))
+    with_heads = lambda h: own_rows.unionByName(h.select(*keys, "_chunk", F.lit(0).alias("_kind"), none("long").alias("s0"), none("double").alias("_r"), "_g", "_state"))
+    tables = _piece_rows(with_heads(heads.withColumn("_state", none("binary"))), keys, ["_kind", "s0"], maps, "_chunk long, _table binary")
+    states = _folded(tables, keys, b"", follow)
+    return _piece_rows(with_heads(heads.join(states, [*keys, "_chunk"])), keys, ["_kind", "s0"], scales, "s0 long, _scale double")
+
+
+def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """samples with clean: at each place (from at - width // 2, inside the grid) the template is fitted by least squares to what earlier places left, and taken out.
+
+    A template has no mean. The fit of a window to the signal as it was is its cross-correlation with the template; how windows that overlap
+    change each other's fits follows from the template alone, coefficients(). What is taken out is summed on chunks of samples. So
+    overlapping windows may follow one another along a whole recording, and no task gets more than a chunk.
+    """
+    size = max(chunk, width)
+    norm = templates.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("_norm"))
+    spans = _windows(at, samples, keys, width, order)
+    xc = cross_correlation(samples, templates, keys=keys, value=value, width=width, order=order, chunk=chunk).withColumn("s0", (F.col(order) - width // 2).cast("long"))
+    fits = spans.select(*keys, F.col("s0").cast("long").alias("s0")).join(xc.select(*keys, "s0", "xc"), [*keys, "s0"]).join(norm, keys)
+    fits = fits.select(*keys, "s0", F.when(F.col("_norm") > 0, F.col("xc") / F.col("_norm")).otherwise(0.0).alias("_r"))
+    scale = coefficients(fits, templates, keys=keys, width=width, chunk=chunk)
 
-    islands = spans.where("NOT _lone").groupBy(*keys, "island").agg(F.sort_array(F.collect_list("s0")).alias("_starts"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-    crowded = cut_by_interval(x, islands.select(*keys, "island", "s0", "s1"), keys=keys, order=order).groupBy(*keys, "island").agg(array_of(F.col("_v"), F.col(order)).alias("_x"))
-    crowded = crowded.join(islands, [*keys, "island"]).join(_template_arrays(templates, keys), keys)
+    touched = F.explode(F.sequence(F.floor(F.col("s0") / size), F.floor((F.col("s0") + width - 1) / size)))
+    lists = scale.withColumn("chunk", touched).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("s0", "_scale"))).alias("_w"))
+    lists = lists.select(*keys, "chunk", F.col("_w.s0").alias("_s0"), F.col("_w._scale").alias("_scale")).join(_template_arrays(templates, keys), keys)
 
     @F.pandas_udf("array<double>")
-    def in_order(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for values, starts, firsts, patterns in batches:
+    def away(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for chunks, starts, scales, patterns in batches:
             out = []
-            for v, own, first, pattern in zip(values, starts, firsts, patterns, strict=True):
-                left, tt = np.array(v, float), np.asarray(pattern, float)
-                square = float(tt @ tt)
-                for s in own:
-                    a = int(s) - int(first)
-                    if square > 0:
-                        left[a : a + width] -= (tt @ left[a : a + width]) / square * tt
-                out.append(np.asarray(v, float) - left)
+            for c, s, a, t in zip(chunks, starts, scales, patterns, strict=True):
+                hits = np.zeros(size + width)
+                hits[np.asarray(s, np.int64) - c * size + width] = a
+                out.append(block_convolve(hits, np.asarray(t, float))[width : width + size])
             yield pd.Series(out)
 
-    more = crowded.select(*keys, "s0", F.posexplode(in_order("_x", "_starts", "s0", "_t")).alias("_at", "_away")).select(*keys, (F.col("s0") + F.col("_at")).alias(order), "_away")
-    return samples.join(away.unionByName(more), [*keys, order], "left").withColumn("clean", F.col(value).cast("double") - F.coalesce("_away", F.lit(0.0))).drop("_away")
+    gone = from_arrays(lists.select(*keys, "chunk", away("chunk", "_s0", "_scale", "_t").alias("_away")), keys=keys, order=order, column="_away", chunk=size)
+    return samples.join(gone, [*keys, order], "left").withColumn("clean", F.col(value).cast("double") - F.coalesce("_away", F.lit(0.0))).drop("_away")
 
 
 def quality(samples: DataFrame, at: DataFrame, *, keys: list[str], values: list[str], width: int, order: str = "sample_idx") -> DataFrame:
@@ -173,7 +298,7 @@ def matched(samples: DataFrame, templates: DataFrame, *, keys: list[str], value:
     xc = cross_correlation(samples, templates, keys=keys, value=value, width=width, order=order, chunk=chunk)
     heights = templates.groupBy(*keys).agg((0.5 * F.sum(F.col("t") * F.col("t"))).alias("height"))
     found = peaks(xc, heights, keys=keys, order=order, chunk=chunk)
-    return spaced(found, keys=keys, advance=advance) if advance > 1 else found
+    return spaced(found, keys=keys, advance=advance, chunk=chunk) if advance > 1 else found
 
 
 def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float] = (-0.5, 1.5), discover_advance_s: float = 34.0, filter_advance_s: float = 0.0, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,7 +311,7 @@ def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: fl
     hits = stored(discover(samples, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, chunk=chunk, **names))
     t = stored(template(samples, hits, value=value, pre=pre, post=post, **names))
     at = stored(matched(samples, t, value=value, width=width, advance=int(filter_advance_s * rate), chunk=chunk, **names))
-    clean = subtract(samples, at, t, value=value, width=width, **names)
+    clean = subtract(samples, at, t, value=value, width=width, chunk=chunk, **names)
     checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), at, values=["before", "after"], width=width, **names)
     used = _windows(at, samples, keys, width, order).groupBy(*keys).agg(F.count("*").alias("n_subtracted"))
     counts = samples.select(*keys).distinct().join(hits.groupBy(*keys).agg(F.count("*").alias("n_discovered")), keys, "left").join(used, keys, "left").fillna(0, ["n_discovered", "n_subtracted"])
