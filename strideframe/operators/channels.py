@@ -70,6 +70,32 @@ def pick_channels(samples: DataFrame, picks: list[str], available: list[str], *,
     return out
 
 
+def pick_arrays(epochs: DataFrame, picks: list[str], *, signal: str = "signal") -> DataFrame:
+    """epochs (ch_name, an array signal, and columns that an epoch's channels share) of the picked channels; those that an epoch doesn't have are derived from it (A3, A4).
+
+    Arrays are added up element by element; an epoch that lacks a source doesn't get the derived channel.
+    """
+    terms = {}
+    for p in picks:
+        try:
+            terms[p] = bipolar_terms(p)
+        except ValueError:
+            terms[p] = None  # a name of its own: there or not
+    rows = [(p, s, float(c), len(t)) for p, t in terms.items() if t for s, c in t.items()]
+    there = epochs.where(F.col("ch_name").isin(picks))
+    if not rows:
+        return there
+    ids = [c for c in epochs.columns if c not in ("ch_name", signal)]
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*ids, "ch_name"]]
+    coeffs = epochs.sparkSession.createDataFrame(rows, "_target string, _source string, _coeff double, _terms int")
+    scaled = epochs.join(F.broadcast(coeffs), F.col("ch_name") == F.col("_source"))  # three rows a target
+    parts = scaled.groupBy(*ids, "_target", "_terms").agg(F.collect_list(F.transform(signal, lambda x: x * F.col("_coeff"))).alias("_p"))
+    total = F.reduce(F.slice("_p", 2, 2), F.get("_p", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    made = parts.where(F.size("_p") == F.col("_terms")).select(*ids, F.col("_target").alias("ch_name"), total.alias(signal))
+    made = made.alias("m").join(there.alias("t"), same("m", "t"), "left_anti")
+    return there.unionByName(made.select(*there.columns))
+
+
 def combine_channels(df: DataFrame, *, keys: list[str], value: str) -> DataFrame:
     """Mean over channels (D12); also of maps over observations."""
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
@@ -93,6 +119,12 @@ def unsynced(recordings: DataFrame, *, session: str, pos: str, tolerance: float
     return r.withColumn("_many", many).where(F.col("_many") & far).drop("_many")
 
 
+def synced(rows: DataFrame, recordings: DataFrame, *, session: str, pos: str = "pos", tolerance: float = 0.01) -> DataFrame:
+    """rows of the sessions of recordings (session, pos, start, length) that have none out of sync (A5)."""
+    off = unsynced(recordings, session=session, pos=pos, tolerance=tolerance).select(session).distinct()
+    return rows.join(recordings.select(session).distinct().join(off, session, "left_anti"), session, "left_semi")
+
+
 def common_span(recordings: DataFrame, *, session: str) -> DataFrame:
     """Latest start and earliest end of each session, and whether all its recordings share a point (A6); touching is sharing."""
     g = recordings.groupBy(session).agg(F.max("start").alias("span_start"), F.min(F.col("start") + F.col("length")).alias("span_end"), F.max(F.col("start").isNull()).alias("_null"))

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .channels import combine_channels, pick_channels
+from .arrays import array_means
+from .channels import pick_arrays, pick_channels
 from .cycles import array_of, first_cycles
 from .events import with_tag
 from .grid import chunk_arrays, from_arrays
 from .resample import bound, linear, piecewise
-from .stats import cluster_test
+from .stats import cluster_test_arrays
 
 
 def by_length(signals: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,7 +69,7 @@ def _band(x: np.ndarray, rate: float, low: float, high: float, method: str, part
     out = np.zeros(x.shape, complex)
     for i, signal in enumerate(x):
         a, b = reach * left, reach * right
-        whole = np.convolve(K.odd_ends(signal, a, b) if len(signal) > reach else signal, kernel)
+        whole = K.block_convolve(K.odd_ends(signal, a, b) if len(signal) > reach else signal, kernel)
         out[i] = whole[reach + a : reach + a + len(signal)]
     return part(out)
 
@@ -150,8 +151,9 @@ def baseline_correct(v: Column, start: Column, end: Column, rescale: str = "zsco
     return bound(v, lambda u: bound(mean(u), lambda m: scaled(u, m)))
 
 
-def _exploded_mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(column).alias("bin", "v")).groupBy(*keys, "bin").agg(F.avg("v").alias("value"))
+def _mean_rows(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, bin, value: the arrays of each key averaged as arrays, and then in rows."""
+    return array_means(df, keys=keys, column=column).select(*keys, F.posexplode(column).alias("bin", "value"))
 
 
 def event_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: float, high: float, crop: tuple[int, int], baseline: tuple[int, int], buffer: int = 0, method: str = "morlet", rescale: str = "zscore") -> DataFrame:
@@ -160,7 +162,7 @@ def event_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: fl
     power = epochs.withColumn("signal", F.slice("signal", a + 1, b - a)).withColumn("_p", band_power(F.col("signal"), rate=rate, low=low, high=high, method=method))
     cut = F.slice("_p", crop[0] - a + 1, crop[1] - crop[0])
     done = power.withColumn("_q", cut).withColumn("_q", baseline_correct(F.col("_q"), F.lit(baseline[0]), F.lit(baseline[1]), rescale))
-    return _exploded_mean(done, keys, "_q")
+    return _mean_rows(done, keys, "_q")
 
 
 def epoch_arrays(samples: DataFrame, *, keys: list[str], picks: list[str] | None = None, available: list[str] | None = None, value: str = "value", order: str = "epoch_idx") -> DataFrame:
@@ -172,12 +174,12 @@ def epoch_arrays(samples: DataFrame, *, keys: list[str], picks: list[str] | None
 def event_traces(epochs: DataFrame, *, keys: list[str], event_key: str, picks: list[str], rate: float, start_s: float, low: float = 4.0, high: float = 8.0, t_range: tuple[float, float] = (-1.0, 2.0), baseline: tuple[float, float] = (-1.0, 0.0), buffer_s: float = 0.5, method: str = "morlet", rescale: str = "zscore", combine: str = "mean") -> DataFrame:
     """keys (with ch_name if combine is "separate"), t and value: band power traces of the epochs (keys, ch_name, description, signal, beginning at start_s) of one event.
 
-    Epochs whose description has the tag event_key, and the picked channels, are cut to t_range with a buffer at both ends, which the
-    power goes without; it is then baseline corrected.
+    Epochs whose description has the tag event_key, and the picked channels (derived where an epoch doesn't have them), are cut to t_range with a
+    buffer at both ends, which the power goes without; it is then baseline corrected.
     """
     if combine not in ("mean", "separate"):
         raise ValueError("combine must be mean or separate")
-    chosen = with_tag(epochs.where(F.col("ch_name").isin(picks)), event_key)
+    chosen = pick_arrays(with_tag(epochs, event_key), picks)
     at = lambda t: round((t - start_s) * rate)
     base = tuple(round((b - t_range[0]) * rate) for b in baseline)
     ids = [*keys, "ch_name"] if combine == "separate" else keys
@@ -185,31 +187,35 @@ def event_traces(epochs: DataFrame, *, keys: list[str], event_key: str, picks: l
     return traces.select(*ids, (t_range[0] + F.col("bin") / rate).alias("t"), "value")
 
 
-def single_cycle_maps(epochs: DataFrame, *, keys: list[str], recording: str, cycle: str, rate: float, freqs: list[float], n_show: int = 5, crop_pad: bool = True) -> DataFrame:
-    """recording, cycle, freq, bin, value: wavelet power of each recording's first n_show cycles, mean over channels, without the pads, not warped."""
+def single_cycle_maps(epochs: DataFrame, *, keys: list[str], recording: str, cycle: str, rate: float, freqs: list[float], n_show: int = 5, crop_pad: bool = True, picks: list[str] | None = None) -> DataFrame:
+    """recording, cycle, freq, bin, value: wavelet power of each recording's first n_show cycles, mean over (picked or derived) channels, without the pads, not warped."""
+    epochs = epochs if picks is None else pick_arrays(epochs, picks)
     ids = list(dict.fromkeys([recording, cycle, *keys]))
     shown = first_cycles(epochs.select(recording, cycle).distinct(), keys=[recording], order=cycle, n=n_show)
     marks = ["cycle_start_idx", "cycle_end_idx"] if crop_pad else []
     maps = morlet_maps(epochs.join(shown, [recording, cycle]), keys=[*ids, *marks], rate=rate, freqs=freqs)
     core = F.slice("values", F.col("cycle_start_idx").cast("int") + 1, (F.col("cycle_end_idx") - F.col("cycle_start_idx")).cast("int")) if crop_pad else F.col("values")
-    return _exploded_mean(maps.withColumn("_c", core), [recording, cycle, "freq"], "_c")
+    return _mean_rows(maps.withColumn("_c", core), [recording, cycle, "freq"], "_c")
 
 
-def average_cycle_map(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore", permutations: int = 1024, seed: int = 7) -> DataFrame:
-    """freq, bin, phase (0 to 1), value (mean over cycles), t, p and significant of the warped maps of all cycles (E11: E8, D13 and F1); keys name a cycle."""
-    maps = cycle_maps(epochs, keys=keys, rate=rate, freqs=freqs, n=n, rescale=rescale)
+def average_cycle_map(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore", permutations: int = 1024, seed: int = 7, picks: list[str] | None = None) -> DataFrame:
+    """freq, bin, phase (0 to 1), value (mean over cycles), t, p and significant of the warped maps of all cycles (E11: E8, D13 and F1); keys name a cycle.
+
+    Maps stay arrays until they are averaged or tested.
+    """
+    maps = warped_maps(epochs, keys=keys, rate=rate, freqs=freqs, n=n, rescale=rescale, picks=picks)
     number = F.array_position(F.array(*[F.lit(float(f)) for f in freqs]), F.col("freq")).cast("int") - 1
-    long = maps.select(F.struct(*keys).alias("obs"), number.alias("freq_idx"), "bin", "value")
-    mean = combine_channels(maps, keys=["freq", "bin"], value="value").withColumn("freq_idx", number)
-    test = cluster_test(long, n_freqs=len(freqs), n_bins=n, permutations=permutations, seed=seed)
+    mean = _mean_rows(maps, ["freq"], "value").withColumn("freq_idx", number)
+    test = cluster_test_arrays(maps.select(F.struct(*keys).alias("obs"), number.alias("freq_idx"), F.col("value").alias("values")), n_freqs=len(freqs), n_bins=n, permutations=permutations, seed=seed)
     return mean.join(test, ["freq_idx", "bin"], "left").select("freq", "bin", (F.col("bin") / max(1, n - 1)).alias("phase"), "value", "t", "p", "significant")
 
 
-def cycle_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: float, high: float, n: int = 100, method: str = "morlet", rescale: str = "zscore") -> DataFrame:
-    """keys, bin, value: band power of padded epochs, normalized over the whole epoch, cut to [cycle_start_idx, cycle_end_idx) and warped to n bins."""
+def cycle_band_power(epochs: DataFrame, *, keys: list[str], rate: float, low: float, high: float, n: int = 100, method: str = "morlet", rescale: str = "zscore", picks: list[str] | None = None) -> DataFrame:
+    """keys, bin, value: band power of padded epochs, normalized over the whole epoch, cut to [cycle_start_idx, cycle_end_idx) and warped to n bins (E7); of all, or of picked or derived channels."""
+    epochs = epochs if picks is None else pick_arrays(epochs, picks)
     p = epochs.withColumn("_p", band_power(F.col("signal"), rate=rate, low=low, high=high, method=method))
     p = p.withColumn("_p", baseline_correct(F.col("_p"), F.lit(0), F.size("_p"), rescale))
-    return _exploded_mean(p.withColumn("_w", _warped(epochs, "_p", n)), keys, "_w")
+    return _mean_rows(p.withColumn("_w", _warped(epochs, "_p", n)), keys, "_w")
 
 
 def _warped(epochs: DataFrame, column: str, n: int) -> Column:
@@ -219,12 +225,18 @@ def _warped(epochs: DataFrame, column: str, n: int) -> Column:
     return linear(core, n)
 
 
-def cycle_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore") -> DataFrame:
-    """keys, freq, bin, value: wavelet power per frequency, normalized over the epoch, cut and warped (E8); keys may leave out the channel."""
+def warped_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore", picks: list[str] | None = None) -> DataFrame:
+    """keys, freq and value (an array of n bins): wavelet power per frequency, normalized over the epoch, cut and warped, mean over what keys leave out (E8); of all, or of picked or derived channels."""
+    epochs = epochs if picks is None else pick_arrays(epochs, picks)
     marks = [c for c in ("cycle_start_idx", "cycle_mid_idx", "cycle_end_idx") if c in epochs.columns]
     ids = list(dict.fromkeys([*keys, *(["ch_name"] if "ch_name" in epochs.columns else []), *marks]))
     m = morlet_maps(epochs, keys=ids, rate=rate, freqs=freqs).withColumn("_v", baseline_correct(F.col("values"), F.lit(0), F.size("values"), rescale))
-    return _exploded_mean(m.withColumn("_w", _warped(epochs, "_v", n)), [*keys, "freq"], "_w")
+    return array_means(m.withColumn("value", _warped(epochs, "_v", n)), keys=[*keys, "freq"], column="value")
+
+
+def cycle_maps(epochs: DataFrame, *, keys: list[str], rate: float, freqs: list[float], n: int = 250, rescale: str = "zscore", picks: list[str] | None = None) -> DataFrame:
+    """keys, freq, bin, value of warped_maps() in rows; keys may leave out the channel."""
+    return warped_maps(epochs, keys=keys, rate=rate, freqs=freqs, n=n, rescale=rescale, picks=picks).select(*keys, "freq", F.posexplode("value").alias("bin", "value"))
 
 
 def segment_psd(samples: DataFrame, *, keys: list[str], value: str, rate: float, segment_s: float = 30.0, n_fft: int = 256, low: float = 1.0, high: float = 100.0, order: str = "sample_idx") -> DataFrame:
