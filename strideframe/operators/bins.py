@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .channels import synced
 from .grid import chunk_arrays
 
 
@@ -18,8 +19,13 @@ def bin_means(samples: DataFrame, *, keys: list[str], w: int, columns: list[str]
     return g.where(F.col("_n") == w).drop("_n")
 
 
-def joint_bins(a: DataFrame, b: DataFrame, *, key: str, bin_s: float, rate_a: float, rate_b: float, values_a: list[str], values_b: list[str], order: str = "sample_idx") -> DataFrame:
-    """Means of two recordings by bins of their common span: of a with its end sample, of b half-open."""
+def joint_bins(a: DataFrame, b: DataFrame, *, key: str, bin_s: float, rate_a: float, rate_b: float, values_a: list[str], values_b: list[str], order: str = "sample_idx", recordings: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """Means of two recordings by bins of their common span: of a with its end sample, of b half-open.
+
+    With recordings (key, pos, start, length: both recordings of each key) only those in sync are joined (A5).
+    """
+    if recordings is not None:
+        a = synced(a, recordings, session=key, tolerance=tolerance)
     span = a.groupBy(key).agg(F.max(order).alias("_a")).join(b.groupBy(key).agg(F.max(order).alias("_b")), key)
     span = span.select(key, F.floor(F.least(F.col("_a") / rate_a, F.col("_b") / rate_b) / bin_s).alias("_bins"))
     wa, wb = bin_s * rate_a, bin_s * rate_b

@@ -51,6 +51,34 @@ def cut_by_interval(samples: DataFrame, spans: DataFrame, *, keys: list[str], or
     return x.join(s, [*keys, "_bucket"]).where((F.col(order) >= F.col(start)) & (F.col(order) < F.col(end))).drop("_bucket")
 
 
+def _dyadic(lo: Column, end: Column) -> Column:
+    """The largest aligned blocks of 2^level units, at most two of a level, that make up the units [lo, end): an array of (level, block)."""
+
+    def blocks(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        first, stop = F.ceil(lo / size), F.floor(end / size)
+        at = lambda b: F.struct(level.cast("int").alias("_level"), b.cast("long").alias("_block"))
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        return F.array_compact(F.array(F.when((first < stop) & odd(first), at(first)), F.when((first < stop) & odd(stop), at(stop - 1))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(end - lo, F.lit(1)).cast("double"))).cast("int")), blocks))
+
+
+def in_spans(points: DataFrame, spans: DataFrame, *, keys: list[str], at: str, start: str, end: str, unit: float) -> DataFrame:
+    """Rows of points in each span [start, end) of their keys, with the span's columns, whatever the spans' lengths.
+
+    Spans of up to four units of time are dealt to the units they touch, longer ones to blocks of 2, 4, 8 ... units, about two of each size; a point
+    is sent to the block of each size that is in use around it. So a span of a million units is 40 rows and not a million.
+    """
+    lo, stop = F.floor(F.col(start) / unit), F.floor(F.col(end) / unit) + 1
+    few = F.transform(F.sequence(lo, stop - 1), lambda b: F.struct(F.lit(0).alias("_level"), b.cast("long").alias("_block")))
+    dealt = spans.where(F.col(end) > F.col(start)).withColumn("_at", F.explode(F.when(stop - lo <= 4, few).otherwise(_dyadic(lo, stop)))).select(*spans.columns, "_at.*")
+    levels = dealt.agg(F.collect_set("_level").alias("levels")).scalar()
+    block = lambda level: F.floor(F.floor(F.col(at) / unit) / F.pow(F.lit(2.0), level)).cast("long")
+    sent = points.withColumn("_level", F.explode(levels)).withColumn("_block", block(F.col("_level")))
+    return sent.join(dealt, [*keys, "_level", "_block"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_block")
+
+
 def cue_cycles(periods: DataFrame, *, length_s: float) -> DataFrame:
     """The floor((t1 - t0) / length) cycles of each period (t0, t1): cycle (from 0), onset, duration."""
     n = F.floor((F.col("t1") - F.col("t0")) / length_s)

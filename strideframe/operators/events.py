@@ -65,20 +65,29 @@ def _half(seconds: float, rate: float) -> int:
     return max(1, round(seconds * rate)) // 2
 
 
-def annotate_gait_lean(motion: DataFrame, *, keys: list[str], order: str, x: str, y: str, rate: float, direction_s: float = 1.5, lean_s: float = 0.1, min_s: float = 0.3, chunk: int = CHUNK) -> DataFrame:
-    """Events gait_lean_left, _right and _reset of head positions (C5); all windows of the chain run on chunks of a recording."""
+def annotate_gait_lean(motion: DataFrame, *, keys: list[str], order: str, x: str, y: str, rate: float, direction_s: float = 1.5, lean_s: float = 0.1, min_s: float = 0.3, chunk: int = CHUNK, annotations: DataFrame | None = None) -> DataFrame:
+    """Events gait_lean_left, _right and _reset of head positions (C5); all windows of the chain run on chunks of a recording.
+
+    With annotations (keys, onset, duration, description, ...) these are returned too, without those whose description is among a recording's new ones (C7a).
+    """
 
     def states(d: DataFrame, k: list[str]) -> DataFrame:
         lean = lean_angle(d, keys=k, order=order, x=x, y=y, rate=rate, direction_s=direction_s, lean_s=lean_s)
         return _changes(lean.withColumn("state", lean_state(F.col("lean"))), k, order, "state", {})
 
     rows = motion.select(*keys, order, x, y)
-    changes = in_chunks(rows, states, keys=keys, order=order, chunk=chunk, halo=_half(direction_s, rate) + _half(lean_s, rate) + 3)
-    return _named(_events(changes, rows, keys=keys, order=order, state="state", rate=rate, min_samples=max(1, round(min_s * rate)), feet=None), "gait_lean_")
+    halo = _half(direction_s, rate) + _half(lean_s, rate) + 3
+    changes = in_chunks(rows, states, keys=keys, order=order, chunk=max(chunk, halo), halo=halo)
+    new = _named(_events(changes, rows, keys=keys, order=order, state="state", rate=rate, min_samples=max(1, round(min_s * rate)), feet=None), "gait_lean_")
+    return new if annotations is None else replace_by_description(annotations, new, keys=keys)
 
 
-def annotate_steps(motion: DataFrame, *, keys: list[str], order: str, head: tuple[str, str], left: tuple[str, str], right: tuple[str, str], rate: float, direction_s: float = 1.5, speed_s: float = 0.1, threshold: float = 300.0, min_s: float = 0.2, chunk: int = CHUNK) -> DataFrame:
-    """Events lr_step_left, _right and _reset with their step length (C6); all windows of the chain run on chunks of a recording."""
+def annotate_steps(motion: DataFrame, *, keys: list[str], order: str, head: tuple[str, str], left: tuple[str, str], right: tuple[str, str], rate: float, direction_s: float = 1.5, speed_s: float = 0.1, threshold: float = 300.0, min_s: float = 0.2, chunk: int = CHUNK, annotations: DataFrame | None = None) -> DataFrame:
+    """Events lr_step_left, _right and _reset with their step length (C6); all windows of the chain run on chunks of a recording.
+
+    With annotations (keys, onset, duration, description, ...) these are returned too, without those of the recordings of motion whose label is
+    one of the three, whatever step length stands behind it (C7b).
+    """
     feet = {"left": left, "right": right}
 
     def states(d: DataFrame, k: list[str]) -> DataFrame:
@@ -86,8 +95,10 @@ def annotate_steps(motion: DataFrame, *, keys: list[str], order: str, head: tupl
         return _changes(fwd.withColumn("state", step_state(F.col("fwd_left"), F.col("fwd_right"), threshold)), k, order, "state", _points(feet))
 
     rows = motion.select(*keys, order, *dict.fromkeys([*head, *left, *right]))
-    changes = in_chunks(rows, states, keys=keys, order=order, chunk=chunk, halo=_half(direction_s, rate) + _half(speed_s, rate) + 3)
-    return _named(_events(changes, rows, keys=keys, order=order, state="state", rate=rate, min_samples=max(1, round(min_s * rate)), feet=feet), "lr_step_")
+    halo = _half(direction_s, rate) + _half(speed_s, rate) + 3
+    changes = in_chunks(rows, states, keys=keys, order=order, chunk=max(chunk, halo), halo=halo)
+    new = _named(_events(changes, rows, keys=keys, order=order, state="state", rate=rate, min_samples=max(1, round(min_s * rate)), feet=feet), "lr_step_")
+    return new if annotations is None else replace_by_label(annotations, new, [f"lr_step_{k}" for k in NAMES.values()], within=motion.select(*keys).distinct())
 
 
 def _named(events: DataFrame, prefix: str) -> DataFrame:
@@ -112,9 +123,13 @@ def replace_by_description(old: DataFrame, new: DataFrame, *, keys: list[str]) -
     return old.join(made, [*keys, "description"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def replace_by_label(old: DataFrame, new: DataFrame, labels: list[str]) -> DataFrame:
-    """old without rows whose base label is one of labels, and new."""
-    return old.where(~base_label(F.col("description")).isin(labels)).unionByName(new, allowMissingColumns=True)
+def replace_by_label(old: DataFrame, new: DataFrame, labels: list[str], *, within: DataFrame | None = None) -> DataFrame:
+    """old without rows whose base label is one of labels (and that match a row of within, if that is given), and new."""
+    named = F.coalesce(base_label(F.col("description")).isin(labels), F.lit(False))
+    kept = old.where(~named)
+    if within is not None:
+        kept = kept.unionByName(old.where(named).join(within, within.columns, "left_anti"))
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def with_tag(events: DataFrame, key: str) -> DataFrame:

@@ -17,7 +17,9 @@ WIDE = 32
 
 
 def with_halo(df: DataFrame, *, order: str, chunk: int, halo: int) -> DataFrame:
-    """Rows with their chunk (order div chunk), and copies for neighbouring chunks within halo rows (halo <= chunk)."""
+    """Rows with their chunk (order div chunk), and copies for neighbouring chunks within halo rows; ValueError if halo > chunk, since only the next chunks are reached."""
+    if halo > chunk:
+        raise ValueError(f"a halo of {halo} rows doesn't fit in chunks of {chunk}")
     own = F.floor(F.col(order) / chunk)
     at = F.pmod(F.col(order), F.lit(chunk))
     to = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when(at >= chunk - halo, own + 1)))
@@ -73,19 +75,36 @@ def _frame_sum(value: Column, keys: list[str], order: str, w: int) -> Column:
 
 
 def smooth_reflected(df: DataFrame, *, keys: list[str], order: str, columns: dict[str, str], w: int) -> DataFrame:
-    """Moving averages of w samples whose ends are continued by odd reflection (B1); columns: output name to input. Needs w // 2 < rows."""
+    """Moving averages of w samples whose ends are continued by odd reflection (B1); columns: output name to input.
+
+    A grid of n rows that is shorter than half a window is reflected again and again: its continuation x(-i) = 2 x(0) - x(i), likewise at the last row,
+    repeats every 2 (n - 1) rows, raised by 2 (x(n - 1) - x(0)). A single row is continued by itself.
+    """
     half = w // 2
-    base = Window.partitionBy(*keys).orderBy(order)
-    whole = base.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = {"_first": F.first(order).over(whole), "_last": F.last(order).over(whole)}
     for i, c in enumerate(columns.values()):
         edges |= {f"_a{i}": F.first(c).over(whole), f"_b{i}": F.last(c).over(whole)}
     ends = df.withColumns(edges)  # one window for all
-    o = F.col(order)
-    put = lambda at, side: F.struct(at.cast("long").alias("at"), *[(F.col(c).cast("double") if side is None else 2 * F.col(f"_{side}{i}") - F.col(c)).alias(f"v{i}") for i, c in enumerate(columns.values())])
-    left = F.when((o > F.col("_first")) & (o <= F.col("_first") + half), put(2 * F.col("_first") - o, "a"))
-    right = F.when((o < F.col("_last")) & (o >= F.col("_last") - half), put(2 * F.col("_last") - o, "b"))
-    rows = ends.withColumn("_p", F.explode(F.array_compact(F.array(put(o, None), left, right)))).withColumn("_at", F.col("_p.at"))
+    o, first, last = F.col(order), F.col("_first"), F.col("_last")
+
+    def put(at: Column, sign: int, side: str | None, turns: Column) -> Column:
+        """The row's image at a place: itself, or mirrored at the first (a) or last (b) row, after so many repeats."""
+        v = [sign * F.col(c).cast("double") + (2 * F.col(f"_{side}{i}") if side else 0) + 2 * turns * (F.col(f"_b{i}") - F.col(f"_a{i}")) for i, c in enumerate(columns.values())]
+        return F.struct(at.cast("long").alias("at"), *[x.alias(f"v{i}") for i, x in enumerate(v)])
+
+    none = F.lit(0)
+    left = F.when((o > first) & (o <= first + half), put(2 * first - o, -1, "a", none))
+    right = F.when((o < last) & (o >= last - half), put(2 * last - o, -1, "b", none))
+    near = F.array_compact(F.array(put(o, 1, None, none), left, right))
+    period = 2 * (last - first)
+    turns = F.sequence(-F.ceil(F.lit(half) / period) - 1, F.ceil(F.lit(half) / period) + 1)
+    images = F.transform(turns, lambda k: put(o + k * period, 1, None, k))
+    mirrored = F.when((o > first) & (o < last), F.transform(turns, lambda k: put(2 * first - o + k * period, -1, "a", k)))
+    again = F.filter(F.concat(images, F.coalesce(mirrored, F.slice(images, 1, 0))), lambda x: (x["at"] >= first - half) & (x["at"] <= last + half))
+    alone = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: put(o + k, 1, None, none))
+    images = F.when(last - first > half, near).when(last > first, again).otherwise(alone)
+    rows = ends.withColumn("_p", F.explode(images)).withColumn("_at", F.col("_p.at"))
     rows = rows.withColumns({f"_s{i}": _frame_sum(F.col(f"_p.v{i}"), keys, "_at", w) / w for i in range(len(columns))})
     rows = rows.where(F.col("_at") == o)
     return rows.select(*[c for c in df.columns if c not in columns], *[F.col(f"_s{i}").alias(n) for i, n in enumerate(columns)])

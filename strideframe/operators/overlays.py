@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bins import bin_means, joint_bins, majority_label, rhythmicity, robust_limits, segments
-from .channels import combine_channels, pick_channels
+from .channels import combine_channels, pick_channels, synced
 from .cycles import paint
 from .events import base_label
 from .grid import in_chunks, remove_mean
@@ -17,8 +17,13 @@ from .kinematics import walking_speed
 from .spectral import recording_band
 
 
-def path_band_power(motion: DataFrame, neural: DataFrame, *, key: str, x: str, y: str, rate: float, neural_rate: float, picks: list[str] | None = None, available: list[str] | None = None, band: tuple[float, float] = (13.0, 30.0), bin_s: float = 0.1, rescale: str | None = "zscore", method: str = "morlet", order: str = "sample_idx", chunk: int = 8192) -> DataFrame:
-    """key, bin, end points, value and weight of path segments: mean power in a band of the channels of neural (key, ch_name, order, value), each normalized over its recording."""
+def path_band_power(motion: DataFrame, neural: DataFrame, *, key: str, x: str, y: str, rate: float, neural_rate: float, picks: list[str] | None = None, available: list[str] | None = None, band: tuple[float, float] = (13.0, 30.0), bin_s: float = 0.1, rescale: str | None = "zscore", method: str = "morlet", order: str = "sample_idx", chunk: int = 8192, recordings: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """key, bin, end points, value and weight of path segments: mean power in a band of the channels of neural (key, ch_name, order, value), each normalized over its recording.
+
+    With recordings (key, pos, start, length) only keys whose two recordings are in sync (A5) are taken.
+    """
+    if recordings is not None:
+        motion, neural = (synced(d, recordings, session=key, tolerance=tolerance) for d in (motion, neural))
     chosen = neural if picks is None else pick_channels(neural, picks, available or [], keys=[key, order])
     power = recording_band(chosen, keys=[key, "ch_name"], value="value", rate=neural_rate, low=band[0], high=band[1], method=method, order=order, chunk=chunk)
     if rescale is not None:
@@ -35,7 +40,7 @@ def path_band_power(motion: DataFrame, neural: DataFrame, *, key: str, x: str, y
 def path_speed(motion: DataFrame, *, key: str, x: str, y: str, rate: float, bin_s: float | None = 0.1, smooth_s: float | None = 0.2, order: str = "sample_idx", chunk: int = 65536) -> DataFrame:
     """key, bin, end points and value of path segments: walking speed in m/s (P2); without bin_s each sample is a point."""
     half = max(1, round((smooth_s or 0) * rate)) // 2
-    speed = in_chunks(motion.select(key, order, x, y), lambda d, k: walking_speed(d, keys=k, order=order, x=x, y=y, rate=rate, smooth_s=smooth_s), keys=[key], order=order, chunk=chunk, halo=half + 2)
+    speed = in_chunks(motion.select(key, order, x, y), lambda d, k: walking_speed(d, keys=k, order=order, x=x, y=y, rate=rate, smooth_s=smooth_s), keys=[key], order=order, chunk=max(chunk, half + 2), halo=half + 2)
     b = speed.withColumn("bin", F.col(order)) if bin_s is None else bin_means(speed, keys=[key], w=max(1, round(bin_s * rate)), columns=["x_m", "y_m", "speed"], order=order)
     return segments(b, keys=[key], x="x_m", y="y_m", value="speed")
 

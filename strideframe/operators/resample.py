@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cycles import array_of, cut_by_interval
+from .cycles import array_of, cut_by_interval, in_spans
 from .grid import in_chunks
 from .kinematics import walking_speed
 
@@ -44,15 +44,13 @@ def piecewise(v: Column, frames: int, mid: Column) -> Column:
 def trial_bins(events: DataFrame, windows: DataFrame, *, key: str, n_bins: int, value: str = "value", agg: str = "mean", duration: str | None = None, bucket_s: float | None = None) -> DataFrame:
     """window_id, bin and value of every bin of windows (key, window_id, tmin, tmax): mean or median of the events in it, or null.
 
-    An event counts in the bin of its onset, with duration in all bins from its start to its end. Windows are dealt to time buckets
-    (as long as the mean window, unless bucket_s is given), so events meet only the windows around them.
+    An event counts in the bin of its onset, with duration in all bins from its start to its end. Windows are dealt to blocks of time (in
+    units of the median window, unless bucket_s is given; long windows to large blocks), so events meet only the windows around them.
     """
     if bucket_s is None:
-        bucket_s = windows.agg(F.avg(F.col("tmax") - F.col("tmin"))).first()[0] or 1.0
-    at = lambda t: F.floor(t / bucket_s)
-    e = events.select(key, "onset", *([duration] if duration else []), F.nanvl(F.col(value), F.lit(None).cast("double")).alias("_v"), at(F.col("onset")).alias("_bucket"))
-    dealt = windows.where("tmax > tmin").withColumn("_bucket", F.explode(F.sequence(at(F.col("tmin")), at(F.col("tmax")))))
-    j = e.join(dealt, [key, "_bucket"]).where((F.col("onset") >= F.col("tmin")) & (F.col("onset") < F.col("tmax")))
+        bucket_s = windows.where("tmax > tmin").agg(F.percentile_approx(F.col("tmax") - F.col("tmin"), 0.5)).first()[0] or 1.0
+    e = events.select(key, "onset", *([duration] if duration else []), F.nanvl(F.col(value), F.lit(None).cast("double")).alias("_v"))
+    j = in_spans(e, windows.select(key, "window_id", "tmin", "tmax"), keys=[key], at="onset", start="tmin", end="tmax", unit=bucket_s)
     bin_of = lambda t: F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), ((t - F.col("tmin")) / (F.col("tmax") - F.col("tmin")) * n_bins).cast("int")))
     first = bin_of(F.col("onset"))
     last = bin_of(F.col("onset") + F.col(duration)) if duration else first
@@ -69,7 +67,7 @@ def trial_speed_matrix(motion: DataFrame, windows: DataFrame, *, key: str, x: st
     Windows that don't lie inside their recording have no rows.
     """
     half = max(1, round((smooth_s or 0) * rate)) // 2
-    speed = in_chunks(motion.select(key, order, x, y), lambda d, k: walking_speed(d, keys=k, order=order, x=x, y=y, rate=rate, smooth_s=smooth_s), keys=[key], order=order, chunk=chunk, halo=half + 2)
+    speed = in_chunks(motion.select(key, order, x, y), lambda d, k: walking_speed(d, keys=k, order=order, x=x, y=y, rate=rate, smooth_s=smooth_s), keys=[key], order=order, chunk=max(chunk, half + 2), halo=half + 2)
     at = lambda t: F.rint(F.col(t) * rate).cast("long")
     spans = windows.select(key, "window_id", at("tmin").alias("s0"), at("tmax").alias("s1")).where("s0 >= 0 AND s1 > s0")
     whole = cut_by_interval(speed.select(key, order, "speed"), spans, keys=[key], order=order).groupBy(key, "window_id", "s0", "s1").agg(array_of(F.col("speed"), F.col(order)).alias("_v"))

@@ -1,4 +1,4 @@
-"""Common table expressions in SQL (as DuckDB runs it), written from the operators' definitions, with joins in place of windows."""
+"""Common table expressions in SQL (as DuckDB runs it), written from the operators' definitions, mostly with joins in place of windows."""
 
 from __future__ import annotations
 
@@ -29,8 +29,10 @@ def zero(out: str, src: str, col: str, w: int) -> str:
 
 def grad(out: str, src: str, cols: dict[str, str], dt: float) -> str:
     """B3."""
-    parts = ", ".join(f"CASE WHEN a.recording_id IS NOT NULL AND b.recording_id IS NOT NULL THEN (a.{c} - b.{c}) / {2 * dt} WHEN a.recording_id IS NOT NULL THEN (a.{c} - s.{c}) / {dt} ELSE (s.{c} - b.{c}) / {dt} END AS {o}" for o, c in cols.items())
-    return f"{out} AS (SELECT s.*, {parts} FROM {src} s LEFT JOIN {src} a ON a.recording_id = s.recording_id AND a.sample_idx = s.sample_idx + 1 LEFT JOIN {src} b ON b.recording_id = s.recording_id AND b.sample_idx = s.sample_idx - 1)"
+    parts = ", ".join(f"CASE WHEN n{i} IS NOT NULL AND p{i} IS NOT NULL THEN (n{i} - p{i}) / {2 * dt} WHEN n{i} IS NOT NULL THEN (n{i} - {c}) / {dt} ELSE ({c} - p{i}) / {dt} END AS {o}" for i, (o, c) in enumerate(cols.items()))
+    beside = ", ".join(f"lead({c}) OVER w AS n{i}, lag({c}) OVER w AS p{i}" for i, c in enumerate(cols.values()))
+    drop = ", ".join(f"n{i}, p{i}" for i in range(len(cols)))
+    return f"{out}_b AS (SELECT *, {beside} FROM {src} WINDOW w AS (PARTITION BY recording_id ORDER BY sample_idx)), {out} AS (SELECT * EXCLUDE ({drop}), {parts} FROM {out}_b)"
 
 
 def runs(out: str, src: str) -> str:

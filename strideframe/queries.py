@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .operators import artifact, bins, channels, cycles, events, grid, kinematics, overlays, resample, spectral, stats
+from .operators import arrays, artifact, bins, channels, cycles, events, grid, kinematics, overlays, resample, spectral, stats
 from .plans import oracle as Q
 from .sources import tables as T
 
@@ -58,12 +58,42 @@ def a1_load_recordings(spark, sf):
     return g.join(first, K).select("run_pos", *K, "n_rows", "total", (F.col("first") == F.col("start")).alias("whole"))
 
 
+@query("""WITH runs AS (SELECT *, l_linenumber % 3 AS part FROM lineitem), named AS (SELECT 0 AS run_pos, 'evening' AS session, 2 AS part UNION ALL SELECT 1, 'morning', 0 UNION ALL SELECT 2, 'noon', 1 UNION ALL SELECT 3, 'again', 0)
+SELECT run_pos, session, l_suppkey AS recording_id, count(*) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS total FROM runs JOIN named USING (part) GROUP BY 1, 2, 3""")
+def a1_load_manifest(spark, sf):
+    """Runs written as three folders, named by a manifest with their sessions, one of them twice; loaded by one scan."""
+    path = f"{T.shared_dir(spark)}/runs-{os.urandom(8).hex()}"
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for k in range(3):
+        line.where(F.col("l_linenumber") % 3 == k).write.parquet(f"{path}/run {k}")
+    runs = [{"path": f"{path}/run {k}", "session": name} for k, name in ((2, "evening"), (0, "morning"), (1, "noon"), (0, "again"))]
+    g = T.load_recordings(spark, runs).groupBy("run_pos", "session", F.col("l_suppkey").alias("recording_id"))
+    out = T.stored(g.agg(F.count("*").alias("n_rows"), F.sum("l_quantity").cast("double").alias("total")))
+    T.delete(spark, path)
+    return out
+
+
 @query(f"WITH {Q.MOTION} SELECT recording_id, count(*) AS n_rows, CAST(sum(sample_idx) AS BIGINT) AS idx_sum, CAST(sum(y) AS DOUBLE) AS total FROM motion GROUP BY 1")
 def a7_write_samples(spark, sf):
     """Samples written in folders of recordings, and read again."""
     path = f"{T.shared_dir(spark)}/samples-{os.urandom(8).hex()}"
     T.write_samples(T.motion_v(spark, sf).select(*K, O, "y"), path)
-    return spark.read.parquet(path).groupBy(*K).agg(F.count("*").alias("n_rows"), F.sum(O).alias("idx_sum"), F.sum("y").alias("total"))
+    out = T.stored(spark.read.parquet(path).groupBy(*K).agg(F.count("*").alias("n_rows"), F.sum(O).alias("idx_sum"), F.sum("y").alias("total")))
+    T.delete(spark, path)
+    return out
+
+
+@query(f"WITH {Q.MOTION}, {Q.FORWARD} SELECT recording_id, sample_idx, round(fwd_left, 3) + 0.0 AS fwd_left, round(fwd_right, 3) + 0.0 AS fwd_right FROM fwd")
+def a7_bucketed_samples(spark, sf):
+    """Samples saved in buckets of recordings, on which the forward speed (B9) takes no shuffle."""
+    name = f"samples_{os.urandom(8).hex()}"
+    path = f"{T.shared_dir(spark)}/{name}"
+    T.save_samples(T.motion_v(spark, sf), name, path, buckets=8)
+    s = chunked(spark.table(name), 20, lambda d, **g: kinematics.forward_speed(d, **g, head=("x", "y"), feet={"fwd_left": ("lx", "ly"), "fwd_right": ("rx", "ry")}, rate=R, speed_s=0.2))
+    out = T.stored(rounded(s.select(*K, O, "fwd_left", "fwd_right"), "fwd_left", "fwd_right", digits=3))
+    spark.sql(f"DROP TABLE {name}")
+    T.delete(spark, path)
+    return out
 
 
 @query(f"""WITH {Q.MOTION}, r AS (SELECT recording_id % 10 AS subject, recording_id AS run_id, count(*) AS n_times FROM motion GROUP BY 1, 2)
@@ -154,8 +184,8 @@ def b5_walking_speed(spark, sf):
     return rounded(s, "x_m", "y_m", "speed", digits=5).select(*K, O, "x_m", "y_m", "speed")
 
 
-@query(f"""WITH {Q.MOTION} SELECT m.recording_id, m.sample_idx, round(t - 2 * pi() * floor(t / (2 * pi())), 5) AS direction FROM (SELECT m.recording_id, m.sample_idx, atan2(b.y - a.y, b.x - a.x) + 2 * pi() AS t FROM motion m
-  LEFT JOIN motion a ON a.recording_id = m.recording_id AND a.sample_idx = m.sample_idx - 5 LEFT JOIN motion b ON b.recording_id = m.recording_id AND b.sample_idx = m.sample_idx + 5) m""")
+@query(f"""WITH {Q.MOTION}, d AS (SELECT recording_id, sample_idx, lead(x, 5) OVER w - lag(x, 5) OVER w AS dx, lead(y, 5) OVER w - lag(y, 5) OVER w AS dy FROM motion WINDOW w AS (PARTITION BY recording_id ORDER BY sample_idx))
+SELECT recording_id, sample_idx, round(t - 2 * pi() * floor(t / (2 * pi())), 5) AS direction FROM (SELECT *, atan2(dy, dx) + 2 * pi() AS t FROM d)""")
 def b6_path_direction(spark, sf):
     s = chunked(T.motion_v(spark, sf).select(*K, O, "x", "y"), 6, lambda d, **g: kinematics.path_direction(d, **g, x="x", y="y"))
     return rounded(s.select(*K, O, "direction"), "direction", digits=5)
@@ -225,8 +255,45 @@ def c5_annotate_gait_lean(spark, sf):
     return rounded(events.annotate_gait_lean(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R, lean_s=0.3, min_s=0.2, chunk=CHUNK), "onset", "duration")
 
 
-def _steps(spark, sf):
-    return events.annotate_steps(T.motion_v(spark, sf), **GRID, head=("x", "y"), left=("lx", "ly"), right=("rx", "ry"), rate=R, speed_s=0.2, min_s=0.1, chunk=CHUNK)
+def _old(spark, sf, labels):
+    """Annotations from before: a label by height at every 50th sample."""
+    m = T.motion_v(spark, sf).where(F.col(O) % 50 == 0)
+    label = F.when(F.col("y") > 700, labels[0]).when(F.col("y") < 300, labels[1]).otherwise("note/checked")
+    return m.select(*K, (F.col(O) / R).alias("onset"), F.lit(0.0).alias("duration"), label.alias("description"))
+
+
+def _old_sql(labels):
+    return f"o AS (SELECT recording_id, round(sample_idx / 10.0, 4) AS onset, CAST(0 AS DOUBLE) AS duration, CASE WHEN y > 700 THEN '{labels[0]}' WHEN y < 300 THEN '{labels[1]}' ELSE 'note/checked' END AS description FROM motion WHERE sample_idx % 50 = 0)"
+
+
+_LEAN_OLD = ("gait_lean_left", "gait_lean_wobble")
+
+
+def _lean_replaced(spark, sf, old):
+    return events.annotate_gait_lean(T.motion_v(spark, sf), **GRID, x="x", y="y", rate=R, lean_s=0.3, min_s=0.2, chunk=CHUNK, annotations=old)
+
+
+@query(f"""WITH {Q.MOTION}, {_LEAN_EVENTS}, {_old_sql(_LEAN_OLD)}, n AS (SELECT recording_id, round(a / 10.0, 4) AS onset, round(n / 10.0, 4) AS duration, CASE state WHEN -1 THEN 'gait_lean_left' WHEN 1 THEN 'gait_lean_right' ELSE 'gait_lean_reset' END AS description FROM lr WHERE n >= 2 AND a < last_idx)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.recording_id = o.recording_id AND n.description = o.description)""")
+def c5_replaced_gait_lean(spark, sf):
+    """New events in the place of old ones of the same description."""
+    return rounded(_lean_replaced(spark, sf, _old(spark, sf, _LEAN_OLD)), "onset", "duration")
+
+
+@query(ORACLE_SQL["c5_replaced_gait_lean"])
+def c7_stored_annotations(spark, sf):
+    """The same in a stored table of annotations, where the update is run twice."""
+    path = f"{T.shared_dir(spark)}/annotations-{os.urandom(8).hex()}"
+    T.save_annotations(_old(spark, sf, _LEAN_OLD), path)
+    for _ in range(2):
+        T.update_annotations(spark, path, T.motion_v(spark, sf).select(*K), lambda old: _lean_replaced(spark, sf, old))
+    out = T.stored(rounded(spark.read.parquet(path).drop("bucket"), "onset", "duration"))
+    T.delete(spark, path)
+    return out
+
+
+def _steps(spark, sf, motion=None, old=None):
+    return events.annotate_steps(motion or T.motion_v(spark, sf), **GRID, head=("x", "y"), left=("lx", "ly"), right=("rx", "ry"), rate=R, speed_s=0.2, min_s=0.1, chunk=CHUNK, annotations=old)
 
 
 @query(f"""WITH {Q.MOTION}, {Q.FORWARD}, {Q.STATE}, {Q.runs('r', 'st')} SELECT r.recording_id, round(a / 10.0, 4) AS onset, round(n / 10.0, 4) AS duration,
@@ -237,6 +304,17 @@ def c6_annotate_steps(spark, sf):
     return rounded(_steps(spark, sf), "onset", "duration", "steplen_m")
 
 
+_STEP_OLD = ("lr_step_left/steplen0.61", "lr_step_reset")
+
+
+@query(f"""{ORACLE_SQL["c6_annotate_steps"].replace("SELECT r.recording_id", "SELECT * FROM (SELECT r.recording_id", 1).replace("WITH ", f"WITH {Q.MOTION}, {_old_sql(_STEP_OLD)}, ", 1).replace(f"{Q.MOTION}, {Q.FORWARD}", Q.FORWARD, 1)}) WHERE recording_id % 2 = 0
+UNION ALL SELECT recording_id, onset, duration, NULL, description FROM o WHERE recording_id % 2 = 1 OR split_part(description, '/', 1) NOT IN ('lr_step_left', 'lr_step_right', 'lr_step_reset')""")
+def c6_replaced_steps(spark, sf):
+    """Of half of the recordings; the others keep what they had."""
+    new = _steps(spark, sf, T.motion_v(spark, sf).where("recording_id % 2 = 0"), _old(spark, sf, _STEP_OLD))
+    return rounded(new, "onset", "duration", "steplen_m").select(*K, "onset", "duration", "steplen_m", "description")
+
+
 @query(f"""WITH {Q.MOTION}, s AS (SELECT *, CASE WHEN y > 700 THEN 1 WHEN y < 300 THEN -1 ELSE 0 END AS state FROM motion), {Q.runs('r', 's')}
 SELECT r.recording_id, a AS first_idx, round(CASE state WHEN -1 THEN sqrt((q.lx - p.lx) ** 2 + (q.ly - p.ly) ** 2) / 1000 WHEN 1 THEN sqrt((q.rx - p.rx) ** 2 + (q.ry - p.ry) ** 2) / 1000 END, 4) AS steplen_m
 FROM r JOIN motion p ON p.recording_id = r.recording_id AND p.sample_idx = a JOIN motion q ON q.recording_id = r.recording_id AND q.sample_idx = a + n - 1 WHERE a < last_idx AND n >= 2""")
@@ -476,6 +554,20 @@ def d6_joint_bins(spark, sf):
     return rounded(bins.joint_bins(m.select(*K, O, "x"), m.select(*K, O, (F.col("x") * F.col("y")).alias("p")), key="recording_id", bin_s=0.5, rate_a=R, rate_b=R, values_a=["x"], values_b=["p"]), "x", "p", digits=3)
 
 
+def _pairs(spark, sf):
+    """Two recordings of each key; in every third the second one starts late."""
+    r = T.motion_v(spark, sf).groupBy(*K).agg(((F.max(O)) / R).alias("length")).withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1))))
+    return r.withColumn("start", F.when((F.col("pos") == 1) & (F.col("recording_id") % 3 == 0), 0.02).when(F.col("pos") == 1, 0.005).otherwise(0.0))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['d6_joint_bins']}) WHERE recording_id % 3 <> 0")
+def d6_joint_bins_synced(spark, sf):
+    """Only of recordings that are in sync."""
+    m = T.motion_v(spark, sf)
+    joined = bins.joint_bins(m.select(*K, O, "x"), m.select(*K, O, (F.col("x") * F.col("y")).alias("p")), key="recording_id", bin_s=0.5, rate_a=R, rate_b=R, values_a=["x"], values_b=["p"], recordings=_pairs(spark, sf))
+    return rounded(joined, "x", "p", digits=3)
+
+
 _BINS = f"WITH {Q.MOTION}, b AS (SELECT recording_id, sample_idx // 10 AS bin, avg(x) AS x, avg(y) AS y FROM motion GROUP BY 1, 2 HAVING count(*) = 10)"
 
 
@@ -533,6 +625,13 @@ def d13_mean_map(spark, sf):
     return rounded(channels.combine_channels(e, keys=["freq_idx", "bin"], value="v"), "v", digits=5)
 
 
+@query(ORACLE_SQL["d13_mean_map"])
+def d13_mean_map_arrays(spark, sf):
+    """Of maps as arrays, which are summed by task before a shuffle."""
+    m = arrays.array_means(T.epoch_v(spark, sf), keys=[], column="signal").select(F.posexplode("signal").alias("at", "v"))
+    return rounded(m.select(F.floor(F.col("at") / 8).cast("int").alias("freq_idx"), (F.col("at") % 8).alias("bin"), "v"), "v", digits=5)
+
+
 # ---- spectra
 
 E8 = [float(f) for f in kernels.octave_grid(2, 32, 0.5)]
@@ -640,6 +739,14 @@ def e5_baseline_mean(spark, sf):
     return _baseline(spark, sf, "mean")
 
 
+@query(f"WITH {_EPOCH} SELECT ep.cycle_id, bin, round((v - m) / s, 5) + 0.0 AS v FROM ep JOIN (SELECT cycle_id, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM ep WHERE bin >= cycle_id % 8 AND bin < cycle_id % 8 + 16 GROUP BY 1) USING (cycle_id)")
+def e5_baseline_per_trial(spark, sf):
+    """Each trial over a part of its own."""
+    start = (F.col("cycle_id") % 8).cast("int")
+    e = T.epoch_v(spark, sf).withColumn("z", spectral.baseline_correct(F.col("signal"), start, start + 16, "zscore"))
+    return rounded(e.select("cycle_id", F.posexplode("z").alias("bin", "v")), "v", digits=5)
+
+
 # the buffer's ends are the ends of the convolved signal: an epoch is cut to [0, 64) samples here, so all of it is used
 @query(f"{_band_sql(4, 8)}, c AS (SELECT cycle_id, ch_name, bin - 8 AS bin, v FROM bp WHERE bin >= 8 AND bin < 56 AND cycle_id % 2 = 0 AND ch_name IN (1, 3, 5)) SELECT cycle_id, round(0.125 + bin / 64, 6) AS t, round(avg((v - m) / s), 4) + 0.0 AS value FROM c JOIN {_ZSCORE.format(src='c', a=0, b=16)} USING (cycle_id) GROUP BY 1, 2")
 def e6_event_band_power(spark, sf):
@@ -649,6 +756,26 @@ def e6_event_band_power(spark, sf):
     return rounded(rounded(traces, "t", digits=6), "value")
 
 
+def _triples(spark, sf):
+    """Epochs of three recorded channels: those of three neighbouring vectors."""
+    names = F.array(*[F.lit(n) for n in ("ZERO_THREE_LEFT", "ONE_THREE_LEFT", "ZERO_TWO_LEFT")])
+    e = T.epoch_v(spark, sf)
+    tag = F.when(F.floor(F.col("cycle_id") / 3) % 2 == 0, "trial/beep").otherwise("trial/tone")
+    return e.select(F.floor(F.col("cycle_id") / 3).alias("trial"), F.get(names, (F.col("cycle_id") % 3).cast("int")).alias("ch_name"), "signal", tag.alias("description"))
+
+
+#: The derived channel (cycle 2 * trial) and a recorded one (2 * trial + 1).
+_DERIVED = """raw AS (SELECT vec_id // 3 AS trial, vec_id % 3 AS c, CAST(unnest(range(64)) AS INT) AS bin, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ep AS (SELECT 2 * trial AS cycle_id, 0 AS ch_name, bin, sum(CASE c WHEN 0 THEN v ELSE -v END) AS v FROM raw WHERE c < 2 GROUP BY trial, bin HAVING count(*) = 2 UNION ALL SELECT 2 * trial + 1, 1, bin, v FROM raw WHERE c = 1)"""
+
+
+@query(f"{_band_sql(4, 8).replace(_EPOCH, _DERIVED)}, c AS (SELECT cycle_id, cycle_id // 2 AS trial, bin - 8 AS bin, v FROM bp WHERE bin >= 8 AND bin < 56 AND cycle_id // 2 % 2 = 0) SELECT trial, round(0.125 + bin / 64, 6) AS t, round(avg((v - m) / s), 4) + 0.0 AS value FROM c JOIN {_ZSCORE.format(src='c', a=0, b=16)} USING (cycle_id) GROUP BY 1, 2")
+def e6_derived_event_traces(spark, sf):
+    """Of a derived channel and a recorded one."""
+    traces = spectral.event_traces(_triples(spark, sf), keys=["trial"], event_key="beep", picks=["ZERO_ONE_LEFT", "ONE_THREE_LEFT"], rate=T.EPOCH_RATE, start_s=0.0, low=4, high=8, t_range=(0.125, 0.875), baseline=(0.125, 0.375), buffer_s=0.125)
+    return rounded(rounded(traces, "t", digits=6), "value")
+
+
 def _core(spark, sf):
     return T.epoch_v(spark, sf).withColumns({"cycle_start_idx": F.lit(8), "cycle_mid_idx": F.lit(27), "cycle_end_idx": F.lit(56)})
 
@@ -662,6 +789,13 @@ def e7_cycle_band_power(spark, sf):
     return rounded(spectral.cycle_band_power(_core(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, low=13, high=30, n=20), "value")
 
 
+@query(f"{_E7.replace(_EPOCH, _DERIVED)} SELECT trial, bin, round(avg(value), 4) + 0.0 AS value FROM (SELECT cycle_id // 2 AS trial, o AS bin, {_LERP[6:-4]} AS value FROM ({_WARP})) GROUP BY 1, 2")
+def e7_derived_cycle_band_power(spark, sf):
+    """Of a derived channel and a recorded one, mean over both."""
+    e = _triples(spark, sf).drop("description").withColumns({"cycle_start_idx": F.lit(8), "cycle_mid_idx": F.lit(27), "cycle_end_idx": F.lit(56)})
+    return rounded(spectral.cycle_band_power(e, keys=["trial"], rate=T.EPOCH_RATE, low=13, high=30, n=20, picks=["ZERO_ONE_LEFT", "ONE_THREE_LEFT"]), "value")
+
+
 _E8 = f"{_CONV}, pw AS (SELECT *, re * re + im * im AS v FROM z), n AS (SELECT cycle_id, freq, bin - 8 AS bin, (v - m) / s AS v FROM pw JOIN (SELECT cycle_id, freq, avg(v) AS m, stddev_pop(v) AS s FROM pw GROUP BY 1, 2) USING (cycle_id, freq) WHERE bin >= 8 AND bin < 56), a AS (SELECT cycle_id, freq, list(v ORDER BY bin) AS v FROM n GROUP BY 1, 2)"
 
 
@@ -697,6 +831,12 @@ def e11_average_cycle_map(spark, sf):
     return rounded(rounded(rounded(m.drop("p", "significant"), "value"), "t", digits=3), "phase", digits=6)
 
 
+@query()
+def e11_average_cycle_test(spark, sf):
+    """The same map with p values: seeded sign flips, so without SQL; the tests run them by brute force."""
+    return rounded(spectral.average_cycle_map(_core(spark, sf), keys=["cycle_id"], rate=T.EPOCH_RATE, freqs=E8, n=20), "phase", "value", "t", "p", digits=6)
+
+
 def _cells(spark, sf):
     return _epoch_long(spark, sf).select(F.col("cycle_id").alias("obs"), F.floor(F.col("bin") / 8).cast("int").alias("freq_idx"), (F.col("bin") % 8).alias("bin"), F.col("v").alias("value"))
 
@@ -786,9 +926,24 @@ def g5_spacing(spark, sf):
 
 @query(f"{_CLEAN} SELECT recording_id, sample_idx, round(after, 3) + 0.0 AS clean FROM cl")
 def g6_fit_subtract(spark, sf):
-    """At the spaced peaks; windows that overlap are checked in the tests."""
+    """At peaks a window apart."""
+    t = _template(spark, sf)
+    c = artifact.subtract(_centred(spark, sf), T.stored(_peaks(spark, sf, W_, t)), t, **ART, width=W_, chunk=CHUNK)
+    return rounded(c.select(*K, O, "clean"), "clean", digits=3)
+
+
+#: All peaks: windows overlap, and each is fitted to what the ones before it left, here by a fold over whole recordings.
+_IN_ORDER = f"""{_ARTIFACT}, sig AS (SELECT m.recording_id, list(m.x - s.mean ORDER BY m.sample_idx) AS v FROM motion m JOIN sdn s USING (recording_id) GROUP BY 1),
+pat AS (SELECT recording_id, list(t ORDER BY k) AS t FROM tpl GROUP BY 1), wins AS (SELECT recording_id, list([(place - {W_ // 2})::DOUBLE] ORDER BY place) AS w FROM pk JOIN sdn USING (recording_id) WHERE place >= {W_ // 2} AND place + {W_ // 2} <= n GROUP BY 1),
+swept AS (SELECT recording_id, v, list_reduce(list_prepend(v, w), lambda a, x: list_concat(a[1:x[1]::BIGINT], list_transform(list_zip(a[x[1]::BIGINT + 1:x[1]::BIGINT + {W_}], t), lambda z: z[1] - z[2] * list_inner_product(a[x[1]::BIGINT + 1:x[1]::BIGINT + {W_}], t) / list_inner_product(t, t)), a[x[1]::BIGINT + {W_ + 1}:])) AS c FROM wins JOIN sig USING (recording_id) JOIN pat USING (recording_id)),
+ord AS MATERIALIZED (SELECT sig.recording_id, unnest(range(len(sig.v))) AS sample_idx, unnest(sig.v) AS before, unnest(coalesce(c, sig.v)) AS after FROM sig LEFT JOIN swept USING (recording_id))"""
+
+
+@query(f"{_IN_ORDER} SELECT recording_id, sample_idx, round(after, 3) + 0.0 AS clean FROM ord")
+def g6_fit_subtract_overlapping(spark, sf):
+    """At all peaks, so that windows overlap along whole recordings."""
     t = _template(spark, sf)
-    c = artifact.subtract(_centred(spark, sf), T.stored(_peaks(spark, sf, W_, t)), t, **ART, width=W_)
+    c = artifact.subtract(_centred(spark, sf), T.stored(_peaks(spark, sf, 0, t)), t, **ART, width=W_, chunk=CHUNK)
     return rounded(c.select(*K, O, "clean"), "clean", digits=3)
 
 
@@ -804,6 +959,13 @@ def g8_filter_artifact(spark, sf):
     return rounded(_filtered(spark, sf)[0].select(*K, O, "v", "clean"), "v", "clean", digits=3)
 
 
+@query(f"{_IN_ORDER} SELECT recording_id, sample_idx, round(before, 3) + 0.0 AS v, round(after, 3) + 0.0 AS clean FROM ord")
+def g8_filter_artifact_overlapping(spark, sf):
+    """The whole chain with its default of no distance between subtracted windows."""
+    clean = artifact.filter_artifact(_centred(spark, sf), **ART, rate=R, discover_advance_s=3.4, sd=1.5, chunk=CHUNK)[0]
+    return rounded(clean.select(*K, O, "v", "clean"), "v", "clean", digits=3)
+
+
 @query(f"{_CLEAN} SELECT recording_id, (SELECT count(*) FROM hits h WHERE h.recording_id = s.recording_id) AS n_discovered, (SELECT count(*) FROM used u WHERE u.recording_id = s.recording_id) AS n_subtracted FROM sdn s")
 def g8_artifact_counts(spark, sf):
     return _filtered(spark, sf)[2]
