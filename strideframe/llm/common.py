@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Where cut() and scratch() note what they make, if someone will remove it.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tracked() -> Iterator[list]:
+    """A list of what cut() and scratch() make meanwhile: tables, and paths; for release() once nothing reads them any more."""
+    made: list = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that later stages and lost executors don't recompute it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """As cut(), for tables with texts: as compressed Parquet."""
+    path = f"{shared_dir(df.sparkSession)}/scratch-{os.urandom(8).hex()}"
+    df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -37,20 +67,24 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """Removes the files of tables made by cut() from which nothing more will be read."""
+def release(*tables: DataFrame | str) -> None:
+    """Removes the files of tables made by cut(), or at paths, from which nothing more will be read."""
     for df in tables:
+        if isinstance(df, str):
+            delete(SparkSession.active(), df)
+            continue
         file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if file.isDefined():
             delete(df.sparkSession, file.get())
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """rows with the columns of table, which has one row for each key and how many rows have it (n); both made by cut().
+def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, total: int | None = None) -> DataFrame:
+    """rows with the columns of table, which has one row for each key and how many rows have it (n); both cheap to read again, as those made by cut().
 
-    Keys of more than a share-th of all rows are fewer than share: these go to all tasks, so that no task of the shuffle gets one.
+    Keys of more than a share-th of all rows (total) are fewer than share: these go to all tasks, so that no task of the shuffle gets one.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum("n")).first()[0] or 0
     hot = table.where(F.col("n") * share > total)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)

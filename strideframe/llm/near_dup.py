@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from math import comb
 
 import numpy as np
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, release, text_blocks, whole_text
+from .common import cut, free_shuffles, lookup, release, text_blocks, whole_text
 from .shingles import mix, windows, word_hashes
 
 BANDS, ROWS = 25, 5
@@ -80,13 +81,17 @@ def node_of(text: str) -> bytes:
     return hashlib.md5(text.encode("utf-8", "replace")).digest()
 
 
-def signatures(texts: list[str], weighted: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
+#: What a shingle weighs that a text has n times; "set" has no entry, as all its weights are 1.
+WEIGHTS = {"log": lambda n: 1 + np.log10(n), "count": lambda n: n.astype(float)}
+
+
+def signatures(texts: list[str], weighting: str = "set") -> tuple[list[np.ndarray], list[bytes]]:
     """Band keys (64 bits; none of a text without words) and one byte of each register of every text."""
     keys: list[np.ndarray] = []
     registers: list[bytes] = []
     for a, b in text_blocks(texts):
         z, doc, n = _elements(texts[a:b])
-        owner = prob_minhash(z, n.astype(float) if weighted else np.ones(len(z)), doc, b - a)
+        owner = prob_minhash(z, WEIGHTS[weighting](n) if weighting in WEIGHTS else np.ones(len(z)), doc, b - a)
         key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
         with np.errstate(over="ignore"):
             for r in range(ROWS):
@@ -98,7 +103,7 @@ def signatures(texts: list[str], weighted: bool = False) -> tuple[list[np.ndarra
 
 
 def shingle_sets(texts: list[str], weighted: bool = False) -> list[bytes]:
-    """Of every text the sorted 32-bit hashes of its distinct shingles, and after them (weighted) their counts."""
+    """Of every text the sorted 32-bit hashes of its distinct shingles, and after them (weighted) how often it has each."""
     out = []
     for a, b in text_blocks(texts):
         z, doc, n = _elements(texts[a:b])
@@ -122,9 +127,12 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
-def probability_jaccard(a: bytes, b: bytes) -> float:
-    """The sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i), x and y being the weights in a and b."""
+def probability_jaccard(a: bytes, b: bytes, weigh=WEIGHTS["count"]) -> float:
+    """The sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i), x and y being the weights of the counts in a and b."""
     (p, x), (q, y) = (np.split(np.frombuffer(s, "<u4"), 2) for s in (a, b))
+    if len(p) and len(q) and x.max() == 1 == y.max():  # no repeats: the sets' similarity
+        return jaccard(p.tobytes(), q.tobytes())
+    x, y = weigh(x), weigh(y)
     keys, at = np.unique(np.r_[p, q], return_inverse=True)
     wx, wy = np.zeros(len(keys)), np.zeros(len(keys))
     wx[at[: len(p)]], wy[at[len(p) :]] = x, y
@@ -255,11 +263,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
+        # the centre of a large star has as many edges as the star has nodes: such nodes' least neighbours go to all tasks (lookup)
+        n = edges.count() if state is None else state[0]
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both.where("v > u"), least, "u", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, low, "u", total=n).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v")
         before, edges = edges, cut(small.distinct())
         release(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -274,11 +284,12 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(heads: DataFrame, all_sets: DataFrame, threshold: float, similarity) -> DataFrame:
     """node and component of all texts that are similar to another: of heads (node, bands, registers), with their shingles from all_sets (node, shingles)."""
     banded = heads.select("node", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(sizes, "key"))
+    sizes = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    n_banded = sizes.agg(F.sum("n")).first()[0] or 0
+    members = cut(lookup(banded, sizes, "key", total=n_banded))
     rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
-    central = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"))
-    pairs = cut(members.join(central, "key").where("node <> top.node").select(F.col("node").alias("a"), F.col("top.node").alias("b"), F.ceil(F.col("top.rank") / LINK_ROWS_PER_SALT).alias("salts")).distinct())
+    central = cut(members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"), F.count("*").alias("n")))
+    pairs = cut(lookup(members.drop("n"), central, "key", total=n_banded).where("node <> top.node").select(F.col("node").alias("a"), F.col("top.node").alias("b"), F.ceil(F.col("top.rank") / LINK_ROWS_PER_SALT).alias("salts")).distinct())
     sets = cut(all_sets.join(rank.select("node"), "node", "left_semi"))
     links = cut(_verified(pairs, sets, threshold, similarity))
 
@@ -286,23 +297,25 @@ def _classes(heads: DataFrame, all_sets: DataFrame, threshold: float, similarity
     hop = cut(links.groupBy("a").agg(F.min("b").alias("b")))
     hops = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part"))
     parted = members.join(hops, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_keys = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rest = cut(parted.join(open_keys, "key").join(heads.select("node", "registers"), "node"))
+    open_keys = cut(parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n"))
+    rest = cut(lookup(parted.drop("n"), open_keys, "key", total=n_banded).join(heads.drop("n").select("node", "registers"), "node"))
     final = components(links.unionByName(_crossed(rest, sets, threshold, similarity)))
-    release(members, pairs, sets, links, hop, rest)
+    release(sizes, members, central, pairs, sets, links, hop, open_keys, rest)
     return final
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, weighting: str = "set") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, weighting: str = "log") -> DataFrame:
     """doc_id, node (md5 of the text), copy_of (least id with this text), class_id (least id of its near-duplicate class) and first (whether this row stands for its class) of every row of docs (doc_id, text)."""
-    weighted = {"set": False, "count": True}[weighting]
-    similarity = probability_jaccard if weighted else jaccard
+    if weighting not in ("set", *WEIGHTS):
+        raise ValueError(f"unknown weighting {weighting}")
+    weighted = weighting in WEIGHTS
+    similarity = partial(probability_jaccard, weigh=WEIGHTS[weighting]) if weighted else jaccard
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             nodes = [node_of(t) for t in pdf["text"]]
             new = ~pd.Series(nodes, index=pdf.index).duplicated()
-            keys, registers = signatures(pdf.loc[new, "text"].tolist(), weighted)
+            keys, registers = signatures(pdf.loc[new, "text"].tolist(), weighting)
             known = dict(zip(pd.Series(nodes, index=pdf.index)[new], zip(keys, registers, strict=True), strict=True))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "bands": [known[n][0] for n in nodes], "registers": [known[n][1] for n in nodes]})
 
@@ -314,20 +327,23 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, weighting: str =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     signed = cut(rows.mapInPandas(sign, "doc_id long, node binary, bands array<long>, registers binary"))
     # equal texts have equal bands and registers: any row's will do
-    heads = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
+    heads = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
     sets = rows.select("text").mapInPandas(sets_of, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     final = _classes(heads, sets, threshold, similarity)
     free_shuffles(docs.sparkSession)
 
-    texts = heads.select("node", "copy_of").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = texts.groupBy("component").agg(F.min(F.struct(F.col("copy_of").isNull().alias("unnamed"), "copy_of", "node")).alias("top"))
-    texts = texts.join(named, "component").select("node", "copy_of", F.col("top.copy_of").alias("class_id"), (F.col("node") == F.col("top.node")).alias("stands"))
-    return signed.select("doc_id", "node").join(texts, "node").select("doc_id", "node", "copy_of", "class_id", (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("copy_of"))).alias("first"))
+    texts = heads.select("node", "copy_of", "n").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = texts.groupBy("component").agg(F.min(F.struct(F.col("copy_of").isNull().alias("unnamed"), "copy_of", "node")).alias("top"), F.count("*").alias("n"))
+    texts = lookup(texts.withColumnRenamed("n", "rows"), named, "component", total=heads.count()).drop("n").withColumnRenamed("rows", "n")
+    texts = cut(texts.select("node", "n", "copy_of", F.col("top.copy_of").alias("class_id"), (F.col("node") == F.col("top.node")).alias("stands")))
+    release(heads, final)
+    rows = lookup(signed.select("doc_id", "node"), texts, "node")
+    return rows.select("doc_id", "node", "copy_of", "class_id", (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("copy_of"))).alias("first"))
 
 
-def one_of_each(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, *, threshold: float = 0.8, weighting: str = "log") -> DataFrame:
     """The row of docs (doc_id, text, ...) that stands for its class (that of the least id), of every class, with docs' columns; repeated rows once."""
     key = lambda text_md5: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), text_md5)
-    kept = near_duplicates(docs, threshold=threshold).where("first").select(key(F.lower(F.hex("node"))).alias("__sf_key"))
+    kept = near_duplicates(docs, threshold=threshold, weighting=weighting).where("first").select(key(F.lower(F.hex("node"))).alias("__sf_key"))
     keyed = docs.withColumn("__sf_key", key(F.md5(F.encode(whole_text(), "UTF-8"))))
     return keyed.join(kept, "__sf_key", "left_semi").dropDuplicates(["__sf_key"]).drop("__sf_key")

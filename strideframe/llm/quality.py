@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_blocks, text_runs, whole_text
+from .common import cut, scratch, text_blocks, text_runs, whole_text
 from .shingles import windows, word_hashes
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -111,5 +111,13 @@ def judged(measures: DataFrame, *, host: str = "source", max_host_rate: float =
 
 
 def quality_rules(docs: DataFrame, *, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_host_rate: float = 0.5, prior_weight: float = 10.0) -> DataFrame:
-    """docs with a struct __sf_quality. Texts are measured once for the hosts and again for the rows; callers that don't need the texts can cut() measured() without them."""
-    return judged(measured(docs, min_words=min_words, max_repeat_percent=max_repeat_percent), host=host, max_host_rate=max_host_rate, prior_weight=prior_weight)
+    """docs with a struct __sf_quality. Texts are measured once: rows and measures are kept in the shared folder, from which the hosts' rates and the verdicts follow. Callers that don't need the texts cut() measured() without them."""
+    rows = scratch(measured(docs, min_words=min_words, max_repeat_percent=max_repeat_percent))
+    return judged(rows, host=host, max_host_rate=max_host_rate, prior_weight=prior_weight)
+
+
+def kept_documents(docs: DataFrame, *, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, **options) -> DataFrame:
+    """The rows of docs that neither fail the base rules nor stand on a rejected host; texts of failing rows aren't even kept for the verdict of their hosts."""
+    m = measured(docs, min_words=min_words, max_repeat_percent=max_repeat_percent)
+    rows = scratch(m.withColumn("text", F.when(~F.col("__sf_failed"), F.col("text"))))
+    return judged(rows, host=host, **options).where("__sf_quality.kept").drop("__sf_quality")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import math
 import random
 import zlib
 
@@ -91,24 +92,39 @@ def test_decode_join(spark):
     assert {r.doc_id: r.text for r in bpe.decode_ids(df, bpe.piece_table(spark, PATH)).collect()} == texts
 
 
-def brute_classes(texts: dict) -> dict:
+def exact_probability_jaccard(a: dict, b: dict) -> float:
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
+
+
+def brute_classes(texts: dict, weigh=lambda n: 1) -> dict:
+    """Classes by the probability Jaccard similarity of shingles that weigh as much as weigh(how often the text has them)."""
     sets, root = {}, {i: i for i in texts}
     for i, t in texts.items():
         w = t.split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = {x: weigh(n) for x, n in collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))).items()} if w else {}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
+    def similar(a: dict, b: dict) -> bool:
+        common = len(a.keys() & b.keys())
+        if set(a.values()) | set(b.values()) == {1}:
+            return common >= 0.8 * len(a.keys() | b.keys())
+        return common > 0 and exact_probability_jaccard(a, b) >= 0.8
+
     for a, b in itertools.combinations(texts, 2):
-        if texts[a] == texts[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+        if texts[a] == texts[b] or (sets[a] and similar(sets[a], sets[b])):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in texts}
 
 
+def damped(n: int) -> float:
+    return 1 + math.log10(n)
+
+
 def test_near_duplicates_equal_brute_force(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rng = random.Random(1)
@@ -121,7 +137,8 @@ def test_near_duplicates_equal_brute_force(spark, docs):
             n += 1
             base[rng.randrange(150)] = rng.choice(words)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == brute_classes(texts)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == brute_classes(texts, damped)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df, weighting="set").collect()} == brute_classes(texts)
 
 
 def test_near_copies_with_a_repeated_line_equal_brute_force(spark):
@@ -134,11 +151,32 @@ def test_near_copies_with_a_repeated_line_equal_brute_force(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_classes(texts)
     assert all(want[i] == i // 2 * 2 for i in texts)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df, weighting="set").collect()} == want
+    assert brute_classes(texts, damped) == want  # damped counts leave such copies near, plain ones don't
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
-
-
-def exact_probability_jaccard(a: collections.Counter, b: collections.Counter) -> float:
-    return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
+    assert len(set(brute_classes(texts, float).values())) > 60
+
+
+@pytest.mark.parametrize("words", [60, 200, 1000])
+def test_recall_of_weighted_banding(words):
+    """Of pairs whose damped similarity is 0.8 to 0.95, with lines repeated 2 to 12 times: how many meet in a band."""
+    rng = random.Random(words)
+    pairs = []
+    while len(pairs) < 200:
+        base = [f"v{rng.randrange(10**9)}" for _ in range(words)]
+        at = rng.randrange(words - 12)
+        line = base[at : at + 12]
+        near = list(base)
+        for _ in range(rng.randrange(1, 2 + words // 60)):
+            near[rng.randrange(words)] = "edit"
+        a, b = (" ".join(x[:at] + line * rng.randrange(2, 13) + x[at:]) for x in (base, near))
+        similarity = near_dup.probability_jaccard(*near_dup.shingle_sets([a, b], weighted=True), near_dup.WEIGHTS["log"])
+        if 0.8 <= similarity < 0.95:
+            pairs.append((a, b))
+    keys, _ = near_dup.signatures([t for p in pairs for t in p], "log")
+    met = sum(bool({*keys[2 * i].tolist()} & {*keys[2 * i + 1].tolist()}) for i in range(len(pairs)))
+    print("pairs met", met, "of", len(pairs))
+    assert met >= 199
 
 
 def test_shingles_weighed_by_their_counts_equal_brute_force(spark):
@@ -643,6 +681,23 @@ def test_pipeline_against_its_stages(spark):
         assert out.columns == docs.columns
         kept = spark.createDataFrame(out.collect(), docs.schema)
     texts = {r.doc_id: r.text for r in kept.collect()}
-    classes = brute_classes(texts)
+    classes = brute_classes(texts, damped)
     assert all(classes[i] == i for i in texts)
     assert {r.doc_id for r in P.run(spark, SF).collect()} == set(texts)
+
+
+def test_pipeline_leaves_only_what_its_result_reads(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as P
+    from strideframe.llm import common
+
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = common.shared_dir(spark).removeprefix("file:")
+    found = lambda: {os.path.join(d, x) for d, ds, _ in os.walk(root) for x in ds if x.startswith(("rdd-", "scratch-", "pipeline-"))}
+    old = found()
+    n = P.run(spark, SF).count()
+    new = {x.rsplit("/", 1)[1].split("-")[0] for x in found() - old}
+    left = [x for x in found() - old if "pipeline-" in x]
+    assert n and new <= {"pipeline", "rdd"} and [sorted(os.listdir(x)) for x in left] == [["2"]], (new, left)
+    assert sum("rdd-" in x for x in found() - old) <= 2 and spark.sparkContext._jsc.sc().getCheckpointDir() == before  # packing's own
