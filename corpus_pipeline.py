@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm import near_dup, packing, quality, toxicity
-from strideframe.llm.common import delete, free_shuffles, shared_dir
+from strideframe.llm.common import free_shuffles, release, shared_dir, tracked
 from strideframe.llm.queries import TOKENIZER, _digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor stand on a rejected host."""
-    return quality.quality_rules(docs.select(COLUMNS)).where("__sf_quality.kept").select(COLUMNS)
+    return quality.kept_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' last result; each earlier one is written to the shared folder, read by the next, and then removed."""
+    """The stages' last result; each earlier one is written to the shared folder and read by the next. What a stage made on the way goes once it is written; what is left at the end is what the result reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{os.urandom(8).hex()}"
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with tracked() as made:
+            docs = stage(spark, docs, sf_dir)
             docs.write.parquet(f"{base}/{i}")
-            docs = spark.read.parquet(f"{base}/{i}")
-            if i:
-                delete(spark, f"{base}/{i - 1}")
-            free_shuffles(spark)
-    return docs
+        docs = spark.read.parquet(f"{base}/{i}")
+        release(*made, *([f"{base}/{i - 1}"] if i else []))
+        free_shuffles(spark)
