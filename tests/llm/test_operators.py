@@ -568,6 +568,64 @@ def test_lengths_decide_where_nothing_is_marked():
     assert html_main.peaks([0, 0, 5, 0, 0, 0, 0, 0, 9, 2]) == [(2, 3, 5), (8, 10, 11)]
 
 
+def plain_pages() -> list[tuple[str, str, str]]:
+    """Kind, page and main text of 42 pages without article or main elements, and mostly without telling names."""
+    rng = random.Random(21)
+    words = "the of a river town people year when under light stone water house between north old they made long where".split()
+    sentence = lambda n: (" ".join(rng.choice(words) for _ in range(n)) + ".").capitalize()
+    prose = lambda n: " ".join(sentence(rng.randrange(8, 20)) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href='/{k}'>{sentence(3)}</a> new</li>" for k in range(n))
+    out = []
+    for k in range(42):
+        story = [sentence(5), *[prose(rng.randrange(3, 8)) for _ in range(rng.randrange(3, 9))], prose(2)]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        kind = k % 7
+        page = [
+            lambda: f"<div><ul>{links(12)}</ul></div><div>{body}</div><div><p>All rights {k}</p></div>",  # columns of divs
+            lambda: f"<table><tr><td>{'<br>'.join('Item' for _ in range(9))}</td><td>{body}</td><td><p>Weather: rain</p></td></tr></table>",  # a table for a layout
+            lambda: f"<div class=c1><p>Read more</p><p>Top ten</p></div><div class=c2>{body}</div><div class=c3>{''.join(f'<p>{sentence(3)}</p>' for _ in range(6))}</div>",  # teasers, short but many
+            lambda: f"<section><p>Please log in</p></section><section>{body}</section><section><form>Name <input></form><p>Send</p></section>",
+            lambda: f"<div class='sidebar'><p>{sentence(6)}</p></div><div class='search-results article-body'>{body}</div><div><p>foot</p></div>",  # unlucky names
+            lambda: f"<div class='notice-board'>{body}</div><div><p>Back</p><p>Next</p></div>",
+            lambda: f"<div><p>Tel. 12</p></div><center>{body}</center><div><ul>{links(30)}</ul></div>",
+        ][kind]()
+        out.append((str(kind), f"<html><head><title>{story[0]}</title></head><body>{page}</body></html>", "\n".join(story)))
+    return out
+
+
+def test_windows_decide_on_pages_without_article(monkeypatch):
+    pages = plain_pages()
+    got = [html_main.main_text(p) for _, p, _ in pages]
+    right = sum(g == want for g, (_, _, want) in zip(got, pages, strict=True))
+    monkeypatch.setattr(html_main, "SHARE", 0.0)  # every stretch of text is kept, however low its windows
+    without = [html_main.main_text(p) for _, p, _ in pages]
+    monkeypatch.undo()
+    monkeypatch.setattr(html_main, "MARKED", 0.999)  # no marks but comments
+    monkeypatch.setattr(html_main, "SOFT", 1.0)
+    unmarked = sum(html_main.main_text(p) == want for _, p, want in pages)
+    changed = sum(a != b for a, b in zip(got, without, strict=True))
+    print("right", right, "of", len(pages), "changed without windows", changed, "right without marks", unmarked)
+    assert right == len(pages) and changed == len(pages) and unmarked >= 36, [(k, g[-90:]) for (k, _, w), g in zip(pages, got, strict=True) if g != w]
+
+
+def test_marks_only_shift_the_signal():
+    text = "Sentences of the story, one after the other, go on for a while. " * 4
+    assert html_main.main_text('<article><p>Body of it.</p><p class="share-price">The share price fell by a third on Monday.</p></article>') == "Body of it.\nThe share price fell by a third on Monday."
+    page = f'<div class="search-results article-body"><p>{text}</p></div><div><p>foot</p></div>'
+    assert html_main.main_text(page) == text.strip()
+    assert html_main.main_text(f"<article><p>Read this:</p></article><div class=sidebar><p>{text * 30}</p></div>") == f"Read this:\n{(text * 30).strip()}"  # far denser than the article
+    assert html_main.main_text(f"<article><p>{text}</p></article><div class=sidebar><p>{text}</p></div>") == text.strip()
+    assert html_main.main_text(f"<div class='post comments-closed'><p>{text}</p></div><ol class=comment-list><li>{text}</ol>") == text.strip()
+
+
+def test_menus_and_comments_of_any_depth_go():
+    text = "Sentences of the story, one after the other, go on for a while. " * 4
+    deep = "<div>" * 5000
+    for part in ("<nav>Menu of the page</nav>", "<div class=comments><p>I hate it</p></div>", "<aside>Side</aside>"):
+        assert html_main.main_text(f"<p>{text}</p>{deep}{part}<p>{text}</p>") == f"{text.strip()}\n{text.strip()}"
+    assert html_main.main_text("<nav>" * 3000 + "menu" + "</nav>" * 3000 + "<p>text") == "text"
+
+
 def test_main_text_of_the_pages_table(spark):
     import re
 
