@@ -4,8 +4,8 @@ Documents are dealt to chunks of about chunk_bytes, and split into words by a Sp
 words, packed by word hash; for each hash bucket the words of all chunks are united, each distinct word is encoded once, and the ids
 go back to the chunks that asked for them. There the ids are joined to the words by position. Chunks are taken in regions of
 REGION (40 GB of text), and a word is encoded once in each: so a bucket's and a chunk's share doesn't grow with the corpus.
-Decoding joins ids to pieces: inside a task with the id-to-piece table as an array (its size is the vocabulary's), or for any table
-of ids with decode_ids().
+Decoding joins ids to pieces: each chunk's distinct ids are joined to the table of pieces (as many rows as the vocabulary), the pieces come to
+the chunk beside its words' ids, and texts are put together by position. decode_ids() does the same for any table of ids, one row a token.
 
 Null texts are empty and give no ids. Repeated rows give equal results. Empty tables give empty results. Other columns
 of the input are not read.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -28,6 +29,8 @@ from .tokens import byte_alphabet, ranges, special_tokens, word_encoder
 
 #: Chunks that share their distinct words.
 REGION = 2048
+#: Stands for a bucket where a row holds an id and its piece.
+PIECES = -1
 
 #: The tokenizer's word pattern, its classes as the JVM names them.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -123,11 +126,21 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 <
             out.append((chunk, bucket, n, _pack_ids([known[w] for w in words])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids"])
 
+    def distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(_unpack_ids(n, p)[1]).astype(np.int32) for n, p in zip(b["n_words"].to_pylist(), b["ids"].to_pylist(), strict=True)]
+            if found:
+                chunk = np.repeat(b["chunk"].to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.concatenate(found))], ["chunk", "id"])
+
     def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
-        buffer, starts, lengths = word_encoder(tokenizer).piece_table()
         words, codes, counts = _chunk_words(left, tokenizer)
         order, _ = _by_bucket(words, buckets)
-        parts = [_unpack_ids(n, p) for _, n, p in sorted(zip(right["bucket"].to_pylist(), right["n_words"].to_pylist(), right["ids"].to_pylist(), strict=True))]
+        rows = sorted(zip(right["bucket"].to_pylist(), right["n_words"].to_pylist(), right["ids"].to_pylist(), strict=True), key=lambda r: r[:2])
+        pieces = [(i, p) for bucket, i, p in rows if bucket == PIECES]
+        parts = [_unpack_ids(n, p) for bucket, n, p in rows if bucket != PIECES]
+        known, lengths = np.array([i for i, _ in pieces], np.int64), np.array([len(p) for _, p in pieces], np.int64)
+        buffer, starts = np.frombuffer(b"".join(p for _, p in pieces), np.uint8), np.cumsum(lengths) - lengths
         n_ids, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         table = np.concatenate([np.zeros(0, "<u4"), *[p[1] for p in parts]])
         if parts:
@@ -139,12 +152,16 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 <
             first += n
             x = table[ranges(at[own], n_ids[own])]
             ids.append(x.tobytes())
-            decoded.append(buffer[ranges(starts[x], lengths[x])].tobytes().decode("utf-8", "replace"))
+            piece = np.searchsorted(known, x)
+            decoded.append(buffer[ranges(starts[piece], lengths[piece])].tobytes().decode("utf-8", "replace"))
         return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
 
     words = split.groupBy("chunk").applyInArrow(distinct_words, "chunk int, region int, bucket int, n_words int, words binary")
     encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
-    return split.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(by_position, "doc_id long, ids binary, decoded string")
+    pieces = piece_table(docs.sparkSession, tokenizer)
+    asked = encoded.mapInArrow(distinct_ids, "chunk int, id int").distinct().join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
+    both = encoded.unionByName(asked.select("chunk", F.lit(PIECES).alias("bucket"), F.col("id").alias("n_words"), F.col("piece").alias("ids")))
+    return split.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(by_position, "doc_id long, ids binary, decoded string")
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
