@@ -67,8 +67,11 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 
 def train_url_model(labelled: DataFrame, *, features: int = 1 << 16, penalty: float = 1e-3) -> PipelineModel:
-    """Fits labelled (url, label)."""
-    stages = [HashingTF(inputCol="__sf_grams", outputCol="__sf_features", numFeatures=features, binary=True), LogisticRegression(featuresCol="__sf_features", labelCol="label", regParam=penalty, maxIter=40, standardization=False, rawPredictionCol="__sf_raw", probabilityCol="__sf_probability", predictionCol="__sf_prediction", aggregationDepth=2)]
+    """Fits labelled (url, label); both labels weigh the same, however many urls they have."""
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, 0.5 / max(1, counts.get(1, 0))).otherwise(0.5 / max(1, counts.get(0, 0))) * sum(counts.values())
+    labelled = labelled.withColumn("__sf_weight", weight)
+    stages = [HashingTF(inputCol="__sf_grams", outputCol="__sf_features", numFeatures=features, binary=True), LogisticRegression(featuresCol="__sf_features", labelCol="label", weightCol="__sf_weight", regParam=penalty, maxIter=40, standardization=False, rawPredictionCol="__sf_raw", probabilityCol="__sf_probability", predictionCol="__sf_prediction", aggregationDepth=2)]
     return Pipeline(stages=stages).fit(with_ngrams(labelled, "url").coalesce(1))
 
 
