@@ -4,7 +4,8 @@ DataFrame functions only. Words are lower-cased runs of letters and digits; shin
 into steps of STEP starts; a window is two neighbouring steps, so a run of STEP + 1 shingles lies whole in some window.
 Each window has BANDS minima, of its shingle hashes hashed again with the band's number (one row a band). Templates are cut into pieces
 of at most STEP + 1 shingles, each with minima of its own. A piece of k shingles inside a window of 2 * STEP shares the
-minimum of a band with probability k / (2 * STEP), so a piece of 3 or more is retrieved with probability over 0.9994.
+minimum of a band with probability k / (2 * STEP), so a piece of 3 or more is retrieved with probability over 0.9994. Shorter
+templates, of less than SHINGLE + 2 words, could be missed and are rejected.
 Retrieved templates are verified exactly: the share of a template's distinct shingles that the windows around a retrieved one
 (whether retrieved or not), from one with such a shingle on and no further than the template is long, contain must reach the
 threshold. The windows around are computed again from the texts with retrieved windows. Templates are whole license texts and the
@@ -17,6 +18,8 @@ empty results. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,9 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
 
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, max_broadcast_hits: int = 500_000) -> DataFrame:
     """doc_id, license, first_word (where its first window begins), containment of every license found in docs (doc_id, text)."""
+    short = [name for name, text in templates or TEMPLATES if len(re.findall(r"[^\W_]+", text)) < SHINGLE + 2]
+    if short:
+        raise ValueError(f"templates of less than {SHINGLE + 2} words: {', '.join(short)}")
     known = template_table(docs.sparkSession, templates or TEMPLATES)
     size = F.size("shingles")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(STEP + 1)), lambda i: F.greatest(F.least(i, size - STEP), F.lit(1)))

@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *[f"__sf_verdict.{c}" for c in ("host", "path", "rule", "verdict")])
 
 
+def url_host_path_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 takes from a url before its model: host, path and the longest rule."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"), url_filter.rule_for(host, path, URL_RULES)["rule"].alias("rule"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -85,9 +91,15 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_main_text, op3_bpe, op4_near_duplicates, op5_quality_rules, op6_packing, op7_token_matrix, op8_media, op9_license_scan, op10_toxicity, op11_simhash_components, op12_embedding_whitening, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, url_host_path_rule, op2_main_text, op3_bpe, op4_near_duplicates, op5_quality_rules, op6_packing, op7_token_matrix, op8_media, op9_license_scan, op10_toxicity, op11_simhash_components, op12_embedding_whitening, op13_filter_audit)}
 
 ORACLE_SQL = {
+    "url_host_path_rule": r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
+), rules AS (SELECT unnest(['org/', 'example.org/es/', 'example.org/en/1', 'com/fr/', 'com/de/']) AS rule
+), parts AS (SELECT rule, split_part(rule, '/', 1) AS own, substr(rule, length(split_part(rule, '/', 1)) + 1) AS start FROM rules)
+SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM parts WHERE (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)) AS rule FROM u
+""",
     "op5_quality_rules": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws

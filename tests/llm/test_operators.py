@@ -471,6 +471,13 @@ def test_altered_licenses_equal_brute_force(spark):
     assert sum(want[k] < 1 for k in own if k in got) > 100
 
 
+def test_templates_too_short_to_be_found_are_rejected(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License today")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="tiny"):
+        license_scan.scan_licenses(df, templates=[("tiny", "the MIT-License only")])
+    assert [r.license for r in license_scan.scan_licenses(df, templates=[("short", "Released under the MIT License")]).collect()] == ["short"]
+
+
 def test_licenses_of_rows_with_one_id_stay_apart(spark):
     words = dict(license_scan.TEMPLATES)["MPL-2.0"].split()
     half = len(words) // 2
