@@ -319,6 +319,26 @@ def test_token_matrix_is_written_and_full(spark, docs, tmp_path):
     assert token_matrix.fill(matrix.limit(0)).first().fill is None
 
 
+def test_odd_rows_are_packed_and_stored_whole(spark):
+    t = Tokenizer.from_file(PATH)
+    rows = [(k, text) for k, (_, text) in enumerate(ODD)] + [(None, "a text without an id")]
+    df = spark.createDataFrame([(i, x, "clash", 1) for i, x in rows], "doc_id long, text string, ids string, start int")
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
+    packed, matrix = collections.defaultdict(dict), collections.defaultdict(dict)
+    for r in packing.pack_documents(df, tokenizer=PATH).collect():
+        packed[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.doc_tokens == len(want[r.doc_id]) and r.length == len(packed[r.doc_id][r.start])
+    for r in token_matrix.token_matrix(df, tokenizer=PATH, capacity=64).collect():
+        for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            matrix[d][s] = np.frombuffer(r.ids, "<u4")[a:b].tolist()
+    for got in (packed, matrix):
+        assert {d: [x for s in sorted(parts) for x in parts[s]] for d, parts in got.items()} == want
+    stored = {r.doc_id: (r.n_bytes, bytes(r.payload)) for r in media.read_avi(media.write_avi(df)).collect()}
+    for i, x in rows:
+        raw = (x or "").encode()
+        assert stored[i] == (len(raw), raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)))
+
+
 def test_best_fit_decreasing_equals_brute_force():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 101) for _ in range(300)]
