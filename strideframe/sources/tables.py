@@ -38,12 +38,24 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """A path with its scheme, as the session resolves it."""
-    if any(c in path for c in "*?[]{}"):
-        raise ValueError(f"a pattern names no single run: {path}")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+def _qualified(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths with their schemes, as the session resolves them; it is asked once for each store."""
+    roots: dict[str, str] = {}
+
+    def root(store: str, inside: str) -> str:
+        if store + inside not in roots:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store + inside)
+            roots[store + inside] = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+        return roots[store + inside]
+
+    out = []
+    for p in paths:
+        if any(c in p for c in "*?[]{}"):
+            raise ValueError(f"a pattern names no single run: {p}")
+        store = re.match(r"(?:\w[\w+.-]*:(?://[^/]*)?)?", p)[0]
+        rest = re.sub("/+", "/", p[len(store) :]).rstrip("/")
+        out.append(root(store, "/" if rest.startswith("/") or store else ".") + rest.removeprefix("/"))
+    return out
 
 
 #: Paths of runs (a path and a few columns each) that may go to every task; more of them are joined by a shuffle.
@@ -61,7 +73,7 @@ def load_recordings(spark: SparkSession, paths: list[str] | list[dict], *, max_b
     if not runs:
         raise ValueError("no paths")
     names = [n for n in runs[0] if n != "path"]
-    full = [_qualified(spark, r["path"]).rstrip("/") for r in runs]
+    full = _qualified(spark, [r["path"] for r in runs])
     rows = [(_plain(p), i, *[r[n] for n in names]) for i, (p, r) in enumerate(zip(full, runs, strict=True))]
     manifest = spark.createDataFrame(rows, ["_path", "run_pos", *names]).withColumn("run_pos", F.col("run_pos").cast("int"))
     named = set(full)
