@@ -33,15 +33,18 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, lookup, release, text_blocks, whole_text
+from .common import cut, free_shuffles, lookup, release, text_blocks, text_runs, whole_text
 from .shingles import mix, windows, word_hashes
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 LINK_ROWS_PER_SALT = 500
+#: Characters of texts that are Python objects at one time.
+RUN = 1 << 20
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2000
 
@@ -311,24 +314,30 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, weighting: str =
     weighted = weighting in WEIGHTS
     similarity = partial(probability_jaccard, weigh=WEIGHTS[weighting]) if weighted else jaccard
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            nodes = [node_of(t) for t in pdf["text"]]
-            new = ~pd.Series(nodes, index=pdf.index).duplicated()
-            keys, registers = signatures(pdf.loc[new, "text"].tolist(), weighting)
-            known = dict(zip(pd.Series(nodes, index=pdf.index)[new], zip(keys, registers, strict=True), strict=True))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "bands": [known[n][0] for n in nodes], "registers": [known[n][1] for n in nodes]})
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].drop_duplicates().tolist()
-            yield pd.DataFrame({"node": [node_of(t) for t in texts], "shingles": shingle_sets(texts, weighted)})
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in text_runs(batch["text"], RUN):
+                nodes = [node_of(t) for t in texts]
+                first = {n: i for i, n in reversed(list(enumerate(nodes)))}
+                keys, registers = signatures([texts[i] for i in first.values()], weighting)
+                place = {n: k for k, n in enumerate(first)}
+                own = [place[n] for n in nodes]
+                columns = [batch["doc_id"].slice(at, len(texts)), pa.array(nodes, pa.binary()), pa.array([keys[k] for k in own], pa.list_(pa.int64())), pa.array([registers[k] for k in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "registers"])
+                at += len(texts)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in text_runs(batch["text"], RUN):
+                texts = list(dict.fromkeys(run))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.binary()), pa.array(shingle_sets(texts, weighted), pa.binary())], ["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    signed = cut(rows.mapInPandas(sign, "doc_id long, node binary, bands array<long>, registers binary"))
+    signed = cut(rows.mapInArrow(sign, "doc_id long, node binary, bands array<long>, registers binary"))
     # equal texts have equal bands and registers: any row's will do
     heads = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
-    sets = rows.select("text").mapInPandas(sets_of, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = rows.select("text").mapInArrow(sets_of, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     final = _classes(heads, sets, threshold, similarity)
     free_shuffles(docs.sparkSession)
 
