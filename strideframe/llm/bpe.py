@@ -21,6 +21,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +76,16 @@ def _unpack_ids(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunk_words(table: pa.Table, tokenizer: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of a chunk, the number of each word in the sequence of all, and words by document."""
-    words = table["words"].combine_chunks()
+    words = table["words"]
     known = table["known"].to_numpy()
     if not known.all():
         encoder, lists = word_encoder(tokenizer), words.to_pylist()
         for i in np.flatnonzero(~known):
             lists[i] = encoder.words("".join(lists[i]))
-        words = pa.array(lists, pa.list_(pa.string()))
-    coded = words.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.value_lengths().to_numpy()
+        words = pa.chunked_array([pa.array(lists, pa.list_(pa.string()))])
+    coded = pc.list_flatten(words).dictionary_encode().unify_dictionaries()  # no copy of the texts
+    codes = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]])
+    return coded.chunk(0).dictionary.to_pylist() if coded.num_chunks else [], codes, pc.list_value_length(words).to_numpy()
 
 
 def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +148,7 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 <
         if parts:
             n_ids[order] = np.concatenate([p[0] for p in parts])
             at[order] = np.cumsum(n_ids[order]) - n_ids[order]
+        del rows, pieces, parts
         ids, decoded, first = [], [], 0
         for n in counts:
             own = codes[first : first + n]
@@ -153,8 +156,8 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 <
             x = table[ranges(at[own], n_ids[own])]
             ids.append(x.tobytes())
             piece = np.searchsorted(known, x)
-            decoded.append(buffer[ranges(starts[piece], lengths[piece])].tobytes().decode("utf-8", "replace"))
-        return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+            decoded.append(buffer[ranges(starts[piece], lengths[piece])].tobytes().decode("utf-8", "replace").encode())
+        return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
 
     words = split.groupBy("chunk").applyInArrow(distinct_words, "chunk int, region int, bucket int, n_words int, words binary")
     encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
