@@ -3,7 +3,7 @@
 Documents are dealt to chunks of about chunk_bytes, and split into words by a Spark expression. Every chunk gives its distinct
 words, packed by word hash; for each hash bucket the words of all chunks are united, each distinct word is encoded once, and the ids
 go back to the chunks that asked for them. There the ids are joined to the words by position. Chunks are taken in regions of
-REGION (40 GB of text), and a word is encoded once in each: so a bucket's and a chunk's share doesn't grow with the corpus.
+REGION (28 GB of text), and a word is encoded once in each: so a bucket's and a chunk's share doesn't grow with the corpus.
 Decoding joins ids to pieces: each chunk's distinct ids are joined to the table of pieces (as many rows as the vocabulary), the pieces come to
 the chunk beside its words' ids, and texts are put together by position. decode_ids() does the same for any table of ids, one row a token.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 from .tokens import byte_alphabet, ranges, special_tokens, word_encoder
 
-#: Chunks that share their distinct words.
+#: Chunks that share their distinct words (28 GB of text).
 REGION = 2048
 #: Stands for a bucket where a row holds an id and its piece.
 PIECES = -1
@@ -95,7 +95,7 @@ def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.bincount(bucket, minlength=buckets)
 
 
-def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 20 << 20, buckets_per_chunk: int = 2, region: int = REGION) -> DataFrame:
+def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 << 20, buckets_per_chunk: int = 2, region: int = REGION) -> DataFrame:
     """doc_id, text, ids (little-endian unsigned 32-bit) and decoded text of all documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
