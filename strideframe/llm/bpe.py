@@ -7,7 +7,7 @@ REGION (28 GB of text), and a word is encoded once in each: so a bucket's and a
 Decoding joins ids to pieces: each chunk's distinct ids are joined to the table of pieces (as many rows as the vocabulary), the pieces come to
 the chunk beside its words' ids, and texts are put together by position. decode_ids() does the same for any table of ids, one row a token.
 
-Null texts are empty and give no ids. Repeated rows give equal results. Empty tables give empty results. Other columns
+Null texts are empty and give no ids. Repeated rows give equal results; those of different input partitions go to different chunks. Empty tables give empty results. Other columns
 of the input are not read.
 """
 
@@ -101,7 +101,7 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 <
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = max(1, ceil(size / chunk_bytes))
     buckets = min(chunks, region) * buckets_per_chunk
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
     split = dealt.select("chunk", "doc_id", split_words(F.col("text"), special_tokens(tokenizer)).alias("words"), known_characters(F.col("text")).alias("known"))
 
     def distinct_words(table: pa.Table) -> pa.Table:
