@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -125,15 +124,9 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 <
             for w in words:
                 if w not in known:
                     known[w] = encoder.encoded(w)
-            out.append((chunk, bucket, n, _pack_ids([known[w] for w in words])))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids"])
-
-    def distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(_unpack_ids(n, p)[1]).astype(np.int32) for n, p in zip(b["n_words"].to_pylist(), b["ids"].to_pylist(), strict=True)]
-            if found:
-                chunk = np.repeat(b["chunk"].to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.concatenate(found))], ["chunk", "id"])
+            ids = [known[w] for w in words]
+            out.append((chunk, bucket, n, _pack_ids(ids), np.unique(np.frombuffer(b"".join(ids), "<u4")).astype(np.int32)))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids", "distinct"])
 
     def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
         words, codes, counts = _chunk_words(left, tokenizer)
@@ -160,10 +153,10 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 <
         return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
 
     words = split.groupBy("chunk").applyInArrow(distinct_words, "chunk int, region int, bucket int, n_words int, words binary")
-    encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary")
+    encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary, distinct array<int>")
     pieces = piece_table(docs.sparkSession, tokenizer)
-    asked = encoded.mapInArrow(distinct_ids, "chunk int, id int").distinct().join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
-    both = encoded.unionByName(asked.select("chunk", F.lit(PIECES).alias("bucket"), F.col("id").alias("n_words"), F.col("piece").alias("ids")))
+    asked = encoded.select("chunk", F.explode("distinct").alias("id")).distinct().join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
+    both = encoded.drop("distinct").unionByName(asked.select("chunk", F.lit(PIECES).alias("bucket"), F.col("id").alias("n_words"), F.col("piece").alias("ids")))
     return split.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(by_position, "doc_id long, ids binary, decoded string")
 
 
