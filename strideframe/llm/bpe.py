@@ -52,25 +52,49 @@ def known_characters(text: Column) -> Column:
     return ~text.rlike(r"\p{Cn}")
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """The bytes of the smallest unsigned type that holds all numbers, after its size."""
+    size = next(s for s in (1, 2, 4) if not len(numbers) or numbers.max() < 1 << 8 * s)
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def _widen(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n numbers of _narrow() that begin at a place, and where they end."""
+    return np.frombuffer(raw, f"<u{raw[at]}", n, at + 1), at + 1 + raw[at] * n
+
+
 def _pack_words(words: list[str]) -> bytes:
     parts = [w.encode() for w in words]
-    return zlib.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 1)
+    return zlib.compress(_narrow(np.array([len(p) for p in parts], np.int64)) + b"".join(parts))
 
 
 def _unpack_words(n: int, packed: bytes) -> list[str]:
     raw = zlib.decompress(packed)
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) + 4 * n
-    return [raw[a:b].decode() for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    lengths, start = _widen(raw, n)
+    ends = np.cumsum(lengths, dtype=np.int64) + start
+    return [raw[a:b].decode() for a, b in zip([start, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _pack_ids(ids: list[bytes]) -> bytes:
-    return zlib.compress(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids), 1)
+    return zlib.compress(_narrow(np.array([len(x) // 4 for x in ids], np.int64)) + _narrow(np.frombuffer(b"".join(ids), "<u4")))
 
 
 def _unpack_ids(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The number of ids of each word, and all ids."""
-    raw = np.frombuffer(zlib.decompress(packed), "<u4")
-    return raw[:n].astype(np.int64), raw[n:]
+    raw = zlib.decompress(packed)
+    lengths, at = _widen(raw, n)
+    lengths = lengths.astype(np.int64)
+    return lengths, _widen(raw, int(lengths.sum()), at)[0]
+
+
+def _pack_set(ids: list[bytes]) -> bytes:
+    """The distinct ids, as the distances from each to the next."""
+    return zlib.compress(_narrow(np.diff(np.unique(np.frombuffer(b"".join(ids), "<u4")).astype(np.int64), prepend=0)))
+
+
+def _unpack_set(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.cumsum(_widen(raw, (len(raw) - 1) // raw[0])[0], dtype=np.int64)
 
 
 def _chunk_words(table: pa.Table, tokenizer: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -96,6 +120,7 @@ def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 << 20, buckets_per_chunk: int = 2, region: int = REGION) -> DataFrame:
     """doc_id, text, ids (little-endian unsigned 32-bit) and decoded text of all documents (doc_id, text)."""
+    pieces = piece_table(docs.sparkSession, tokenizer)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = max(1, ceil(size / chunk_bytes))
@@ -125,9 +150,15 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 <
                 if w not in known:
                     known[w] = encoder.encoded(w)
             ids = [known[w] for w in words]
-            out.append((chunk, bucket, n, _pack_ids(ids), np.unique(np.frombuffer(b"".join(ids), "<u4")).astype(np.int32)))
+            out.append((chunk, bucket, n, _pack_ids(ids), _pack_set(ids)))
         return pd.DataFrame(out, columns=["chunk", "bucket", "n_words", "ids", "distinct"])
 
+    def chunk_ids(table: pa.Table) -> pa.Table:
+        ids = np.zeros(0, np.int64)
+        for packed in table["distinct"].to_pylist():
+            ids = np.union1d(ids, _unpack_set(packed))
+        return pa.table({"chunk": np.full(len(ids), table["chunk"][0].as_py(), np.int32), "id": ids.astype(np.int32)})
+
     def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
         words, codes, counts = _chunk_words(left, tokenizer)
         order, _ = _by_bucket(words, buckets)
@@ -153,9 +184,8 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, chunk_bytes: int = 14 <
         return pa.table({"doc_id": left["doc_id"].combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
 
     words = split.groupBy("chunk").applyInArrow(distinct_words, "chunk int, region int, bucket int, n_words int, words binary")
-    encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary, distinct array<int>")
-    pieces = piece_table(docs.sparkSession, tokenizer)
-    asked = encoded.select("chunk", F.explode("distinct").alias("id")).distinct().join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
+    encoded = words.groupBy("region", "bucket").applyInPandas(encode_bucket, "chunk int, bucket int, n_words int, ids binary, distinct binary")
+    asked = encoded.select("chunk", "distinct").groupBy("chunk").applyInArrow(chunk_ids, "chunk int, id int").join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
     both = encoded.drop("distinct").unionByName(asked.select("chunk", F.lit(PIECES).alias("bucket"), F.col("id").alias("n_words"), F.col("piece").alias("ids")))
     return split.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(by_position, "doc_id long, ids binary, decoded string")
 
