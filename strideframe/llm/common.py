@@ -78,13 +78,20 @@ def release(*tables: DataFrame | str) -> None:
             delete(df.sparkSession, file.get())
 
 
+#: Rows of which a table goes to all tasks as a whole.
+FEW_ROWS = 10_000
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """rows with the columns of table, which has one row for each key and how many rows have it (n); both cheap to read again, as those made by cut().
 
     Keys of more than a share-th of all rows (total) are fewer than share: these go to all tasks, so that no task of the shuffle gets one.
+    If all rows are at most FEW_ROWS, so are the keys: then all of them go there, which takes a single exchange.
     """
     if total is None:
         total = table.agg(F.sum("n")).first()[0] or 0
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(table), key)
     hot = table.where(F.col("n") * share > total)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)

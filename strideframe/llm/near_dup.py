@@ -270,7 +270,8 @@ def components(links: DataFrame) -> DataFrame:
         n = edges.count() if state is None else state[0]
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = lookup(both.where("v > u"), least, "u", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        greater = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # u > v in all edges
+        large = lookup(greater, least, "u", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = lookup(large, low, "u", total=n).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v")
         before, edges = edges, cut(small.distinct())

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strideframe.llm import filter_audit, golay, simhash_dup, whitening
+from strideframe.llm import common, filter_audit, golay, simhash_dup, whitening
 
 ODD = [(1, "a b"), (2, None), (3, ""), (4, "x" * 30_000), (5, "a  B\n"), (5, "a b"), (None, "null id"), (None, "a b"), (7, "\x1c\x00 odd 　 spaces"), (8, " \t\n"), (8, " \t\n"), (9, "word " * 40_000)]
 
@@ -222,3 +222,15 @@ def test_query_of_the_given_embeddings(spark):
     e = np.linalg.eigvalsh(np.cov(np.unique(x, axis=0).T, bias=True))[::-1]
     assert len(got) == 16 * len(rows) and got.identity_error.max() < 1e-8
     assert np.allclose(got.groupby("component").explained.first(), e[:16] / e.sum(), rtol=1e-9)
+
+
+def test_lookup_of_few_rows_takes_no_shuffle(spark):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(50)], "key long, v long")
+    table = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")))
+    few = common.lookup(rows, table, "key")
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    wide = spark.range(20_000).select(F.when(F.col("id") < 6000, F.lit(-1)).otherwise(F.col("id") % 9000).alias("key"), F.col("id").alias("v"))
+    table = common.cut(wide.groupBy("key").agg(F.count("*").alias("n")))
+    for df, got in ((rows, few), (wide, common.lookup(wide, table, "key"))):
+        want = df.join(df.groupBy("key").agg(F.count("*").alias("n")), "key")
+        assert sorted(map(tuple, got.select("key", "v", "n").collect())) == sorted(map(tuple, want.select("key", "v", "n").collect()))
