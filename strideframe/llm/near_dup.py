@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut, free_shuffles, lookup, release, text_blocks, text_runs, whole_text
 from .shingles import mix, windows, word_hashes
 
@@ -268,14 +269,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # the centre of a large star has as many edges as the star has nodes: such nodes' least neighbours go to all tasks (lookup)
         n = edges.count() if state is None else state[0]
+        keep = cut if 2 * n > common.FEW_ROWS else lambda df: df  # lookup() then reads them several times
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         greater = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # u > v in all edges
-        large = lookup(greater, least, "u", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = keep(lookup(greater, least, "u", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = lookup(large, low, "u", total=n).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v")
         before, edges = edges, cut(small.distinct())
-        release(before)
+        release(before, *([least, large, low] if keep is cut else []))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

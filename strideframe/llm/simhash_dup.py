@@ -11,7 +11,7 @@
    - each differs in one bit: then one half of A and one half of B don't differ, and keys are these halves with a codeword of C.
    That makes at most 42 keys of 31 to 35 bits for a fingerprint, and no linked pair is without a common key.
 4. In each bucket (fingerprints with one key) the exact distance decides. A bucket's links are a spanning forest: a fingerprint is compared
-   with those that no earlier one has reached, most frequent first, so n fingerprints give less than n links. Buckets of more
+   with those that no earlier one has reached, most frequent (then least) first, so n fingerprints give less than n links. Buckets of more
    than block fingerprints are dealt to tasks in blocks, and each block also gets the bucket's most frequent fingerprint; large buckets that are then
    still in several components are compared block against block.
 5. Components of the links by alternating large-star and small-star steps, named by their least doc_id.
@@ -142,7 +142,7 @@ def _links_of(by: list[str], max_bits: int):
             near = (x != y) & (np.bitwise_count(x ^ y) <= max_bits)
             pairs = [np.stack([x[near], y[near]], 1)]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                order = np.argsort(-n[s:e], kind="stable")
+                order = np.lexsort((prints[s:e], -n[s:e]))
                 found += forest(prints[s:e][order], max_bits)
             pairs.append(np.array(found, np.uint64).reshape(-1, 2))
             out = np.unique(np.concatenate(pairs), axis=0)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strideframe.llm import common, filter_audit, golay, simhash_dup, whitening
+from strideframe.llm import common, filter_audit, golay, near_dup, simhash_dup, whitening
 
 ODD = [(1, "a b"), (2, None), (3, ""), (4, "x" * 30_000), (5, "a  B\n"), (5, "a b"), (None, "null id"), (None, "a b"), (7, "\x1c\x00 odd 　 spaces"), (8, " \t\n"), (8, " \t\n"), (9, "word " * 40_000)]
 
@@ -224,6 +224,37 @@ def test_query_of_the_given_embeddings(spark):
     assert np.allclose(got.groupby("component").explained.first(), e[:16] / e.sum(), rtol=1e-9)
 
 
+def generated_rows(spark, since: int) -> tuple[int, int]:
+    """Rows that plans from execution since on made by inline(), and how many plans there are."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    rows, last = 0, int(store.executionsCount())
+    for k in range(since, last):
+        graph, values = store.planGraph(store.executionsList().apply(k).executionId()), store.executionMetrics(store.executionsList().apply(k).executionId())
+        for i in range(graph.allNodes().size()):
+            node = graph.allNodes().apply(i)
+            for m in range(node.metrics().size()) if node.name() == "Generate" else []:
+                if node.metrics().apply(m).name() == "number of output rows" and values.contains(node.metrics().apply(m).accumulatorId()):
+                    rows += int(values.apply(node.metrics().apply(m).accumulatorId()).replace(",", ""))
+    return rows, last
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_read_links_once_a_step(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few, raising=False)
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(max(x)), int(min(x))) for x in rng.integers(0, 400, (1500, 2)) if x[0] != x[1]} | {(k + 1, k) for k in range(1000, 1030)})
+    _, before = generated_rows(spark, 10**9)
+    got = {r.node: r.component for r in near_dup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    rows, _ = generated_rows(spark, before)
+    want: dict = {}
+    for a, b in pairs:
+        own = want.get(a, {a}) | want.get(b, {b})
+        want |= dict.fromkeys(own, own)
+    assert got == {k: min(own) for k, own in want.items()}
+    assert len(pairs) <= rows < 16 * len(pairs)
+
+
 def test_lookup_of_few_rows_takes_no_shuffle(spark):
     rows = spark.createDataFrame([(k % 5, k) for k in range(50)], "key long, v long")
     table = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")))
