@@ -2,21 +2,24 @@
 
 A channel of a recording is one grid (keys). Samples are worked on in chunks, and so are places (runs of samples below a threshold,
 peaks, windows that overlap); what a piece of a channel hands on to the next is a small table, and only these are put in order by channel.
+A job reads its samples once: pieces() stores them as arrays of chunks, on which all its steps work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.kernels import DIRECT, block_convolve, snapped
-from ..sources.tables import stored
+from ..sources.tables import free_shuffles, stored
 from .cycles import array_of, cut_by_interval
-from .grid import chunk_arrays, from_arrays, in_chunks
+from .grid import chunk_arrays, from_arrays, in_chunks, packed_chunks
 
 CHUNK = 8192
 
@@ -99,11 +102,38 @@ def spaced(places: DataFrame, *, keys: list[str], advance: int, start: str = "at
     return _piece_rows(rows.join(states, [*keys, "_chunk"]), keys, ["_a"], take, "at long")
 
 
+def pieces(samples: DataFrame, *, keys: list[str], value: str, order: str, chunk: int, halo: int) -> tuple[DataFrame, DataFrame]:
+    """keys, chunk, skip, own, _v of packed_chunks(), stored; and of each channel keys, _sd, _mean, _n."""
+    packed = packed_chunks(samples, keys=keys, order=order, columns=[value], chunk=chunk, halo=halo)
+    arrays = stored(packed.withColumnRenamed(value, "_v"))
+    free_shuffles(samples.sparkSession)
+    own = arrays.select(*keys, (F.col("chunk") * chunk + F.col("own")).alias("_end"), F.explode(F.slice("_v", F.col("skip") + 1, F.col("own"))).alias("_x"))
+    return arrays, stored(own.groupBy(*keys).agg(F.stddev_pop("_x").alias("_sd"), F.avg("_x").alias("_mean"), F.max("_end").alias("_n")))
+
+
+def _cut(arrays: DataFrame, *, keys: list[str], columns: list[str], chunk: int, width: int, starts: str = "_w") -> DataFrame:
+    """keys, k and columns (arrays of pieces, with their halo) of the windows that begin at a piece's starts: k from 0 to width - 1."""
+    first = F.col("chunk") * chunk - F.col("skip")
+    cell = lambda s, k: F.struct(k.cast("long").alias("k"), *[F.col(c)[(s - first + k).cast("int")].alias(c) for c in columns])
+    cells = F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: cell(s, k)))
+    return arrays.select(*keys, F.inline(F.flatten(cells)))
+
+
+def _dealt(at: DataFrame, s0: Column, keys: list[str], chunk: int) -> DataFrame:
+    """keys, chunk, _w: the starts of the windows around the places in each chunk."""
+    return at.groupBy(*keys, F.floor(F.col("at") / chunk).alias("chunk")).agg(F.collect_list(s0.cast("long")).alias("_w"))
+
+
 def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post: int, advance: int, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
     """keys, at: samples below -sd deviations, away from the ends, spaced by advance (G1). Neighbouring ones are one run until they are spaced."""
     s = samples.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"), (F.max(order) + 1).alias("_n"))
+    return _low(samples.select(*keys, order, value).join(s, keys), keys=keys, value=value, pre=pre, post=post, advance=advance, sd=sd, order=order, chunk=chunk)
+
+
+def _low(samples: DataFrame, *, keys: list[str], value: str, pre: int, post: int, advance: int, sd: float, order: str, chunk: int) -> DataFrame:
+    """discover() of samples with their channel's _sd and _n."""
     low = (F.col(value) < -sd * F.col("_sd")) & (F.col(order) >= pre) & (F.col(order) < F.col("_n") - post)
-    rows = samples.select(*keys, order, value).join(s, keys).where(low).select(*keys, order)
+    rows = samples.where(low).select(*keys, order)
     base = Window.partitionBy(*keys, F.floor(F.col(order) / chunk)).orderBy(order)
     begun = F.when(F.col(order) - F.lag(order).over(base) == 1, 0).otherwise(1)
     runs = rows.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_new", begun).withColumn("_run", F.sum("_new").over(base))
@@ -114,7 +144,12 @@ def discover(samples: DataFrame, *, keys: list[str], value: str, pre: int, post:
 def template(samples: DataFrame, hits: DataFrame, *, keys: list[str], value: str, pre: int, post: int, order: str = "sample_idx") -> DataFrame:
     """keys, k, t: the mean of [at - pre, at + post) of all hits by offset k (from 0), less its own mean."""
     spans = hits.select(*keys, (F.col("at") - pre).alias("s0"), (F.col("at") + post).alias("s1"))
-    mean = cut_by_interval(samples.select(*keys, order, value), spans, keys=keys, order=order).groupBy(*keys, (F.col(order) - F.col("s0")).alias("k")).agg(F.avg(value).alias("_m"))
+    return _shape(cut_by_interval(samples.select(*keys, order, value), spans, keys=keys, order=order).select(*keys, (F.col(order) - F.col("s0")).alias("k"), value), keys, value)
+
+
+def _shape(cut: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """template() of the windows' rows: keys, k, value."""
+    mean = cut.groupBy(*keys, "k").agg(F.avg(value).alias("_m"))
     level = mean.groupBy(*keys).agg(F.avg("_m").alias("_l"))
     return mean.join(level, keys).select(*keys, "k", (F.col("_m") - F.col("_l")).alias("t"))
 
@@ -123,6 +158,13 @@ def _template_arrays(templates: DataFrame, keys: list[str]) -> DataFrame:
     return templates.groupBy(*keys).agg(array_of(F.col("t"), F.col("k")).alias("_t"))
 
 
+def _correlated(values: np.ndarray, mean: float, pattern: np.ndarray, width: int) -> np.ndarray:
+    """The cross-correlation (G3) at each of an array's values, with 0 beyond its ends."""
+    x, t = np.asarray(values, float) - mean, np.asarray(pattern, float)
+    xc = block_convolve(np.concatenate([np.zeros(width), x, np.zeros(width)]), t[::-1])[2 * width - width // 2 - 1 :][: len(x)]
+    return xc if width <= DIRECT else snapped(xc, float(np.abs(t).sum() * np.abs(x).max(initial=0)))
+
+
 def cross_correlation(samples: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
     """keys, order, xc: sum over k of (x[p - width // 2 + k] - mean) * t[k], samples outside the grid as 0 (G3). A template is sent to each chunk of its channel."""
     mean = samples.groupBy(*keys).agg(F.avg(value).alias("_mean"))
@@ -134,9 +176,7 @@ def cross_correlation(samples: DataFrame, templates: DataFrame, *, keys: list[st
         for values, means, patterns, skips, owns in batches:
             out = []
             for v, m, t, skip, own in zip(values, means, patterns, skips, owns, strict=True):
-                x, t = np.asarray(v, float) - m, np.asarray(t, float)
-                xc = block_convolve(np.concatenate([np.zeros(width), x, np.zeros(width)]), t[::-1])[2 * width - width // 2 - 1 :][skip : skip + own]
-                out.append(xc if width <= DIRECT else snapped(xc, float(np.abs(t).sum() * np.abs(x).max(initial=0))))
+                out.append(_correlated(v, m, t, width)[skip : skip + own])
             yield pd.Series(out)
 
     done = arrays.select(*keys, "chunk", run(value, "_mean", "_t", "skip", "own").alias("xc"))
@@ -155,6 +195,11 @@ def peaks(xc: DataFrame, heights: DataFrame, *, keys: list[str], order: str = "s
 
     marked = in_chunks(xc.select(*keys, order, "xc"), edges, keys=keys, order=order, chunk=chunk, halo=1)
     ends = marked.where((F.col("_up") & (F.col("_down") | F.col("_on"))) | (F.col("_same") & F.col("_down"))).join(heights, keys).where(F.col("xc") >= F.col("height"))
+    return _middles(ends, keys, order)
+
+
+def _middles(ends: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, at of tops whose first and last samples are given with xc, _up, _on, _same and _down."""
     base = Window.partitionBy(*keys).orderBy(order)
     # of a flat top only its first and last sample are left here: the last one closes the first, if that comes right before it
     closed = ends.withColumns({"_close": F.lead("_same").over(base) & (F.lead("xc").over(base) == F.col("xc")), "_last": F.lead(order).over(base)})
@@ -162,11 +207,46 @@ def peaks(xc: DataFrame, heights: DataFrame, *, keys: list[str], order: str = "s
     return closed.select(*keys, top.cast("long").alias("at")).where("at IS NOT NULL")
 
 
-def _windows(at: DataFrame, samples: DataFrame, keys: list[str], width: int, order: str) -> DataFrame:
-    """keys, s0, s1 of the windows around places that lie inside the grid."""
-    n = samples.groupBy(*keys).agg((F.max(order) + 1).alias("_n"))
+def _peaks(arrays: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, order: str, chunk: int) -> DataFrame:
+    """peaks() of at least half the template's energy, of pieces and their channels' _t, _mean and _norm.
+
+    A piece gives the samples that rise from one neighbour and don't rise to the other, and its first and last one, whose other neighbours the next pieces give.
+    """
+    kinds = dict(arrays.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, parts = [], []
+            for v, mean, t, norm, c, skip, own in zip(pdf["_v"], pdf["_mean"], pdf["_t"], pdf["_norm"], pdf["chunk"], pdf["skip"], pdf["own"], strict=True):
+                xc = _correlated(v, mean, t, width)[skip : skip + own]
+                before, after, high = np.r_[np.nan, xc[:-1]], np.r_[xc[1:], np.nan], xc >= 0.5 * norm
+                keep = high & (((before < xc) & (after <= xc)) | ((before == xc) & (after < xc)))
+                keep[[0, -1]] = True
+                at = np.flatnonzero(keep)
+                rows.append(len(at))
+                parts.append((c * chunk + at, xc[at], before[at], after[at], high[at]))
+            if rows:
+                columns = dict(zip((order, "xc", "_before", "_after", "_high"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+                yield pdf[keys].iloc[np.repeat(np.arange(len(rows)), rows)].reset_index(drop=True).assign(**columns)
+
+    found = arrays.join(fitted.select(*keys, "_t", "_mean", "_norm"), keys).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{order}` long, xc double, _before double, _after double, _high boolean")
+    base, here = Window.partitionBy(*keys).orderBy(order), F.col(order)
+    before = F.coalesce("_before", F.when(F.lag(order).over(base) == here - 1, F.lag("xc").over(base)))
+    after = F.coalesce("_after", F.when(F.lead(order).over(base) == here + 1, F.lead("xc").over(base)))
+    near = found.withColumns({"_before": before, "_after": after})
+    marked = near.select(*keys, order, "xc", "_high", *[c.alias(n) for n, c in {"_up": F.col("_before") < F.col("xc"), "_same": F.col("_before") == F.col("xc"), "_down": F.col("_after") < F.col("xc"), "_on": F.col("_after") == F.col("xc")}.items()])
+    return _middles(marked.where("_high AND ((_up AND (_down OR _on)) OR (_same AND _down))"), keys, order)
+
+
+def _inside(at: DataFrame, channels: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """keys, at of places whose windows lie inside the grid (channels: keys, _n)."""
     s0 = F.col("at") - width // 2
-    return at.join(n, keys).select(*keys, s0.alias("s0"), (s0 + width).alias("s1"), "_n").where("s0 >= 0 AND s1 <= _n").drop("_n")
+    return at.join(channels.select(*keys, "_n"), keys).where((s0 >= 0) & (s0 + width <= F.col("_n"))).select(*keys, "at")
+
+
+def _fitted(templates: DataFrame, channels: DataFrame, keys: list[str]) -> DataFrame:
+    """channels that have a template, with it as _t and its energy _norm."""
+    return _template_arrays(templates, keys).withColumn("_norm", F.aggregate("_t", F.lit(0.0), lambda s, t: s + t * t)).join(channels, keys)
 
 
 def coefficients(windows: DataFrame, templates: DataFrame, *, keys: list[str], width: int, chunk: int = CHUNK) -> DataFrame:
@@ -252,6 +332,46 @@ def coefficients(windows: DataFrame, templates: DataFrame, *, keys: list[str], w
     return _piece_rows(with_heads(heads.join(states, [*keys, "_chunk"])), keys, ["_kind", "s0"], scales, "s0 long, _scale double")
 
 
+def _scales(arrays: DataFrame, fitted: DataFrame, at: DataFrame, *, keys: list[str], width: int, chunk: int) -> DataFrame:
+    """coefficients() of the windows around places; the fit of a window to the signal as it was is its product with the template."""
+
+    @F.pandas_udf("array<double>")
+    def fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for values, firsts, starts, means, patterns, norms in batches:
+            out = []
+            for v, first, s, m, t, norm in zip(values, firsts, starts, means, patterns, norms, strict=True):
+                own = np.lib.stride_tricks.sliding_window_view(np.asarray(v, float) - m, width)[np.asarray(s, np.int64) - first]
+                out.append(own @ np.asarray(t, float) / norm if norm > 0 else np.zeros(len(own)))
+            yield pd.Series(out)
+
+    dealt = _dealt(_inside(at, fitted, keys, width), F.col("at") - width // 2, keys, chunk).join(fitted.select(*keys, "_t", "_mean", "_norm"), keys)
+    fits = arrays.join(dealt, [*keys, "chunk"]).withColumn("_r", fit("_v", F.col("chunk") * chunk - F.col("skip"), "_w", "_mean", "_t", "_norm"))
+    fits = fits.select(*keys, F.inline(F.arrays_zip("_w", "_r"))).withColumnRenamed("_w", "s0")
+    return coefficients(fits, fitted.select(*keys, F.posexplode("_t").alias("k", "t")), keys=keys, width=width, chunk=chunk)
+
+
+def _lists(scales: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, chunk: int) -> DataFrame:
+    """keys, chunk, _s0, _scale, _t: the windows that reach into each chunk."""
+    touched = F.explode(F.sequence(F.floor(F.col("s0") / chunk), F.floor((F.col("s0") + width - 1) / chunk)))
+    lists = scales.withColumn("chunk", touched).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("s0", "_scale"))).alias("_l"))
+    return lists.select(*keys, "chunk", F.col("_l.s0").alias("_s0"), F.col("_l._scale").alias("_scale")).join(fitted.select(*keys, "_t"), keys)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _away(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """What windows (starts, scales) take out of the samples [first, first + length)."""
+    for firsts, lengths, starts, scales, patterns in batches:
+        out = []
+        for first, length, s, a, t in zip(firsts, lengths, starts, scales, patterns, strict=True):
+            reach = len(t) - 1
+            hits = np.zeros(length + reach)
+            place = np.asarray(s, np.int64) - first + reach
+            near = (place >= 0) & (place < len(hits))
+            hits[place[near]] = np.asarray(a, float)[near]
+            out.append(block_convolve(hits, np.asarray(t, float))[reach : reach + length])
+        yield pd.Series(out)
+
+
 def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
     """samples with clean: at each place (from at - width // 2, inside the grid) the template is fitted by least squares to what earlier places left, and taken out.
 
@@ -260,34 +380,22 @@ def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: l
     overlapping windows may follow one another along a whole recording, and no task gets more than a chunk.
     """
     size = max(chunk, width)
-    norm = templates.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("_norm"))
-    spans = _windows(at, samples, keys, width, order)
-    xc = cross_correlation(samples, templates, keys=keys, value=value, width=width, order=order, chunk=chunk).withColumn("s0", (F.col(order) - width // 2).cast("long"))
-    fits = spans.select(*keys, F.col("s0").cast("long").alias("s0")).join(xc.select(*keys, "s0", "xc"), [*keys, "s0"]).join(norm, keys)
-    fits = fits.select(*keys, "s0", F.when(F.col("_norm") > 0, F.col("xc") / F.col("_norm")).otherwise(0.0).alias("_r"))
-    scale = coefficients(fits, templates, keys=keys, width=width, chunk=chunk)
+    arrays, channels = pieces(samples, keys=keys, value=value, order=order, chunk=size, halo=width)
+    fitted = _fitted(templates, channels, keys)
+    return _without(samples, _scales(arrays, fitted, at, keys=keys, width=width, chunk=size), fitted, keys=keys, value=value, width=width, order=order, chunk=size)
 
-    touched = F.explode(F.sequence(F.floor(F.col("s0") / size), F.floor((F.col("s0") + width - 1) / size)))
-    lists = scale.withColumn("chunk", touched).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("s0", "_scale"))).alias("_w"))
-    lists = lists.select(*keys, "chunk", F.col("_w.s0").alias("_s0"), F.col("_w._scale").alias("_scale")).join(_template_arrays(templates, keys), keys)
 
-    @F.pandas_udf("array<double>")
-    def away(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for chunks, starts, scales, patterns in batches:
-            out = []
-            for c, s, a, t in zip(chunks, starts, scales, patterns, strict=True):
-                hits = np.zeros(size + width)
-                hits[np.asarray(s, np.int64) - c * size + width] = a
-                out.append(block_convolve(hits, np.asarray(t, float))[width : width + size])
-            yield pd.Series(out)
-
-    gone = from_arrays(lists.select(*keys, "chunk", away("chunk", "_s0", "_scale", "_t").alias("_away")), keys=keys, order=order, column="_away", chunk=size)
+def _without(samples: DataFrame, scales: DataFrame, fitted: DataFrame, *, keys: list[str], value: str, width: int, order: str, chunk: int) -> DataFrame:
+    """samples with clean: less what the windows take out."""
+    lists = _lists(scales, fitted, keys=keys, width=width, chunk=chunk)
+    away = _away(F.col("chunk") * chunk, F.lit(chunk), "_s0", "_scale", "_t")
+    gone = from_arrays(lists.select(*keys, "chunk", away.alias("_away")), keys=keys, order=order, column="_away", chunk=chunk)
     return samples.join(gone, [*keys, order], "left").withColumn("clean", F.col(value).cast("double") - F.coalesce("_away", F.lit(0.0))).drop("_away")
 
 
 def quality(samples: DataFrame, at: DataFrame, *, keys: list[str], values: list[str], width: int, order: str = "sample_idx") -> DataFrame:
-    """keys, k, n and of each value (before and after) mean and sem (n - 1) of the windows around places, by offset."""
-    spans = _windows(at, samples, keys, width, order)
+    """keys, k, n and of each value (before and after) mean and sem (n - 1) of the windows around places inside the grid, by offset."""
+    spans = at.select(*keys, (F.col("at") - width // 2).alias("s0"), (F.col("at") - width // 2 + width).alias("s1"))
     cut = cut_by_interval(samples.select(*keys, order, *values), spans, keys=keys, order=order)
     stats = [f for v in values for f in (F.avg(v).alias(f"{v}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{v}_sem"))]
     return cut.groupBy(*keys, (F.col(order) - F.col("s0")).alias("k")).agg(F.count("*").alias("n"), *stats)
@@ -295,24 +403,70 @@ def quality(samples: DataFrame, at: DataFrame, *, keys: list[str], values: list[
 
 def matched(samples: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, advance: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
     """keys, at: peaks of the cross-correlation above half the template's energy, advance apart (G3, G4, G5); 0 keeps all."""
-    xc = cross_correlation(samples, templates, keys=keys, value=value, width=width, order=order, chunk=chunk)
-    heights = templates.groupBy(*keys).agg((0.5 * F.sum(F.col("t") * F.col("t"))).alias("height"))
-    found = peaks(xc, heights, keys=keys, order=order, chunk=chunk)
+    size = max(chunk, width)
+    arrays, channels = pieces(samples, keys=keys, value=value, order=order, chunk=size, halo=width)
+    return _matched(arrays, _fitted(templates, channels, keys), keys=keys, width=width, advance=advance, order=order, chunk=size)
+
+
+def _matched(arrays: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, advance: int, order: str, chunk: int) -> DataFrame:
+    found = _peaks(arrays, fitted, keys=keys, width=width, order=order, chunk=chunk)
     return spaced(found, keys=keys, advance=advance, chunk=chunk) if advance > 1 else found
 
 
+class _Job(NamedTuple):
+    """What the steps of the whole job have found; widths and distances in samples."""
+
+    arrays: DataFrame
+    channels: DataFrame
+    fitted: DataFrame
+    hits: DataFrame
+    at: DataFrame
+    width: int
+    chunk: int
+
+
+def _found(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float], discover_advance_s: float, filter_advance_s: float, sd: float, order: str, chunk: int) -> _Job:
+    """The job up to the places where the template is taken out. samples are read once; shuffle files of a step go when it is done."""
+    pre, post = int(-window[0] * rate), int(window[1] * rate)
+    width, spark = pre + post, samples.sparkSession
+    halo = max(width, abs(pre), abs(post))
+    size = max(chunk, halo)
+
+    def done(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        free_shuffles(spark)
+        return out
+
+    arrays, channels = pieces(samples, keys=keys, value=value, order=order, chunk=size, halo=halo)
+    own = F.posexplode(F.slice("_v", F.col("skip") + 1, F.col("own"))).alias("_i", value)
+    rows = arrays.join(channels, keys).select(*keys, "chunk", "_sd", "_n", own).withColumn(order, F.col("chunk") * size + F.col("_i"))
+    hits = done(_low(rows, keys=keys, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, order=order, chunk=size))
+    cut = _cut(arrays.join(_dealt(hits, F.col("at") - pre, keys, size), [*keys, "chunk"]), keys=keys, columns=["_v"], chunk=size, width=width)
+    fitted = done(_fitted(_shape(cut, keys, "_v"), channels, keys))
+    at = done(_matched(arrays, fitted, keys=keys, width=width, advance=int(filter_advance_s * rate), order=order, chunk=size))
+    return _Job(arrays, channels, fitted, hits, at, width, size)
+
+
+def _counts(job: _Job, keys: list[str]) -> DataFrame:
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    used = _inside(job.at, job.channels, keys, job.width)
+    counts = job.channels.select(*keys).join(count(job.hits, "n_discovered"), keys, "left").join(count(used, "n_subtracted"), keys, "left")
+    return counts.fillna(0, ["n_discovered", "n_subtracted"])
+
+
+def count_artifacts(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float] = (-0.5, 1.5), discover_advance_s: float = 34.0, filter_advance_s: float = 0.0, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
+    """keys, n_discovered, n_subtracted of filter_artifact(), without taking anything out."""
+    return _counts(_found(samples, keys=keys, value=value, rate=rate, window=window, discover_advance_s=discover_advance_s, filter_advance_s=filter_advance_s, sd=sd, order=order, chunk=chunk), keys)
+
+
 def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float] = (-0.5, 1.5), discover_advance_s: float = 34.0, filter_advance_s: float = 0.0, sd: float = 5.0, order: str = "sample_idx", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole job on the given channels: samples with clean; keys, k and before/after mean and sem; keys, n_discovered, n_subtracted.
 
-    Channels without a discovered artifact come back as they are. Places and templates, small beside the samples, are stored.
+    Channels without a discovered artifact come back as they are. The samples' arrays, places and templates are stored.
     """
-    pre, post = int(-window[0] * rate), int(window[1] * rate)
-    width, names = pre + post, {"keys": keys, "order": order}
-    hits = stored(discover(samples, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, chunk=chunk, **names))
-    t = stored(template(samples, hits, value=value, pre=pre, post=post, **names))
-    at = stored(matched(samples, t, value=value, width=width, advance=int(filter_advance_s * rate), chunk=chunk, **names))
-    clean = subtract(samples, at, t, value=value, width=width, chunk=chunk, **names)
-    checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), at, values=["before", "after"], width=width, **names)
-    used = _windows(at, samples, keys, width, order).groupBy(*keys).agg(F.count("*").alias("n_subtracted"))
-    counts = samples.select(*keys).distinct().join(hits.groupBy(*keys).agg(F.count("*").alias("n_discovered")), keys, "left").join(used, keys, "left").fillna(0, ["n_discovered", "n_subtracted"])
-    return clean, checked, counts
+    job = _found(samples, keys=keys, value=value, rate=rate, window=window, discover_advance_s=discover_advance_s, filter_advance_s=filter_advance_s, sd=sd, order=order, chunk=chunk)
+    scales = _scales(job.arrays, job.fitted, job.at, keys=keys, width=job.width, chunk=job.chunk)
+    clean = _without(samples, scales, job.fitted, keys=keys, value=value, width=job.width, order=order, chunk=job.chunk)
+    used = _inside(job.at, job.channels, keys, job.width)
+    checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), used, keys=keys, values=["before", "after"], width=job.width, order=order)
+    return clean, checked, _counts(job, keys)

@@ -37,16 +37,20 @@ def in_chunks(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], *,
     return drop_halo(fn(with_halo(df, order=order, chunk=chunk, halo=halo), [*keys, "chunk"]))
 
 
+def packed_chunks(df: DataFrame, *, keys: list[str], order: str, columns: list[str], chunk: int, halo: int) -> DataFrame:
+    """A row for each chunk of a grid that starts at 0: keys, chunk, skip (samples of the halo before its own), own (its own samples) and an array of each column; one pass over df."""
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(c).cast("double").alias(c) for c in columns])))
+    arrays = with_halo(df.select(*keys, order, *columns), order=order, chunk=chunk, halo=halo).groupBy(*keys, "chunk").agg(packed.alias("_p"), F.count_if(F.col("own_chunk") < F.col("chunk")).cast("int").alias("skip"), F.count_if(F.col("own_chunk") == F.col("chunk")).cast("int").alias("own"))
+    return arrays.where("own > 0").select(*keys, "chunk", "skip", "own", *[F.col("_p")[c].alias(c) for c in columns])
+
+
 def chunk_arrays(df: DataFrame, *, keys: list[str], order: str, columns: list[str], chunk: int, halo: int) -> DataFrame:
-    """A row for each chunk of a grid that starts at 0: keys, chunk, skip (samples of the halo before its own), own (its own samples), n (the grid's samples) and an array of each column.
+    """packed_chunks() with n, the grid's samples.
 
     Helpers then work on batches of such rows, whose size chunk + 2 * halo bounds, whatever the length of a recording.
     """
     size = df.groupBy(*keys).agg((F.max(order) + 1).alias("n"))
-    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(c).cast("double").alias(c) for c in columns])))
-    arrays = with_halo(df.select(*keys, order, *columns), order=order, chunk=chunk, halo=halo).groupBy(*keys, "chunk").agg(packed.alias("_p"), F.count_if(F.col("own_chunk") < F.col("chunk")).cast("int").alias("skip"), F.count_if(F.col("own_chunk") == F.col("chunk")).cast("int").alias("own"))
-    parts = [F.col("_p")[c].alias(c) for c in columns]
-    return arrays.where("own > 0").join(size, keys).select(*keys, "chunk", "skip", "own", "n", *parts)
+    return packed_chunks(df, keys=keys, order=order, columns=columns, chunk=chunk, halo=halo).join(size, keys).select(*keys, "chunk", "skip", "own", "n", *columns)
 
 
 def from_arrays(df: DataFrame, *, keys: list[str], order: str, column: str, chunk: int) -> DataFrame:

@@ -879,7 +879,7 @@ ART = {"keys": K, "value": "v"}
 
 
 def _centred(spark, sf):
-    return grid.remove_mean(T.motion_v(spark, sf), keys=K, column="x", name="v").select(*K, O, "v")
+    return grid.remove_mean(T.motion_v(spark, sf, ["x"]), keys=K, column="x", name="v").select(*K, O, "v")
 
 
 def _hits(spark, sf):
@@ -894,8 +894,11 @@ def _peaks(spark, sf, advance=0, template=None):
     return artifact.matched(_centred(spark, sf), template or _template(spark, sf), **ART, width=W_, advance=advance, chunk=CHUNK)
 
 
+FILTER = {**ART, "rate": R, "discover_advance_s": 3.4, "filter_advance_s": 2.0, "sd": 1.5, "chunk": CHUNK}
+
+
 def _filtered(spark, sf):
-    return artifact.filter_artifact(_centred(spark, sf), **ART, rate=R, discover_advance_s=3.4, filter_advance_s=2.0, sd=1.5, chunk=CHUNK)
+    return artifact.filter_artifact(_centred(spark, sf), **FILTER)
 
 
 @query(f"WITH {Q.MOTION}, {_DISCOVER} SELECT recording_id, place FROM hits")
@@ -968,7 +971,7 @@ def g8_filter_artifact_overlapping(spark, sf):
 
 @query(f"{_CLEAN} SELECT recording_id, (SELECT count(*) FROM hits h WHERE h.recording_id = s.recording_id) AS n_discovered, (SELECT count(*) FROM used u WHERE u.recording_id = s.recording_id) AS n_subtracted FROM sdn s")
 def g8_artifact_counts(spark, sf):
-    return _filtered(spark, sf)[2]
+    return artifact.count_artifacts(_centred(spark, sf), **FILTER)
 
 
 # ---- path overlays

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable
@@ -32,6 +33,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the plans that made them: asks for that, between the steps of a long job whose results are stored()."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a file or folder, whatever kind of store that is in."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -162,13 +169,22 @@ def update_annotations(spark: SparkSession, path: str, recordings: DataFrame, re
         delete(spark, f"{path}/bucket={b}")
 
 
-def motion_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recording of each supplier: its line items in time order are the samples. The divisor of x keeps means off the edges of rounding."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def motion_v(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """A recording of each supplier: its line items in time order are the samples. The divisor of x keeps means off the edges of rounding.
+
+    With columns only these values. Line items that are equal up to the last column these are made of have equal values, so they are put in order by
+    the columns up to that one; what is shuffled has no others.
+    """
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_suppkey", "recording_id")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    idx = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1
     cols = {"x": F.col("l_extendedprice") / 97.13579, "y": F.col("l_quantity") * 20, "lx": F.col("l_discount") * 10000, "ly": F.col("l_tax") * 10000, "rx": F.col("l_quantity") * F.col("l_tax") * 100, "ry": F.col("l_extendedprice") * F.col("l_discount") / 10}
-    return t.select(F.col("l_suppkey").alias("recording_id"), idx.cast("long").alias("sample_idx"), *[v.alias(k) for k, v in cols.items()])
+    if columns is not None:
+        made_of = {"x": "l_extendedprice", "y": "l_quantity", "lx": "l_discount", "ly": "l_tax", "rx": "l_tax", "ry": "l_discount"}
+        order = order[: max(order.index(made_of[c]) for c in columns) + 1]
+        cols = {c: cols[c] for c in columns}
+    # values are made after the window, whose shuffle then has only what they are made of
+    idx = t.withColumn("_n", F.row_number().over(Window.partitionBy("recording_id").orderBy(*order)))
+    return idx.select("recording_id", (F.col("_n") - 1).cast("long").alias("sample_idx"), *[v.alias(k) for k, v in cols.items()])
 
 
 def swing_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,3 +302,65 @@ def test_only_recordings_in_sync_are_joined(spark):
     a = long_samples(spark, {1: np.arange(20.0), 2: np.arange(20.0)})
     joined = bins.joint_bins(a, a.withColumnRenamed("v", "p"), key="r", bin_s=0.5, rate_a=10.0, rate_b=10.0, values_a=["v"], values_b=["p"], recordings=r)
     assert {x.r for x in joined.collect()} == {1}
+
+
+# ---- the artifact job reads its samples once
+
+def counted(spark, df, column: str):
+    """df with a count of the values of a column that tasks have computed."""
+    count = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def same(v: pd.Series) -> pd.Series:
+        count.add(len(v))
+        return v
+
+    return df.withColumn(column, same(column)), count
+
+
+def bursts(seed: int, n: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=n)
+    for at in rng.integers(10, n - 10, n // 36):
+        x[at - 1 : at + 4] += [-6, -9, -9, 3, 2]
+    return x
+
+
+JOB = {"keys": ["r"], "value": "v", "rate": 1.0, "window": (-3, 6), "discover_advance_s": 20, "sd": 3.0, "chunk": 64}
+
+
+def test_artifact_counts_take_one_pass_over_the_samples(spark):
+    samples, count = counted(spark, long_samples(spark, {1: bursts(1, 900), 2: bursts(2, 500), 3: np.zeros(100)}), "v")
+    got = {x.r: (x.n_discovered, x.n_subtracted) for x in artifact.filter_artifact(samples, **JOB, filter_advance_s=9)[2].collect()}
+    assert got[3] == (0, 0) and got[1][0] > 5 and got[1][1] > 5
+    assert count.value == 1500
+    again = artifact.count_artifacts(samples, **JOB, filter_advance_s=9)
+    assert {x.r: (x.n_discovered, x.n_subtracted) for x in again.collect()} == got and count.value == 3000
+
+
+def test_matched_tops_do_not_depend_on_chunks(spark):
+    x = np.zeros(2000)
+    x[500:900] = 7.25  # a flat top over many chunks
+    x[1300:1400] = np.random.default_rng(2).normal(size=100) * 9
+    for width in (4, 40, 100):
+        t = np.r_[np.ones(width // 2), np.zeros(width // 2)]
+        templates = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(t)], "r long, k long, t double")
+        samples = long_samples(spark, {1: x - x.mean()})
+        xc = artifact.cross_correlation(samples, templates, keys=["r"], value="v", width=width, chunk=100_000)
+        heights = spark.createDataFrame([(1, width / 4)], "r long, height double")
+        want = sorted(p.at for p in artifact.peaks(xc, heights, keys=["r"], chunk=100_000).collect())
+        assert want
+        for chunk in (width, 128, 4096):
+            got = artifact.matched(samples, templates, keys=["r"], value="v", width=width, advance=0, chunk=chunk)
+            assert sorted(p.at for p in got.collect()) == want
+
+
+def test_samples_of_some_columns_are_in_the_same_order(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = T.motion_v(spark, sf).toPandas().sort_values(["recording_id", "sample_idx"])
+    for names in (["x"], ["y"], ["lx", "x"], ["rx", "ry"]):
+        got = T.motion_v(spark, sf, names).toPandas().sort_values(["recording_id", "sample_idx"])
+        pd.testing.assert_frame_equal(got.reset_index(drop=True), whole[["recording_id", "sample_idx", *names]].reset_index(drop=True))
+    # the samples and their means: one shuffle of the samples each, as the window's is by recording
+    plan = Q._centred(spark, sf).groupBy("recording_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" not in plan
