@@ -332,8 +332,8 @@ def coefficients(windows: DataFrame, templates: DataFrame, *, keys: list[str], w
     return _piece_rows(with_heads(heads.join(states, [*keys, "_chunk"])), keys, ["_kind", "s0"], scales, "s0 long, _scale double")
 
 
-def _scales(arrays: DataFrame, fitted: DataFrame, at: DataFrame, *, keys: list[str], width: int, chunk: int) -> DataFrame:
-    """coefficients() of the windows around places; the fit of a window to the signal as it was is its product with the template."""
+def _scales(arrays: DataFrame, fitted: DataFrame, at: DataFrame, *, keys: list[str], width: int, chunk: int, advance: int = 0) -> DataFrame:
+    """coefficients() of the windows around places, which are at least advance apart; the fit of a window to the signal as it was is its product with the template."""
 
     @F.pandas_udf("array<double>")
     def fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -347,12 +347,14 @@ def _scales(arrays: DataFrame, fitted: DataFrame, at: DataFrame, *, keys: list[s
     dealt = _dealt(_inside(at, fitted, keys, width), F.col("at") - width // 2, keys, chunk).join(fitted.select(*keys, "_t", "_mean", "_norm"), keys)
     fits = arrays.join(dealt, [*keys, "chunk"]).withColumn("_r", fit("_v", F.col("chunk") * chunk - F.col("skip"), "_w", "_mean", "_t", "_norm"))
     fits = fits.select(*keys, F.inline(F.arrays_zip("_w", "_r"))).withColumnRenamed("_w", "s0")
+    if advance >= width:  # no window reaches into another one
+        return fits.withColumnRenamed("_r", "_scale")
     return coefficients(fits, fitted.select(*keys, F.posexplode("_t").alias("k", "t")), keys=keys, width=width, chunk=chunk)
 
 
-def _lists(scales: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, chunk: int) -> DataFrame:
-    """keys, chunk, _s0, _scale, _t: the windows that reach into each chunk."""
-    touched = F.explode(F.sequence(F.floor(F.col("s0") / chunk), F.floor((F.col("s0") + width - 1) / chunk)))
+def _lists(scales: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, chunk: int, halo: int) -> DataFrame:
+    """keys, chunk, _s0, _scale, _t: the windows that reach into each chunk or its halo."""
+    touched = F.explode(F.sequence(F.floor((F.col("s0") - halo) / chunk), F.floor((F.col("s0") + width - 1 + halo) / chunk)))
     lists = scales.withColumn("chunk", touched).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("s0", "_scale"))).alias("_l"))
     return lists.select(*keys, "chunk", F.col("_l.s0").alias("_s0"), F.col("_l._scale").alias("_scale")).join(fitted.select(*keys, "_t"), keys)
 
@@ -387,18 +389,21 @@ def subtract(samples: DataFrame, at: DataFrame, templates: DataFrame, *, keys: l
 
 def _without(samples: DataFrame, scales: DataFrame, fitted: DataFrame, *, keys: list[str], value: str, width: int, order: str, chunk: int) -> DataFrame:
     """samples with clean: less what the windows take out."""
-    lists = _lists(scales, fitted, keys=keys, width=width, chunk=chunk)
+    lists = _lists(scales, fitted, keys=keys, width=width, chunk=chunk, halo=0)
     away = _away(F.col("chunk") * chunk, F.lit(chunk), "_s0", "_scale", "_t")
     gone = from_arrays(lists.select(*keys, "chunk", away.alias("_away")), keys=keys, order=order, column="_away", chunk=chunk)
     return samples.join(gone, [*keys, order], "left").withColumn("clean", F.col(value).cast("double") - F.coalesce("_away", F.lit(0.0))).drop("_away")
 
 
-def quality(samples: DataFrame, at: DataFrame, *, keys: list[str], values: list[str], width: int, order: str = "sample_idx") -> DataFrame:
-    """keys, k, n and of each value (before and after) mean and sem (n - 1) of the windows around places inside the grid, by offset."""
-    spans = at.select(*keys, (F.col("at") - width // 2).alias("s0"), (F.col("at") - width // 2 + width).alias("s1"))
-    cut = cut_by_interval(samples.select(*keys, order, *values), spans, keys=keys, order=order)
-    stats = [f for v in values for f in (F.avg(v).alias(f"{v}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{v}_sem"))]
-    return cut.groupBy(*keys, (F.col(order) - F.col("s0")).alias("k")).agg(F.count("*").alias("n"), *stats)
+def quality(arrays: DataFrame, scales: DataFrame, fitted: DataFrame, *, keys: list[str], width: int, chunk: int, halo: int) -> DataFrame:
+    """keys, k, n and of the samples before and after mean and sem (n - 1) of the windows (scales: keys, s0, _scale), by offset (G7); arrays are pieces."""
+    joined = arrays.join(_lists(scales, fitted, keys=keys, width=width, chunk=chunk, halo=halo), [*keys, "chunk"])
+    away = _away(F.col("chunk") * chunk - F.col("skip"), F.size("_v"), "_s0", "_scale", "_t")
+    own = F.filter("_s0", lambda s: F.floor((s + width // 2) / chunk) == F.col("chunk"))
+    both = joined.select(*keys, "chunk", "skip", F.col("_v").alias("before"), own.alias("_w"), away.alias("_away"))
+    cut = _cut(both, keys=keys, columns=["before", "_away"], chunk=chunk, width=width).withColumn("after", F.col("before") - F.col("_away"))
+    stats = [f for v in ("before", "after") for f in (F.avg(v).alias(f"{v}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{v}_sem"))]
+    return cut.groupBy(*keys, "k").agg(F.count("*").alias("n"), *stats)
 
 
 def matched(samples: DataFrame, templates: DataFrame, *, keys: list[str], value: str, width: int, advance: int, order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
@@ -423,12 +428,14 @@ class _Job(NamedTuple):
     at: DataFrame
     width: int
     chunk: int
+    halo: int
+    advance: int
 
 
 def _found(samples: DataFrame, *, keys: list[str], value: str, rate: float, window: tuple[float, float], discover_advance_s: float, filter_advance_s: float, sd: float, order: str, chunk: int) -> _Job:
     """The job up to the places where the template is taken out. samples are read once; shuffle files of a step go when it is done."""
     pre, post = int(-window[0] * rate), int(window[1] * rate)
-    width, spark = pre + post, samples.sparkSession
+    width, advance, spark = pre + post, int(filter_advance_s * rate), samples.sparkSession
     halo = max(width, abs(pre), abs(post))
     size = max(chunk, halo)
 
@@ -443,8 +450,8 @@ def _found(samples: DataFrame, *, keys: list[str], value: str, rate: float, wind
     hits = done(_low(rows, keys=keys, value=value, pre=pre, post=post, advance=int(discover_advance_s * rate), sd=sd, order=order, chunk=size))
     cut = _cut(arrays.join(_dealt(hits, F.col("at") - pre, keys, size), [*keys, "chunk"]), keys=keys, columns=["_v"], chunk=size, width=width)
     fitted = done(_fitted(_shape(cut, keys, "_v"), channels, keys))
-    at = done(_matched(arrays, fitted, keys=keys, width=width, advance=int(filter_advance_s * rate), order=order, chunk=size))
-    return _Job(arrays, channels, fitted, hits, at, width, size)
+    at = done(_matched(arrays, fitted, keys=keys, width=width, advance=advance, order=order, chunk=size))
+    return _Job(arrays, channels, fitted, hits, at, width, size, halo, advance)
 
 
 def _counts(job: _Job, keys: list[str]) -> DataFrame:
@@ -465,8 +472,6 @@ def filter_artifact(samples: DataFrame, *, keys: list[str], value: str, rate: fl
     Channels without a discovered artifact come back as they are. The samples' arrays, places and templates are stored.
     """
     job = _found(samples, keys=keys, value=value, rate=rate, window=window, discover_advance_s=discover_advance_s, filter_advance_s=filter_advance_s, sd=sd, order=order, chunk=chunk)
-    scales = _scales(job.arrays, job.fitted, job.at, keys=keys, width=job.width, chunk=job.chunk)
+    scales = _scales(job.arrays, job.fitted, job.at, keys=keys, width=job.width, chunk=job.chunk, advance=job.advance)
     clean = _without(samples, scales, job.fitted, keys=keys, value=value, width=job.width, order=order, chunk=job.chunk)
-    used = _inside(job.at, job.channels, keys, job.width)
-    checked = quality(clean.withColumnRenamed(value, "before").withColumnRenamed("clean", "after"), used, keys=keys, values=["before", "after"], width=job.width, order=order)
-    return clean, checked, _counts(job, keys)
+    return clean, quality(job.arrays, scales, job.fitted, keys=keys, width=job.width, chunk=job.chunk, halo=job.halo), _counts(job, keys)

@@ -338,6 +338,32 @@ def test_artifact_counts_take_one_pass_over_the_samples(spark):
     assert {x.r: (x.n_discovered, x.n_subtracted) for x in again.collect()} == got and count.value == 3000
 
 
+@pytest.mark.parametrize("filt", [0, 9])
+def test_artifact_quality_takes_one_pass_and_equals_the_windows(spark, filt):
+    """Windows of 9 samples; at filt 0 they overlap, so that those of other chunks reach into a chunk's halo."""
+    signals = {1: bursts(1, 900), 2: bursts(2, 500), 3: np.zeros(100)}
+    plain = long_samples(spark, signals)
+    samples, count = counted(spark, plain, "v")
+    q = artifact.filter_artifact(samples, **JOB, filter_advance_s=filt)[1].toPandas()
+    assert count.value == 1500
+    clean = artifact.filter_artifact(plain, **JOB, filter_advance_s=filt)[0].toPandas().sort_values("sample_idx")
+    job = artifact._found(plain, **JOB, filter_advance_s=filt, order="sample_idx")
+    places = job.at.toPandas()
+    assert set(q.r) == {1, 2}
+    for r, x in signals.items():
+        starts = np.array([p - 4 for p in places[places.r == r]["at"] if p - 4 >= 0 and p + 5 <= len(x)], int)
+        after = clean[clean.r == r].clean.to_numpy()
+        got = q[q.r == r].sort_values("k")
+        for name, v in {"before": x, "after": after}.items():
+            w = np.array([v[s : s + 9] for s in starts])
+            if r == 3:
+                assert not len(got)
+            else:
+                assert list(got.k) == list(range(9)) and set(got.n) == {len(w)}
+                np.testing.assert_allclose(got[f"{name}_mean"], w.mean(0), rtol=1e-9, atol=1e-9)
+                np.testing.assert_allclose(got[f"{name}_sem"], w.std(0, ddof=1) / np.sqrt(len(w)), rtol=1e-9, atol=1e-9)
+
+
 def test_matched_tops_do_not_depend_on_chunks(spark):
     x = np.zeros(2000)
     x[500:900] = 7.25  # a flat top over many chunks
